@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream, watermark, window or state anywhere; every stage
+is a batch over files. Nothing is built here so that nothing is invented.
+"""
