@@ -37,3 +37,16 @@ def uniform(seed, *parts) -> Column:
 def hex_bucket(h: Column, digits: int = 3) -> Column:
     """Order-preserving bucket of a hex order key: its first ``digits`` digits."""
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("int")
+
+
+def py_uniform(seed, *parts) -> float:
+    """Driver-side twin of ``uniform`` for small model initialisation."""
+    import hashlib
+    s = ":".join([str(seed)] + [str(p) for p in parts])
+    return int(hashlib.md5(s.encode("utf-8")).hexdigest()[:13], 16) / TWO_POW_52
+
+
+def seeded_matrix(seed, salt: str, rows: int, cols: int, scale: float = 1.0):
+    """``(u(seed, salt, r, c) - 0.5) * scale`` as nested lists (r x c)."""
+    return [[(py_uniform(seed, salt, r, c) - 0.5) * scale for c in range(cols)]
+            for r in range(rows)]

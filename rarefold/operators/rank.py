@@ -25,14 +25,14 @@ def dist_rank(df: DataFrame, part_cols: Sequence[str], hex_col: str,
     ``part_cols``; optionally ``total`` = rows in the partition key."""
     part_cols = list(part_cols)
     d = df.withColumn("_bk", hex_bucket(F.col(hex_col), digits))
-    counts = d.groupBy(*part_cols, "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    counts = d.groupBy(*part_cols, "_bk").agg(F.count(F.lit(1)).alias("__cnt"))
     before = Window.partitionBy(*part_cols).orderBy("_bk").rowsBetween(
         Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    offs = counts.withColumn("_off", F.coalesce(F.sum("__cnt").over(before), F.lit(0)))
     if total:
         offs = offs.withColumn(
-            total, F.sum("_n").over(Window.partitionBy(*part_cols)))
-    offs = offs.drop("_n")
+            total, F.sum("__cnt").over(Window.partitionBy(*part_cols)))
+    offs = offs.drop("__cnt")
     # offsets: <= 16**digits rows per key; AQE broadcasts it at run time when small
     d = d.join(offs, on=part_cols + ["_bk"], how="inner")
     local = Window.partitionBy(*part_cols, "_bk").orderBy(F.col(hex_col), F.col(tie_col))

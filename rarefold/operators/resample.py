@@ -67,6 +67,13 @@ def rus_round(df: DataFrame, round_no: int, label_col: str = "label",
     return undersample(df, label_col, seed, f"rusboost:{round_no}", id_col)
 
 
+def rus_rounds(df: DataFrame, n_rounds: int, label_col: str = "label",
+               seed: int = DEFAULT_SEED, id_col: str = "id") -> DataFrame:
+    """R4 for many rounds at once, keyed by ``round`` (same draws as ``rus_round``)."""
+    d = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(n_rounds - 1))))
+    return undersample(d, label_col, seed, "rusboost", id_col, member_cols=["round"])
+
+
 def balanced_bootstrap(df: DataFrame, n_bags: int = 10, label_col: str = "label",
                        seed: int = DEFAULT_SEED, id_col: str = "id") -> DataFrame:
     """R2: per bag, a bootstrap of n rows, then the minority slots of that

@@ -69,3 +69,6 @@ pp AS (SELECT repeat, qid, any_value(y) AS label, avg(tl::DOUBLE) AS proba,
 {unpivot('sc_card', 'repeat AS test_number')}"""
 
 register("knn_holdout_scorecard", SQL_KNN_HOLDOUT)(knn_holdout_scorecard)
+
+
+from . import catalog_prep  # noqa: E402,F401  (registers on import)
