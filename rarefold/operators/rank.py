@@ -25,7 +25,12 @@ def dist_rank(df: DataFrame, part_cols: Sequence[str], hex_col: str,
     ``part_cols``; optionally ``total`` = rows in the partition key."""
     part_cols = list(part_cols)
     d = df.withColumn("_bk", hex_bucket(F.col(hex_col), digits))
-    counts = d.groupBy(*part_cols, "_bk").agg(F.count(F.lit(1)).alias("__cnt"))
+    # local rank inside (key, bucket): one shuffle of the rows
+    local = Window.partitionBy(*part_cols, "_bk").orderBy(F.col(hex_col), F.col(tie_col))
+    d = d.withColumn("_lrn", F.row_number().over(local))
+    # bucket sizes read from the same shuffled output (the exchange is reused,
+    # the input is not read twice): at most 16**digits rows per key
+    counts = d.groupBy(*part_cols, "_bk").agg(F.max("_lrn").cast("bigint").alias("__cnt"))
     before = Window.partitionBy(*part_cols).orderBy("_bk").rowsBetween(
         Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("__cnt").over(before), F.lit(0)))
@@ -33,11 +38,10 @@ def dist_rank(df: DataFrame, part_cols: Sequence[str], hex_col: str,
         offs = offs.withColumn(
             total, F.sum("__cnt").over(Window.partitionBy(*part_cols)))
     offs = offs.drop("__cnt")
-    # offsets: <= 16**digits rows per key; AQE broadcasts it at run time when small
+    # offsets are small; AQE broadcasts them at run time
     d = d.join(offs, on=part_cols + ["_bk"], how="inner")
-    local = Window.partitionBy(*part_cols, "_bk").orderBy(F.col(hex_col), F.col(tie_col))
-    return (d.withColumn(out, (F.row_number().over(local) + F.col("_off")).cast("bigint"))
-             .drop("_bk", "_off"))
+    return (d.withColumn(out, (F.col("_lrn") + F.col("_off")).cast("bigint"))
+             .drop("_bk", "_off", "_lrn"))
 
 
 def key_counts(df: DataFrame, part_cols: Sequence[str], out: str = "n") -> DataFrame:

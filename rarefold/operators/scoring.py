@@ -52,19 +52,26 @@ def scorecard(conf: DataFrame) -> DataFrame:
             .withColumn("f2", _div(5 * p * r, 4 * p + r)))
 
 
-def auc(df: DataFrame, key_cols: Sequence[str] = (), label_col: str = "label",
-        score_col: str = "proba", n_buckets: int = 1024) -> DataFrame:
-    """ROC-AUC with ties counted half, per key.
-
-    Rows collapse to distinct scores first; the running count of negatives
-    below each score is then taken per quantile bucket of the score (offsets
-    over a table of at most ``n_buckets`` rows per key), never over a whole key
-    in one task.
-    """
-    df, keys, tmp = _keyed(df, key_cols)
+def score_table(df: DataFrame, key_cols: Sequence[str] = (), label_col: str = "label",
+                pred_col: str = "pred", score_col: str = "proba") -> DataFrame:
+    """Predictions collapsed to ``(key, score, pred) -> pos, neg``: the one
+    pass over the rows that both the confusion matrix and the AUC read."""
     y = F.col(label_col).cast("bigint")
-    per_score = df.groupBy(*keys, score_col).agg(
+    return df.groupBy(*key_cols, score_col, pred_col).agg(
         F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
+
+
+def _confusion_from(st: DataFrame, keys: list[str], pred_col: str) -> DataFrame:
+    p = F.col(pred_col)
+    s = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("bigint")
+    return st.groupBy(*keys).agg(
+        s(p == 0, "_neg").alias("tn"), s(p == 1, "_neg").alias("fp"),
+        s(p == 0, "_pos").alias("fn"), s(p == 1, "_pos").alias("tp"))
+
+
+def _auc_from(st: DataFrame, keys: list[str], score_col: str, n_buckets: int) -> DataFrame:
+    per_score = st.groupBy(*keys, score_col).agg(
+        F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
     fracs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = per_score.groupBy(*keys).agg(
         F.percentile_approx(score_col, F.array(*[F.lit(f) for f in fracs]), 10000)
@@ -82,19 +89,36 @@ def auc(df: DataFrame, key_cols: Sequence[str] = (), label_col: str = "label",
     d = d.withColumn("_c", F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
     agg = d.groupBy(*keys).agg(F.sum("_c").alias("_s"), F.sum("_pos").alias("_P"),
                                F.sum("_neg").alias("_N"))
-    out = agg.select(*keys, _div(F.col("_s"), F.col("_P") * F.col("_N")).alias("auc"))
+    return agg.select(*keys, _div(F.col("_s"), F.col("_P") * F.col("_N")).alias("auc"))
+
+
+def auc(df: DataFrame, key_cols: Sequence[str] = (), label_col: str = "label",
+        score_col: str = "proba", n_buckets: int = 1024) -> DataFrame:
+    """ROC-AUC with ties counted half, per key.
+
+    Rows collapse to distinct scores first; the running count of negatives
+    below each score is then taken per quantile bucket of the score (offsets
+    over a table of at most ``n_buckets`` rows per key), never over a whole key
+    in one task.
+    """
+    df, keys, tmp = _keyed(df, key_cols)
+    y = F.col(label_col).cast("bigint")
+    st = df.groupBy(*keys, score_col).agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
+    out = _auc_from(st, keys, score_col, n_buckets)
     return out.drop("_k0") if tmp else out
 
 
 def scorecard_wide(df: DataFrame, key_cols: Sequence[str] = (), label_col: str = "label",
                    pred_col: str = "pred", score_col: str | None = "proba") -> DataFrame:
+    """J1 + J2 (+ J3) per key from a single aggregation of the predictions."""
     df, keys, tmp = _keyed(df, key_cols)
-    card = scorecard(confusion(df, keys, label_col, pred_col))
     cols = list(key_cols) + SCORE_METRICS
-    if score_col is not None:
-        card = card.join(auc(df, keys, label_col, score_col), on=keys, how="left")
-        cols.append("auc")
-    return card.select(*cols)
+    if score_col is None:
+        return scorecard(confusion(df, keys, label_col, pred_col)).select(*cols)
+    st = score_table(df, keys, label_col, pred_col, score_col)
+    card = scorecard(_confusion_from(st, keys, pred_col))
+    card = card.join(_auc_from(st, keys, score_col, 1024), on=keys, how="left")
+    return card.select(*cols, "auc")
 
 
 def to_long(card: DataFrame, key_cols: Sequence[str], metrics: Sequence[str],
