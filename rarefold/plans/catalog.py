@@ -73,3 +73,5 @@ register("knn_holdout_scorecard", SQL_KNN_HOLDOUT)(knn_holdout_scorecard)
 
 
 from . import catalog_prep  # noqa: E402,F401  (registers on import)
+from . import catalog_eval  # noqa: E402,F401
+from . import catalog_text  # noqa: E402,F401

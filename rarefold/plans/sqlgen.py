@@ -9,9 +9,10 @@ from __future__ import annotations
 from ..operators.scoring import SCORE_METRICS
 
 
-def scorecard_ctes(src: str, key: str, prefix: str = "sc") -> str:
-    """CTEs ``{prefix}_card`` (key, metrics…, auc) over ``src(key, label, pred, proba)``."""
+def scorecard_ctes(src: str, key, prefix: str = "sc") -> str:
+    """CTE ``{prefix}_card`` (keys, metrics…, auc) over ``src(keys, label, pred, proba)``."""
     p = prefix
+    key = ", ".join(key) if isinstance(key, (list, tuple)) else key
     return f"""{p}_cf AS (
   SELECT {key}, count_if(label = 0 AND pred = 0)::BIGINT AS tn, count_if(label = 0 AND pred = 1)::BIGINT AS fp,
          count_if(label = 1 AND pred = 0)::BIGINT AS fn, count_if(label = 1 AND pred = 1)::BIGINT AS tp
@@ -22,7 +23,7 @@ def scorecard_ctes(src: str, key: str, prefix: str = "sc") -> str:
             CASE WHEN tp + fp <> 0 THEN tp::DOUBLE / (tp + fp) END AS precision
   FROM {p}_cf),
 {p}_r2 AS (
-  SELECT {key}, precision,
+  SELECT {key}, tn, fp, fn, tp, precision,
          CASE WHEN tn + fp > fn + tp THEN rp ELSE rn END AS tpr,
          CASE WHEN tn + fp > fn + tp THEN rn ELSE rp END AS tnr
   FROM {p}_rt),
@@ -36,11 +37,10 @@ def scorecard_ctes(src: str, key: str, prefix: str = "sc") -> str:
          THEN sum(pos * (below + neg / 2.0))::DOUBLE / (sum(pos) * sum(neg))::DOUBLE END AS auc
   FROM {p}_pc GROUP BY {key}),
 {p}_card AS (
-  SELECT r.{key}, tpr, tnr, precision, tpr AS recall, sqrt(tpr * tnr) AS gmean,
+  SELECT *, tpr AS recall, sqrt(tpr * tnr) AS gmean,
          CASE WHEN precision + tpr <> 0 THEN 2 * precision * tpr / (precision + tpr) END AS f1,
-         CASE WHEN 4 * precision + tpr <> 0 THEN 5 * precision * tpr / (4 * precision + tpr) END AS f2,
-         a.auc
-  FROM {p}_r2 r LEFT JOIN {p}_auc a ON r.{key} = a.{key})"""
+         CASE WHEN 4 * precision + tpr <> 0 THEN 5 * precision * tpr / (4 * precision + tpr) END AS f2
+  FROM {p}_r2 LEFT JOIN {p}_auc USING ({key}))"""
 
 
 def unpivot(src: str, key_select: str, metrics=None, digits: int = 6) -> str:
