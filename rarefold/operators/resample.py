@@ -40,6 +40,14 @@ def _targets(counts: DataFrame, member_cols: list[str], label_col: str,
 def undersample(df: DataFrame, label_col: str = "label", seed: int = DEFAULT_SEED,
                 salt: str = "rus", id_col: str = "id", member_cols: Sequence[str] = (),
                 strategy="auto") -> DataFrame:
+    """The kept rows of ``undersample_flag``."""
+    return (undersample_flag(df, label_col, seed, salt, id_col, member_cols, strategy)
+            .filter("_in").drop("_in"))
+
+
+def undersample_flag(df: DataFrame, label_col: str = "label", seed: int = DEFAULT_SEED,
+                     salt: str = "rus", id_col: str = "id", member_cols: Sequence[str] = (),
+                     strategy="auto") -> DataFrame:
     """Random under-sampling without replacement inside each member:
     every class keeps its first ``target`` rows by seeded hash ('auto': the
     size of the smallest class)."""
@@ -50,7 +58,7 @@ def undersample(df: DataFrame, label_col: str = "label", seed: int = DEFAULT_SEE
     tgt = _targets(counts, members, label_col, strategy).drop("_nc")
     # one row per (member, class): AQE broadcasts it
     return (d.join(tgt, on=members + [label_col], how="inner")
-             .filter(F.col("_rk") <= F.col("_keep"))
+             .withColumn("_in", F.col("_rk") <= F.col("_keep"))
              .drop("_h", "_rk", "_nc", "_keep"))
 
 

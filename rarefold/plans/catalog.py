@@ -77,3 +77,4 @@ from . import catalog_eval  # noqa: E402,F401
 from . import catalog_text  # noqa: E402,F401
 from . import catalog_metric  # noqa: E402,F401
 from . import catalog_boost  # noqa: E402,F401
+from . import catalog_ens  # noqa: E402,F401
