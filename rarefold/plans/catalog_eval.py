@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..operators import ledger, scoring, splits
 from . import fixtures as fx
 from .catalog import H, register
-from .sqlgen import scorecard_ctes, unpivot
+from .sqlgen import scorecard_ctes, sround, unpivot
 
 R6 = lambda c: F.round(c, 6).alias(c)
 
@@ -168,7 +168,7 @@ def k3_run_grid(spark, sf):
 
 
 @register("k4_summary", SQL_LOGO + """
-SELECT run, metric, round(avg(value), 6) AS avg, round(stddev_samp(value), 6) AS stddev
+SELECT run, metric, """ + sround("avg(value)") + " AS avg, " + sround("stddev_samp(value)") + """ AS stddev
 FROM ledger GROUP BY run, metric ORDER BY run, metric""")
 def k4_summary(spark, sf):
     s = ledger.summary(_ledger(spark, sf))

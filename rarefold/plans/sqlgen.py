@@ -49,3 +49,12 @@ def unpivot(src: str, key_select: str, metrics=None, digits: int = 6) -> str:
     parts = [f"SELECT {key_select}, '{m}' AS metric, round(CAST({m} AS DOUBLE), {digits}) AS value FROM {src}"
              for m in metrics]
     return "\nUNION ALL\n".join(parts)
+
+
+def sround(expr: str, digits: int = 6) -> str:
+    """Round the way Spark rounds a double (its shortest decimal form, half up).
+
+    DuckDB's ``round(DOUBLE)`` works on the binary value, so an average of
+    already-rounded numbers such as 0.5208335 (binary 0.52083349999...) would
+    round down; going through a wide DECIMAL first restates Spark's rule."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
