@@ -117,3 +117,163 @@ def mlbagging_predict(test: DataFrame, model: MetricBagging) -> DataFrame:
             .withColumnRenamed("z", "features")
     nb = neighbors.knn(rep, train, model.k, key_cols=["bag"], train_uid="uid")
     return soft_vote(neighbors.knn_predict(nb, ["bag"]))
+
+
+# ---- I6a / I6: metric boost-stacking -------------------------------------------
+
+def redivide(state: DataFrame, correct: DataFrame, n_train: int, iteration: int,
+             seed: int = DEFAULT_SEED, promote: str = "wrong") -> DataFrame:
+    """I6a in one ranked projection: valid rows whose prediction is ``promote``
+    ('wrong': misclassified, the stated intent; 'correct': as the reference's
+    code reads) rank first, every other row (old train and the rest of valid)
+    follows in seeded order; the first ``n_train`` rows are the new train side.
+    |train| and |valid| never change; promoted rows beyond |train| stay valid."""
+    from ..functions.seeded import hash_hex
+    from .rank import dist_rank
+    d = state.join(correct.select("id", "correct"), on="id", how="left")
+    want = F.lit(promote == "correct")
+    moved = (F.col("side") == "valid") & (F.col("correct") == want)
+    key = F.concat(F.when(moved, F.lit("0")).otherwise(F.lit("1")),
+                   hash_hex(seed, "i6", iteration, F.col("id")))
+    d = dist_rank(d.withColumn("_key", key), [], "_key", "id", out="_rk")
+    return d.select("id", F.when(F.col("_rk") <= n_train, "train").otherwise("valid").alias("side"))
+
+
+@dataclass
+class BoostStack:
+    stacked: np.ndarray            # all learned maps stacked: z = [L1 x, L2 x, ...]
+    models: dict
+    iterations: list[dict]
+
+
+def mlboostacking_fit(train: DataFrame, max_iteration: int = 10, k: int = 5,
+                      n_bags: int = 10, n_rounds: int = 50, seed: int = DEFAULT_SEED,
+                      promote: str = "wrong", **lmnn_kw) -> BoostStack:
+    """Per iteration under-sample the train side, learn a map on it, score
+    the valid side with k-NN in the concatenation of all maps so far, move rows
+    (I6a); finally an EasyEnsemble on all rows in the concatenated space.
+    The concat of maps is one stacked matrix, so nothing is re-transformed."""
+    from . import scoring
+    from .splits import random_halves
+    base = train.select("id", F.col("features").cast("array<double>").alias("features"),
+                        "label").checkpoint(eager=True)
+    state = random_halves(base, seed=seed).select(
+        "id", F.when(F.col("split") == "train", "train").otherwise("valid").alias("side"))
+    state = state.checkpoint(eager=True)
+    n_train = state.filter(F.col("side") == "train").count()
+    maps: list[np.ndarray] = []
+    log: list[dict] = []
+    for it in range(max_iteration):
+        rows = base.join(state, on="id", how="inner")
+        tr = rows.filter(F.col("side") == "train").drop("side")
+        va = rows.filter(F.col("side") == "valid").drop("side")
+        us = resample.undersample(tr, seed=seed, salt=f"i6:{it}")
+        maps.append(lmnn.fit(us, **lmnn_kw).maps["0"])
+        L = np.vstack(maps)
+        ztr = lmnn.apply_map(tr, L).drop("features").withColumnRenamed("z", "features")
+        zva = lmnn.apply_map(va, L).drop("features").withColumnRenamed("z", "features")
+        pred = neighbors.knn_predict(neighbors.knn(zva, ztr, k)).join(
+            va.select(F.col("id").alias("qid"), "label"), on="qid")
+        pred = pred.checkpoint(eager=True)
+        card = scoring.scorecard_wide(pred).first()          # D16: kept, not dropped
+        log.append({"iteration": it, **{m: card[m] for m in scoring.SCORE_METRICS + ["auc"]}})
+        correct = pred.select(F.col("qid").alias("id"),
+                              (F.col("pred") == F.col("label")).alias("correct"))
+        state = redivide(state, correct, n_train, it, seed, promote).checkpoint(eager=True)
+    stacked = np.vstack(maps)
+    z = lmnn.apply_map(base, stacked).drop("features").withColumnRenamed("z", "features")
+    models = easy_ensemble_fit(z, n_bags, n_rounds, seed)
+    return BoostStack(stacked, models, log)
+
+
+def mlboostacking_predict(test: DataFrame, model: BoostStack) -> DataFrame:
+    z = lmnn.apply_map(test, model.stacked).drop("features").withColumnRenamed("z", "features")
+    return predict_mean(z, model.models)
+
+
+# ---- I5: metric stacking ----------------------------------------------------------
+
+@dataclass
+class Stacking:
+    models: dict                     # member "e:f" (fold f, or "all") -> Booster with maps
+    final: dict                      # EasyEnsemble on [member probabilities, features]
+    n_estimators: int
+
+
+def _member_probas(df: DataFrame, models: dict, n_estimators: int, fold_col: str | None,
+                   feat_col: str = "features") -> DataFrame:
+    """``meta`` = P(1) of estimators 0..n-1; a row uses the models of its own
+    out-of-fold slot (``fold_col``) or the refitted ones ('all')."""
+    bc = df.sparkSession.sparkContext.broadcast(models)
+    schema = T.StructType(list(df.schema.fields) +
+                          [T.StructField("meta", T.ArrayType(T.DoubleType()))])
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mods = bc.value
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if t.num_rows == 0:
+                continue
+            X = matrix(t, feat_col)
+            folds = (t.column(fold_col).to_pylist() if fold_col else ["all"] * t.num_rows)
+            P = np.zeros((t.num_rows, n_estimators))
+            folds = np.array([str(f) for f in folds], dtype=object)
+            for f in set(folds.tolist()):
+                sel = folds == f
+                for e in range(n_estimators):
+                    P[sel, e] = 1.0 / (1.0 + np.exp(-stumps.decision(mods[f"{e}:{f}"], X[sel])))
+            arr = pa.FixedSizeListArray.from_arrays(pa.array(P.ravel()), n_estimators).cast(
+                pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(list(b.columns) + [arr],
+                                             names=list(b.schema.names) + ["meta"])
+
+    return df.mapInArrow(fn, schema)
+
+
+def mlstacking_fit(train: DataFrame, n_estimators: int = 10, n_folds: int = 5,
+                   n_rounds: int = 50, seed: int = DEFAULT_SEED, **lmnn_kw) -> Stacking:
+    """Base learners (under-sample -> LMNN -> AdaBoost), out-of-fold P(1)
+    per learner on 5 stratified folds plus refits on all rows, all trained as
+    members of the same jobs; meta row = [P(1) of each learner, features]
+    (passthrough); final learner: EasyEnsemble."""
+    from .splits import oof_folds
+    base = oof_folds(train.select("id", F.col("features").cast("array<double>").alias("features"),
+                                  "label"), n_folds=n_folds, seed=seed).checkpoint(eager=True)
+    slots = [str(f) for f in range(n_folds)] + ["all"]
+    rows = base.withColumn("_slot", F.explode(F.array(*[F.lit(s) for s in slots])))
+    rows = rows.filter((F.col("_slot") == "all") | (F.col("_slot") != F.col("oof").cast("string")))
+    rows = rows.withColumn("_e", F.explode(F.sequence(F.lit(0), F.lit(n_estimators - 1))))
+    rows = rows.withColumn("member", F.concat_ws(":", F.col("_e").cast("string"), "_slot"))
+    us = resample.undersample(rows.select("member", "id", "features", "label"),
+                              seed=seed, salt="i5", member_cols=["member"]).checkpoint(eager=True)
+    maps = lmnn.fit(us, member_col="member", **lmnn_kw).maps
+    models = stumps.fit_boost(us, n_rounds, member_col="member",
+                              round_map=lambda r, rows_, mods: maps)
+    meta = _member_probas(base, models, n_estimators, "oof")
+    meta = meta.select("id", "label", F.concat("meta", "features").alias("features"))
+    final = easy_ensemble_fit(meta, seed=seed, n_rounds=n_rounds)
+    return Stacking(models, final, n_estimators)
+
+
+def mlstacking_predict(test: DataFrame, model: Stacking) -> DataFrame:
+    meta = _member_probas(test, model.models, model.n_estimators, None)
+    meta = meta.withColumn("features", F.concat("meta", "features")).drop("meta")
+    return predict_mean(meta, model.final)
+
+
+# ---- I4: metric boosting -----------------------------------------------------------
+
+def mlboosting_fit(train: DataFrame, n_rounds: int = 50, seed: int = DEFAULT_SEED,
+                   lmnn_iter: int = 5, **lmnn_kw) -> dict:
+    """I4: RUSBoost whose weak learner is LMNN -> stump. Each round's map is
+    learned unweighted on that round's under-sample (H2), warm-started from the
+    previous round's map; the stump is fitted with the boosting weights."""
+    last: dict[str, np.ndarray] = {}
+
+    def round_map(r: int, rows: DataFrame, models: dict) -> dict:
+        sample = rows.filter("_in").select("id", "features", "label")
+        fit = lmnn.fit(sample, max_iter=lmnn_iter, init=last or None, **lmnn_kw)
+        last.update(fit.maps)
+        return {"0": fit.maps["0"]}
+
+    return rusboost_fit(train, n_rounds, seed, round_map=round_map)

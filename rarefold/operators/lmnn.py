@@ -142,12 +142,18 @@ class LMNNModel:
 
 
 def _mat_batch(m: str, scalar: float, M: np.ndarray) -> pa.RecordBatch:
-    """One member's scalar (idx -1) and d x d matrix as long rows."""
-    n = M.size
+    """One member's scalar and d x d matrix as one vector row [scalar, M...]."""
     return pa.RecordBatch.from_arrays(
-        [pa.array([m] * (n + 1), pa.string()), pa.array(np.arange(-1, n, dtype=np.int32)),
-         pa.array(np.concatenate([[scalar], M.ravel()]), pa.float64())],
-        names=["_m", "idx", "value"])
+        [pa.array([m], pa.string()),
+         pa.array([np.concatenate([[scalar], M.ravel()]).tolist()], pa.list_(pa.float64()))],
+        names=["_m", "v"])
+
+
+def _vec_sum(part: DataFrame) -> DataFrame:
+    """Per-partition vectors added JVM-side (partial aggregation)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    return part.groupBy("_m").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
 
 
 def _target_stats(rows_t: DataFrame):
@@ -173,21 +179,14 @@ def _target_stats(rows_t: DataFrame):
             d = C.shape[0]
             yield _mat_batch(m, float(cnt[m]), C)
 
-    out = rows_t.mapInArrow(fn, "_m string, idx int, value double")
-    return out.groupBy("_m", "idx").agg(F.sum("value").alias("value"))
+    return _vec_sum(rows_t.mapInArrow(fn, "_m string, v array<double>"))
 
 
 def _collect_mats(df: DataFrame, d: int) -> dict[str, tuple[float, np.ndarray]]:
-    res: dict[str, dict[int, float]] = {}
-    for r in df.collect():  # d*d + 1 values per member: model-sized
-        res.setdefault(r["_m"], {})[r["idx"]] = r["value"]
     out = {}
-    for m, v in res.items():
-        M = np.zeros(d * d)
-        for i, x in v.items():
-            if i >= 0:
-                M[i] = x
-        out[m] = (v.get(-1, 0.0), M.reshape(d, d))
+    for r in df.collect():  # one [scalar, d*d] vector per member: model-sized
+        v = np.asarray(r["v"])
+        out[r["_m"]] = (float(v[0]), v[1:].reshape(d, d))
     return out
 
 
@@ -208,8 +207,7 @@ def _step_job(cells: DataFrame, maps: dict[str, np.ndarray], mu: float, spark) -
             d = G.shape[0]
             yield _mat_batch(m, hin[m], G)
 
-    out = cells.mapInArrow(fn, "_m string, idx int, value double")
-    return out.groupBy("_m", "idx").agg(F.sum("value").alias("value"))
+    return _vec_sum(cells.mapInArrow(fn, "_m string, v array<double>"))
 
 
 def prepare(df: DataFrame, k: int = 3, member_col: str | None = None,

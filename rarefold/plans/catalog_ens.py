@@ -86,3 +86,28 @@ def i3_mlbagging(spark, sf):
     tr, te = _fold0(spark, sf)
     model = ensembles.mlbagging_fit(tr, N_BAGS, k=5, max_iter=20)
     return ensembles.mlbagging_predict(te, model).select("qid", "proba", "pred")
+
+
+@register("i4_mlboosting", None)
+def i4_mlboosting(spark, sf):
+    """RUSBoost with LMNN -> stump weak learners."""
+    tr, te = _fold0(spark, sf)
+    models = ensembles.mlboosting_fit(tr)
+    return ensembles.predict_mean(te, models).select("id", "label", "proba", "pred")
+
+
+@register("i5_mlstacking", None)
+def i5_mlstacking(spark, sf):
+    """10 x (under-sample -> LMNN -> AdaBoost), out-of-fold stacking, EasyEnsemble."""
+    tr, te = _fold0(spark, sf)
+    model = ensembles.mlstacking_fit(tr, max_iter=10)
+    return ensembles.mlstacking_predict(te, model).select("id", "label", "proba", "pred")
+
+
+@register("i6_mlboostacking", None)
+def i6_mlboostacking(spark, sf):
+    """10 iterations of map learning with train/valid re-division, then
+    EasyEnsemble in the concatenated metric space."""
+    tr, te = _fold0(spark, sf)
+    model = ensembles.mlboostacking_fit(tr, max_iteration=10, max_iter=10)
+    return ensembles.mlboostacking_predict(te, model).select("id", "label", "proba", "pred")

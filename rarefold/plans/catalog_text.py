@@ -120,3 +120,56 @@ def f5_projection_forward(spark, sf):
     b = [row[0] for row in seeded_matrix(fx.SEED, "head-b", HEAD_DIM, 1, HEAD_SCALE)]
     z = triplets.projection_head(F.col("features"), W, b)
     return v.select("id", F.transform(z, lambda t: F.round(t, 6)).alias("z"))
+
+
+# ---- L1-L5: text classifier variants --------------------------------------------
+
+from ..operators import textclf  # noqa: E402
+
+
+def _text_fold0(spark, sf, select_on: str = "holdout"):
+    """Fold 0 of the hold-out repeats as TF-IDF vectors (IDF fitted on its
+    train side); evaluation rows are 10% of the train side (stratified) unless
+    ``select_on='test'`` (the reference's choice)."""
+    t = fx.text_bin(spark, sf)
+    folds = splits.stratified_holdout(t, repeats=1)
+    train = folds.filter(F.col("split") == "train")
+    sparse = textfeat.vectorise(train, t, N_FEATURES)
+    dense = textfeat.to_dense(sparse, N_FEATURES)
+    rows = (folds.select("id", "label", "split").join(dense, on="id", how="left")
+            .withColumn("features", F.coalesce("features", F.array_repeat(F.lit(0.0), N_FEATURES))))
+    tr = rows.filter(F.col("split") == "train").drop("split")
+    te = rows.filter(F.col("split") == "test").drop("split")
+    if select_on == "test":
+        return tr, te, te
+    ev = splits.stratified_holdout(tr, test_frac=0.1, repeats=1, salt="eval")
+    fit_rows = ev.filter(F.col("split") == "train").drop("split", "repeat")
+    eval_rows = ev.filter(F.col("split") == "test").drop("split", "repeat")
+    return fit_rows, eval_rows, te
+
+
+def _variant(variant):
+    def run(spark, sf):
+        tr, ev, te = _text_fold0(spark, sf)
+        model = textclf.fit(tr, ev, variant=variant, epochs=10)
+        out = textclf.predict(te, model).select("id", "label", "proba", "pred")
+        return out.withColumn("best_epoch", F.lit(model.best_epoch))
+    run.__doc__ = f"Text classifier, variant '{variant}': 10 epochs, best epoch kept."
+    return run
+
+
+register("l1_text_plain", None)(_variant("plain"))
+register("l2_text_balanced_sampling", None)(_variant("bs"))
+register("l3_text_weighted_loss", None)(_variant("wce"))
+register("l4_text_balanced_weighted", None)(_variant("bs_wce"))
+
+
+@register("l5_best_epoch", None)
+def l5_best_epoch(spark, sf):
+    """Per-epoch evaluation losses of the weighted-loss variant and the
+    selected epoch (lowest evaluation loss)."""
+    tr, ev, te = _text_fold0(spark, sf)
+    model = textclf.fit(tr, ev, variant="wce", epochs=10)
+    hist = spark.createDataFrame([(h["epoch"], h["eval_loss"]) for h in model.history],
+                                 "epoch int, eval_loss double")
+    return textclf.select_best(hist)
