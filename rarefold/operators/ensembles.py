@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lmnn, neighbors, resample, stumps
+from ..session import materialize
 from .blocks import matrix
 from .splits import DEFAULT_SEED
 
@@ -93,7 +94,7 @@ def bag_slots(train: DataFrame, n_bags: int = 10, seed: int = DEFAULT_SEED) -> D
 def mlbagging_fit(train: DataFrame, n_bags: int = 10, k: int = 5, seed: int = DEFAULT_SEED,
                   metric: bool = True, **lmnn_kw) -> MetricBagging:
     """R2 bags -> LMNN per bag (all bags in the same jobs) -> k-NN per bag."""
-    bags = bag_slots(train, n_bags, seed).checkpoint(eager=True)
+    bags = materialize(bag_slots(train, n_bags, seed), "ensembles-1")
     if metric:
         fit = lmnn.fit(bags.select("bag", F.col("uid").alias("id"), "features", "label"),
                        member_col="bag", **lmnn_kw)
@@ -155,11 +156,11 @@ def mlboostacking_fit(train: DataFrame, max_iteration: int = 10, k: int = 5,
     The concat of maps is one stacked matrix, so nothing is re-transformed."""
     from . import scoring
     from .splits import random_halves
-    base = train.select("id", F.col("features").cast("array<double>").alias("features"),
-                        "label").checkpoint(eager=True)
+    base = materialize(train.select(
+        "id", F.col("features").cast("array<double>").alias("features"), "label"), "ensembles-2")
     state = random_halves(base, seed=seed).select(
         "id", F.when(F.col("split") == "train", "train").otherwise("valid").alias("side"))
-    state = state.checkpoint(eager=True)
+    state = materialize(state, "ensembles-3")
     n_train = state.filter(F.col("side") == "train").count()
     maps: list[np.ndarray] = []
     log: list[dict] = []
@@ -174,12 +175,12 @@ def mlboostacking_fit(train: DataFrame, max_iteration: int = 10, k: int = 5,
         zva = lmnn.apply_map(va, L).drop("features").withColumnRenamed("z", "features")
         pred = neighbors.knn_predict(neighbors.knn(zva, ztr, k)).join(
             va.select(F.col("id").alias("qid"), "label"), on="qid")
-        pred = pred.checkpoint(eager=True)
+        pred = materialize(pred, "ensembles-4")
         card = scoring.scorecard_wide(pred).first()          # D16: kept, not dropped
         log.append({"iteration": it, **{m: card[m] for m in scoring.SCORE_METRICS + ["auc"]}})
         correct = pred.select(F.col("qid").alias("id"),
                               (F.col("pred") == F.col("label")).alias("correct"))
-        state = redivide(state, correct, n_train, it, seed, promote).checkpoint(eager=True)
+        state = materialize(redivide(state, correct, n_train, it, seed, promote), "ensembles-5")
     stacked = np.vstack(maps)
     z = lmnn.apply_map(base, stacked).drop("features").withColumnRenamed("z", "features")
     models = easy_ensemble_fit(z, n_bags, n_rounds, seed)
@@ -237,15 +238,17 @@ def mlstacking_fit(train: DataFrame, n_estimators: int = 10, n_folds: int = 5,
     members of the same jobs; meta row = [P(1) of each learner, features]
     (passthrough); final learner: EasyEnsemble."""
     from .splits import oof_folds
-    base = oof_folds(train.select("id", F.col("features").cast("array<double>").alias("features"),
-                                  "label"), n_folds=n_folds, seed=seed).checkpoint(eager=True)
+    base = materialize(oof_folds(train.select(
+        "id", F.col("features").cast("array<double>").alias("features"), "label"),
+        n_folds=n_folds, seed=seed), "ensembles-6")
     slots = [str(f) for f in range(n_folds)] + ["all"]
     rows = base.withColumn("_slot", F.explode(F.array(*[F.lit(s) for s in slots])))
     rows = rows.filter((F.col("_slot") == "all") | (F.col("_slot") != F.col("oof").cast("string")))
     rows = rows.withColumn("_e", F.explode(F.sequence(F.lit(0), F.lit(n_estimators - 1))))
     rows = rows.withColumn("member", F.concat_ws(":", F.col("_e").cast("string"), "_slot"))
-    us = resample.undersample(rows.select("member", "id", "features", "label"),
-                              seed=seed, salt="i5", member_cols=["member"]).checkpoint(eager=True)
+    us = materialize(resample.undersample(rows.select("member", "id", "features", "label"),
+                                          seed=seed, salt="i5", member_cols=["member"]),
+                     "ensembles-7")
     maps = lmnn.fit(us, member_col="member", **lmnn_kw).maps
     models = stumps.fit_boost(us, n_rounds, member_col="member",
                               round_map=lambda r, rows_, mods: maps)

@@ -9,7 +9,7 @@ l any row of another class. Gradient: 2 L G with
 
 Layout: rows of class c (with their k target neighbours) meet rows of every
 other class on the block grid (``blocks.grid``). Each cell is packed once
-into one row of NumPy blobs and the packed table is checkpointed to the
+into one row of NumPy blobs and the packed table is written to the
 shared folder; every iteration is then one ``mapInArrow`` pass over the cells
 (no shuffle of rows) that emits per-partition d x d partial sums, added by a
 grouped aggregate. The driver holds only L and G per member. Members (bags,
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .blocks import column, grid, matrix
 from .neighbors import target_neighbors
 
@@ -216,15 +217,17 @@ def prepare(df: DataFrame, k: int = 3, member_col: str | None = None,
     rows = _member(df.select(*([member_col] if member_col else []), "id",
                              F.col("features").cast("array<double>").alias("features"),
                              F.col("label").cast("int").alias("label")), member_col)
+    if checkpoint:
+        rows = materialize(rows, "lmnn-1")  # read by several passes below
     tn = target_neighbors(rows.select("_m", "id", "features", "label"), k,
                           key_cols=["_m"], block_rows=block_rows)
     feats = rows.select("_m", F.col("id").alias("nbr_id"), F.col("features").alias("_xj"))
     tn = tn.join(feats, on=["_m", "nbr_id"], how="inner")
     if checkpoint:
-        tn = tn.checkpoint(eager=True)  # fixed through training; lineage cut
+        tn = materialize(tn, "lmnn-2")  # fixed through training; lineage cut
     cells = _pack_cells(rows, tn, k, block_rows)
     if checkpoint:
-        cells = cells.checkpoint(eager=True)  # read once per iteration, no shuffle
+        cells = materialize(cells, "lmnn-3")  # read once per iteration, no shuffle
     pairs = tn.join(rows.select("_m", F.col("id").alias("qid"), "features"), on=["_m", "qid"])
     d = len(rows.select("features").first()[0])
     tstats = _collect_mats(_target_stats(pairs.select("_m", "features", "_xj")), d)

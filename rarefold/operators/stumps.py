@@ -28,6 +28,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .blocks import matrix
 
 N_BINS = 32
@@ -246,7 +247,7 @@ def fit_boost(df: DataFrame, n_rounds: int = 50, member_col: str | None = None,
                                   F.col("features").cast("array<double>").alias("features"),
                                   F.col("label").cast("int").alias("label")), member_col)
     base = base.drop(member_col) if member_col and member_col != "_m" else base
-    base = base.checkpoint(eager=True)  # read once per round: cut the lineage once
+    base = materialize(base, "stumps-1")  # read once per round: cut the lineage once
     members = sorted(r[0] for r in base.select("_m").distinct().collect())
     models = {m: Booster() for m in members}
     edge_cache: dict[tuple, dict] = {}

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import resample, splits, weights
+from ..session import materialize
 from .blocks import matrix
 
 VARIANTS = {"plain": (False, False), "bs": (True, False), "wce": (False, True),
@@ -89,7 +90,7 @@ def fit(train: DataFrame, eval_rows: DataFrame, variant: str = "plain", epochs:
     cw = None
     if weighted:
         cw = {r["label"]: r["weight_norm"] for r in weights.class_weights(train).collect()}
-    base = train.select("id", "features", "label").checkpoint(eager=True)
+    base = materialize(train.select("id", "features", "label"), "textclf-1")
     ev = eval_rows.select("id", "features", "label").withColumn("_role", F.lit("eval"))
     hist: list[dict] = []
     best = (np.inf, W.copy(), -1)

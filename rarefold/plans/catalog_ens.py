@@ -84,7 +84,7 @@ def i2_rusboost(spark, sf):
 def i3_mlbagging(spark, sf):
     """Balanced bootstrap bags, LMNN per bag (one set of jobs), k-NN, soft vote."""
     tr, te = _fold0(spark, sf)
-    model = ensembles.mlbagging_fit(tr, N_BAGS, k=5, max_iter=20)
+    model = ensembles.mlbagging_fit(tr, N_BAGS, k=5, max_iter=5)
     return ensembles.mlbagging_predict(te, model).select("qid", "proba", "pred")
 
 
@@ -100,7 +100,7 @@ def i4_mlboosting(spark, sf):
 def i5_mlstacking(spark, sf):
     """10 x (under-sample -> LMNN -> AdaBoost), out-of-fold stacking, EasyEnsemble."""
     tr, te = _fold0(spark, sf)
-    model = ensembles.mlstacking_fit(tr, max_iter=10)
+    model = ensembles.mlstacking_fit(tr, max_iter=5)
     return ensembles.mlstacking_predict(te, model).select("id", "label", "proba", "pred")
 
 
@@ -109,5 +109,40 @@ def i6_mlboostacking(spark, sf):
     """10 iterations of map learning with train/valid re-division, then
     EasyEnsemble in the concatenated metric space."""
     tr, te = _fold0(spark, sf)
-    model = ensembles.mlboostacking_fit(tr, max_iteration=10, max_iter=10)
+    model = ensembles.mlboostacking_fit(tr, max_iteration=10, max_iter=5)
     return ensembles.mlboostacking_predict(te, model).select("id", "label", "proba", "pred")
+
+
+@register("i6a_redivision_identity", f"""WITH {fx.SQL_VEC_BIN},
+k AS (SELECT id, features, label, row_number() OVER (ORDER BY {H("'c4'", 'id')}, id) AS rk,
+             count(*) OVER () AS n FROM vec_bin),
+st AS (SELECT id, features, label, CASE WHEN rk <= floor(n / 2) THEN 'train' ELSE 'valid' END AS side,
+              floor(n / 2) AS ntr FROM k),
+tr AS (SELECT * FROM st WHERE side = 'train'),
+va AS (SELECT * FROM st WHERE side = 'valid'),
+pairs AS (SELECT va.id AS qid, va.label AS y, tr.id AS tid, tr.label AS tl,
+                 list_sum(list_transform(list_zip(va.features, tr.features), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d2
+          FROM va, tr),
+nb AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, tid) AS r FROM pairs),
+pp AS (SELECT qid, any_value(y) AS y, CAST(avg(tl::DOUBLE) > 0.5 AS INTEGER) AS pred FROM nb WHERE r <= 5 GROUP BY qid),
+mv AS (SELECT st.id, st.ntr, coalesce(st.side = 'valid' AND pp.pred <> pp.y, false) AS moved
+       FROM st LEFT JOIN pp ON st.id = pp.qid),
+r2 AS (SELECT id, ntr, row_number() OVER (ORDER BY (CASE WHEN moved THEN '0' ELSE '1' END) || {H("'i6'", '0', 'id')}, id) AS r
+       FROM mv)
+SELECT id, CASE WHEN r <= ntr THEN 'train' ELSE 'valid' END AS side FROM r2""")
+def i6a_redivision_identity(spark, sf):
+    """First re-division of boost-stacking with the identity metric: k-NN on
+    the train half scores the valid half; misclassified valid rows move to
+    train, which is refilled in seeded order to its old size."""
+    from ..operators import neighbors
+    v = fx.vec_bin(spark, sf)
+    halves = splits.random_halves(v)
+    state = halves.select("id", F.when(F.col("split") == "train", "train")
+                          .otherwise("valid").alias("side"))
+    n_train = state.filter(F.col("side") == "train").count()
+    tr = halves.filter(F.col("split") == "train")
+    va = halves.filter(F.col("split") == "valid")
+    pred = neighbors.knn_predict(neighbors.knn(va, tr, 5)).join(
+        va.select(F.col("id").alias("qid"), "label"), on="qid")
+    correct = pred.select(F.col("qid").alias("id"), (F.col("pred") == F.col("label")).alias("correct"))
+    return ensembles.redivide(state, correct, n_train, 0)

@@ -31,12 +31,40 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rarefold`` importable by Python workers wherever they run.
+
+    Task closures and broadcast models refer to this package, so it is zipped
+    once per SparkContext and handed to ``addPyFile`` (Spark serves it to every
+    executor, as ``--py-files`` would)."""
+    import zipfile
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="rarefold-pyfiles-"), "rarefold.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, names in os.walk(pkg):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
     Read from the session; only when nothing is configured (local tests) is a
     fresh folder created and registered.
     """
+    ship_package(spark)
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
@@ -51,3 +79,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder for written tables."""
     return f"{shared_dir(spark).rstrip('/')}/rarefold/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Cut lineage: write ``df`` as parquet under the shared folder and read it
+    back. Unlike ``checkpoint()``, the re-read table starts from its real file
+    size, so size estimates of iterative plans cannot compound, and it survives
+    lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
