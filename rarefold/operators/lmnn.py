@@ -167,12 +167,12 @@ def _target_stats(rows_t: DataFrame):
             t = pa.Table.from_batches([b])
             if t.num_rows == 0:
                 continue
-            ms = t.column("_m").to_pylist()
+            ms = np.array(t.column("_m").to_pylist(), dtype=object)
             Xi = matrix(t, "features")
             Xj = matrix(t, "_xj")
             D = Xi - Xj
-            for m in set(ms):
-                sel = np.array([x == m for x in ms])
+            for m in set(ms.tolist()):
+                sel = ms == m
                 Dm = D[sel]
                 acc[m] = acc.get(m, 0) + Dm.T @ Dm
                 cnt[m] = cnt.get(m, 0) + int(sel.sum())
@@ -330,10 +330,10 @@ def apply_map(df: DataFrame, maps: dict[str, np.ndarray] | np.ndarray, feat_col:
             if t.num_rows == 0:
                 continue
             X = matrix(t, feat_col)
-            mk = t.column("_mk").to_pylist()
+            mk = np.array(t.column("_mk").to_pylist(), dtype=object)
             Z = np.empty((X.shape[0], next(iter(Ls.values())).shape[0]))
-            for m in set(mk):
-                sel = np.array([x == m for x in mk])
+            for m in set(mk.tolist()):
+                sel = mk == m
                 Z[sel] = X[sel] @ Ls[m].T
             arr = pa.FixedSizeListArray.from_arrays(pa.array(Z.ravel()), Z.shape[1]).cast(
                 pa.list_(pa.float64()))

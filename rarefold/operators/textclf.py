@@ -59,7 +59,8 @@ def _epoch_job(rows: DataFrame, W: np.ndarray, cw: dict[int, float] | None) -> d
             X = np.hstack([matrix(t, "features"), np.ones((t.num_rows, 1))])
             y = t.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
             role = np.array(t.column("_role").to_pylist(), dtype=object)
-            w = np.array([cwb.get(int(c), 1.0) for c in y]) if cwb else np.ones(len(y))
+            w = (np.array([cwb.get(c, 1.0) for c in range(C)])[y] if cwb
+                 else np.ones(len(y)))
             P = _softmax(X @ Wb.T)
             nll = -np.log(np.clip(P[np.arange(len(y)), y], 1e-300, None))
             G = P.copy()
@@ -85,13 +86,15 @@ def fit(train: DataFrame, eval_rows: DataFrame, variant: str = "plain", epochs:
         lr: float = 2.0, n_classes: int = 2, seed: int = splits.DEFAULT_SEED) -> TextModel:
     """L1-L5 on ``(id, features array<double>, label)`` rows."""
     balanced, weighted = VARIANTS[variant]
-    d = len(train.select("features").first()[0])
+    # both sides are read once per epoch: cut their lineage once
+    base = materialize(train.select("id", "features", "label"), "textclf-train")
+    ev = materialize(eval_rows.select("id", "features", "label"), "textclf-eval")
+    ev = ev.withColumn("_role", F.lit("eval"))
+    d = len(base.select("features").first()[0])
     W = np.zeros((n_classes, d + 1))
     cw = None
     if weighted:
-        cw = {r["label"]: r["weight_norm"] for r in weights.class_weights(train).collect()}
-    base = materialize(train.select("id", "features", "label"), "textclf-1")
-    ev = eval_rows.select("id", "features", "label").withColumn("_role", F.lit("eval"))
+        cw = {r["label"]: r["weight_norm"] for r in weights.class_weights(base).collect()}
     hist: list[dict] = []
     best = (np.inf, W.copy(), -1)
     for epoch in range(epochs + 1):

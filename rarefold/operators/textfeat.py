@@ -27,7 +27,9 @@ def term_freq(df: DataFrame, n_features: int, text_col: str = "text",
 def fit_idf(tf_train: DataFrame, n_docs: DataFrame | int, id_col: str = "id") -> DataFrame:
     """(term, idf) with the smoothed form ln((1 + N) / (1 + df)) + 1 over the
     training documents; terms unseen in training get no column."""
-    df_ = tf_train.groupBy("term").agg(F.countDistinct(id_col).alias("_df"))
+    # (id, term) is unique in a term-frequency table: a count is the document
+    # frequency, with map-side partial counts even for terms in every document
+    df_ = tf_train.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
     return df_.select("term", (F.log((1 + n) / (1 + F.col("_df"))) + 1).alias("idf"))
 
@@ -52,9 +54,11 @@ def to_dense(sparse: DataFrame, n_features: int, id_col: str = "id",
 
 def vectorise(train: DataFrame, rows: DataFrame, n_features: int = 1024,
               text_col: str = "text", id_col: str = "id") -> DataFrame:
-    """fit on ``train``, transform ``rows``: sparse (id, term, weight)."""
+    """fit on ``train`` (a subset of ``rows``), transform ``rows``: sparse
+    (id, term, weight). Texts are tokenised once; the training side is a
+    semi-join of the counted table."""
     tf_rows = term_freq(rows, n_features, text_col, id_col)
-    tf_train = term_freq(train, n_features, text_col, id_col)
+    tf_train = tf_rows.join(train.select(id_col), on=id_col, how="left_semi")
     n = train.select(F.count(F.lit(1))).scalar()
     return tfidf(tf_rows, fit_idf(tf_train, n, id_col), id_col)
 

@@ -65,3 +65,19 @@ def test_logo_fold_stats_partition(spark):
     assert all(r.n_train + r.n_test == n for r in s)
     assert sum(r.n_test for r in s) == n
     assert any(r.pos_test == 0 for r in s)   # groups without positives exist
+
+
+def test_redivision_keeps_sizes_and_moves_wrong_rows_first(spark):
+    from rarefold.operators import ensembles
+    v = fx.vec_bin(spark, SF01)
+    h = splits.random_halves(v)
+    state = h.select("id", F.when(F.col("split") == "train", "train").otherwise("valid").alias("side"))
+    n_train = state.filter("side = 'train'").count()
+    # mark every third valid row as misclassified
+    correct = h.filter("split = 'valid'").select("id", (F.col("id") % 3 != 0).alias("correct"))
+    new = ensembles.redivide(state, correct, n_train, 0)
+    assert new.filter("side = 'train'").count() == n_train
+    assert new.count() == v.count()
+    moved = {r.id for r in correct.filter(~F.col("correct")).collect()}
+    got = {r.id for r in new.filter("side = 'train'").collect()}
+    assert moved <= got
