@@ -78,3 +78,18 @@ from . import catalog_text  # noqa: E402,F401
 from . import catalog_metric  # noqa: E402,F401
 from . import catalog_boost  # noqa: E402,F401
 from . import catalog_ens  # noqa: E402,F401
+
+
+def g2_knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 alone: uniform vote of the 5 nearest under-sampled training rows."""
+    folds = splits.stratified_holdout(fx.vec_bin(spark, sf_dir), repeats=10)
+    train = resample.undersample(folds.filter(F.col("split") == "train"),
+                                 member_cols=["repeat"], salt="rus")
+    test = folds.filter(F.col("split") == "test")
+    nb = neighbors.knn(test, train, 5, key_cols=["repeat"])
+    pred = neighbors.knn_predict(nb, ["repeat"])
+    return pred.select("repeat", "qid", F.round("proba", 6).alias("proba"), "pred")
+
+
+register("g2_knn_vote", SQL_KNN_HOLDOUT.split(",\nsc_cf AS")[0] +
+         "\nSELECT repeat, qid, round(proba, 6) AS proba, pred FROM pp")(g2_knn_vote)

@@ -334,3 +334,66 @@ def e5_profile(spark, sf):
     t = weights.profile(fx.text_bin(spark, sf).select("label")).withColumn("dataset", F.lit("text"))
     v = weights.profile(fx.vec_bin(spark, sf).select("label")).withColumn("dataset", F.lit("vectors"))
     return t.unionByName(v).select("dataset", "n_pos", "n_neg", F.round("ratio", 6).alias("ratio"))
+
+
+# ---- A2, A5-A8: scans and sinks (written under the shared folder) -------------
+
+from ..session import scratch_path  # noqa: E402
+
+
+@register("a2_labelled_table", """SELECT d.doc_id AS id, d.text, CAST(l.toxic AS INTEGER) AS label
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
+def a2_labelled_table(spark, sf):
+    return fx.text_bin(spark, sf).select("id", "text", "label")
+
+
+SQL_TEXT_FOLDS = f"""WITH {fx.SQL_TEXT_BIN},
+rep AS (SELECT t.id, t.label, CAST(g.r AS INTEGER) AS fold FROM text_bin t, range(0, 10) g(r)),
+hs AS (SELECT *, row_number() OVER (PARTITION BY fold, label ORDER BY {H("'holdout'", 'fold', 'id')}, id) AS rk,
+              count(*) OVER (PARTITION BY fold, label) AS nc FROM rep),
+folds AS (SELECT fold, id, label, CASE WHEN rk <= round(0.2 * nc) THEN 'test' ELSE 'train' END AS split FROM hs)"""
+
+
+def _text_folds(spark, sf):
+    t = fx.text_bin(spark, sf).select("id", "label")
+    return splits.stratified_holdout(t, repeats=10).withColumnRenamed("repeat", "fold")
+
+
+@register("a5_fold_loader", SQL_TEXT_FOLDS + "\nSELECT fold, split, id, label FROM folds WHERE fold = 3")
+def a5_fold_loader(spark, sf):
+    """Write all folds partitioned by (fold, split), load fold 3 (pruned)."""
+    path = scratch_path(spark, "text-folds")
+    files.write_folds(_text_folds(spark, sf), path)
+    train, test = files.load_fold(spark, path, 3)
+    return train.unionByName(test).select("fold", "split", "id", "label")
+
+
+@register("a7_fold_sink_json", SQL_TEXT_FOLDS + """
+SELECT fold, split, count(*)::BIGINT AS n, sum(label)::BIGINT AS n_pos FROM folds GROUP BY fold, split""")
+def a7_fold_sink_json(spark, sf):
+    """Folds written as JSON lines (one row per line), read back and counted."""
+    path = scratch_path(spark, "text-folds-json")
+    files.write_folds(_text_folds(spark, sf), path, fmt="json")
+    back = spark.read.schema("id long, label int, fold int, split string").json(path)
+    return back.groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n"),
+                                            F.sum("label").cast("bigint").alias("n_pos"))
+
+
+@register("a6_a8_vector_sink_scan", f"""WITH {fx.SQL_VEC_BIN},
+rep AS (SELECT v.*, CAST(g.r AS INTEGER) AS fold FROM vec_bin v, range(0, 2) g(r)),
+hs AS (SELECT *, row_number() OVER (PARTITION BY fold, label ORDER BY {H("'holdout'", 'fold', 'id')}, id) AS rk,
+              count(*) OVER (PARTITION BY fold, label) AS nc FROM rep)
+SELECT 'embeddings' AS dataset, 'raw' AS embedding, fold,
+       CASE WHEN rk <= round(0.2 * nc) THEN 'test' ELSE 'train' END AS split, id, features, label FROM hs""")
+def a6_a8_vector_sink_scan(spark, sf):
+    """Vector folds of two embeddings written partitioned by (dataset,
+    embedding, fold, split); one (dataset, embedding) read back."""
+    v = fx.vec_bin(spark, sf)
+    folds = splits.stratified_holdout(v, repeats=2).withColumnRenamed("repeat", "fold")
+    raw = folds.withColumn("dataset", F.lit("embeddings")).withColumn("embedding", F.lit("raw"))
+    mapped = raw.withColumn("embedding", F.lit("map8")).withColumn(
+        "features", S.linear_map(seeded_matrix(fx.SEED, "map", MAP_ROWS, MAP_DIM), F.col("features")))
+    path = scratch_path(spark, "vectors")
+    files.write_vectors(raw.unionByName(mapped), path)
+    back = files.read_vectors(spark, path, "embeddings", "raw")
+    return back.select("dataset", "embedding", "fold", "split", "id", "features", "label")
