@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as TK
 from ..functions.seeded import seeded_matrix
-from ..operators import splits, textfeat, triplets
+from ..operators import headfit, splits, textfeat, triplets
 from . import fixtures as fx
 from .catalog import H, U, register
 
@@ -122,6 +122,48 @@ def f5_projection_forward(spark, sf):
     return v.select("id", F.transform(z, lambda t: F.round(t, 6)).alias("z"))
 
 
+SQL_HEAD_INIT = f"""WITH {fx.SQL_VEC_BIN},
+W AS (SELECT r, c, ({U("'head-w'", 'r', 'c')} - 0.5) * {HEAD_SCALE!r} AS w
+      FROM range(0, {HEAD_DIM}) a(r), range(0, {HEAD_DIM}) b(c)),
+B AS (SELECT r, ({U("'head-b'", 'r', '0')} - 0.5) * {HEAD_SCALE!r} AS b FROM range(0, {HEAD_DIM}) a(r)),
+x AS (SELECT id, unnest(features) AS v, unnest(generate_series(0, len(features) - 1)) AS c FROM vec_bin),
+s AS (SELECT x.id, W.r, sum(W.w * x.v) AS s FROM x JOIN W ON x.c = W.c GROUP BY x.id, W.r),
+zv AS (SELECT s.id, list(tanh(s.s + B.b) ORDER BY s.r) AS z FROM s JOIN B ON s.r = B.r GROUP BY s.id),
+bt AS (SELECT v.id, v.label, zv.z,
+              (row_number() OVER (ORDER BY {H("'batch'", '0', 'v.id')}, v.id) - 1) // 16 AS batch
+       FROM vec_bin v JOIN zv ON v.id = zv.id),
+pr AS (SELECT a.batch, a.id AS aid, a.label = o.label AS same,
+              sqrt(list_sum(list_transform(list_zip(a.z, o.z), lambda q: (q[1] - q[2]) * (q[1] - q[2])))) AS d
+       FROM bt a JOIN bt o ON a.batch = o.batch AND a.id <> o.id),
+t AS (SELECT p.batch, p.d - n.d + 20.0 AS l
+      FROM pr p JOIN pr n ON p.batch = n.batch AND p.aid = n.aid AND p.same AND NOT n.same),
+nb AS (SELECT DISTINCT batch FROM bt)
+SELECT CAST(nb.batch AS BIGINT) AS batch, coalesce(count_if(t.l > 1e-16), 0)::BIGINT AS n_active,
+       round(sum(CASE WHEN t.l > 1e-16 THEN t.l END) / nullif(count_if(t.l > 1e-16), 0), 6) AS loss
+FROM nb LEFT JOIN t ON nb.batch = t.batch GROUP BY nb.batch"""
+
+
+@register("f5_head_loss_init", SQL_HEAD_INIT)
+def f5_head_loss_init(spark, sf):
+    """F5 fit, first step: batch-all mean loss of every epoch-0 batch through
+    the seeded head (the values the fit starts from)."""
+    v = fx.vec_bin(spark, sf)
+    W, b = headfit.init_head(HEAD_DIM, HEAD_DIM, fx.SEED)
+    g = headfit.grouped_epoch(v, 0, fx.SEED)
+    out = headfit.batch_losses(g, W, b)
+    return out.select("batch", "n_active", F.round("loss", 6).alias("loss"))
+
+
+@register("f5_projection_fit", None)
+def f5_projection_fit(spark, sf):
+    """F5 fit: 5 epochs of batch-all triplet training of the head on all
+    rows, then every row through the trained head."""
+    v = fx.vec_bin(spark, sf)
+    model = headfit.fit(v, epochs=5, seed=fx.SEED)
+    z = headfit.transform(v, model)
+    return z.select("id", "label", F.transform("z", lambda t: F.round(t, 6)).alias("z"))
+
+
 # ---- L1-L5: text classifier variants --------------------------------------------
 
 from ..operators import textclf  # noqa: E402
