@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import ledger, scoring, splits
 from . import fixtures as fx
 from .catalog import H, register
+from ..session import scratch_path
 from .sqlgen import scorecard_ctes, sround, unpivot
 
 R6 = lambda c: F.round(c, 6).alias(c)
@@ -173,3 +174,14 @@ FROM ledger GROUP BY run, metric ORDER BY run, metric""")
 def k4_summary(spark, sf):
     s = ledger.summary(_ledger(spark, sf))
     return s.select("run", "metric", R6("avg"), R6("stddev"))
+
+
+@register("a9_ledger_append", SQL_LOGO + "\nSELECT run, test_number, metric, value FROM ledger")
+def a9_ledger_append(spark, sf):
+    """Score cards appended to a parquet ledger, then appended again as a
+    re-run would: partitions (run, test_number) are overwritten, not doubled."""
+    path = scratch_path(spark, "ledger")
+    cards = _ledger(spark, sf)
+    ledger.append(cards, path)
+    ledger.append(cards, path)
+    return ledger.read(spark, path).select("run", "test_number", "metric", "value")

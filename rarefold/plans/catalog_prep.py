@@ -397,3 +397,42 @@ def a6_a8_vector_sink_scan(spark, sf):
     files.write_vectors(raw.unionByName(mapped), path)
     back = files.read_vectors(spark, path, "embeddings", "raw")
     return back.select("dataset", "embedding", "fold", "split", "id", "features", "label")
+
+
+# ---- A3 / A4: whole files and columnar fold JSON -------------------------------
+
+@register("a3_whole_files", """SELECT source, sum(length(text) + 1)::BIGINT AS n_chars,
+       sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_breaks
+FROM documents GROUP BY source""")
+def a3_whole_files(spark, sf):
+    """Texts written as text files partitioned by source, read back one
+    string per file (any number of files per source); characters and line
+    breaks per source survive the round trip."""
+    path = scratch_path(spark, "whole-files")
+    (fx.table(spark, sf, "documents").select("source", "text")
+       .write.mode("overwrite").partitionBy("source").text(path))
+    w = files.read_whole_files(spark, path)   # + the partition column ``source``
+    return w.groupBy("source").agg(
+        F.sum(F.length("value")).cast("bigint").alias("n_chars"),
+        F.sum(F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit(""))))
+        .cast("bigint").alias("n_breaks"))
+
+
+@register("a4_fold_json_scan", SQL_TEXT_FOLDS.replace(
+    "SELECT t.id, t.label,", "SELECT t.id, t.label, t.text,").replace(
+    "SELECT fold, id, label,", "SELECT fold, id, label, text,") + """
+SELECT fold, split, count(*)::BIGINT AS n, sum(label)::BIGINT AS n_pos,
+       sum(length(text))::BIGINT AS n_chars FROM folds GROUP BY fold, split""")
+def a4_fold_json_scan(spark, sf):
+    """Text folds exported as columnar JSON objects (bounded chunks), scanned
+    back to one row per position and counted per fold and split."""
+    t = fx.text_bin(spark, sf).select("id", "label", "text")
+    folds = splits.stratified_holdout(t, repeats=10).withColumnRenamed("repeat", "fold")
+    path = scratch_path(spark, "fold-json")
+    files.write_fold_json(folds, path, chunk_rows=64)
+    back = files.read_fold_json(spark, path, multi_line=False)
+    back = back.withColumn("fold", F.regexp_extract("path", "fold=([0-9]+)", 1).cast("int")) \
+               .withColumn("split", F.regexp_extract("path", "split=([a-z]+)", 1))
+    return back.groupBy("fold", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("n_pos"),
+        F.sum(F.length("text")).cast("bigint").alias("n_chars"))

@@ -44,9 +44,11 @@ def pair_lines(sentences: DataFrame, label_lines: DataFrame, file_col: str = "fi
 
 
 def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """A3: every file as one string, with its base name."""
-    return (spark.read.text(path, wholetext=True)
-            .select(F.col("_metadata.file_name").alias("file"), "value"))
+    """A3: every file as one string, with its base name (and the partition
+    columns of a partitioned directory)."""
+    d = spark.read.text(path, wholetext=True)
+    return d.select(F.col("_metadata.file_name").alias("file"), "value",
+                    *[c for c in d.columns if c != "value"])
 
 
 def read_paired_files(spark: SparkSession, sentence_dir: str, label_dir: str,
@@ -56,10 +58,11 @@ def read_paired_files(spark: SparkSession, sentence_dir: str, label_dir: str,
                       read_whole_files(spark, label_dir), strict=strict)
 
 
-def read_fold_json(spark: SparkSession, path: str) -> DataFrame:
+def read_fold_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A4: columnar JSON ``{"text": [...], "labels": [...]}`` -> one row per
-    position, position kept."""
-    raw = spark.read.json(path, multiLine=True,
+    position, position kept. ``multi_line`` reads one (possibly indented)
+    object per file; ``False`` reads one object per line (chunked exports)."""
+    raw = spark.read.json(path, multiLine=multi_line,
                           schema="text array<string>, labels array<int>")
     raw = raw.select(F.col("_metadata.file_path").alias("path"), "text", "labels")
     z = raw.select("path", F.posexplode(F.arrays_zip("text", "labels")).alias("pos", "r"))
@@ -72,6 +75,24 @@ def write_folds(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     (df.write.mode("overwrite").partitionBy("fold", "split").format(fmt).save(path))
 
 
+def write_fold_json(df: DataFrame, path: str, chunk_rows: int = 4096,
+                    text_col: str = "text", label_col: str = "label", id_col: str = "id") -> None:
+    """A7, columnar form: ``{"text": [...], "labels": [...]}`` objects, one per
+    line, partitioned by (fold, split). A fold is cut into chunks of about
+    ``chunk_rows`` rows by hash of the id, so no object (and no task) has to
+    hold a whole fold; inside a chunk rows are in id order."""
+    keys = ["fold", "split"]
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))   # one row per (fold, split)
+    d = df.join(n, on=keys, how="inner").withColumn(
+        "_chunk", F.pmod(F.xxhash64(F.col(id_col)),
+                         F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(chunk_rows)))))
+    g = d.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(
+        F.struct(F.col(id_col).alias("i"), F.col(text_col).alias("t"),
+                 F.col(label_col).cast("int").alias("y")))).alias("_r"))
+    (g.select(*keys, F.col("_r.t").alias("text"), F.col("_r.y").alias("labels"))
+      .write.mode("overwrite").partitionBy(*keys).json(path))
+
+
 def load_fold(spark: SparkSession, path: str, fold: int) -> tuple[DataFrame, DataFrame]:
     """A5: train and test of one fold; the filter prunes partitions."""
     d = spark.read.parquet(path).filter(F.col("fold") == fold)
