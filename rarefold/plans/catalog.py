@@ -40,11 +40,24 @@ folds AS (SELECT repeat, id, features, label,
                  CASE WHEN rk <= round(0.2 * nc) THEN 'test' ELSE 'train' END AS split FROM hs)"""
 
 
-def knn_holdout_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folds = splits.stratified_holdout(fx.vec_bin(spark, sf_dir), repeats=10)
+def holdout_knn_sides(spark: SparkSession, sf_dir: str, repeats: int = 10):
+    """Test rows and under-sampled training rows of every hold-out repeat.
+
+    Folds and draws are ranked on the narrow ``(repeat, id, label)`` table, so
+    the rank shuffles move ids, not vectors (x ``repeats``); the features are
+    joined once per side just before the neighbour grid (the scan of the
+    vectors is shared by both joins)."""
+    v = fx.vec_bin(spark, sf_dir)
+    folds = splits.stratified_holdout(v.select("id", "label"), repeats=repeats)
     train = resample.undersample(folds.filter(F.col("split") == "train"),
                                  member_cols=["repeat"], salt="rus")
     test = folds.filter(F.col("split") == "test")
+    feats = v.select("id", "features")
+    return test.join(feats, on="id", how="inner"), train.join(feats, on="id", how="inner")
+
+
+def knn_holdout_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test, train = holdout_knn_sides(spark, sf_dir)
     nb = neighbors.knn(test, train, 5, key_cols=["repeat"])
     pred = neighbors.knn_predict(nb, ["repeat"]).join(
         test.select("repeat", F.col("id").alias("qid"), "label"), on=["repeat", "qid"])
@@ -82,10 +95,7 @@ from . import catalog_ens  # noqa: E402,F401
 
 def g2_knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2 alone: uniform vote of the 5 nearest under-sampled training rows."""
-    folds = splits.stratified_holdout(fx.vec_bin(spark, sf_dir), repeats=10)
-    train = resample.undersample(folds.filter(F.col("split") == "train"),
-                                 member_cols=["repeat"], salt="rus")
-    test = folds.filter(F.col("split") == "test")
+    test, train = holdout_knn_sides(spark, sf_dir)
     nb = neighbors.knn(test, train, 5, key_cols=["repeat"])
     pred = neighbors.knn_predict(nb, ["repeat"])
     return pred.select("repeat", "qid", F.round("proba", 6).alias("proba"), "pred")
