@@ -129,6 +129,13 @@ def weighted_draw(df: DataFrame, label_col: str = "label", seed: int = DEFAULT_S
     """N draws with replacement, weight 1/n_class per row. Equal weight
     inside a class and equal class totals make it 'uniform class, then
     uniform row of it': an equi-join on (class, index)."""
+    return weighted_draws(df, [epoch], label_col, seed, id_col).drop("epoch")
+
+
+def weighted_draws(df: DataFrame, epochs, label_col: str = "label", seed: int = DEFAULT_SEED,
+                   id_col: str = "id") -> DataFrame:
+    """R5 for several epochs at once, keyed by ``epoch``: the rows are ranked
+    once (the rank does not depend on the epoch); only the draw owners do."""
     d = df.withColumn("_h", hash_hex(seed, "wd-idx", F.col(id_col)))
     d = dist_rank(d, [label_col], "_h", id_col, out="_rk", total="_nc").drop("_h")
     d = d.withColumn("_idx", F.col("_rk") - 1).drop("_rk")
@@ -136,15 +143,16 @@ def weighted_draw(df: DataFrame, label_col: str = "label", seed: int = DEFAULT_S
     classes = classes.withColumn(
         "_ord", (F.row_number().over(Window.orderBy(label_col)) - 1).cast("int"))
     n_classes = classes.select(F.count(F.lit(1))).scalar()  # scalar subquery
-    # draw owners: one draw per input row; class ordinal from u1, row from u2
-    own = d.select(F.col(id_col).alias("draw"))
+    # draw owners: one draw per input row and epoch; class ordinal from u1, row from u2
+    own = d.select(F.col(id_col).alias("draw")).withColumn(
+        "epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
     own = own.withColumn("_ord", F.floor(
-        uniform(seed, "wd-class", epoch, F.col("draw")) * n_classes).cast("int"))
-    own = own.withColumn("_u2", uniform(seed, "wd-row", epoch, F.col("draw")))
-    # one row per class: AQE broadcasts it
+        uniform(seed, "wd-class", F.col("epoch"), F.col("draw")) * n_classes).cast("int"))
+    own = own.withColumn("_u2", uniform(seed, "wd-row", F.col("epoch"), F.col("draw")))
+    # one row per class (the class list is tiny): AQE broadcasts it
     own = own.join(classes, on="_ord", how="inner")
     own = own.withColumn("_idx", F.floor(F.col("_u2") * F.col("_nc")).cast("bigint"))
-    picked = own.select("draw", label_col, "_idx").join(
+    picked = own.select("epoch", "draw", label_col, "_idx").join(
         d.drop("_nc"), on=[label_col, "_idx"], how="inner")
     return picked.drop("_idx")
 

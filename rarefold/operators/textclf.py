@@ -97,9 +97,14 @@ def fit(train: DataFrame, eval_rows: DataFrame, variant: str = "plain", epochs:
         cw = {r["label"]: r["weight_norm"] for r in weights.class_weights(base).collect()}
     hist: list[dict] = []
     best = (np.inf, W.copy(), -1)
+    if balanced:   # every epoch's draws in one pass: (epoch, draw, id), ids only
+        draws = materialize(resample.weighted_draws(base.select("id", "label"), range(epochs),
+                                                    seed=seed).select("epoch", "id"),
+                            "textclf-draws")
     for epoch in range(epochs + 1):
         if balanced:
-            drawn = resample.weighted_draw(base.select("id", "label"), epoch=epoch, seed=seed)
+            # the last pass only scores the eval rows: any epoch's draws will do
+            drawn = draws.filter(F.col("epoch") == min(epoch, epochs - 1))
             tr = drawn.select("id").join(base, on="id", how="inner")
         else:
             tr = base

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as TK
 from ..functions.seeded import seeded_matrix
+from ..session import materialize
 from ..operators import headfit, splits, textfeat, triplets
 from . import fixtures as fx
 from .catalog import H, U, register
@@ -178,23 +179,32 @@ def _text_fold0(spark, sf, select_on: str = "holdout"):
     train = folds.filter(F.col("split") == "train")
     sparse = textfeat.vectorise(train, t, N_FEATURES)
     dense = textfeat.to_dense(sparse, N_FEATURES)
-    rows = (folds.select("id", "label", "split").join(dense, on="id", how="left")
+    # roles on the narrow (id, label) table; the vectors are joined once and
+    # the labelled vector table is written once (TF-IDF is not recomputed per side)
+    roles = folds.select("id", "label", "split")
+    if select_on != "test":
+        ev = splits.stratified_holdout(roles.filter(F.col("split") == "train"),
+                                       test_frac=0.1, repeats=1, salt="eval")
+        roles = ev.select("id", "label", F.when(F.col("split") == "test", "eval")
+                          .otherwise("fit").alias("role")).unionByName(
+            roles.filter(F.col("split") == "test").select("id", "label",
+                                                          F.lit("test").alias("role")))
+    else:
+        roles = roles.select("id", "label", F.when(F.col("split") == "test", "test")
+                             .otherwise("fit").alias("role"))
+    rows = (roles.join(dense, on="id", how="left")
             .withColumn("features", F.coalesce("features", F.array_repeat(F.lit(0.0), N_FEATURES))))
-    tr = rows.filter(F.col("split") == "train").drop("split")
-    te = rows.filter(F.col("split") == "test").drop("split")
-    if select_on == "test":
-        return tr, te, te
-    ev = splits.stratified_holdout(tr, test_frac=0.1, repeats=1, salt="eval")
-    fit_rows = ev.filter(F.col("split") == "train").drop("split", "repeat")
-    eval_rows = ev.filter(F.col("split") == "test").drop("split", "repeat")
-    return fit_rows, eval_rows, te
+    rows = materialize(rows, "text-fold0")
+    side = lambda r: rows.filter(F.col("role") == r).drop("role")
+    te = side("test")
+    return side("fit"), (te if select_on == "test" else side("eval")), te
 
 
 def _variant(variant):
     def run(spark, sf):
         tr, ev, te = _text_fold0(spark, sf)
         model = textclf.fit(tr, ev, variant=variant, epochs=10)
-        out = textclf.predict(te, model).select("id", "label", "proba", "pred")
+        out = textclf.predict(te, model).select("id", "label", F.round("proba", 6).alias("proba"), "pred")
         return out.withColumn("best_epoch", F.lit(model.best_epoch))
     run.__doc__ = f"Text classifier, variant '{variant}': 10 epochs, best epoch kept."
     return run
