@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import tokens
+from ..session import materialize, spread
 
 
 def term_freq(df: DataFrame, n_features: int, text_col: str = "text",
               id_col: str = "id") -> DataFrame:
     """(id, term, tf): term = md5 bucket of the token in [0, n_features)."""
-    tok = df.select(id_col, F.explode(tokens(F.col(text_col))).alias("_tok"))
+    src = spread(df.select(id_col, text_col), id_col)   # tokenising is the CPU-heavy step
+    tok = src.select(id_col, F.explode(tokens(F.col(text_col))).alias("_tok"))
     per = tok.groupBy(id_col, "_tok").agg(F.count(F.lit(1)).alias("tf"))
     per = per.withColumn("term", (F.conv(F.substring(F.md5("_tok"), 1, 8), 16, 10)
                                   .cast("bigint") % n_features).cast("int"))
@@ -55,9 +57,10 @@ def to_dense(sparse: DataFrame, n_features: int, id_col: str = "id",
 def vectorise(train: DataFrame, rows: DataFrame, n_features: int = 1024,
               text_col: str = "text", id_col: str = "id") -> DataFrame:
     """fit on ``train`` (a subset of ``rows``), transform ``rows``: sparse
-    (id, term, weight). Texts are tokenised once; the training side is a
-    semi-join of the counted table."""
-    tf_rows = term_freq(rows, n_features, text_col, id_col)
+    (id, term, weight). Texts are tokenised once: the counted table is written
+    to the shared folder and read by both the IDF fit (a semi-join with the
+    training ids) and the weighting."""
+    tf_rows = materialize(term_freq(rows, n_features, text_col, id_col), "tf")
     tf_train = tf_rows.join(train.select(id_col), on=id_col, how="left_semi")
     n = train.select(F.count(F.lit(1))).scalar()
     return tfidf(tf_rows, fit_idf(tf_train, n, id_col), id_col)
@@ -68,7 +71,7 @@ def vectorise_folds(docs: DataFrame, folds: DataFrame, n_features: int = 1024,
                     id_col: str = "id") -> DataFrame:
     """every fold at once. Text is tokenised and counted once per
     document; only the IDF depends on the fold (train rows of that fold)."""
-    tf = term_freq(docs, n_features, text_col, id_col)
+    tf = materialize(term_freq(docs, n_features, text_col, id_col), "tf")  # read twice
     tr = folds.filter(F.col("split") == "train").select(fold_col, id_col)
     n_train = tr.groupBy(fold_col).agg(F.count(F.lit(1)).alias("_n"))
     dfreq = (tf.join(tr, on=id_col, how="inner")

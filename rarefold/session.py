@@ -90,3 +90,15 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df, key: str):
+    """Hash-spread ``df`` by ``key`` when it arrives in fewer partitions than
+    the cluster runs tasks at once (an unsplittable file, one row group) and
+    CPU-heavy per-row work follows; input that is already split is left as it
+    is, so large scans pay no extra shuffle."""
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par, key)
