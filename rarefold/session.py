@@ -38,8 +38,11 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``rarefold`` importable by Python workers wherever they run.
 
     Task closures and broadcast models refer to this package, so it is zipped
-    once per SparkContext and handed to ``addPyFile`` (Spark serves it to every
-    executor, as ``--py-files`` would)."""
+    (in memory) once per SparkContext, written to the shared folder through
+    Hadoop's file system API and handed to ``addPyFile`` from there (Spark
+    serves it to every executor, as ``--py-files`` would). No machine-local
+    folder is involved."""
+    import io
     import zipfile
     sc = spark.sparkContext
     key = id(sc._jsc)
@@ -47,24 +50,29 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    path = os.path.join(tempfile.mkdtemp(prefix="rarefold-pyfiles-"), "rarefold.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for d, _, names in os.walk(pkg):
-            for n in names:
+            for n in sorted(names):
                 if n.endswith(".py"):
                     full = os.path.join(d, n)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
+    path = f"{_checkpoint_dir(spark).rstrip('/')}/rarefold-pyfiles/{uuid.uuid4().hex[:12]}/rarefold.zip"
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(hpath, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(str(fs.makeQualified(hpath).toString()))
     _SHIPPED.add(key)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster-shared folder named by ``spark.checkpoint.dir``.
-
-    Read from the session; only when nothing is configured (local tests) is a
-    fresh folder created and registered.
-    """
-    ship_package(spark)
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` as the session names it; only when nothing is
+    configured (local tests and bench) is a fresh folder created and set."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
@@ -76,6 +84,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster-shared folder named by ``spark.checkpoint.dir`` (read from
+    the session), with the package shipped to the workers."""
+    d = _checkpoint_dir(spark)
+    ship_package(spark)
+    return d
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder for written tables."""
     return f"{shared_dir(spark).rstrip('/')}/rarefold/{name}-{uuid.uuid4().hex[:12]}"
