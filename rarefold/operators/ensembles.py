@@ -57,8 +57,9 @@ def predict_mean(df: DataFrame, models: dict[str, stumps.Booster],
 
 def easy_ensemble_fit(train: DataFrame, n_bags: int = 10, n_rounds: int = 50,
                       seed: int = DEFAULT_SEED, feat_col: str = "features") -> dict:
-    bags = resample.easy_bags(train.select("id", F.col(feat_col).alias("features"), "label"),
-                              n_bags, seed=seed)
+    # bags are drawn on (bag, id, label); the vectors are joined once afterwards
+    bags = resample.easy_bags(train.select("id", "label"), n_bags, seed=seed)
+    bags = bags.join(train.select("id", F.col(feat_col).alias("features")), on="id", how="inner")
     return stumps.fit_boost(bags, n_rounds, member_col="bag")
 
 
@@ -86,9 +87,13 @@ class MetricBagging:
 
 def bag_slots(train: DataFrame, n_bags: int = 10, seed: int = DEFAULT_SEED) -> DataFrame:
     """R2 slots with a unique long ``uid`` per (bag, slot)."""
-    b = resample.balanced_bootstrap(train.select("id", "features", "label"), n_bags, seed=seed)
+    # the bootstrap ranks and joins (bag, slot, id, label) only; the vectors
+    # are joined once to the finished slots
+    b = resample.balanced_bootstrap(train.select("id", "label"), n_bags, seed=seed)
     uid = F.col("slot") * 16 + F.when(F.col("src") == "keep", 0).otherwise(1 + F.col("label"))
-    return b.withColumn("uid", uid.cast("long")).select("bag", "uid", "id", "features", "label")
+    b = b.withColumn("uid", uid.cast("long")).select("bag", "uid", "id", "label")
+    return b.join(train.select("id", "features"), on="id", how="inner").select(
+        "bag", "uid", "id", "features", "label")
 
 
 def mlbagging_fit(train: DataFrame, n_bags: int = 10, k: int = 5, seed: int = DEFAULT_SEED,

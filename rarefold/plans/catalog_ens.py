@@ -69,7 +69,7 @@ def i1_easy_ensemble(spark, sf):
     """10 under-sampled bags x 50 SAMME stumps, mean probability (baseline 1)."""
     tr, te = _fold0(spark, sf)
     models = ensembles.easy_ensemble_fit(tr)
-    return ensembles.predict_mean(te, models).select("id", "label", "proba", "pred")
+    return ensembles.predict_mean(te, models).select("id", "label", F.round("proba", 6).alias("proba"), "pred")
 
 
 @register("i2_rusboost", None)
@@ -77,7 +77,7 @@ def i2_rusboost(spark, sf):
     """50 rounds, each stump fitted on that round's under-sample (baseline 2)."""
     tr, te = _fold0(spark, sf)
     models = ensembles.rusboost_fit(tr)
-    return ensembles.predict_mean(te, models).select("id", "label", "proba", "pred")
+    return ensembles.predict_mean(te, models).select("id", "label", F.round("proba", 6).alias("proba"), "pred")
 
 
 @register("i3_mlbagging", None)
@@ -85,7 +85,7 @@ def i3_mlbagging(spark, sf):
     """Balanced bootstrap bags, LMNN per bag (one set of jobs), k-NN, soft vote."""
     tr, te = _fold0(spark, sf)
     model = ensembles.mlbagging_fit(tr, N_BAGS, k=5, max_iter=5)
-    return ensembles.mlbagging_predict(te, model).select("qid", "proba", "pred")
+    return ensembles.mlbagging_predict(te, model).select("qid", F.round("proba", 6).alias("proba"), "pred")
 
 
 @register("i4_mlboosting", None)
@@ -93,7 +93,7 @@ def i4_mlboosting(spark, sf):
     """RUSBoost with LMNN -> stump weak learners."""
     tr, te = _fold0(spark, sf)
     models = ensembles.mlboosting_fit(tr)
-    return ensembles.predict_mean(te, models).select("id", "label", "proba", "pred")
+    return ensembles.predict_mean(te, models).select("id", "label", F.round("proba", 6).alias("proba"), "pred")
 
 
 @register("i5_mlstacking", None)
@@ -101,7 +101,7 @@ def i5_mlstacking(spark, sf):
     """10 x (under-sample -> LMNN -> AdaBoost), out-of-fold stacking, EasyEnsemble."""
     tr, te = _fold0(spark, sf)
     model = ensembles.mlstacking_fit(tr, max_iter=5)
-    return ensembles.mlstacking_predict(te, model).select("id", "label", "proba", "pred")
+    return ensembles.mlstacking_predict(te, model).select("id", "label", F.round("proba", 6).alias("proba"), "pred")
 
 
 @register("i6_mlboostacking", None)
@@ -110,7 +110,7 @@ def i6_mlboostacking(spark, sf):
     EasyEnsemble in the concatenated metric space."""
     tr, te = _fold0(spark, sf)
     model = ensembles.mlboostacking_fit(tr, max_iteration=10, max_iter=5)
-    return ensembles.mlboostacking_predict(te, model).select("id", "label", "proba", "pred")
+    return ensembles.mlboostacking_predict(te, model).select("id", "label", F.round("proba", 6).alias("proba"), "pred")
 
 
 @register("i6a_redivision_identity", f"""WITH {fx.SQL_VEC_BIN},
