@@ -76,4 +76,4 @@ def h3_adaboost_fit_predict(spark, sf):
     """50 rounds of SAMME on the under-sampled table; every row scored."""
     v = fx.vec_bin(spark, sf)
     models = stumps.fit_boost(resample.undersample(v), n_rounds=50)
-    return stumps.predict_boost(v, models).select("id", "label", "proba", "pred")
+    return stumps.predict_boost(v, models).select("id", "label", F.round("proba", 6).alias("proba"), "pred")

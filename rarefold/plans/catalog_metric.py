@@ -52,7 +52,7 @@ def g6_lmnn_fit_transform(spark, sf):
     """Fit on the under-sampled table (the learner's usual input), map all rows."""
     v = fx.vec_bin(spark, sf)
     model = lmnn.fit(resample.undersample(v), max_iter=10)
-    return lmnn.apply_map(v, model.maps["0"]).select("id", "label", "z")
+    return lmnn.apply_map(v, model.maps["0"]).select("id", "label", F.transform("z", lambda t: F.round(t, 6)).alias("z"))
 
 
 G7_DIM = 64
