@@ -1,7 +1,10 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query runs to completion through Spark's no-op sink (nothing is sent to
-the driver). Prints one JSON line.
+the driver). Before timing, every headline query runs once, untimed, on the
+smallest fixture ($BENCH_WARM_DIR, default sf0.001) so that JIT compilation
+and Python worker start-up are not charged to whichever query happens to come
+first; the timed runs read $BENCH_SF_DIR. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -36,11 +39,15 @@ def main() -> None:
     from rarefold.session import build_session
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
-    # warm-up: JVM, Python workers, parquet footers (not timed)
+    names = sys.argv[1:] or HEADLINE
+    # warm-up (not timed): JVM, Python workers, parquet footers, code paths
     for w in ("b6_argmax", "g7_linear_map_arrow"):
         catalog.QUERIES[w][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    if os.path.isdir(warm_dir) and os.path.abspath(warm_dir) != os.path.abspath(sf_dir):
+        for name in names:
+            catalog.QUERIES[name][0](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
-    names = sys.argv[1:] or HEADLINE
     for name in names:
         fn = catalog.QUERIES[name][0]
         t0 = time.perf_counter()
