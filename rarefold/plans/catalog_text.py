@@ -67,12 +67,31 @@ def f1_tfidf_train_idf(spark, sf):
     return out.select("id", "term", F.round("weight", 6).alias("weight"))
 
 
-@register("f2_vectorise_folds", None)
+SQL_TFIDF_FOLDS = f"""WITH {fx.SQL_TEXT_BIN},
+rep AS (SELECT t.id, t.label, CAST(g.r AS INTEGER) AS repeat FROM text_bin t, range(0, 10) g(r)),
+hs AS (SELECT *, row_number() OVER (PARTITION BY repeat, label ORDER BY {H("'holdout'", 'repeat', 'id')}, id) AS rk,
+              count(*) OVER (PARTITION BY repeat, label) AS nc FROM rep),
+folds AS (SELECT repeat, id, CASE WHEN rk <= round(0.2 * nc) THEN 'test' ELSE 'train' END AS split FROM hs),
+tok AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '{SPLIT}'), lambda t: t <> '')) AS t FROM text_bin),
+tf0 AS (SELECT id, t, count(*) AS c FROM tok GROUP BY id, t),
+tf AS (SELECT id, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % {N_FEATURES} AS INTEGER) AS term, sum(c) AS tf
+       FROM tf0 GROUP BY id, term),
+ntr AS (SELECT repeat, count(*) AS n FROM folds WHERE split = 'train' GROUP BY repeat),
+dfq AS (SELECT f.repeat, tf.term, count(*) AS df FROM tf JOIN folds f ON tf.id = f.id
+        WHERE f.split = 'train' GROUP BY f.repeat, tf.term),
+idf AS (SELECT d.repeat, d.term, ln((1 + n.n) / (1 + d.df)) + 1 AS idf FROM dfq d JOIN ntr n ON d.repeat = n.repeat),
+w AS (SELECT f.repeat, f.split, f.id, tf.term, tf.tf * idf.idf AS w
+      FROM folds f JOIN tf ON f.id = tf.id JOIN idf ON idf.repeat = f.repeat AND idf.term = tf.term)
+SELECT repeat, split, id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY repeat, id)), 6) AS weight FROM w"""
+
+
+@register("f2_vectorise_folds", SQL_TFIDF_FOLDS)
 def f2_vectorise_folds(spark, sf):
     """Every fold of the 10 hold-out repeats; text counted once per document."""
     t = fx.text_bin(spark, sf)
     folds = splits.stratified_holdout(t.select("id", "label"), repeats=10)
-    return textfeat.vectorise_folds(t, folds, N_FEATURES)
+    out = textfeat.vectorise_folds(t, folds, N_FEATURES)
+    return out.select("repeat", "split", "id", "term", F.round("weight", 6).alias("weight"))
 
 
 SQL_TRIPLETS = f"""WITH {fx.SQL_VEC_BIN},
