@@ -163,10 +163,11 @@ def fit(df: DataFrame, epochs: int = 5, steps_per_epoch: int = 4, learn_rate: fl
     total = max(epochs * steps_per_epoch, 1)
     hist: list[dict] = []
     t = 0
+    # every epoch shuffles the same rows: the batch count is fixed
+    n_batches = -(-df.count() // batch_size)
     for ep in range(epochs):
         g = materialize(grouped_epoch(df, ep, seed, batch_size, id_col, feat_col, label_col),
                         f"head-epoch{ep}")
-        n_batches = g.count()
         # consecutive runs of the shuffled batch order, one per step
         g = g.withColumn("_step", F.floor(F.col("batch") * steps_per_epoch / F.lit(max(n_batches, 1)))
                          .cast("int"))
