@@ -20,10 +20,17 @@ from ..functions.seeded import hex_bucket
 
 def dist_rank(df: DataFrame, part_cols: Sequence[str], hex_col: str,
               tie_col: str, out: str = "rk", total: str | None = None,
-              digits: int = 3) -> DataFrame:
+              digits: int | None = None) -> DataFrame:
     """Add 1-based ``out`` = rank of ``hex_col`` (ties by ``tie_col``) inside
-    ``part_cols``; optionally ``total`` = rows in the partition key."""
+    ``part_cols``; optionally ``total`` = rows in the partition key.
+
+    ``digits`` (default: session setting ``rarefold.rank.digits``, else 3)
+    sets 16**digits buckets per key: about n / 4,096 rows per task at 3; a
+    global rank over 10^11 rows is better served by 4 or 5 (the offset table
+    grows to 16**digits rows per key, still small)."""
     part_cols = list(part_cols)
+    if digits is None:
+        digits = int(df.sparkSession.conf.get("rarefold.rank.digits", "3"))
     d = df.withColumn("_bk", hex_bucket(F.col(hex_col), digits))
     # local rank inside (key, bucket): one shuffle of the rows
     local = Window.partitionBy(*part_cols, "_bk").orderBy(F.col(hex_col), F.col(tie_col))

@@ -19,6 +19,15 @@ def test_dist_rank_equals_global_window_at_any_partitioning(spark):
                                                     digits=1).collect()}
         assert got == want
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for digits in (2, 4):                       # bucket width does not change the rank
+        got = {(r.id, r.rk) for r in rank.dist_rank(v, ["label"], "_h", "id", digits=digits).collect()}
+        assert got == want
+    spark.conf.set("rarefold.rank.digits", "4")  # the session setting is the default
+    try:
+        got = {(r.id, r.rk) for r in rank.dist_rank(v, ["label"], "_h", "id").collect()}
+        assert got == want
+    finally:
+        spark.conf.unset("rarefold.rank.digits")
 
 
 def test_holdout_keeps_class_ratio_and_partitions_ids(spark):
