@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lmnn, neighbors, resample, stumps
-from ..session import materialize
+from ..session import materialize, release
 from .blocks import matrix
 from .splits import DEFAULT_SEED
 
@@ -185,7 +185,9 @@ def mlboostacking_fit(train: DataFrame, max_iteration: int = 10, k: int = 5,
         log.append({"iteration": it, **{m: card[m] for m in scoring.SCORE_METRICS + ["auc"]}})
         correct = pred.select(F.col("qid").alias("id"),
                               (F.col("pred") == F.col("label")).alias("correct"))
-        state = materialize(redivide(state, correct, n_train, it, seed, promote), "ensembles-5")
+        new_state = materialize(redivide(state, correct, n_train, it, seed, promote), "ensembles-5")
+        release(pred, state)   # both are read only through the new membership table
+        state = new_state
     stacked = np.vstack(maps)
     z = lmnn.apply_map(base, stacked).drop("features").withColumnRenamed("z", "features")
     models = easy_ensemble_fit(z, n_bags, n_rounds, seed)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.seeded import seeded_matrix
-from ..session import materialize
+from ..session import materialize, release
 from .blocks import matrix
 from .splits import DEFAULT_SEED
 from .triplets import BATCH, MARGIN, batches
@@ -166,10 +166,10 @@ def fit(df: DataFrame, epochs: int = 5, steps_per_epoch: int = 4, learn_rate: fl
     # every epoch shuffles the same rows: the batch count is fixed
     n_batches = -(-df.count() // batch_size)
     for ep in range(epochs):
-        g = materialize(grouped_epoch(df, ep, seed, batch_size, id_col, feat_col, label_col),
-                        f"head-epoch{ep}")
+        written = materialize(grouped_epoch(df, ep, seed, batch_size, id_col, feat_col, label_col),
+                              f"head-epoch{ep}")
         # consecutive runs of the shuffled batch order, one per step
-        g = g.withColumn("_step", F.floor(F.col("batch") * steps_per_epoch / F.lit(max(n_batches, 1)))
+        g = written.withColumn("_step", F.floor(F.col("batch") * steps_per_epoch / F.lit(max(n_batches, 1)))
                          .cast("int"))
         for s in range(steps_per_epoch):
             v = _step_sums(g.filter(F.col("_step") == s), W, b, margin)
@@ -192,6 +192,7 @@ def fit(df: DataFrame, epochs: int = 5, steps_per_epoch: int = 4, learn_rate: fl
                 P -= lr * (mhat / (np.sqrt(vhat) + 1e-6) + weight_decay * P)
             hist.append({"epoch": ep, "step": s, "batches": int(v[0]), "n_active": int(v[2]),
                          "loss": float(v[1] / nb), "lr": lr})
+        release(written)   # the next epoch re-shuffles: this copy is done
     return HeadModel(W=W, b=b, history=hist)
 
 

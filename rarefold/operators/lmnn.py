@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import materialize, release
 from .blocks import column, grid, matrix
 from .neighbors import target_neighbors
 
@@ -231,6 +231,7 @@ def prepare(df: DataFrame, k: int = 3, member_col: str | None = None,
     pairs = tn.join(rows.select("_m", F.col("id").alias("qid"), "features"), on=["_m", "qid"])
     d = len(rows.select("features").first()[0])
     tstats = _collect_mats(_target_stats(pairs.select("_m", "features", "_xj")), d)
+    release(rows, tn)   # cells are written and the target sums collected
     return cells, tstats, d
 
 
@@ -242,6 +243,7 @@ def fit(df: DataFrame, k: int = 3, mu: float = 0.5, max_iter: int = 50, min_iter
     retried from the last accepted L) when the objective rises, and grows by
     1% after an accepted step; stops at ``tol`` relative change or ``max_iter``."""
     spark = df.sparkSession
+    own = prepared is None
     cells, tstats, d = prepared or prepare(df, k, member_col, block_rows)
     members = sorted(tstats)
     L = {m: (init[m].copy() if init and m in init else np.eye(d)) for m in members}
@@ -276,6 +278,8 @@ def fit(df: DataFrame, k: int = 3, mu: float = 0.5, max_iter: int = 50, min_iter
             f0, L0, G0 = best[m]
             L[m] = L0 - lr[m] * 2.0 * L0 @ G0
     maps = {m: best[m][1] if best[m] else L[m] for m in members}
+    if own:
+        release(cells)
     return LMNNModel(maps=maps, history=hist)
 
 

@@ -28,7 +28,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from .blocks import matrix
 
 N_BINS = 32
@@ -307,6 +307,7 @@ def fit_boost(df: DataFrame, n_rounds: int = 50, member_col: str | None = None,
             mod.maps.append(cur[m])
             # weights of the next round sum to one: c += log(W * 2 (1 - err))
             mod.norm += float(np.log(tot * 2.0 * (1.0 - err)))
+    release(base)   # the models carry everything prediction needs
     return models
 
 

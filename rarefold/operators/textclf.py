@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import resample, splits, weights
-from ..session import materialize
+from ..session import materialize, release
 from .blocks import matrix
 
 VARIANTS = {"plain": (False, False), "bs": (True, False), "wce": (False, True),
@@ -88,8 +88,8 @@ def fit(train: DataFrame, eval_rows: DataFrame, variant: str = "plain", epochs:
     balanced, weighted = VARIANTS[variant]
     # both sides are read once per epoch: cut their lineage once
     base = materialize(train.select("id", "features", "label"), "textclf-train")
-    ev = materialize(eval_rows.select("id", "features", "label"), "textclf-eval")
-    ev = ev.withColumn("_role", F.lit("eval"))
+    ev_written = materialize(eval_rows.select("id", "features", "label"), "textclf-eval")
+    ev = ev_written.withColumn("_role", F.lit("eval"))
     d = len(base.select("features").first()[0])
     W = np.zeros((n_classes, d + 1))
     cw = None
@@ -121,6 +121,7 @@ def fit(train: DataFrame, eval_rows: DataFrame, variant: str = "plain", epochs:
             break
         grad = n_tr[:-2].reshape(W.shape) / max(n_tr[-1], 1e-12)
         W = W - lr * grad
+    release(base, ev_written, *([draws] if balanced else []))
     return TextModel(best[1], best[2], hist)
 
 

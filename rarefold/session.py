@@ -105,7 +105,23 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._rarefold_path = path   # for ``release``
+    return out
+
+
+def release(*dfs) -> None:
+    """Delete tables written by ``materialize`` once nothing will read them
+    again (loops would otherwise leave one copy per iteration in the shared
+    folder). Frames that were not written by ``materialize`` are ignored."""
+    for df in dfs:
+        path = getattr(df, "_rarefold_path", None)
+        if not path:
+            continue
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        df._rarefold_path = None
 
 
 def spread(df, key: str):
