@@ -183,11 +183,14 @@ def _target_stats(rows_t: DataFrame):
     return _vec_sum(rows_t.mapInArrow(fn, "_m string, v array<double>"))
 
 
-def _collect_mats(df: DataFrame, d: int) -> dict[str, tuple[float, np.ndarray]]:
+def _collect_mats(df: DataFrame, d: int | None = None) -> dict[str, tuple[float, np.ndarray]]:
+    """Per member ``(scalar, d x d)``; ``d`` is read off the vector length
+    (1 + d*d) when not given."""
     out = {}
     for r in df.collect():  # one [scalar, d*d] vector per member: model-sized
         v = np.asarray(r["v"])
-        out[r["_m"]] = (float(v[0]), v[1:].reshape(d, d))
+        dd = d or int(round((len(v) - 1) ** 0.5))
+        out[r["_m"]] = (float(v[0]), v[1:].reshape(dd, dd))
     return out
 
 
@@ -229,8 +232,9 @@ def prepare(df: DataFrame, k: int = 3, member_col: str | None = None,
     if checkpoint:
         cells = materialize(cells, "lmnn-3")  # read once per iteration, no shuffle
     pairs = tn.join(rows.select("_m", F.col("id").alias("qid"), "features"), on=["_m", "qid"])
-    d = len(rows.select("features").first()[0])
-    tstats = _collect_mats(_target_stats(pairs.select("_m", "features", "_xj")), d)
+    tstats = _collect_mats(_target_stats(pairs.select("_m", "features", "_xj")))
+    d = next(iter(tstats.values()))[1].shape[0] if tstats else \
+        len(rows.select("features").first()[0])
     release(rows, tn)   # cells are written and the target sums collected
     return cells, tstats, d
 
