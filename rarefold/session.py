@@ -125,12 +125,14 @@ def release(*dfs) -> None:
 
 
 def spread(df, key: str):
-    """Hash-spread ``df`` by ``key`` when it arrives in fewer partitions than
-    the cluster runs tasks at once (an unsplittable file, one row group) and
-    CPU-heavy per-row work follows; input that is already split is left as it
-    is, so large scans pay no extra shuffle."""
+    """Hash-spread ``df`` by ``key`` before CPU-heavy per-row work when it is
+    read from fewer files than the cluster runs tasks at once (one big file,
+    one row group): such a scan may arrive in a single task. The decision uses
+    the file listing only (``inputFiles``), so no stage of the input runs
+    early; input spread over many files is left as it is and pays no extra
+    shuffle."""
     spark = df.sparkSession
     par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
+    if len(df.inputFiles()) >= par:
         return df
     return df.repartition(par, key)
