@@ -44,3 +44,18 @@ def test_ledger_append_is_idempotent_and_resumes(spark, tmpdir_path):
     assert [r.test_number for r in todo] == [2]
     fin = ledger.finished_runs(ledger.read(spark, path), runs).first()
     assert fin.finished is False and fin.max_fold == 1
+
+
+def test_release_deletes_only_materialized_tables(spark):
+    from rarefold.session import materialize, release, spread
+    df = spark.range(10).withColumnRenamed("id", "k")
+    m = materialize(df, "release-test")
+    path = m._rarefold_path
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    assert m.count() == 10 and fs.exists(p)
+    release(m, df)                    # a frame that was never written is ignored
+    assert not fs.exists(p)
+    release(m)                        # releasing twice is harmless
+    assert spread(df, "k").count() == 10
