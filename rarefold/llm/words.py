@@ -67,6 +67,14 @@ class Words:
     end: np.ndarray
     at: np.ndarray
     hash: np.ndarray
+    raw: np.ndarray           # the bytes as they came
+    total: np.ndarray         # n + 1 running sums of the bytes' polynomial
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of any byte ranges of ``data``; of a whole word, its hash."""
+        with np.errstate(over="ignore"):
+            down = _power_tables(len(self.data) + 1)[1]
+            return mix((self.total[end] - self.total[start]) * down[start] + (end - start).astype(np.uint64))
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``n`` words that start at each word, and whether all of
@@ -81,13 +89,13 @@ class Words:
 def window_hash(h: np.ndarray, n: int) -> np.ndarray:
     """Mixed linear form of ``n`` consecutive word hashes; the last ``n - 1``
     entries cover fewer words and are meaningless."""
-    out = np.zeros(len(h), dtype=np.uint64)
-    mult = np.uint64(1)
-    for i in range(n):
-        if i < len(h):
+    with np.errstate(over="ignore"):
+        out = np.zeros(len(h), dtype=np.uint64)
+        mult = np.uint64(1)
+        for i in range(min(n, len(h))):
             out[: len(h) - i] += h[i:] * mult
-        mult = mult * np.uint64(0xD1342543DE82EF95) if mult.item() else mult
-    return mix(out + np.uint64(n))
+            mult = mult * np.uint64(0xD1342543DE82EF95)
+        return mix(out + np.uint64(n))
 
 
 def utf8(col) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +124,7 @@ def chunks(col, lower: bool = False) -> Iterator[Words]:
 
 
 def _words(data: np.ndarray, doc_start: np.ndarray, first: int, lower: bool) -> Words:
+    raw = data
     if lower:
         data = _LOWER[data]
     n = len(data)
@@ -127,9 +136,9 @@ def _words(data: np.ndarray, doc_start: np.ndarray, first: int, lower: bool) ->
     ends = word.copy()
     ends[:-1] &= ~word[1:] | edge[1:-1] if n else False
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _power_tables(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(first, len(doc_start) - 1, data, doc_start, start, end,
-                 np.searchsorted(start, doc_start), h)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_tables(n + 1)[0][:n], out=total[1:])
+    w = Words(first, len(doc_start) - 1, data, doc_start, start, end,
+              np.searchsorted(start, doc_start), start, raw, total)
+    w.hash = w.span_hash(start, end)
+    return w
