@@ -65,7 +65,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records, read back and assembled per capture."""
     path = scratch_path(spark, "warc")
     archive_id = warc.write_archive(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_archive(spark, path, archive_id))
+    captures = warc.assemble(warc.read_archive(spark, path, archive_id), with_payload=False)
     return captures.select(
         "metadata.page_id",
         F.coalesce("response.read_bytes", "metadata.payload_bytes").cast("long").alias("payload_bytes"),

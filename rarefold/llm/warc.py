@@ -141,10 +141,12 @@ def read_archive(spark: SparkSession, path: str, archive_id: str) -> DataFrame:
                         F.raise_error(F.lit("a record's block has another length than its header says"))).alias("block"))
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
     """One row per capture: ``request``, ``response`` and ``metadata`` structs,
     joined through concurrent-to identifiers. A response without a request or
-    metadata record keeps its row, with nulls there."""
+    metadata record keeps its row, with nulls there. Length and digest of a
+    response are of the payload as read; ``with_payload=False`` leaves the
+    payload itself out, so that the joins need not carry it."""
     body = F.expr("substring(block, length(substring_index(block, '\\r\\n\\r\\n', 1)) + 5)")
     req = records.where("type = 'request'").select(
         F.col("record_id").alias("q_id"), F.col("block").alias("q_block"))
@@ -152,7 +154,7 @@ def assemble(records: DataFrame) -> DataFrame:
         F.col("record_id").alias("s_id"), F.col("concurrent_to").alias("q_id"), F.col("type").alias("s_type"),
         "uri", F.regexp_replace("digest", "^sha1:", "").alias("s_digest"),
         F.regexp_replace("refers_to", "^urn:page:", "").cast("long").alias("refers_to"),
-        F.when(F.col("type") == "response", body).alias("payload"),
+        *[F.when(F.col("type") == "response", body).alias("payload")] * with_payload,
         F.when(F.col("type") == "response", F.octet_length(body)).alias("read_bytes"),
         F.when(F.col("type") == "response", base32_sha1(body)).alias("read_digest"))
     meta = records.where("type = 'metadata'").select(
@@ -162,5 +164,6 @@ def assemble(records: DataFrame) -> DataFrame:
     return res.join(req, "q_id", "left").join(meta, "s_id", "left").select(
         F.when(F.col("q_block").isNotNull(), F.struct(F.col("q_id").alias("record_id"), F.col("q_block").alias("block"))).alias("request"),
         F.struct(F.col("s_id").alias("record_id"), F.col("s_type").alias("type"), "uri",
-                 F.col("s_digest").alias("digest"), "refers_to", "payload", "read_bytes", "read_digest").alias("response"),
+                 F.col("s_digest").alias("digest"), "refers_to", *["payload"] * with_payload,
+                 "read_bytes", "read_digest").alias("response"),
         F.when(F.col("m_id").isNotNull(), F.struct(F.col("m_id").alias("record_id"), "page_id", "payload_bytes")).alias("metadata"))
