@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import urlfilter, warc
+from . import packing, repeats, rules, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -71,3 +71,43 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("response.read_bytes", "metadata.payload_bytes").cast("long").alias("payload_bytes"),
         F.coalesce("response.read_digest", "response.digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), "response.refers_to")
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL_OP5 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+c AS (SELECT doc_id, w, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters,
+  [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^ 	-]')] AS lines FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM c)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM g) WHERE n > 1),
+v AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, range(0, 5) t(o) GROUP BY doc_id),
+m AS (SELECT c.doc_id, n_words, word_chars, n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  coalesce(v.n, 0) AS n_repeat_words, n_letters, n_upper FROM c LEFT JOIN v USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  {" OR ".join(f"({e})" for n, e in rules.RULES if n in rules.BASE)} AS base_failed,
+  NOT ({" OR ".join(f"({e})" for n, e in rules.RULES if n in rules.POLICIES["clean-1"])}) AS kept,
+  {" + ".join(f"CASE WHEN {e} THEN {1 << i} ELSE 0 END" for i, (n, e) in enumerate(rules.RULES))} AS fail_bits FROM m"""
+
+
+@register("op5_quality_rules", SQL_OP5)
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of all documents under the policy ``clean-1``."""
+    rows = rules.ledger(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       rules.fails("base-1").alias("base_failed"), (~rules.fails("clean-1")).alias("kept"),
+                       "fail_bits")
+
+
+@register("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents tokenised and packed into sequences of 4096 tokens."""
+    import public_tokenizers
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents in 20-word windows that start earlier, removed."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
