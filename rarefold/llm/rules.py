@@ -28,7 +28,7 @@ RULES = [
     ("few_words", "n_words < 10"),
     ("repeated_words", "100 * n_repeat_words > 20 * n_words"),
     ("symbols", "100 * n_symbols > 10 * n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "100 * n_dup_lines > 50 * n_lines"),
     ("short_words", "word_chars < 3 * n_words"),
     ("long_words", "word_chars > 10 * n_words"),
     ("capitals", "n_letters >= 20 and 100 * n_upper > 40 * n_letters"),
