@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import packing, repeats, rules, urlfilter, warc
+from . import jaccard, packing, repeats, rules, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -111,3 +111,9 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents in 20-word windows that start earlier, removed."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@register("op4_jaccard_join")
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the component of their 5-gram Jaccard links."""
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
