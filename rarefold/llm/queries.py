@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import jaccard, packing, repeats, rules, urlfilter, warc
+from . import jaccard, licenses, packing, repeats, rules, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -117,3 +117,9 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the component of their 5-gram Jaccard links."""
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and fuzzy notices in all documents."""
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
