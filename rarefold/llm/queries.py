@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import jaccard, licenses, packing, repeats, rules, urlfilter, warc
+from . import jaccard, licenses, packing, quality, repeats, rules, toxicity, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -79,7 +79,8 @@ SQL_OP5 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS
 c AS (SELECT doc_id, w, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters,
-  [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^ 	-]')] AS lines FROM d),
+  [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^ 	-
+]')] AS lines FROM d),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM c)),
 r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM g) WHERE n > 1),
 v AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, range(0, 5) t(o) GROUP BY doc_id),
@@ -123,3 +124,17 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and fuzzy notices in all documents."""
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@register("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by pairwise ranking learned from ``labels.quality``."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
+    return quality.classify(table(spark, sf_dir, "documents"), labels)[0]
+
+
+@register("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by toxic segments learned from ``labels.toxic``."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.classify(table(spark, sf_dir, "documents"), labels)[0]

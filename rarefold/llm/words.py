@@ -112,23 +112,24 @@ def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     return raw, pos
 
 
-def chunks(col, lower: bool = False) -> Iterator[Words]:
-    """``Words`` of the column, about ``CHUNK`` bytes of whole texts at a time."""
+def chunks(col, lower: bool = False, space: np.ndarray = _SPACE) -> Iterator[Words]:
+    """``Words`` of the column, about ``CHUNK`` bytes of whole texts at a time.
+    ``space`` flags the bytes that part words (white space of ASCII)."""
     raw, pos = utf8(col)
     n, i = len(pos) - 1, 0
     with np.errstate(over="ignore"):
         while i < n:
             j = max(i + 1, int(np.searchsorted(pos, pos[i] + CHUNK, side="right")) - 1)
-            yield _words(raw[pos[i]:pos[j]], pos[i:j + 1] - pos[i], i, lower)
+            yield _words(raw[pos[i]:pos[j]], pos[i:j + 1] - pos[i], i, lower, space)
             i = j
 
 
-def _words(data: np.ndarray, doc_start: np.ndarray, first: int, lower: bool) -> Words:
+def _words(data: np.ndarray, doc_start: np.ndarray, first: int, lower: bool, space: np.ndarray) -> Words:
     raw = data
     if lower:
         data = _LOWER[data]
     n = len(data)
-    word = ~_SPACE[data]
+    word = ~space[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[doc_start] = True
     begins = word.copy()
