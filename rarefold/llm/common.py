@@ -28,3 +28,9 @@ def nulls_apart(key: Column, row_id: Column) -> Column:
     nothing, so an outer join does not send all of them to one task."""
     return F.coalesce(F.concat(F.lit("k"), key.cast("string")),
                       F.concat(F.lit("n"), F.xxhash64(row_id).cast("string")))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 64-bit key of a row's id and text: alike rows share it, and rows that
+    share an id but not a text, or have no id, do not."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))

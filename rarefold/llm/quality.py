@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, release, shared_dir
+from .common import broadcast_within, row_key
 from .rules import _LETTER, _UPPER, _again, _counts, _per_doc
 from .words import chunks
 
@@ -30,6 +31,7 @@ SAMPLE = 20_000
 PAIRS = 4
 STEPS = 8                          # quantiles of a measurement
 THRESHOLD = 0.3
+BROADCAST_DOCS = 200_000
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _PUNCT = np.zeros(256, dtype=bool)
@@ -198,3 +200,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
     out = rank(measured, model).withColumn("score", score_column(model, threshold))
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted")), model
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
+              text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, all columns as
+    they were. Learned as in ``classify``, on the rows of ``docs`` that have a label."""
+    keyed = docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).cast("long").alias("id"),
+                        F.col(text_col).alias("t"))
+    measured = materialize(measure(keyed, "k", "t"), "quality-measures")
+    lab = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("good").cast("int").alias("good"))
+    lab = lab.where(~held_out(F.col("id"), 5, 0)).join(keyed.select("id", "k"), "id")
+    model = fit(measured, lab.select(F.col("k").alias("doc_id"), "good"), threshold=threshold)
+    out = rank(measured, model).where(score_column(model, threshold) < threshold)
+    out = materialize(out.select(F.col("doc_id").alias("_rejected")).distinct(), "quality-rejected")
+    return docs.join(broadcast_within(out, out.count(), BROADCAST_DOCS), row_key(id_col, text_col) == F.col("_rejected"),
+                     "left_anti")

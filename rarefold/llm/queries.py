@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import jaccard, licenses, packing, quality, repeats, rules, toxicity, urlfilter, warc
+from . import decontam, jaccard, licenses, packing, quality, repeats, rules, toxicity, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -138,3 +138,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by toxic segments learned from ``labels.toxic``."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return toxicity.classify(table(spark, sf_dir, "documents"), labels)[0]
+
+
+@register("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a window that is a benchmark item, and where."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")

@@ -210,82 +210,116 @@ def _subtrees(batches):
         yield _nodes(pa.Table.from_batches(held))
 
 
-def _cut(window: int, with_text: bool):
-    """What is left of texts that have repeats."""
+def _left(w, i: int, gone: np.ndarray) -> str:
+    """Document i without the words flagged and the white space behind them."""
+    a, z = w.at[i], w.at[i + 1]
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))).reshape(-1, 2)
+    left, at = [], w.doc_start[i]
+    for x, y in edge:
+        left.append(w.raw[at:w.start[a + x]].tobytes())
+        at = w.start[a + y] if a + y < z else w.doc_start[i + 1]
+    left.append(w.raw[at:w.doc_start[i + 1]].tobytes())
+    return b"".join(left).decode("utf-8", "replace")
+
+
+def _gone(w, window: int, found) -> np.ndarray:
+    """Words of the chunk to remove. ``found(i)``: an Arrow array of (at, again)
+    for document i, or None if it has no repeats at all."""
+    starts, doc = _again_in_doc(w, window), _docs_of(w)
+    for i in range(w.n_docs):
+        s = found(i)
+        if s is None:
+            starts[w.at[i]:w.at[i + 1]] = False
+        elif len(s):
+            at, bits = s.field("at").to_numpy(), s.field("again").to_numpy()
+            for k in range(window):
+                starts[w.at[i] + at[bits >> k & 1 == 1] + k] = True
+    cover = np.zeros(len(starts) + window + 1, dtype=np.int32)
+    np.add.at(cover, np.flatnonzero(starts), 1)
+    np.add.at(cover, np.flatnonzero(starts) + window, -1)
+    return np.cumsum(cover)[:len(starts)] > 0
+
+
+def _cut(window: int):
+    """Counts, digests and spans of what is left of texts that have repeats."""
     def run(batches):
+        none = pa.array([], pa.struct([("at", pa.int64()), ("again", pa.int64())]))
         for b in batches:
             key, found = b.column(2).to_numpy(zero_copy_only=False), b.column(3)
             for w in chunks(b.column(1)):
-                starts = _again_in_doc(w, window)
-                keys = []
+                words = [_words_of(w, i) for i in range(w.n_docs)]
+                keys = [_key(_sha(x).digest()) for x in words]
+                own = lambda i: (found[w.first + i].values if found[w.first + i].is_valid
+                                 and keys[i] == key[w.first + i] else none)
+                gone = _gone(w, window, own)
+                removed, shas, spans = [], [], []
                 for i in range(w.n_docs):
-                    keys.append(_key(_sha(_words_of(w, i)).digest()))
-                    if not found[w.first + i].is_valid or keys[-1] != key[w.first + i]:
-                        continue
-                    s = found[w.first + i].values
-                    at, bits = s.field("at").to_numpy(), s.field("again").to_numpy()
-                    for k in range(window):
-                        starts[w.at[i] + at[bits >> k & 1 == 1] + k] = True
-                cover = np.zeros(len(starts) + window + 1, dtype=np.int32)
-                np.add.at(cover, np.flatnonzero(starts), 1)
-                np.add.at(cover, np.flatnonzero(starts) + window, -1)
-                gone = np.cumsum(cover)[:len(starts)] > 0
-                removed, shas, spans, texts = [], [], [], []
-                for i in range(w.n_docs):
-                    a, z = w.at[i], w.at[i + 1]
-                    g = gone[a:z]
+                    g = gone[w.at[i]:w.at[i + 1]]
                     removed.append(int(g.sum()))
-                    words = _words_of(w, i)
-                    shas.append(_sha([x for x, out in zip(words, g) if not out]).hexdigest())
+                    shas.append(_sha([x for x, out in zip(words[i], g) if not out]).hexdigest())
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], g.astype(np.int8), [0]))))
                     spans.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
-                    if with_text:
-                        raw, left, at = w.raw, [], w.doc_start[i]
-                        for x, y in edge.reshape(-1, 2):
-                            left.append(raw[at:w.start[a + x]].tobytes())
-                            at = w.start[a + y] if a + y < z else w.doc_start[i + 1]
-                        left.append(raw[at:w.doc_start[i + 1]].tobytes())
-                        texts.append(b"".join(left).decode("utf-8", "replace"))
-                cols = [b.column(0).slice(w.first, w.n_docs), pa.array(keys, pa.int64()), pa.array(removed, pa.int64()),
-                        pa.array(shas, pa.string()),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(texts, pa.string())] * with_text, names=[
-                    "doc_id", "key", "n_removed", "kept_sha256", "spans", "kept_text"][:5 + with_text])
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0).slice(w.first, w.n_docs), pa.array(keys, pa.int64()), pa.array(removed, pa.int64()),
+                    pa.array(shas, pa.string()),
+                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                    names=["doc_id", "key", "n_removed", "kept_sha256", "spans"])
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_rows: int = GROUP_ROWS,
-                   with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, spans`` of every row (and
-    ``kept_text``, null where the text stays as it is): words removed because
-    they are in a window of ``window`` words that starts earlier in the input, at
-    a smaller id or in the same document. ``spans`` are the removed word ranges
-    (null for a text removed whole as a copy). In ``kept_text`` the white space
-    before a removed span stays and that behind its words goes.
+def _rewrite(window: int, text_at: int, chars_at: int | None, names: list[str]):
+    """Whole rows with their texts cut; the last column tells what to cut."""
+    def run(batches):
+        for b in batches:
+            plans, texts, sizes = b.column(b.num_columns - 1), [], []
+            for w in chunks(b.column(text_at)):
+                keys: dict[int, int] = {}
+
+                def plan(i):
+                    p = plans[w.first + i].as_py()
+                    if not p:
+                        return None
+                    keys[i] = _key(_sha(_words_of(w, i)).digest())
+                    return next((x for x in p if x["key"] == keys[i]), None)
+
+                todo = [plan(i) for i in range(w.n_docs)]
+                kind = pa.struct([("at", pa.int64()), ("again", pa.int64())])
+                gone = _gone(w, window, lambda i: None if todo[i] is None else pa.array(todo[i]["found"] or [], kind))
+                for i in range(w.n_docs):
+                    if todo[i] is not None:
+                        cut = "" if todo[i]["copy"] else _left(w, i, gone[w.at[i]:w.at[i + 1]])
+                        texts.append(cut)
+                        sizes.append(len(cut))
+                    else:
+                        texts.append(b.column(text_at)[w.first + i].as_py())
+                        sizes.append(b.column(chars_at)[w.first + i].as_py() if chars_at is not None else None)
+            cols = list(b.columns[:-1])
+            cols[text_at] = pa.array(texts, pa.string())
+            if chars_at is not None:
+                cols[chars_at] = pa.array(sizes, b.column(chars_at).type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+    return run
 
-    A null text has no words. Rows that repeat an id are the same document, so a
-    row that comes twice keeps its text twice; a null id comes before all
-    others; texts of fewer words than a window lose nothing; an empty table
-    gives no rows; other columns are ignored."""
-    spark = docs.sparkSession
+
+def _find(d: DataFrame, window: int, prefix: int, group_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For ``d`` (``doc_id, text``): the survey of all rows; the first id of each
+    word sequence (``sha, first_id``); and ``doc_id, key, found`` of the documents
+    that have repeats, in themselves or, as listed in ``found``, of earlier ones."""
+    spark = d.sparkSession
     shared_dir(spark)
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     seen = materialize(d.mapInArrow(_survey(window, prefix), "doc_id long, n_words long, sha string, key long, "
                                     "own boolean, prefixes array<long>"), "repeats-survey")
     first = seen.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("key").alias("key"))
+    own = seen.where("own").select("doc_id", "key", F.lit(True).alias("own")).distinct()
     # prefixes that two different texts have
     shared = (seen.select("key", F.explode("prefixes").alias("h")).groupBy("h")
               .agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("h"))
     at = (seen.select("doc_id", "key", F.posexplode("prefixes").alias("i", "h")).join(shared, "h")
           .groupBy("doc_id", "key").agg(F.collect_set("i").alias("shared")))
-    picked = materialize(
-        first.select("doc_id", "key").join(at, ["doc_id", "key"], "left")
-        .join(seen.where("own").select("doc_id", "key", F.lit(True).alias("own")).distinct(), ["doc_id", "key"], "left")
-        .where("own or shared is not null").select("doc_id", "key", "shared"), "repeats-picked")
-    n, numbers = picked.agg(F.count("*"), F.coalesce(F.sum(F.size(F.coalesce("shared", F.array()))), F.lit(0))).first()
-    small = BROADCAST_DOCS if numbers <= 40 * BROADCAST_DOCS else 0
+    picked = materialize(first.select("doc_id", "key").join(at, ["doc_id", "key"], "left").join(own, ["doc_id", "key"], "left")
+                         .where("own or shared is not null").select("doc_id", "key", "shared"), "repeats-picked")
     suffixes = materialize(
-        d.join(broadcast_within(picked, n, small), "doc_id").select("doc_id", "text", "key", "shared")
+        d.join(_few(picked, "shared", 40), "doc_id").select("doc_id", "text", "key", "shared")
         .mapInArrow(_suffixes(window, prefix), "h long, doc_id long, key long, at long, off int, windows array<long>"),
         "repeats-suffixes")
     # prefixes with too many places for one subtree
@@ -299,31 +333,82 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     if n_big:
         each = (suffixes.join(broadcast_within(big, n_big, BROADCAST_DOCS), "h")
                 .select("h", "doc_id", "key", "at", "off", F.posexplode("windows").alias("i", "w"))
-                .select("h", "w", (F.col("off") - F.col("i")).alias("off"), "doc_id", "key", (F.col("at") + F.col("i")).alias("at")))
+                .select("h", "w", (F.col("off") - F.col("i")).alias("off"), "doc_id", "key",
+                        (F.col("at") + F.col("i")).alias("at")))
         least = each.groupBy("h", "off", "w").agg(F.min(F.struct("doc_id", "at")).alias("least"))
         again = again.unionByName(each.join(least, ["h", "off", "w"]).where("struct(doc_id, at) > least")
                                   .select("doc_id", "key", "at", F.lit(1).cast("long").alias("again")))
     found = again.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "again")).alias("found"))
     touched = materialize(picked.select("doc_id", "key").join(found, ["doc_id", "key"], "left")
-                          .join(seen.where("own").select("doc_id", "key", F.lit(True).alias("own")).distinct(),
-                                ["doc_id", "key"], "left")
+                          .join(own, ["doc_id", "key"], "left")
                           .where("own or found is not null").select("doc_id", "key", "found"), "repeats-found")
-    n, numbers = touched.agg(F.count("*"), F.coalesce(F.sum(F.size(F.coalesce("found", F.array()))), F.lit(0))).first()
-    small = BROADCAST_DOCS if numbers <= 20 * BROADCAST_DOCS else 0
-    spans = "array<struct<start: long, end: long>>"
-    cut = (d.join(broadcast_within(touched, n, small), "doc_id").select("doc_id", "text", "key", "found")
-           .mapInArrow(_cut(window, with_text), "doc_id long, key long, n_removed long, kept_sha256 string, "
-                       f"spans {spans}" + ", kept_text string" * with_text).distinct())
-    cut = materialize(cut, "repeats-cut")
     release(suffixes, picked)
-    rows = seen.select("doc_id", "n_words", "sha", "key")
-    copies = (rows.join(first.select("sha", F.col("doc_id").alias("_first")), "sha")
-              .withColumn("copy", (F.col("n_words") >= window) & (F.col("doc_id") > F.col("_first"))))
-    out = copies.join(cut, ["doc_id", "key"], "left")
+    return seen, first.select("sha", F.col("doc_id").alias("first_id")), touched
+
+
+def _few(plans: DataFrame, column: str, per_row: int) -> DataFrame:
+    """``plans`` to be broadcast, if its rows and the entries of its array column
+    are within their bounds."""
+    n, entries = plans.agg(F.count("*"), F.coalesce(F.sum(F.size(F.coalesce(column, F.array()))), F.lit(0))).first()
+    return broadcast_within(plans, n, BROADCAST_DOCS if entries <= per_row * BROADCAST_DOCS else 0)
+
+
+def _with_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def _is_copy(window: int):
+    return (F.col("n_words") >= window) & (F.col("doc_id") > F.col("first_id"))
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_rows: int = GROUP_ROWS,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256, spans`` of every row: words
+    removed because they are in a window of ``window`` words that starts earlier in
+    the input, at a smaller id or in the same document. ``spans`` are the removed
+    word ranges (null for a text removed whole as a copy).
+
+    A null text has no words. Rows that repeat an id are the same document, so a
+    row that comes twice keeps its text twice; a null id comes before all
+    others; texts of fewer words than a window lose nothing; an empty table
+    gives no rows; other columns are ignored."""
+    d = _with_id(docs, id_col, text_col)
+    seen, first, touched = _find(d, window, prefix, group_rows)
+    spans = "array<struct<start: long, end: long>>"
+    cut = materialize(
+        d.join(_few(touched, "found", 20), "doc_id").select("doc_id", "text", "key", "found")
+        .mapInArrow(_cut(window), f"doc_id long, key long, n_removed long, kept_sha256 string, spans {spans}").distinct(),
+        "repeats-cut")
+    release(touched)
+    out = (seen.select("doc_id", "n_words", "sha", "key").join(first, "sha").withColumn("copy", _is_copy(window))
+           .join(cut, ["doc_id", "key"], "left"))
     is_copy = F.col("copy")
-    texts = [F.when(is_copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []
     return out.select(
         F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), "n_words",
         F.when(is_copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(is_copy, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.when(~is_copy, F.coalesce("spans", F.expr(f"cast(array() as {spans})"))).alias("spans"), *texts)
+        F.when(~is_copy, F.coalesce("spans", F.expr(f"cast(array() as {spans})"))).alias("spans"))
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_rows: int = GROUP_ROWS,
+                id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the words that ``remove_repeats`` removes cut out of their
+    texts. White space before a removed span stays and that behind its words
+    goes; texts without repeats, and null texts, stay as they are. ``chars_col``, if
+    there is such a column, gets the new length of a text that was cut; all other
+    columns stay."""
+    d = _with_id(docs, id_col, text_col)
+    seen, first, touched = _find(d, window, prefix, group_rows)
+    copies = (seen.select("doc_id", "n_words", "sha", "key").join(first, "sha").where(_is_copy(window))
+              .select("doc_id", "key", F.lit(True).alias("copy")).distinct())
+    kind = "array<struct<at: long, again: long>>"
+    plans = touched.select("doc_id", "key", F.lit(False).alias("copy"), "found").unionByName(
+        copies.withColumn("found", F.lit(None).cast(kind)))
+    plans = materialize(plans.groupBy(F.col("doc_id").alias("_plan_id")).agg(
+        F.collect_list(F.struct("key", "copy", "found")).alias("_plan"),
+        F.flatten(F.collect_list(F.coalesce("found", F.expr(f"cast(array() as {kind})")))).alias("all")), "repeats-plans")
+    few = _few(plans, "all", 20).drop("all")
+    names = docs.columns
+    full = docs.join(few, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("_plan_id"), "left").drop("_plan_id")
+    return full.mapInArrow(_rewrite(window, names.index(text_col), names.index(chars_col) if chars_col in names else None,
+                                    names), docs.schema)
