@@ -8,8 +8,8 @@ least 0.75; results are the links' connected components. The join is exact:
    (rank of frequency, hash), so shared boilerplate comes last. Any order gives
    the same links; this one makes few candidates.
 2. *Sets.* A text becomes its set's size, a 64-bit hash of the set (equal sets
-   are one node from here on), a ``BITS``-bit token bitmap and the set's prefix
-   in that order: two sets that link share a shingle in their first
+   are one node from here on), a bitmap of its shingles and the set's prefix in
+   that order: two sets that link share a shingle in their first
    ``n - ceil(0.75 n) + 1``, and it is early enough in one of them.
 3. *Groups.* Nodes are dealt by prefix shingle. A group that a frequent shingle
    would make large is cut into blocks that meet in cells, each of bounded size.
@@ -22,9 +22,12 @@ least 0.75; results are the links' connected components. The join is exact:
    cannot reach the threshold, or that lie in one component already. Pairs that
    are left are verified; the links' components are the result.
 
+Before whole sets are compared, pairs are tried on the sets' own bitmaps, whose
+size goes with the set's: bits that only one side has bound the overlap.
+
 Sizes: texts are read where they lie; what is shuffled is a quarter of the
-shingles (as 64-bit hashes), bitmaps of nodes in groups of three and more, and
-the sets of candidate pairs.
+shingles (as 64-bit hashes), bitmaps of nodes in groups of three and more and of
+candidate pairs, and the whole sets of the pairs that their bitmaps leave.
 """
 
 from __future__ import annotations
@@ -41,15 +44,16 @@ from .words import chunks, mix, window_hash
 
 SHINGLE = 5
 NUM, DEN = 75, 100                # similarity NUM / DEN
-HEAVY = 1 << 16                   # shingles with a rank of their own
-TASK_HEAVY = 1 << 15              # candidates for that from one task
-BITS = 512
+HEAVY = 1 << 18                   # shingles with a rank of their own (a broadcast of 4 MB at most)
+TASK_HEAVY = 1 << 16              # candidates for that from one task
+BITS = 512                        # of a tree node's bitmap
+SKETCH_BITS = 4                   # of a set's own bitmap, for each shingle at least
 BLOCK = 4096                      # nodes of one group that a block holds
 FANOUT = 8
 BROADCAST_DOCS = 150_000
 NO_ID = (1 << 63) - 1             # a null id comes after all others
 
-NODE_SCHEMA = "doc_id long, n long, sid long, prefix array<long>, bits binary"
+NODE_SCHEMA = "doc_id long, n long, sid long, prefix array<long>, sketch binary"
 
 
 def _shingles(w) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +89,42 @@ def _set_ids(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(n > 0, mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)), np.uint64(0))
 
 
+def _sketches(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A bitmap of each set: a power of two of bits, at least ``SKETCH_BITS`` per
+    shingle and ``BITS``; a shingle's bit is given by its hash's low bits."""
+    size = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(1, SKETCH_BITS * n))).astype(np.int64))
+    at = np.concatenate(([0], np.cumsum(size)))
+    bits = np.zeros(int(at[-1]), dtype=bool)
+    bits[at[doc] + (h & (size[doc] - 1).astype(np.uint64)).astype(np.int64)] = True
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(n), [None, pa.py_buffer((at // 8).tobytes()), pa.py_buffer(
+            np.packbits(bits, bitorder="little").tobytes())]).cast(pa.binary())
+
+
+def _fold(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch on ``size`` bytes: its parts, one on the other."""
+    return np.bitwise_or.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def _folded(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([
+            _fold(x, BITS // 8).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["sid", "bits"])
+
+
+def _bounded(batches):
+    """Pairs (a, b, na, nb, and sketches) whose bitmaps leave a link possible."""
+    for batch in batches:
+        na, nb, keep = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
+        for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+            size = min(len(x), len(y))
+            x, y = _fold(x, size), _fold(y, size)
+            most = min(na[i] - int(np.bitwise_count(x & ~y).sum()), nb[i] - int(np.bitwise_count(y & ~x).sum()))
+            keep.append(bool(_enough(most, na[i], nb[i])))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+
 def _sum_counts(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u, inv = np.unique(h, return_inverse=True)
     return u, np.bincount(inv, weights=n, minlength=len(u)).astype(np.int64)
@@ -139,8 +179,7 @@ def _survey(heavy):
             for w in chunks(b.column(1), lower=True):
                 doc, h, n = _sets(w)
                 sid = _set_ids(doc, h, n)
-                bits = np.zeros((w.n_docs, BITS), dtype=bool)
-                bits[doc, (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
+                sketches = _sketches(doc, h, n)
                 df = np.zeros(len(h), np.int64)
                 if len(heavy_h):
                     at = np.minimum(np.searchsorted(heavy_h, h), len(heavy_h) - 1)
@@ -150,12 +189,11 @@ def _survey(heavy):
                 start = np.concatenate(([0], np.cumsum(n)))
                 p = _prefix_len(n)
                 keep = np.arange(len(h)) - start[doc] < p[doc]
-                packed = np.packbits(bits, axis=1)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(w.first, w.n_docs), pa.array(n.astype(np.int64)), pa.array(sid.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(p))).astype(np.int32)),
                                              pa.array(h[keep].view(np.int64))),
-                    pa.array([x.tobytes() for x in packed], pa.binary())], names=["doc_id", "n", "sid", "prefix", "bits"])
+                    sketches], names=["doc_id", "n", "sid", "prefix", "sketch"])
     return run
 
 
@@ -326,9 +364,11 @@ def _trees(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, sketches: DataFrame) -> DataFrame:
     """Those of the pairs (``a, b``) whose whole sets are similar enough."""
-    pairs = materialize(pairs.distinct(), "pairs")
+    side = lambda c: sketches.select(*[F.col(x).alias(y) for x, y in (("sid", c), ("n", f"n{c}"), ("sketch", f"s{c}"))])
+    pairs = materialize(pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+                        .mapInArrow(_bounded, "a long, b long"), "pairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     need = materialize(nodes.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(need, "sid")
                        .select("doc_id").distinct(), "pair-docs")
@@ -358,6 +398,7 @@ def similar_documents(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id
     heavy = spark.sparkContext.broadcast(heavy_shingles(texts.select("text")))
     seen = materialize(texts.mapInArrow(_survey(heavy), NODE_SCHEMA), "shingle-survey")
     nodes = seen.where("n > 0").select("doc_id", "sid")
+    sketches = seen.where("n > 0").select("sid", "n", "sketch").dropDuplicates(["sid"])
     one = nodes.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     wide = (seen.where("n > 0").select("doc_id", "sid", "n", "prefix").join(one, ["doc_id", "sid"], "left_semi")
             .select("sid", "n", "prefix"))
@@ -367,15 +408,15 @@ def similar_documents(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id
         .mapInArrow(_pivots, "cell long, h long, sid long, n long, i int, other long"), "shingle-groups")
     pairs = met.where("other is not null").select(
         F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
-    links = _verified(pairs, texts, nodes)
+    links = _verified(pairs, texts, nodes, sketches)
     labels = components(links)
-    bits = seen.where("n > 0").select("sid", "bits").dropDuplicates(["sid"])
+    bits = sketches.select("sid", "sketch").mapInArrow(_folded, "sid long, bits binary")
     members = (met.where("other is null").select("cell", "h", "sid", "n", "i")
                .join(labels.withColumnRenamed("node", "sid"), "sid", "left")
                .withColumn("label", F.coalesce("label", "sid")).join(bits, "sid"))
     more = (members.select("cell", "h", "sid", "n", "i", "label", "bits").repartition("cell", "h")
             .sortWithinPartitions("cell", "h").mapInArrow(_trees, "a long, b long"))
-    links = links.unionByName(_verified(more, texts, nodes))
+    links = links.unionByName(_verified(more, texts, nodes, sketches))
     roots = components(links)
     named = one.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     named = named.select("sid", "label", "doc_id")
@@ -387,3 +428,21 @@ def similar_documents(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id
     release(met)
     return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles",
                       F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NO_ID)).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id. Of rows
+    that repeat an id and a text one stays; rows without an id all stay."""
+    found = similar_documents(docs, id_col=id_col, text_col=text_col)
+    out = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_out")).distinct(), "near-copies")
+    kept = docs.join(broadcast_within(out, out.count(), BROADCAST_DOCS), F.col(id_col).cast("long") == F.col("_out"),
+                     "left_anti")
+    again = materialize(kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).count()
+                        .where("count > 1").select("_id"), "repeated-ids")
+    n = again.count()
+    if not n:
+        return kept
+    same = F.col(id_col) == F.col("_id")
+    again = broadcast_within(again, n, BROADCAST_DOCS)
+    return kept.join(again, same, "left_anti").unionByName(
+        kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
