@@ -31,6 +31,7 @@ from ..session import materialize, release, shared_dir
 from .quality import held_out
 from .words import chunks, mix
 
+SAMPLE = 20_000                    # labelled rows of each class that are learned from (smallest hash of the id)
 LEXICON = 50_000
 CANDIDATES = 200_000               # units whose corpus counts are taken (rows of one small table)
 PREFIXES = (4, 5, 6)
@@ -190,12 +191,19 @@ def _rate(weights: np.ndarray, probs: np.ndarray) -> float:
     return high
 
 
+def training_rows(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """At most ``sample`` rows ``doc_id, toxic`` of each class, so that a join may
+    broadcast them; other values are left out."""
+    some = [labels.where(F.col("toxic") == k).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    return F.broadcast(materialize(some[0].unionByName(some[1]), "toxic-labels"))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """Lexicon and weights from ``labels`` (``doc_id, toxic``: 1 or 0) and the
-    corpus. Without toxic rows it is empty."""
+    """Lexicon and weights from ``training_rows`` (``doc_id, toxic``) and the
+    whole corpus. Without toxic rows it is empty."""
     spark = docs.sparkSession
     shared_dir(spark)
-    rows = docs.join(labels.where("toxic in (0, 1)").distinct(), "doc_id").select("text", "toxic")
+    rows = docs.join(labels, "doc_id").select("text", "toxic")
     counts = materialize(rows.mapInArrow(_count_labelled, "unit long, toxic int, n long").groupBy("unit").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"),
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")), "toxic-counts")
@@ -244,7 +252,7 @@ def evidence(lexicon: Lexicon):
 
 def calibrate(scanned: DataFrame, labels: DataFrame, lexicon: Lexicon) -> Lexicon:
     """Fit K on clean training rows, then the cut of the evidence on all."""
-    rows = materialize(scanned.join(labels.where("toxic in (0, 1)").distinct(), "doc_id"), "toxic-rows")
+    rows = materialize(scanned.join(labels, "doc_id"), "toxic-rows")
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
     clean = rows.where("toxic = 0").agg(F.count("*"), F.sum(F.col("n_words") * F.exp(-F.lit(lexicon.rate) * best))).first()
     if clean[0] and clean[1]:
@@ -278,7 +286,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
     keep their rows; an empty table gives no rows; other columns are ignored."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    lab = lab.where(~held_out(F.col("doc_id"), 3, 1))
+    lab = training_rows(lab.where(~held_out(F.col("doc_id"), 3, 1)))
     lexicon = learn(d, lab)
     scanned = materialize(scan(d, lexicon), "toxic-segments")
     lexicon = calibrate(scanned, lab, lexicon)
