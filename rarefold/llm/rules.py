@@ -67,6 +67,8 @@ def _counts(w) -> np.ndarray:
     out = np.zeros((w.n_docs, len(COUNTS)), dtype=np.int64)
     out[:, 0] = np.diff(w.at)
     d, ds = w.data, w.doc_start
+    if not len(d):
+        return out
     inside = np.zeros(len(d) + 1, dtype=np.int64)
     np.add.at(inside, w.start, 1)
     np.add.at(inside, w.end, -1)
