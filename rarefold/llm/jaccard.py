@@ -14,8 +14,10 @@ least 0.75; results are the links' connected components. The join is exact:
 3. *Groups.* Nodes are dealt by prefix shingle. A group that a frequent shingle
    would make large is cut into blocks that meet in cells, each of bounded size.
 4. *Pivots.* Each group's pairs with one of its nodes are verified against the
-   whole sets and their components taken. This collapses a group of near copies
-   with a number of checks that grows with its rows, not with their square.
+   whole sets and their components taken. The pivot is the node in which the
+   group's shingle comes earliest: it has the fewest rare shingles, so of a text
+   and its edited copies it is the text. This collapses a group of near copies with
+   a number of checks that grows with its rows, not with their square.
 5. *Trees.* In each cell a tree is built over its nodes, with OR-combined
    bitmaps and ranges of sizes at every level. A dual traversal walks pairs of
    tree nodes and leaves out those whose sizes, or whose largest possible overlap,
@@ -404,7 +406,7 @@ def similar_documents(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id
             .select("sid", "n", "prefix"))
     met = materialize(
         wide.mapInArrow(_deal(heavy, block), "cell long, h long, sid long, n long, i int")
-        .repartition("cell", "h").sortWithinPartitions("cell", "h")
+        .repartition("cell", "h").sortWithinPartitions("cell", "h", "i", "n", "sid")
         .mapInArrow(_pivots, "cell long, h long, sid long, n long, i int, other long"), "shingle-groups")
     pairs = met.where("other is not null").select(
         F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
