@@ -28,7 +28,8 @@ HEADLINE = [
     "g5_lmnn_loss_identity",      # LMNN loss on the block grid
     "h3_adaboost_fit_predict",    # 50 SAMME rounds
     "i1_easy_ensemble",           # 10 bags x 50 rounds, one set of jobs
-    "i3_mlbagging",               # bags -> LMNN per bag -> k-NN -> vote
+    "i2_rusboost",                # 50 SAMME.R rounds on under-samples
+    "i3_mlbagging",               # bags -> LMNN per bag to tolerance -> k-NN -> vote
 ]
 
 WARM = ["knn_holdout_scorecard", "f1_tfidf_train_idf"]
@@ -42,6 +43,8 @@ def main() -> None:
     from rarefold.session import build_session
 
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
+    # the bench tables are single files of one row group
+    spark.conf.set("rarefold.spread.partitions", cpus)
     names = sys.argv[1:] or HEADLINE
     # warm-up (not timed): JVM, Python workers, parquet footers, code paths
     for w in ("b6_argmax", "g7_linear_map_arrow"):

@@ -66,14 +66,35 @@ def easy_ensemble_fit(train: DataFrame, n_bags: int = 10, n_rounds: int = 50,
 # ---- I2: RUSBoost -----------------------------------------------------------------
 
 def rusboost_fit(train: DataFrame, n_rounds: int = 50, seed: int = DEFAULT_SEED,
-                 round_map=None) -> dict:
-    """Each round's stump is fitted on that round's under-sample (R4); its
-    error and the weight update use every training row."""
+                 metric: bool = False, **lmnn_kw) -> dict:
+    """Each round's stump is fitted on that round's under-sample (R4); the weight
+    update uses every training row (SAMME.R, so all rounds are kept).
+
+    A round's sample does not depend on the boosting weights, so the samples of
+    all rounds are drawn at once on (round, id, label), and a row of the table
+    carries the rounds it is in: no round shuffles anything. With ``metric``
+    (I4), all rounds' maps are learned in one member-keyed LMNN fit."""
+    base = materialize(train.select("id", F.col("features").cast("array<double>").alias("features"), "label"),
+                       "ensembles-8")
+    draws = materialize(resample.rus_rounds(base.select("id", "label"), n_rounds, seed=seed)
+                        .select("round", "id", "label"), "ensembles-9")
+    round_map = None
+    if metric:
+        # a fresh map per round, unweighted (H2)
+        maps = lmnn.fit(draws.join(base.select("id", "features"), on="id"), member_col="round", **lmnn_kw).maps
+
+        def round_map(r: int, rows: DataFrame, models: dict) -> dict:
+            return {"0": maps.get(str(r))}
+
+    in_rounds = draws.groupBy("id").agg(F.collect_list("round").alias("rounds"))
+    rows = base.join(in_rounds, on="id", how="left")
 
-    def sample(rows: DataFrame, r: int) -> DataFrame:
-        return resample.undersample_flag(rows, seed=seed, salt=f"rusboost:{r}")
+    def sample(d: DataFrame, r: int) -> DataFrame:
+        return d.withColumn("_in", F.coalesce(F.array_contains("rounds", r), F.lit(False)))
 
-    return stumps.fit_boost(train, n_rounds, sample=sample, round_map=round_map)
+    models = stumps.fit_boost(rows, n_rounds, sample=sample, round_map=round_map, real=True, keep=("rounds",))
+    release(base, draws)
+    return models
 
 
 # ---- I3: metric bagging -------------------------------------------------------
@@ -191,6 +212,7 @@ def mlboostacking_fit(train: DataFrame, max_iteration: int = 10, k: int = 5,
     stacked = np.vstack(maps)
     z = lmnn.apply_map(base, stacked).drop("features").withColumnRenamed("z", "features")
     models = easy_ensemble_fit(z, n_bags, n_rounds, seed)
+    release(base, state)
     return BoostStack(stacked, models, log)
 
 
@@ -249,12 +271,13 @@ def mlstacking_fit(train: DataFrame, n_estimators: int = 10, n_folds: int = 5,
         "id", F.col("features").cast("array<double>").alias("features"), "label"),
         n_folds=n_folds, seed=seed), "ensembles-6")
     slots = [str(f) for f in range(n_folds)] + ["all"]
-    rows = base.withColumn("_slot", F.explode(F.array(*[F.lit(s) for s in slots])))
+    # members are drawn on (member, id, label); the vectors are joined once afterwards
+    rows = base.select("id", "label", "oof").withColumn("_slot", F.explode(F.array(*[F.lit(s) for s in slots])))
     rows = rows.filter((F.col("_slot") == "all") | (F.col("_slot") != F.col("oof").cast("string")))
     rows = rows.withColumn("_e", F.explode(F.sequence(F.lit(0), F.lit(n_estimators - 1))))
     rows = rows.withColumn("member", F.concat_ws(":", F.col("_e").cast("string"), "_slot"))
-    us = materialize(resample.undersample(rows.select("member", "id", "features", "label"),
-                                          seed=seed, salt="i5", member_cols=["member"]),
+    us = materialize(resample.undersample(rows.select("member", "id", "label"), seed=seed, salt="i5",
+                                          member_cols=["member"]).join(base.select("id", "features"), on="id"),
                      "ensembles-7")
     maps = lmnn.fit(us, member_col="member", **lmnn_kw).maps
     models = stumps.fit_boost(us, n_rounds, member_col="member",
@@ -262,6 +285,7 @@ def mlstacking_fit(train: DataFrame, n_estimators: int = 10, n_folds: int = 5,
     meta = _member_probas(base, models, n_estimators, "oof")
     meta = meta.select("id", "label", F.concat("meta", "features").alias("features"))
     final = easy_ensemble_fit(meta, seed=seed, n_rounds=n_rounds)
+    release(base, us)
     return Stacking(models, final, n_estimators)
 
 
@@ -273,17 +297,8 @@ def mlstacking_predict(test: DataFrame, model: Stacking) -> DataFrame:
 
 # ---- I4: metric boosting -----------------------------------------------------------
 
-def mlboosting_fit(train: DataFrame, n_rounds: int = 50, seed: int = DEFAULT_SEED,
-                   lmnn_iter: int = 5, **lmnn_kw) -> dict:
+def mlboosting_fit(train: DataFrame, n_rounds: int = 50, seed: int = DEFAULT_SEED, **lmnn_kw) -> dict:
     """I4: RUSBoost whose weak learner is LMNN -> stump. Each round's map is
-    learned unweighted on that round's under-sample (H2), warm-started from the
-    previous round's map; the stump is fitted with the boosting weights."""
-    last: dict[str, np.ndarray] = {}
-
-    def round_map(r: int, rows: DataFrame, models: dict) -> dict:
-        sample = rows.filter("_in").select("id", "features", "label")
-        fit = lmnn.fit(sample, max_iter=lmnn_iter, init=last or None, **lmnn_kw)
-        last.update(fit.maps)
-        return {"0": fit.maps["0"]}
-
-    return rusboost_fit(train, n_rounds, seed, round_map=round_map)
+    learned afresh and unweighted on that round's under-sample (H2); the stump is
+    fitted with the boosting weights."""
+    return rusboost_fit(train, n_rounds, seed, metric=True, **lmnn_kw)

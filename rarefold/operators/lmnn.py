@@ -239,13 +239,14 @@ def prepare(df: DataFrame, k: int = 3, member_col: str | None = None,
     return cells, tstats, d
 
 
-def fit(df: DataFrame, k: int = 3, mu: float = 0.5, max_iter: int = 50, min_iter: int = 3,
-        learn_rate: float = 0.1, tol: float = 1e-4, member_col: str | None = None,
+def fit(df: DataFrame, k: int = 3, mu: float = 0.5, max_iter: int = 1000, min_iter: int = 10,
+        learn_rate: float = 0.1, tol: float = 1e-3, member_col: str | None = None,
         init: dict[str, np.ndarray] | None = None, block_rows: int = 2048,
         prepared=None) -> LMNNModel:
     """Gradient descent on L per member; the step halves (and the step is
     retried from the last accepted L) when the objective rises, and grows by
-    1% after an accepted step; stops at ``tol`` relative change or ``max_iter``."""
+    a fifth after an accepted step. A member stops when an accepted step changes
+    its objective by less than ``tol`` of it; ``max_iter`` only guards the loop."""
     spark = df.sparkSession
     own = prepared is None
     cells, tstats, d = prepared or prepare(df, k, member_col, block_rows)
@@ -271,7 +272,7 @@ def fit(df: DataFrame, k: int = 3, mu: float = 0.5, max_iter: int = 50, min_iter
                 rel = abs(prev[0] - f) / max(abs(prev[0]), 1e-12) if prev else np.inf
                 best[m] = (f, L[m].copy(), G)
                 if prev is not None:
-                    lr[m] *= 1.01
+                    lr[m] *= 1.2
                 hist.append({"member": m, "iteration": it, "loss": f, "lr": lr[m], "accepted": True})
                 if it + 1 >= min_iter and rel < tol:
                     active.discard(m)

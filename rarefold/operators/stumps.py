@@ -12,6 +12,12 @@ round bins the features and emits per-partition histograms as vectors; they
 are added JVM-side by ``Summarizer.sum`` (partial aggregation), exploded to a
 small (member, feature, bin, label) table, and the split is chosen by windows.
 
+Real boosting (SAMME.R, the flavour of RUSBoost and metric boosting): a stump
+votes with the log-odds of its leaf instead of a class, and a row's weight is
+``w = exp(-0.5 sum_m s log(p_m / (1 - p_m)) - c)`` with s = +-1 for its class. No
+round is judged by its error on other rows than it was fitted on, so a stump
+fitted on a balanced sample of an unbalanced table never ends the boosting.
+
 Per-round row filters (RUSBoost under-samples, I2/I4) and per-round linear
 maps of the features (metric boosting, I4) plug into the same pass.
 """
@@ -32,6 +38,7 @@ from ..session import materialize, release
 from .blocks import matrix
 
 N_BINS = 32
+LEAF_CLIP = 1e-6         # leaf shares are kept off 0 and 1 before the log-odds
 
 
 @dataclass
@@ -57,6 +64,7 @@ class Booster:
     norm: float = 0.0          # c: log of the weight normaliser
     done: bool = False
     errors: list[float] = field(default_factory=list)
+    real: bool = False         # SAMME.R: leaves vote with log-odds
 
 
 def bin_index(v: np.ndarray, lo, width, n_bins: int = N_BINS) -> np.ndarray:
@@ -72,27 +80,44 @@ def _stump_pred(st: Stump, X: np.ndarray) -> np.ndarray:
     return (p > 0.5).astype(np.int64)
 
 
+def leaf_log_odds(p) -> np.ndarray:
+    p = np.clip(p, LEAF_CLIP, 1.0 - LEAF_CLIP)
+    return np.log(p / (1.0 - p))
+
+
+def _stump_odds(st: Stump, X: np.ndarray) -> np.ndarray:
+    return np.where(st.left(X), leaf_log_odds(st.p_left), leaf_log_odds(st.p_right))
+
+
 def _mapped(X: np.ndarray, L: np.ndarray | None) -> np.ndarray:
     return X if L is None else X @ L.T
 
 
 def margins(model: Booster, X: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """sum_m alpha_m [h_m(x) != y]."""
+    """sum_m alpha_m [h_m(x) != y]; real: -0.5 sum_m s log-odds_m(x)."""
     out = np.zeros(X.shape[0])
     cache: dict[int, np.ndarray] = {}
     for st, a, L in zip(model.stumps, model.alphas, model.maps):
         key = id(L)
         if key not in cache:
             cache[key] = _mapped(X, L)
-        out += a * (_stump_pred(st, cache[key]) != y)
+        if model.real:
+            out -= 0.5 * (2.0 * y - 1.0) * _stump_odds(st, cache[key])
+        else:
+            out += a * (_stump_pred(st, cache[key]) != y)
     return out
 
 
 def decision(model: Booster, X: np.ndarray) -> np.ndarray:
-    """SAMME two-class decision 2 * sum alpha s / sum alpha, s = +-1."""
+    """SAMME two-class decision 2 * sum alpha s / sum alpha, s = +-1; real: the
+    mean of the leaves' log-odds."""
     if not model.alphas:
         return np.zeros(X.shape[0])
     tot = np.zeros(X.shape[0])
+    if model.real:
+        for st, L in zip(model.stumps, model.maps):
+            tot += _stump_odds(st, _mapped(X, L))
+        return tot / len(model.stumps)
     for st, a, L in zip(model.stumps, model.alphas, model.maps):
         tot += a * (2.0 * _stump_pred(st, _mapped(X, L)) - 1.0)
     return 2.0 * tot / float(np.sum(model.alphas))
@@ -236,20 +261,21 @@ def fit_boost(df: DataFrame, n_rounds: int = 50, member_col: str | None = None,
               n_bins: int = N_BINS,
               sample: Callable[[DataFrame, int], DataFrame] | None = None,
               round_map: Callable[[int, DataFrame, dict[str, Booster]], dict] | None = None,
-              ) -> dict[str, Booster]:
-    """SAMME boosting of stumps for every member at once.
+              real: bool = False, keep: tuple[str, ...] = ()) -> dict[str, Booster]:
+    """Boosting of stumps (SAMME, or SAMME.R if ``real``) for
+    every member at once. ``keep`` names further columns that ``sample`` reads.
 
     ``sample(rows, r)`` adds a boolean ``_in`` (the rows the round's stump is
     fitted on; all rows when absent); ``round_map(r, sampled, models)`` returns
     per-member feature maps for round ``r`` (metric boosting)."""
     spark = df.sparkSession
-    base = _with_member(df.select(*([member_col] if member_col else []), "id",
+    base = _with_member(df.select(*([member_col] if member_col else []), "id", *keep,
                                   F.col("features").cast("array<double>").alias("features"),
                                   F.col("label").cast("int").alias("label")), member_col)
     base = base.drop(member_col) if member_col and member_col != "_m" else base
     base = materialize(base, "stumps-1")  # read once per round: cut the lineage once
     members = sorted(r[0] for r in base.select("_m").distinct().collect())
-    models = {m: Booster() for m in members}
+    models = {m: Booster(real=real) for m in members}
     edge_cache: dict[tuple, dict] = {}
     for r in range(n_rounds):
         live = [m for m in members if not models[m].done]
@@ -289,6 +315,19 @@ def fit_boost(df: DataFrame, n_rounds: int = 50, member_col: str | None = None,
             tot = a0.sum() + a1.sum()
             err = float(wrong / tot) if tot > 0 else 0.0
             mod = models[m]
+            if real:
+                mod.stumps.append(st), mod.alphas.append(1.0), mod.maps.append(cur[m])
+                mod.errors.append(err)
+                if err <= 0.0:
+                    mod.done = True
+                    continue
+                # total of the next round's weights, from this round's leaf totals
+                ol, orr = float(leaf_log_odds(pl)), float(leaf_log_odds(pr))
+                total = sum(float(w) * np.exp(-0.5 * y * o) for w, y, o in (
+                    (a0[left].sum(), -1, ol), (a1[left].sum(), 1, ol),
+                    (a0[~left].sum(), -1, orr), (a1[~left].sum(), 1, orr)))
+                mod.norm += float(np.log(total))
+                continue
             if err >= 0.5:
                 if not mod.stumps:           # keep a first stump so the model predicts
                     mod.stumps.append(st), mod.alphas.append(1.0), mod.maps.append(cur[m])

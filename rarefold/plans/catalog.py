@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import neighbors, resample, scoring, splits
+from ..session import materialize
 from . import fixtures as fx
 from .sqlgen import scorecard_ctes, unpivot
 
@@ -61,7 +62,7 @@ def knn_holdout_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     nb = neighbors.knn(test, train, 5, key_cols=["repeat"])
     pred = neighbors.knn_predict(nb, ["repeat"]).join(
         test.select("repeat", F.col("id").alias("qid"), "label"), on=["repeat", "qid"])
-    pred = pred.persist()  # one row per test row; read by every score-card branch
+    pred = materialize(pred, "knn-predictions")  # one row per test row; read by every score-card branch
     card = scoring.scorecard_long(pred, ["repeat"])
     return card.select(F.col("repeat").alias("test_number"), "metric", "value")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ensembles, splits
+from ..operators.stumps import LEAF_CLIP, N_BINS as NB
 from . import fixtures as fx
 from .catalog import H, U, register
 
@@ -74,17 +75,52 @@ def i1_easy_ensemble(spark, sf):
 
 @register("i2_rusboost", None)
 def i2_rusboost(spark, sf):
-    """50 rounds, each stump fitted on that round's under-sample (baseline 2)."""
+    """50 rounds of SAMME.R, each stump fitted on that round's under-sample (baseline 2)."""
     tr, te = _fold0(spark, sf)
     models = ensembles.rusboost_fit(tr)
     return ensembles.predict_mean(te, models).select("id", "label", F.round("proba", 6).alias("proba"), "pred")
 
 
+@register("i2_rusboost_round1", f"""WITH {fx.SQL_VEC_BIN},
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {H("'rusboost'", '0', 'id')}, id) AS rk,
+             count(*) OVER (PARTITION BY label) AS nc FROM vec_bin),
+sm AS (SELECT id FROM k WHERE rk <= (SELECT min(nc) FROM k)),
+x AS (SELECT id, label, unnest(features) AS v, unnest(generate_series(0, len(features) - 1)) AS f FROM vec_bin),
+e AS (SELECT f, min(v) AS lo, max(v) AS hi FROM x GROUP BY f),
+bx AS (SELECT x.*, CAST(least(greatest(floor((v - e.lo) / ((e.hi - e.lo) / {NB})), 0), {NB - 1}) AS INTEGER) AS b
+       FROM x JOIN e ON x.f = e.f),
+h AS (SELECT f, b, sum(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END) AS w0, sum(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS w1
+      FROM bx JOIN sm USING (id) GROUP BY f, b),
+s AS (SELECT f, b, sum(w0) OVER (PARTITION BY f ORDER BY b) AS l0, sum(w1) OVER (PARTITION BY f ORDER BY b) AS l1,
+             sum(w0) OVER (PARTITION BY f) AS t0, sum(w1) OVER (PARTITION BY f) AS t1 FROM h),
+c AS (SELECT *, t0 - l0 AS r0, t1 - l1 AS r1 FROM s),
+g AS (SELECT f, b, l1 / (l0 + l1) AS p_left, r1 / (r0 + r1) AS p_right,
+             round((1 - (t0 / (t0 + t1)) ** 2 - (t1 / (t0 + t1)) ** 2)
+               - (l0 + l1) / (t0 + t1) * (1 - (l0 / (l0 + l1)) ** 2 - (l1 / (l0 + l1)) ** 2)
+               - (r0 + r1) / (t0 + t1) * (1 - (r0 / (r0 + r1)) ** 2 - (r1 / (r0 + r1)) ** 2), 9) AS gain
+      FROM c WHERE l0 + l1 > 0 AND r0 + r1 > 0),
+best AS (SELECT * FROM g ORDER BY gain DESC, f, b LIMIT 1),
+od AS (SELECT bx.id, bx.label, CASE WHEN bx.b <= best.b THEN p_left ELSE p_right END AS p FROM bx JOIN best ON bx.f = best.f),
+cl AS (SELECT id, label, least(greatest(p, {LEAF_CLIP}), 1 - {LEAF_CLIP}) AS p FROM od)
+SELECT id, label, round(p, 6) AS proba, CAST(p > 0.5 AS INTEGER) AS pred,
+       round(exp(-0.5 * (2 * label - 1) * ln(p / (1 - p))) / sum(exp(-0.5 * (2 * label - 1) * ln(p / (1 - p)))) OVER (), 9) AS next_weight
+FROM cl""")
+def i2_rusboost_round1(spark, sf):
+    """First round of RUSBoost on the whole table: the under-sample's stump, its
+    probabilities, and the weights that the second round starts from."""
+    v = fx.vec_bin(spark, sf)
+    models = ensembles.rusboost_fit(v, n_rounds=1)
+    out = ensembles.predict_mean(v, models)
+    odds = F.log(F.col("proba") / (1 - F.col("proba")))
+    w = F.exp(F.lit(-0.5) * (2 * F.col("label") - 1) * odds - F.lit(models["0"].norm))
+    return out.select("id", "label", F.round("proba", 6).alias("proba"), "pred", F.round(w, 9).alias("next_weight"))
+
+
 @register("i3_mlbagging", None)
 def i3_mlbagging(spark, sf):
     """Balanced bootstrap bags, LMNN per bag (one set of jobs), k-NN, soft vote."""
     tr, te = _fold0(spark, sf)
-    model = ensembles.mlbagging_fit(tr, N_BAGS, k=5, max_iter=5)
+    model = ensembles.mlbagging_fit(tr, N_BAGS, k=5)
     return ensembles.mlbagging_predict(te, model).select("qid", F.round("proba", 6).alias("proba"), "pred")
 
 
@@ -100,7 +136,7 @@ def i4_mlboosting(spark, sf):
 def i5_mlstacking(spark, sf):
     """10 x (under-sample -> LMNN -> AdaBoost), out-of-fold stacking, EasyEnsemble."""
     tr, te = _fold0(spark, sf)
-    model = ensembles.mlstacking_fit(tr, max_iter=5)
+    model = ensembles.mlstacking_fit(tr)
     return ensembles.mlstacking_predict(te, model).select("id", "label", F.round("proba", 6).alias("proba"), "pred")
 
 
@@ -109,7 +145,7 @@ def i6_mlboostacking(spark, sf):
     """10 iterations of map learning with train/valid re-division, then
     EasyEnsemble in the concatenated metric space."""
     tr, te = _fold0(spark, sf)
-    model = ensembles.mlboostacking_fit(tr, max_iteration=10, max_iter=5)
+    model = ensembles.mlboostacking_fit(tr, max_iteration=10)
     return ensembles.mlboostacking_predict(te, model).select("id", "label", F.round("proba", 6).alias("proba"), "pred")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -71,14 +72,17 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the session names it; only when nothing is
-    configured (local tests and bench) is a fresh folder created and set."""
+    """``spark.checkpoint.dir`` as the session names it. A local session without
+    one gets a fresh folder; on a cluster it must be set, because a machine-local
+    folder would not be shared."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="rarefold-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -125,14 +129,9 @@ def release(*dfs) -> None:
 
 
 def spread(df, key: str):
-    """Hash-spread ``df`` by ``key`` before CPU-heavy per-row work when it is
-    read from fewer files than the cluster runs tasks at once (one big file,
-    one row group): such a scan may arrive in a single task. The decision uses
-    the file listing only (``inputFiles``), so no stage of the input runs
-    early; input spread over many files is left as it is and pays no extra
-    shuffle."""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= par:
-        return df
-    return df.repartition(par, key)
+    """Hash-spread ``df`` by ``key`` over ``rarefold.spread.partitions`` before
+    CPU-heavy work on its rows. The session setting is off (0) by default: input
+    that Spark can split needs no shuffle. Set it for input that it cannot split,
+    such as one file with one row group."""
+    n = int(df.sparkSession.conf.get("rarefold.spread.partitions", "0"))
+    return df.repartition(n, key) if n else df
