@@ -32,10 +32,11 @@ def token_ids(text: Column, vocab: int) -> Column:
     return F.transform(tokens(text), lambda t: token_bucket(t, vocab))
 
 
-def fixed_length(ids: Column, max_len: int) -> tuple[Column, Column]:
-    """truncate/pad to ``max_len`` model inputs and the attention mask."""
-    n = F.size(ids)
-    head = F.slice(ids, 1, max_len)
+def fixed_length(toks: Column, vocab: int, max_len: int) -> tuple[Column, Column]:
+    """truncate/pad to ``max_len`` model inputs and the attention mask; only
+    the tokens that are kept are hashed."""
+    n = F.size(toks)
+    head = F.transform(F.slice(toks, 1, max_len), lambda t: token_bucket(t, vocab))
     pad = F.array_repeat(F.lit(PAD_ID).cast("bigint"), F.greatest(F.lit(0), F.lit(max_len) - n))
     mask = F.transform(F.sequence(F.lit(1), F.lit(max_len)), lambda i: (i <= n).cast("int"))
     return F.concat(head, pad), mask

@@ -49,8 +49,9 @@ def grid(left: DataFrame, right: DataFrame, key_cols: Sequence[str],
     nb = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(block_rows))).cast("int")
     lcount = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ln"))
     rcount = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rn"))
-    # one row per key on each side: AQE broadcasts them at run time when small
-    blocks = (lcount.join(rcount, on=keys, how="inner")
+    # one row per key (member, fold or class): hinted, so that rows are not shuffled by
+    # it; without key columns it is a single row
+    blocks = F.broadcast(lcount.join(rcount, on=keys, how="inner")
               .select(*keys, nb("_ln").alias("_nlb"), nb("_rn").alias("_nrb")))
     lrep = (left.join(blocks, on=keys, how="inner")
             .withColumn("_lb", F.pmod(F.xxhash64(F.col(left_uid)), F.col("_nlb")).cast("int"))

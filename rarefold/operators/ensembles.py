@@ -111,7 +111,10 @@ def bag_slots(train: DataFrame, n_bags: int = 10, seed: int = DEFAULT_SEED) -> D
     # the bootstrap ranks and joins (bag, slot, id, label) only; the vectors
     # are joined once to the finished slots
     b = resample.balanced_bootstrap(train.select("id", "label"), n_bags, seed=seed)
-    uid = F.col("slot") * 16 + F.when(F.col("src") == "keep", 0).otherwise(1 + F.col("label"))
+    # 4 bits tell a kept slot from the draws it drives, one per other class
+    src = F.when(F.col("src") == "keep", 0).when(F.col("label").between(0, 14), 1 + F.col("label")).otherwise(
+        F.raise_error(F.lit("bag slots take class labels from 0 to 14")).cast("int"))
+    uid = F.col("slot") * 16 + src
     b = b.withColumn("uid", uid.cast("long")).select("bag", "uid", "id", "label")
     return b.join(train.select("id", "features"), on="id", how="inner").select(
         "bag", "uid", "id", "features", "label")

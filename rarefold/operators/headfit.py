@@ -150,27 +150,30 @@ def _step_sums(grouped: DataFrame, W: np.ndarray, b: np.ndarray, margin: float)
     return np.asarray(tot["v"]) if tot and tot["v"] is not None else np.zeros(3 + o * d + o)
 
 
-def fit(df: DataFrame, epochs: int = 5, steps_per_epoch: int = 4, learn_rate: float = 0.05,
-        warmup_steps: int = 2, weight_decay: float = 0.01, margin: float = MARGIN,
+def fit(df: DataFrame, epochs: int = 5, steps_per_epoch: int | None = None, learn_rate: float = 0.05,
+        warmup_steps: int = 100, weight_decay: float = 0.01, margin: float = MARGIN,
         batch_size: int = BATCH, seed: int = DEFAULT_SEED, dim_out: int | None = None,
         init: tuple[np.ndarray, np.ndarray] | None = None, id_col: str = "id",
         feat_col: str = "features", label_col: str = "label") -> HeadModel:
-    """F5 fit with AdamW (betas 0.9/0.999) on the driver-held head."""
+    """F5 fit with AdamW (betas 0.9/0.999) on the driver-held head: one step per
+    batch, or ``steps_per_epoch`` steps over equal runs of batches."""
     d = len(df.select(feat_col).first()[0])
     W, b = init if init is not None else init_head(d, dim_out or d, seed)
     W, b = W.astype(np.float64).copy(), b.astype(np.float64).copy()
     mW, vW, mb, vb = (np.zeros_like(W), np.zeros_like(W), np.zeros_like(b), np.zeros_like(b))
-    total = max(epochs * steps_per_epoch, 1)
     hist: list[dict] = []
     t = 0
     # every epoch shuffles the same rows: the batch count is fixed
     n_batches = -(-df.count() // batch_size)
+    steps_per_epoch = steps_per_epoch or max(n_batches, 1)
+    total = max(epochs * steps_per_epoch, 1)
+    warmup_steps = min(warmup_steps, total // 10)
     for ep in range(epochs):
-        written = materialize(grouped_epoch(df, ep, seed, batch_size, id_col, feat_col, label_col),
-                              f"head-epoch{ep}")
-        # consecutive runs of the shuffled batch order, one per step
-        g = written.withColumn("_step", F.floor(F.col("batch") * steps_per_epoch / F.lit(max(n_batches, 1)))
-                         .cast("int"))
+        # consecutive runs of the shuffled batch order, one per step; the step is stored
+        # and sorted, so a step's filter reads its own rows
+        g = materialize(grouped_epoch(df, ep, seed, batch_size, id_col, feat_col, label_col)
+                        .withColumn("_step", F.floor(F.col("batch") * steps_per_epoch / F.lit(max(n_batches, 1))).cast("int"))
+                        .sortWithinPartitions("_step"), f"head-epoch{ep}")
         for s in range(steps_per_epoch):
             v = _step_sums(g.filter(F.col("_step") == s), W, b, margin)
             nb = max(v[0], 1.0)
@@ -192,7 +195,7 @@ def fit(df: DataFrame, epochs: int = 5, steps_per_epoch: int = 4, learn_rate: fl
                 P -= lr * (mhat / (np.sqrt(vhat) + 1e-6) + weight_decay * P)
             hist.append({"epoch": ep, "step": s, "batches": int(v[0]), "n_active": int(v[2]),
                          "loss": float(v[1] / nb), "lr": lr})
-        release(written)   # the next epoch re-shuffles: this copy is done
+        release(g)   # the next epoch re-shuffles: this copy is done
     return HeadModel(W=W, b=b, history=hist)
 
 

@@ -38,6 +38,14 @@ def run_grid(runs: DataFrame, n_folds_col: str = "n_folds") -> DataFrame:
     return runs.select("run", F.explode(folds).alias("test_number"))
 
 
+def experiment_runs(classifiers: list[str], datasets: DataFrame) -> DataFrame:
+    """K3: every classifier on every ``(embedding, n_folds)``, named as B4 does."""
+    from ..functions.scalars import shallow_run_name
+    d = datasets.withColumn("classifier", F.explode(F.array(*[F.lit(c) for c in classifiers])))
+    return d.select("classifier", "embedding", shallow_run_name(F.col("classifier"), F.col("embedding")).alias("run"),
+                    "n_folds")
+
+
 def pending(planned: DataFrame, ledger: DataFrame) -> DataFrame:
     """K1: planned folds with no score yet (one anti-join, not a query per fold)."""
     done = ledger.select("run", "test_number").distinct()

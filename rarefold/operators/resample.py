@@ -56,8 +56,9 @@ def undersample_flag(df: DataFrame, label_col: str = "label", seed: int = DEFAUL
     d = dist_rank(d, members + [label_col], "_h", id_col, out="_rk", total="_nc")
     counts = d.select(*members, label_col, "_nc").distinct()
     tgt = _targets(counts, members, label_col, strategy).drop("_nc")
-    # one row per (member, class): AQE broadcasts it
-    return (d.join(tgt, on=members + [label_col], how="inner")
+    # one row per (member, class), both given by the configuration: no row of the
+    # table is shuffled by its label
+    return (d.join(F.broadcast(tgt), on=members + [label_col], how="inner")
              .withColumn("_in", F.col("_rk") <= F.col("_keep"))
              .drop("_h", "_rk", "_nc", "_keep"))
 
@@ -69,15 +70,9 @@ def easy_bags(df: DataFrame, n_bags: int = 10, label_col: str = "label",
     return undersample(d, label_col, seed, salt, id_col, member_cols=["bag"])
 
 
-def rus_round(df: DataFrame, round_no: int, label_col: str = "label",
-              seed: int = DEFAULT_SEED, id_col: str = "id") -> DataFrame:
-    """The under-sample of boosting round ``round_no``."""
-    return undersample(df, label_col, seed, f"rusboost:{round_no}", id_col)
-
-
 def rus_rounds(df: DataFrame, n_rounds: int, label_col: str = "label",
                seed: int = DEFAULT_SEED, id_col: str = "id") -> DataFrame:
-    """R4 for many rounds at once, keyed by ``round`` (same draws as ``rus_round``)."""
+    """The under-samples of all boosting rounds at once, keyed by ``round``."""
     d = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(n_rounds - 1))))
     return undersample(d, label_col, seed, "rusboost", id_col, member_cols=["round"])
 
@@ -104,7 +99,7 @@ def balanced_bootstrap(df: DataFrame, n_bags: int = 10, label_col: str = "label"
     minority = counts.filter("_is_min").select("bag", F.col(label_col).alias("_minlab"))
     others = counts.filter(~F.col("_is_min")).select(
         "bag", F.col(label_col).alias("_olab"), "_c")
-    boot = boot.join(minority, on="bag", how="inner")
+    boot = boot.join(F.broadcast(minority), on="bag", how="inner")      # one row per bag
     keep = (boot.filter(F.col(label_col) == F.col("_minlab")).drop("_minlab")
             .withColumn("src", F.lit("keep")))
     maj = boot.filter(F.col(label_col) != F.col("_minlab")).drop("_minlab")
@@ -113,7 +108,7 @@ def balanced_bootstrap(df: DataFrame, n_bags: int = 10, label_col: str = "label"
     maj = maj.withColumn("_idx", F.col("_rk") - 1).drop("_rk")
     # each minority slot drives one draw from every other class of its bag
     draws = (keep.select("bag", F.col("slot").alias("_drv"))
-             .join(others, on="bag", how="inner")
+             .join(F.broadcast(others), on="bag", how="inner")          # one row per (bag, class)
              .withColumn("_idx", F.floor(
                  uniform(seed, "boot-draw", F.col("bag"), F.col("_olab"), F.col("_drv"))
                  * F.col("_c")).cast("bigint"))
@@ -149,8 +144,8 @@ def weighted_draws(df: DataFrame, epochs, label_col: str = "label", seed: int =
     own = own.withColumn("_ord", F.floor(
         uniform(seed, "wd-class", F.col("epoch"), F.col("draw")) * n_classes).cast("int"))
     own = own.withColumn("_u2", uniform(seed, "wd-row", F.col("epoch"), F.col("draw")))
-    # one row per class (the class list is tiny): AQE broadcasts it
-    own = own.join(classes, on="_ord", how="inner")
+    # one row per class
+    own = own.join(F.broadcast(classes), on="_ord", how="inner")
     own = own.withColumn("_idx", F.floor(F.col("_u2") * F.col("_nc")).cast("bigint"))
     picked = own.select("epoch", "draw", label_col, "_idx").join(
         d.drop("_nc"), on=[label_col, "_idx"], how="inner")

@@ -39,13 +39,12 @@ def logo_fold_stats(assigned: DataFrame, label_col: str = "label",
     per = assigned.groupBy(fold_col, group_col).agg(
         F.count(F.lit(1)).alias("n_test"),
         F.sum(F.col(label_col).cast("bigint")).alias("pos_test"))
-    tot = Window.partitionBy()
+    # totals as scalar subqueries: two numbers, no window over all groups
+    n = assigned.select(F.count(F.lit(1))).scalar()
+    pos = assigned.select(F.sum(F.col(label_col).cast("bigint"))).scalar()
     return per.select(
-        fold_col, group_col,
-        (F.sum("n_test").over(tot) - F.col("n_test")).alias("n_train"),
-        "n_test",
-        (F.sum("pos_test").over(tot) - F.col("pos_test")).alias("pos_train"),
-        "pos_test")
+        fold_col, group_col, (n - F.col("n_test")).alias("n_train"), "n_test",
+        (pos - F.col("pos_test")).alias("pos_train"), "pos_test")
 
 
 # ---- C2 / C3 / C5: stratified ---------------------------------------------

@@ -149,5 +149,5 @@ def predict(df: DataFrame, model: TextModel) -> DataFrame:
 
 def select_best(history: DataFrame) -> DataFrame:
     """L5 over a per-epoch metrics table: the epoch with the lowest eval loss."""
-    return history.agg(F.min_by("epoch", "eval_loss").alias("best_epoch"),
-                       F.min("eval_loss").alias("eval_loss"))
+    best = F.min(F.struct("eval_loss", "epoch"))       # ties: the earlier epoch
+    return history.agg(best.alias("b")).select(F.col("b.epoch").alias("best_epoch"), "b.eval_loss")

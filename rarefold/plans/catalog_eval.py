@@ -168,6 +168,31 @@ def k3_run_grid(spark, sf):
     return ledger.run_grid(_runs(spark, sf))
 
 
+CLASSIFIERS = ["easy", "rusboost", "mlbagging", "mlboosting", "mlstacking", "mlboostacking"]
+
+
+@register("k3_experiment_grid", f"""WITH {fx.SQL_TEXT_BIN},
+d AS (SELECT grp AS embedding, count(*)::BIGINT AS n_folds FROM text_bin GROUP BY grp)
+SELECT c.classifier, embedding, c.classifier || '_' || embedding AS run, CAST(unnest(range(0, n_folds)) AS INTEGER) AS test_number
+FROM d, (VALUES {", ".join(f"('{c}')" for c in CLASSIFIERS)}) c(classifier)""")
+def k3_experiment_grid(spark, sf):
+    """Classifier x embedding x fold, with the shallow run names of B4: a source
+    stands for an embedding, and has a fold per document."""
+    d = fx.text_bin(spark, sf).groupBy(F.col("grp").alias("embedding")).agg(F.count("*").alias("n_folds"))
+    runs = ledger.experiment_runs(CLASSIFIERS, d)
+    return runs.join(ledger.run_grid(runs), on="run").select("classifier", "embedding", "run", "test_number")
+
+
+@register("l5_select_best_epoch", SQL_LOGO + """
+SELECT test_number AS best_epoch, round(1 - value, 6) AS eval_loss
+FROM ledger WHERE metric = 'f1' AND value IS NOT NULL ORDER BY eval_loss, best_epoch LIMIT 1""")
+def l5_select_best_epoch(spark, sf):
+    """L5's choice over a metrics table: score cards in the place of epochs."""
+    from ..operators import textclf
+    h = _ledger(spark, sf).filter("metric = 'f1' and value is not null")
+    return textclf.select_best(h.select(F.col("test_number").alias("epoch"), F.round(1 - F.col("value"), 6).alias("eval_loss")))
+
+
 @register("k4_summary", SQL_LOGO + """
 SELECT run, metric, """ + sround("avg(value)") + " AS avg, " + sround("stddev_samp(value)") + """ AS stddev
 FROM ledger GROUP BY run, metric ORDER BY run, metric""")

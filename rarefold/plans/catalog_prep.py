@@ -164,6 +164,15 @@ def c1_logo_fold_stats(spark, sf):
     return splits.logo_fold_stats(splits.logo_assign(t))
 
 
+@register("c1_logo_fold_rows", f"""WITH {fx.SQL_TEXT_BIN},
+g AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS fold FROM (SELECT DISTINCT grp FROM text_bin))
+SELECT id, t.grp, label, CASE WHEN fold = 3 THEN 'test' ELSE 'train' END AS split FROM text_bin t JOIN g ON t.grp = g.grp""")
+def c1_logo_fold_rows(spark, sf):
+    """Every row of fold 3 with its side."""
+    t = fx.text_bin(spark, sf).drop("text")
+    return splits.logo_fold(splits.logo_assign(t), 3).select("id", "grp", "label", "split")
+
+
 @register("c2_stratified_holdout", f"""WITH {fx.SQL_TEXT_BIN},
 rep AS (SELECT t.id, t.label, CAST(g.r AS INTEGER) AS repeat FROM text_bin t, range(0, 10) g(r)),
 hs AS (SELECT *, row_number() OVER (PARTITION BY repeat, label ORDER BY {H("'holdout'", 'repeat', 'id')}, id) AS rk,

@@ -30,10 +30,9 @@ SELECT id, CAST(len(ids) AS INTEGER) AS n_tokens,
 FROM ids""")
 def b8_tokenise_fixed(spark, sf):
     d = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    ids = TK.token_ids(F.col("text"), VOCAB)
-    d = d.select("id", ids.alias("_ids"))
-    inp, mask = TK.fixed_length(F.col("_ids"), MAX_LEN)
-    return d.select("id", F.size("_ids").alias("n_tokens"), inp.alias("input_ids"),
+    d = d.select("id", TK.tokens(F.col("text")).alias("_toks"))
+    inp, mask = TK.fixed_length(F.col("_toks"), VOCAB, MAX_LEN)
+    return d.select("id", F.size("_toks").alias("n_tokens"), inp.alias("input_ids"),
                     mask.alias("attention_mask"))
 
 
@@ -176,10 +175,11 @@ def f5_head_loss_init(spark, sf):
 
 @register("f5_projection_fit", None)
 def f5_projection_fit(spark, sf):
-    """F5 fit: 5 epochs of batch-all triplet training of the head on all
-    rows, then every row through the trained head."""
+    """F5 fit: 5 epochs of batch-all triplet training of the head on the train
+    side of fold 0, one step per batch; every row through the trained head."""
     v = fx.vec_bin(spark, sf)
-    model = headfit.fit(v, epochs=5, seed=fx.SEED)
+    folds = splits.stratified_holdout(v.select("id", "label"), repeats=1).filter(F.col("split") == "train")
+    model = headfit.fit(v.join(folds.select("id"), on="id", how="left_semi"), epochs=5, seed=fx.SEED)
     z = headfit.transform(v, model)
     return z.select("id", "label", F.transform("z", lambda t: F.round(t, 6)).alias("z"))
 

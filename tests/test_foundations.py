@@ -90,3 +90,23 @@ def test_redivision_keeps_sizes_and_moves_wrong_rows_first(spark):
     moved = {r.id for r in correct.filter(~F.col("correct")).collect()}
     got = {r.id for r in new.filter("side = 'train'").collect()}
     assert moved <= got
+
+
+def test_arrow_token_map_equals_the_column_form(spark):
+    from rarefold.functions import tokens as TK
+    df = spark.createDataFrame([(1, "A b, c-d é1 _x"), (2, ""), (3, None), (4, " .. ")], "id long, text string")
+    got = {r.id: list(r.token_ids) for r in TK.arrow_token_map(df, vocab=64).collect()}
+    want = {r.id: list(r.t or []) for r in df.select("id", TK.token_ids(F.col("text"), 64).alias("t")).collect()}
+    assert got == want
+
+
+def test_leave_one_group_out_round_trip(spark, tmpdir_path):
+    from rarefold.operators import splits
+    from rarefold.sources import files
+    rows = spark.createDataFrame([(i, f"g{i % 3}", i % 2) for i in range(12)], "id long, grp string, label int")
+    path = f"{tmpdir_path}/logo"
+    splits.logo_assign(rows).write.partitionBy("fold").parquet(path)
+    for fold in range(3):
+        train, test = files.load_logo_fold(spark, path, fold)
+        assert {r.id for r in test.collect()} == {i for i in range(12) if i % 3 == fold}
+        assert {r.id for r in train.collect()} == {i for i in range(12) if i % 3 != fold}
