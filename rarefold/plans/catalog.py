@@ -104,3 +104,6 @@ def g2_knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("g2_knn_vote", SQL_KNN_HOLDOUT.split(",\nsc_cf AS")[0] +
          "\nSELECT repeat, qid, round(proba, 6) AS proba, pred FROM pp")(g2_knn_vote)
+
+
+from . import catalog_experiment  # noqa: E402,F401  (uses the queries above)
