@@ -15,7 +15,8 @@ FAST = ["b1_strip_lines", "a1_paired_lines", "b4_run_name", "b6_argmax", "b11_li
         "b8_tokenise_fixed", "l6_arrow_token_map", "f1_tfidf_train_idf", "f4_triplet_loss",
         "g1_g3_target_neighbors", "g5_lmnn_loss_identity", "h1_stump_round1",
         "knn_holdout_scorecard", "a3_whole_files", "a4_fold_json_scan", "a9_ledger_append",
-        "f5_head_loss_init"]
+        "f5_head_loss_init", "i2_rusboost_round1", "c1_logo_fold_rows", "k3_experiment_grid",
+        "l5_select_best_epoch"]
 
 
 def _norm(v):
