@@ -153,7 +153,7 @@ def _count_heavy(batches):
         for w in chunks(b.column(0), lower=True):
             hs.append(_shingles(w)[1])
             size += len(hs[-1])
-            if size > 1 << 21:
+            if size > 1 << 20:
                 merge()
     merge()
     top = np.argsort(-held_n, kind="stable")[:TASK_HEAVY]
