@@ -193,7 +193,8 @@ def _rate(weights: np.ndarray, probs: np.ndarray) -> float:
 
 def training_rows(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """At most ``sample`` rows ``doc_id, toxic`` of each class, so that a join may
-    broadcast them; other values are left out."""
+    broadcast them; other values are left out. For ``learn`` only, which takes each
+    class' counts against that class' own size: there the mix does not matter."""
     some = [labels.where(F.col("toxic") == k).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     return F.broadcast(materialize(some[0].unionByName(some[1]), "toxic-labels"))
 
@@ -251,8 +252,11 @@ def evidence(lexicon: Lexicon):
 
 
 def calibrate(scanned: DataFrame, labels: DataFrame, lexicon: Lexicon) -> Lexicon:
-    """Fit K on clean training rows, then the cut of the evidence on all."""
-    rows = materialize(scanned.join(labels, "doc_id"), "toxic-rows")
+    """Fit K on clean rows of ``labels`` (``doc_id, toxic``), then the cut of the
+    evidence on all: every labelled row counts, so the mix is that of the table. No
+    texts are joined."""
+    known = labels.where("toxic in (0, 1)").distinct()
+    rows = materialize(scanned.select("doc_id", "n_words", "segments").join(known, "doc_id"), "toxic-rows")
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
     clean = rows.where("toxic = 0").agg(F.count("*"), F.sum(F.col("n_words") * F.exp(-F.lit(lexicon.rate) * best))).first()
     if clean[0] and clean[1]:
@@ -286,8 +290,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
     keep their rows; an empty table gives no rows; other columns are ignored."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    lab = training_rows(lab.where(~held_out(F.col("doc_id"), 3, 1)))
-    lexicon = learn(d, lab)
+    lab = lab.where(~held_out(F.col("doc_id"), 3, 1))
+    lexicon = learn(d, training_rows(lab))
     scanned = materialize(scan(d, lexicon), "toxic-segments")
     lexicon = calibrate(scanned, lab, lexicon)
     out = scanned.withColumn("evidence", evidence(lexicon)).withColumn("score", score_column(lexicon, threshold))

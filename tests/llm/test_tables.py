@@ -207,6 +207,31 @@ def test_toxicity(spark):
         assert all(r.predicted == 0 for r in toxicity.classify(d, a)[0].collect())
 
 
+def test_toxicity_is_calibrated_on_every_labelled_row(spark, monkeypatch):
+    rnd = random.Random(12)
+    vocab = ["w%s" % "".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(100)]
+    rows, labels = [], []
+    for i in range(1200):
+        t, toxic = [rnd.choice(vocab) for _ in range(rnd.randint(5, 60))], i % 9 == 0
+        if toxic or rnd.random() < .15:      # clean documents hold single toxic words too
+            t[0:0] = ["vile"] * (rnd.randint(1, 3) if toxic else 1) + ["rotten"] * (toxic and rnd.random() < .5)
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    la = spark.createDataFrame(labels + [(4, 7), (None, 1), (8, None)], "doc_id long, toxic int")
+    whole = toxicity.training_rows
+    monkeypatch.setattr(toxicity, "training_rows", lambda x: whole(x, 60))
+    lexicon = toxicity.classify(docs, la)[1]
+    known = la.where("toxic in (0, 1)").where(~quality.held_out(F.col("doc_id"), 3, 1))
+    seen = [(r.toxic, r.n_words, [s.score for s in r.segments]) for r in toxicity.scan(docs, lexicon).join(known, "doc_id").collect()]
+    assert len(seen) > 700 and sum(t for t, _, _ in seen) > 60      # more than the sample, in both classes
+    clean = [n * np.exp(-lexicon.rate * max(s, default=0.0)) for t, n, s in seen if not t]
+    assert abs(lexicon.k - len(clean) / sum(clean)) < 1e-6
+    ev = [(t, sum(max(0.0, lexicon.rate * x - np.log(max(n, 1) * lexicon.k)) for x in s)) for t, n, s in seen]
+    cost = lambda cut: sum(t != (e >= cut) for t, e in ev)
+    assert cost(lexicon.cut) <= min(cost(e + 1e-6) for _, e in ev) + 0.01 * len(ev)
+
+
 # decontamination
 
 @pytest.mark.parametrize("bound", [500_000, 0])
