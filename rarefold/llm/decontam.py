@@ -2,22 +2,25 @@
 multi-index Hamming blocks, verified by weighted-shingle similarity.
 
 Shingles are ``SHINGLE`` consecutive words (runs of letters and digits after
-lower-casing). A shingle weighs ``UNIT / number of items that have it``, so
-phrases that many items share count little; a shingle of no item weighs ``UNIT``.
-A document is contaminated by an item if one of its windows of the item's length
-has a weighted Jaccard similarity of at least 0.75 with it, and their
-fingerprints are within ``RADIUS``.
-
-1. *Places.* A document's matching shingles must weigh 0.75 of an item for any
-   window to qualify; and a window itself must hold that many of them. Both are
-   necessary conditions, so windows are laid only where they hold.
+lower-casing). A shingle weighs ``UNIT / number of different items that have it``,
+so phrases that many items share count little; a shingle of no item weighs
+``UNIT``. Items of the same shingles are one here, whatever their ids. A document
+is contaminated by an item if one of its windows of the item's length has a weighted
+Jaccard similarity of at least 0.75 with it, or with ``plain`` (as the queries ask
+for) a plain one, and their fingerprints are within ``RADIUS``. The plain one finds
+near copies of items that share a template, whose own shingles weigh less than the
+words that differ.
+
+1. *Places.* A document's matching shingles must be 0.75 of an item, by weight (or
+   by number), for any window to qualify; and a window itself must hold that many
+   of them. Both are necessary conditions, so windows are laid only where they hold.
 2. *Fingerprints.* ``FP_BITS``-bit SimHash of each window: bit counts of all its
    shingle hashes are added in 15-bit lanes, 15 sums for 60 bits.
 3. *Index.* Fingerprints are cut into ``RADIUS + 1`` blocks. Two that differ in at
    most ``RADIUS`` bits agree in one whole block, so an equi-join on (item length,
    block, its bits) finds every pair within the radius; ``bit_count`` confirms.
-4. *Verification.* Candidates' shingles are joined with the item's and weighed,
-   in whole numbers.
+4. *Verification.* Candidates' shingles are joined with the item's, weighed and
+   counted, in whole numbers.
 
 All steps are DataFrame expressions. Texts are not shuffled; what is shuffled
 are matches of benchmark shingles, windows of suspicious documents and, where the
@@ -87,9 +90,10 @@ def blocks(fp: Column, radius: int = RADIUS) -> Column:
 
 
 def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text",
-          item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+          item_col: str = "item_id", item_text: str = "text", plain: bool = False) -> DataFrame:
     """``doc_id, item_id, start_word, end_word, distance, similarity, row_key``:
-    the best window of each document and item that qualify.
+    the best window of each document and item that qualify. ``similarity`` is the
+    weighted one, or the plain one where only that qualifies (``plain``).
 
     Null and empty texts hold nothing and leak nothing. Repeated rows are one
     document, found once; rows that share an id, or have none, are told apart by
@@ -102,15 +106,15 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, id_col: str =
         "item_id is not null").distinct()
     it = with_shingles(it, F.col("text")).where("size(sh) > 0")
     it = it.select("item_id", "sh", F.size("sh").alias("m"), simhash(F.col("sh")).alias("fp"),
-                   F.xxhash64("item_id", "text").alias("item_key"))
+                   F.xxhash64("item_id", "text").alias("item_key"), F.xxhash64("sh").alias("like"))
     it = materialize(it, "items")
-    parts = it.select("item_id", "item_key", "m", F.explode(F.array_distinct("sh")).alias("h"))
-    weights = parts.groupBy("h").agg(F.floor(F.lit(UNIT) / F.count_distinct("item_id")).cast("long").alias("w"))
+    parts = it.select("item_id", "item_key", "like", "m", F.explode(F.array_distinct("sh")).alias("h"))
+    weights = parts.groupBy("h").agg(F.floor(F.lit(UNIT) / F.count_distinct("like")).cast("long").alias("w"))
     weights = weights.withColumn("w", F.greatest("w", F.lit(1)))
     parts = materialize(parts.join(weights, "h"), "item-shingles")
     n_parts = parts.count()
     weights = parts.select("h", "w").distinct()
-    totals = parts.groupBy("item_key").agg(F.sum("w").alias("item_w"))
+    totals = parts.groupBy("item_key").agg(F.sum("w").alias("item_w"), F.count("*").alias("item_n"))
     it = it.join(totals, "item_key")
     small = lambda df: broadcast_within(df, n_parts, BROADCAST_SHINGLES)
 
@@ -121,12 +125,13 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, id_col: str =
         F.first("w").alias("w"), F.first("m").alias("m"), F.first("n").alias("n"), F.collect_set("pos").alias("ps"))
     need = F.lit(NUM) * F.col("item_w")
     pairs = (each.groupBy("row_key", "item_key").agg(
-        F.sum("w").alias("got"), F.first("m").alias("m"), F.first("n").alias("n"), F.flatten(F.collect_list("ps")).alias("ps"))
-        .join(small(totals), "item_key").where(F.lit(DEN) * F.col("got") >= need))
+        F.sum("w").alias("got"), F.count("*").alias("got_n"), F.first("m").alias("m"), F.first("n").alias("n"), F.flatten(F.collect_list("ps")).alias("ps"))
+        .join(small(totals), "item_key").where((F.lit(DEN) * F.col("got") >= need) | F.lit(plain) & (F.lit(DEN) * F.col("got_n") >= F.lit(NUM) * F.col("item_n"))))
     starts = pairs.select(
         "row_key", "m", "ps", "item_w", F.explode(F.array_distinct(F.flatten(F.transform("ps", lambda p: F.sequence(
             F.greatest(F.lit(0), F.least(p, F.col("n") - F.col("m")) - F.col("m") + 1),
             F.greatest(F.lit(0), F.least(p, F.col("n") - F.col("m")))))))).alias("s"))
+    # a shingle weighs at most UNIT, so this also holds for what qualifies by number
     inside = F.size(F.filter("ps", lambda p: (p >= F.col("s")) & (p < F.col("s") + F.col("m"))))
     starts = (starts.where(F.lit(DEN * UNIT) * inside >= need).groupBy("row_key", "m")
               .agg(F.collect_set("s").alias("starts")))
@@ -142,25 +147,29 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, id_col: str =
 
     # 3. pairs within the radius, through their blocks
     left = wins.select("row_key", "m", "s", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b"))
-    right = it.select("item_key", "item_id", "item_w", "m", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("b"))
+    right = it.select("item_key", "item_id", "item_w", "item_n", "m", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("b"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = (left.join(small(right), ["m", "b"]).withColumn("distance", distance.cast("int"))
             .where(F.col("distance") <= radius)
             .groupBy("row_key", "m", "s", "item_key").agg(F.first("distance").alias("distance"),
-                                                          F.first("item_id").alias("item_id"), F.first("item_w").alias("item_w")))
+                                                          F.first("item_id").alias("item_id"), F.first("item_w").alias("item_w"),
+                                                          F.first("item_n").alias("item_n")))
 
     # 4. exact weighted similarity
     cand = wins.select("row_key", "doc_id", "m", "s", "win").join(near, ["row_key", "m", "s"])
-    sh = (cand.select("row_key", "doc_id", "m", "s", "item_key", "item_id", "item_w", "distance",
+    sh = (cand.select("row_key", "doc_id", "m", "s", "item_key", "item_id", "item_w", "item_n", "distance",
                       F.explode(F.array_distinct("win")).alias("h"))
           .join(small(weights), "h", "left").join(small(parts.select("item_key", "h", F.lit(True).alias("own"))), ["item_key", "h"], "left"))
     w = F.coalesce("w", F.lit(UNIT))
-    sims = sh.groupBy("row_key", "doc_id", "m", "s", "item_key", "item_id", "item_w", "distance").agg(
-        F.sum(w).alias("win_w"), F.coalesce(F.sum(F.when(F.col("own"), w)), F.lit(0)).alias("both"))
-    union = F.col("item_w") + F.col("win_w") - F.col("both")
-    sims = sims.where(F.lit(DEN) * F.col("both") >= F.lit(NUM) * union).withColumn("similarity", F.round(F.col("both") / union, 6))
+    sims = sh.groupBy("row_key", "doc_id", "m", "s", "item_key", "item_id", "item_w", "item_n", "distance").agg(
+        F.sum(w).alias("win_w"), F.coalesce(F.sum(F.when(F.col("own"), w)), F.lit(0)).alias("both"),
+        F.count("*").alias("win_n"), F.count(F.when(F.col("own"), 1)).alias("both_n"))
+    union, union_n = F.col("item_w") + F.col("win_w") - F.col("both"), F.col("item_n") + F.col("win_n") - F.col("both_n")
+    sims = sims.withColumn("weighted", F.lit(DEN) * F.col("both") >= F.lit(NUM) * union)
+    sims = sims.where(F.col("weighted") | F.lit(plain) & (F.lit(DEN) * F.col("both_n") >= F.lit(NUM) * union_n)).withColumn(
+        "similarity", F.round(F.when(F.col("weighted"), F.col("both") / union).otherwise(F.col("both_n") / union_n), 6))
     best = sims.groupBy("row_key", "doc_id", "item_id").agg(
-        F.max(F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col("s")).alias("s"), "m")).alias("x"))
+        F.max(F.struct("weighted", "similarity", (-F.col("distance")).alias("d"), (-F.col("s")).alias("s"), "m")).alias("x"))
     out = best.select("doc_id", "item_id", (-F.col("x.s")).cast("long").alias("start_word"),
                       (F.col("x.m") - F.col("x.s") + (SHINGLE - 1)).cast("long").alias("end_word"),
                       (-F.col("x.d")).alias("distance"), "x.similarity", "row_key")
@@ -170,7 +179,7 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, id_col: str =
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that leak an item; all columns as they were."""
-    found = leaks(docs, items, id_col=id_col, text_col=text_col).select(F.col("row_key").alias("_leak")).distinct()
+    """``docs`` without the rows that leak an item, by weight or plainly; all columns as they were."""
+    found = leaks(docs, items, id_col=id_col, text_col=text_col, plain=True).select(F.col("row_key").alias("_leak")).distinct()
     found = broadcast_within(found, found.count(), BROADCAST_DOCS)
     return docs.join(found, row_key(id_col, text_col) == F.col("_leak"), "left_anti")

@@ -143,4 +143,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_decontamination")
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a window that is a benchmark item, and where."""
-    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), plain=True).drop("row_key")

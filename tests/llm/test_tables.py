@@ -271,6 +271,26 @@ def test_leaks(spark, bound, monkeypatch):
     assert decontam.leaks(docs.limit(0), its).count() == 0 and decontam.leaks(docs, its.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_near_copies_of_repeated_and_templated_items_leak(spark, bound, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_SHINGLES", bound)
+    rnd = random.Random(21)
+    words = lambda n: ["w%d" % rnd.randrange(10 ** 6) for _ in range(n)]
+    once, twice, four, template = (words(50) for _ in range(4))
+    items = [(1, once), (2, twice), (3, twice), *[(k, four) for k in range(4, 8)],
+             *[(k, template + words(3)) for k in range(10, 16)]]       # they differ in three words at the end
+    its = spark.createDataFrame([(i, " ".join(t) + "!" * (i == 3)) for i, t in items], "item_id long, text string")
+    near = lambda t: t[:25] + ["other"] + t[26:]
+    rows = [(1, near(once)), (2, near(twice)), (3, near(four)), (4, words(9) + near(items[-1][1]) + words(9)), (5, words(60)), (6, template[:30] + words(23))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    found = decontam.leaks(docs, its, plain=True).collect()
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, its).collect()} >= {(1, 1), (2, 2), (2, 3), *[(3, k) for k in range(4, 8)]}
+    pairs = {(r.doc_id, r.item_id) for r in found}
+    assert pairs >= {(1, 1), (2, 2), (2, 3), *[(3, k) for k in range(4, 8)], (4, 15)} and {d for d, _ in pairs} == {1, 2, 3, 4}
+    assert {r.similarity for r in found if r.doc_id < 4} == {round(41 / 51, 6)} and all(r.similarity >= 0.75 for r in found)
+    assert {r.doc_id for r in decontam.decontaminate(docs, its).collect()} == {5, 6}
+
+
 def test_hamming_blocks_find_every_pair_within_the_radius(spark):
     rnd = random.Random(6)
     pairs = []
