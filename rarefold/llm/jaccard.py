@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release, shared_dir
-from .common import broadcast_within
+from .common import broadcast_within, row_key
 from .components import components
 from .words import chunks, mix, window_hash
 
@@ -195,7 +195,8 @@ def _survey(heavy):
                     b.column(0).slice(w.first, w.n_docs), pa.array(n.astype(np.int64)), pa.array(sid.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(p))).astype(np.int32)),
                                              pa.array(h[keep].view(np.int64))),
-                    sketches], names=["doc_id", "n", "sid", "prefix", "sketch"])
+                    sketches, *[c.slice(w.first, w.n_docs) for c in b.columns[2:]]],
+                    names=["doc_id", "n", "sid", "prefix", "sketch", *b.schema.names[2:]])
     return run
 
 
@@ -393,12 +394,22 @@ def similar_documents(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id
     keep their rows, each with the links of its own text; null ids are ignored
     by the minimum, and a component of such rows only has a null id. An empty
     table gives no rows; other columns are ignored."""
+    out = _linked(docs, block, id_col, text_col)
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles",
+                      F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+
+
+def _linked(docs: DataFrame, block: int, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` with ``NO_ID`` for null; ``keyed``
+    rows also have their ``row_key`` and ``label``, which names their component
+    (null without shingles)."""
     spark = docs.sparkSession
     shared_dir(spark)
+    key, label = (["row_key"], ["label"]) if keyed else ([], [])
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"),
-                        F.col(text_col).alias("text"))
+                        F.col(text_col).alias("text"), *[row_key(id_col, text_col).alias(k) for k in key])
     heavy = spark.sparkContext.broadcast(heavy_shingles(texts.select("text")))
-    seen = materialize(texts.mapInArrow(_survey(heavy), NODE_SCHEMA), "shingle-survey")
+    seen = materialize(texts.mapInArrow(_survey(heavy), NODE_SCHEMA + ", row_key long" * keyed), "shingle-survey")
     nodes = seen.where("n > 0").select("doc_id", "sid")
     sketches = seen.where("n > 0").select("sid", "n", "sketch").dropDuplicates(["sid"])
     one = nodes.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
@@ -423,28 +434,35 @@ def similar_documents(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id
     named = one.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     named = named.select("sid", "label", "doc_id")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = materialize(named.select("sid", "label").join(least, "label").select("sid", "component_id"), "components")
-    out = (seen.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("_s"))
+    of = materialize(named.select("sid", "label").join(least, "label").select("sid", "component_id", *label), "components")
+    out = (seen.select("doc_id", F.col("n").alias("n_shingles"), *key, F.when(F.col("n") > 0, F.col("sid")).alias("_s"))
            .withColumn("_k", F.coalesce(F.concat(F.lit("k"), F.col("_s")), F.concat(F.lit("n"), F.col("doc_id"))))
-           .join(of.select(F.concat(F.lit("k"), F.col("sid")).alias("_k"), "component_id"), "_k", "left"))
+           .join(of.select(F.concat(F.lit("k"), F.col("sid")).alias("_k"), "component_id", *label), "_k", "left"))
     release(met)
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_shingles",
-                      F.nullif(F.coalesce("component_id", "doc_id"), F.lit(NO_ID)).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *key, *label)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id. Of rows
-    that repeat an id and a text one stays; rows without an id all stay."""
-    found = similar_documents(docs, id_col=id_col, text_col=text_col)
-    out = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_out")).distinct(), "near-copies")
-    kept = docs.join(broadcast_within(out, out.count(), BROADCAST_DOCS), F.col(id_col).cast("long") == F.col("_out"),
-                     "left_anti")
-    again = materialize(kept.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).count()
-                        .where("count > 1").select("_id"), "repeated-ids")
+    """``docs`` with one row of each component: that of the smallest id, and of
+    rows that share it that of the smallest ``row_key``. Rows that repeat an id are
+    judged each by its own text; rows without an id come after all others, so of a
+    component without ids one stays too. Of rows that repeat an id and a text one
+    stays; rows with neither an id nor a word all stay."""
+    found = materialize(_linked(docs, BLOCK, id_col, text_col, keyed=True), "linked-rows")
+    tied = materialize(found.where("n_shingles > 0 and doc_id = component_id").groupBy("label")
+                       .agg(F.min("row_key").alias("first"), F.max("row_key").alias("last"))
+                       .where("first <> last").select("label", "first"), "tied-rows")
+    later = found.where("doc_id = component_id").join(broadcast_within(tied, tied.count(), BROADCAST_DOCS), "label").where("row_key <> first")
+    out = materialize(found.where("component_id <> doc_id").select(F.col("row_key").alias("_out"))
+                      .unionByName(later.select(F.col("row_key").alias("_out"))).distinct(), "near-copies")
+    mine = row_key(id_col, text_col)
+    kept = docs.join(broadcast_within(out, out.count(), BROADCAST_DOCS), mine == F.col("_out"), "left_anti")
+    again = materialize(found.where((F.col("n_shingles") > 0) | (F.col("doc_id") != NO_ID)).groupBy(F.col("row_key").alias("_key")).count()
+                        .where("count > 1").select("_key").join(out, F.col("_key") == F.col("_out"), "left_anti"), "repeated-rows")
     n = again.count()
     if not n:
         return kept
-    same = F.col(id_col) == F.col("_id")
+    same = mine == F.col("_key")
     again = broadcast_within(again, n, BROADCAST_DOCS)
     return kept.join(again, same, "left_anti").unionByName(
         kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -198,6 +198,24 @@ def test_keep_one(spark):
     assert jaccard.similar_documents(docs(spark, [])).count() == 0
 
 
+def test_keep_one_judges_each_row_of_a_repeated_id(spark):
+    rnd = random.Random(17)
+    words = lambda: ["q%d" % rnd.randrange(10 ** 6) for _ in range(60)]
+    near = lambda t: " ".join(t[:30] + ["other"] + t[31:])
+    a, b, c, e, f = (words() for _ in range(5))
+    rows = [(1, " ".join(a)), (5, near(a)), (5, "unique " * 3 + "text here and there"),       # 5's other text stays
+            (7, " ".join(c)), (9, near(c)), (7, near(b)), (2, " ".join(b)),                   # 7 is kept for c, dropped for b
+            (None, " ".join(e)), (None, near(e)), (None, " ".join(e)),                        # one without ids
+            (11, " ".join(f)), (11, near(f)), (11, " ".join(f)), (None, near(f)),             # one of a tied id
+            (None, None), (None, ""), (None, None), (12, ""), (12, "")]
+    got = [(r.doc_id, r.text) for r in jaccard.keep_one(docs(spark, rows)).collect()]
+    assert sum(i == 11 for i, _ in got) == 1
+    one = [t for i, t in got if i is None and t]
+    assert len(one) == 1 and one[0] in (" ".join(e), near(e))
+    rest = [r for r in got if r[0] != 11 and not (r[0] is None and r[1])]
+    assert sorted(rest, key=str) == sorted([rows[0], rows[2], rows[3], rows[6], (None, None), (None, ""), (None, None), (12, "")], key=str)
+
+
 def test_trees_find_every_pair_of_one_group():
     rnd = np.random.default_rng(3)
     base = rnd.choice(1 << 40, 300, replace=False).astype(np.uint64)
