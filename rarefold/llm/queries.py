@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontam, jaccard, licenses, packing, quality, repeats, rules, toxicity, urlfilter, warc
-from .common import table
+from . import (alignment, decontam, dedup, interaction, jaccard, licenses, packing, quality, repeats, rules, toxicity, urlfilter,
+               warc)
+from .common import LOWER, UPPER, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -144,3 +145,51 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a window that is a benchmark item, and where."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), plain=True).drop("row_key")
+
+
+SQL_OP11 = f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
+
+
+@register("op11_exact_dedup", SQL_OP11)
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the one of their equal texts that stays."""
+    return dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL_OP12 = r"""WITH l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+m AS (SELECT part, [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws),
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), doc_id > first] AS f,
+  count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+  FROM w LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT part, filter_order, step, ascii(substr(filter_order, step, 1)) - 64 AS own, f, n, n_good, n_toxic, f[own] AS fails,
+  list_contains([f[ascii(substr(filter_order, i, 1)) - 64] FOR i IN range(1, step)], true) AS gone
+  FROM m, o, (SELECT unnest(range(1, 6)) AS step)),
+g AS (SELECT part, filter_order, step::INTEGER AS step, own, sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN gone AND fails THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN fails AND len([v FOR v IN f IF v]) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN NOT gone AND fails THEN n_good ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN NOT gone AND fails THEN n_toxic ELSE 0 END)::BIGINT AS toxic_lost FROM s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, good_lost, toxic_lost, unique_fails,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM g"""
+
+
+@register("op12_filter_interaction", SQL_OP12)
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents in all 120 orders, by language."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return interaction.audit(table(spark, sf_dir, "documents"), labels)
+
+
+@register("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the common token ends and links of two tokenizers."""
+    import public_tokenizers
+    return alignment.alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.path("piece_bpe_32k.model"))
