@@ -1,6 +1,13 @@
-"""Exact k nearest neighbours (G1-G3) on the block grid.
+"""Exact k nearest neighbours (G1-G3) on Voronoi cells.
 
-Per cell, NumPy ranks the right block for every left row with the Gram form,
+Training rows live in the Voronoi cells of their key (``voronoi``), each in one
+cell. Round 1 searches every query's own cell, which gives a k-th distance;
+with the bound that cell sizes and radii give, it limits how far a neighbour can
+be. Round 2 sends the query only to the cells that can hold a row within that
+limit. A key with few rows has one cell and no second round.
+
+A cell is searched on the block grid (``blocks``), so a hot cell is many tasks.
+Per grid cell NumPy ranks the right block for every left row with the Gram form,
 keeps every candidate within a tolerance of the k-th, re-measures those
 exactly as ``sqrt(sum((x - y)^2))`` and emits at most k rows per left row.
 The final top-k per left row is a window ``row_number() <= k`` over
@@ -9,7 +16,7 @@ The final top-k per left row is a window ``row_number() <= k`` over
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .blocks import column, grid, matrix
+from .voronoi import (SLACK, Cells, assign, by_key, cell_stats, distances, key_string, lower_bounds, pivots,
+                      upper_bound)
 
 CHUNK = 1024  # left rows per NumPy step inside a cell (bounds memory)
 
@@ -79,16 +89,95 @@ def _cell_topk(k: int, exclude_self: bool, key_fields: list[T.StructField],
     return fn
 
 
+def _search(q: DataFrame, t: DataFrame, keys: list[str], k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """At most ``k`` candidates per query and grid cell of (keys, _cell)."""
+    lrep, rrep, gcols = grid(q, t, keys + ["_cell"], "_qid", "_tuid", block_rows)
+    key_fields = [lrep.schema[c] for c in keys]
+    out_schema = T.StructType(
+        key_fields + [T.StructField("qid", T.LongType()), T.StructField("nbr_id", T.LongType()),
+                      T.StructField("nbr_uid", T.LongType()),
+                      T.StructField("nbr_label", T.IntegerType()),
+                      T.StructField("d2", T.DoubleType())])
+    fn = _cell_topk(k, exclude_self, key_fields, out_schema)
+    return lrep.groupBy(*gcols).cogroup(rrep.groupBy(*gcols)).applyInArrow(fn, out_schema)
+
+
+def _own_cells(q: DataFrame, cells: dict[str, Cells], keys: list[str]) -> DataFrame:
+    """``q`` with ``_cell``: the cell with training rows whose pivot is nearest."""
+    bc = q.sparkSession.sparkContext.broadcast(cells)
+    d = q.withColumn("_k", key_string(keys))
+    schema = T.StructType(list(d.schema.fields) + [T.StructField("_cell", T.IntegerType())])
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            t = pa.Table.from_batches([b])
+            X, cell = matrix(t, "_f"), np.zeros(b.num_rows, np.int32)
+            for key, i in by_key(t):
+                c = bc.value.get(key)
+                if c is not None and len(c.P) > 1:
+                    cell[i] = np.where(c.n[None, :] > 0, distances(X[i], c.P), np.inf).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays(list(b.columns) + [pa.array(cell)], names=list(b.schema.names) + ["_cell"])
+
+    return d.mapInArrow(fn, schema).drop("_k")
+
+
+def _further_cells(q: DataFrame, cells: dict[str, Cells], keys: list[str], k: int) -> DataFrame:
+    """Round 2: ``q`` (with ``_cell``, and ``_kth``: the k-th distance found
+    there, or null) once for every other cell that can hold a neighbour."""
+    bc = q.sparkSession.sparkContext.broadcast(cells)
+    d = q.withColumn("_k", key_string(keys))
+    out = [f for f in q.schema.fields if f.name != "_kth"]
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            t = pa.Table.from_batches([b])
+            X, own = matrix(t, "_f"), column(t, "_cell")
+            kth = t.column("_kth").combine_chunks().fill_null(np.inf).to_numpy(zero_copy_only=False)
+            rows, to = [], []
+            for key, i in by_key(t):
+                c = bc.value.get(key)
+                if c is None or len(c.P) == 1:
+                    continue
+                for s in range(0, len(i), CHUNK):
+                    at = i[s:s + CHUNK]
+                    D = distances(X[at], c.P)
+                    limit = np.minimum(kth[at], upper_bound(c, D, k))
+                    near = lower_bounds(c, D) <= (limit + SLACK * (1.0 + D.max(axis=1)))[:, None]
+                    near &= (c.n > 0)[None, :]
+                    near[np.arange(len(at)), own[at]] = False
+                    r, j = np.nonzero(near)
+                    rows.append(at[r])
+                    to.append(j.astype(np.int32))
+            if rows:
+                part = b.take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(to)) if f.name == "_cell" else part.column(part.schema.get_field_index(f.name)) for f in out],
+                    names=[f.name for f in out])
+
+    return d.mapInArrow(fn, T.StructType(out))
+
+
+def _top(cand: DataFrame, keys: list[str], k: int) -> DataFrame:
+    w = Window.partitionBy(*keys, "qid").orderBy("d2", "nbr_id", "nbr_uid")
+    return cand.withColumn("nbr_rank", F.row_number().over(w)).filter(F.col("nbr_rank") <= k)
+
+
 def knn(queries: DataFrame, train: DataFrame, k: int = 5, *,
         key_cols: Sequence[str] = (), id_col: str = "id", feat_col: str = "features",
         label_col: str = "label", train_uid: str | None = None,
-        exclude_self: bool = False, block_rows: int = 2048) -> DataFrame:
+        exclude_self: bool = False, block_rows: int = 2048, cell_rows: int | None = None) -> DataFrame:
     """G1: the ``k`` nearest ``train`` rows (Euclidean) of every query row,
     inside ``key_cols``. Ties by (distance, train id, train uid).
 
-    Output: ``key_cols, qid, nbr_rank, nbr_id, nbr_label, dist``.
-    ``train_uid`` names a unique long per train row when ids repeat (bags).
-    """
+    Output: ``key_cols, qid, nbr_rank, nbr_id, nbr_label, dist``. A query whose
+    key has no training row gets one row in which the neighbour's columns are
+    null (``knn_predict``: no probability, no prediction).
+    ``train_uid`` names a unique long per train row when ids repeat (bags);
+    ``cell_rows`` is the number of training rows meant for a cell (default: a block)."""
     keys = list(key_cols)
     uid = train_uid or id_col
     q = queries.select(*keys, F.col(id_col).cast("long").alias("_qid"),
@@ -97,29 +186,32 @@ def knn(queries: DataFrame, train: DataFrame, k: int = 5, *,
                      F.col(uid).cast("long").alias("_tuid"),
                      F.col(label_col).cast("int").alias("_tlab"),
                      F.col(feat_col).cast("array<double>").alias("_f"))
-    lrep, rrep, gcols = grid(q, t, keys, "_qid", "_tuid", block_rows)
-    gkeys = gcols[:-2]
-    key_fields = [lrep.schema[c] for c in gkeys]
-    out_schema = T.StructType(
-        key_fields + [T.StructField("qid", T.LongType()), T.StructField("nbr_id", T.LongType()),
-                      T.StructField("nbr_uid", T.LongType()),
-                      T.StructField("nbr_label", T.IntegerType()),
-                      T.StructField("d2", T.DoubleType())])
-    fn = _cell_topk(k, exclude_self, key_fields, out_schema)
-    cand = lrep.groupBy(*gcols).cogroup(rrep.groupBy(*gcols)).applyInArrow(fn, out_schema)
-    w = Window.partitionBy(*gkeys, "qid").orderBy("d2", "nbr_id", "nbr_uid")
-    top = (cand.withColumn("nbr_rank", F.row_number().over(w))
-           .filter(F.col("nbr_rank") <= k)
-           .withColumn("dist", F.sqrt("d2")))
+    pv = pivots(t, keys, "_tuid", "_f", cell_rows or block_rows)
+    if all(len(p) == 1 for p in pv.values()):        # one cell a key: the grid alone
+        one = lambda df: df.withColumn("_cell", F.lit(0))
+        top = _top(_search(one(q), one(t), keys, k, exclude_self, block_rows), keys, k)
+    else:
+        t = materialize(assign(t, pv, keys, "_f"), "knn-cells")
+        cells = cell_stats(t, pv, keys)
+        q = materialize(_own_cells(q, cells, keys), "knn-queries")
+        first = materialize(_top(_search(q, t, keys, k, exclude_self, block_rows), keys, k).drop("nbr_rank"), "knn-first")
+        kth = first.groupBy(*keys, F.col("qid").alias("_qid")).agg(
+            F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).alias("_kth"))
+        further = _further_cells(q.join(kth, on=keys + ["_qid"], how="left"), cells, keys, k + exclude_self)
+        top = _top(_search(further, t, keys, k, exclude_self, block_rows).unionByName(first), keys, k)
     cols = keys + ["qid", "nbr_rank", "nbr_id", "nbr_label", "dist"]
     if train_uid:
         cols.insert(len(keys) + 3, "nbr_uid")
-    return top.select(*cols)
+    top = top.withColumn("dist", F.sqrt("d2")).select(*cols)
+    known = F.broadcast(q.sparkSession.createDataFrame([(x,) for x in pv], "_k string"))    # one row per key
+    alone = q.select(*keys, F.col("_qid").alias("qid"), key_string(keys).alias("_k")).join(known, on="_k", how="left_anti")
+    return top.unionByName(alone.drop("_k"), allowMissingColumns=True)
 
 
 def knn_predict(neigh: DataFrame, key_cols: Sequence[str] = ()) -> DataFrame:
     """Uniform vote of the neighbours: ``proba`` = share of positives,
-    ``pred`` = 1 when it exceeds one half (binary labels 0/1)."""
+    ``pred`` = 1 when it exceeds one half (binary labels 0/1); both are null
+    for a query without neighbours."""
     keys = list(key_cols)
     return (neigh.groupBy(*keys, "qid")
             .agg(F.avg(F.col("nbr_label").cast("double")).alias("proba"))
@@ -128,10 +220,10 @@ def knn_predict(neigh: DataFrame, key_cols: Sequence[str] = ()) -> DataFrame:
 
 def target_neighbors(df: DataFrame, k: int = 3, *, key_cols: Sequence[str] = (),
                      id_col: str = "id", feat_col: str = "features",
-                     label_col: str = "label", block_rows: int = 2048) -> DataFrame:
+                     label_col: str = "label", block_rows: int = 2048, cell_rows: int | None = None) -> DataFrame:
     """The k nearest rows of the same class (self excluded)."""
     keys = list(key_cols)
     d = df.withColumn("_cls", F.col(label_col).cast("int"))
     return knn(d, d, k, key_cols=keys + ["_cls"], id_col=id_col, feat_col=feat_col,
-               label_col=label_col, exclude_self=True, block_rows=block_rows
-               ).withColumnRenamed("_cls", "label")
+               label_col=label_col, exclude_self=True, block_rows=block_rows, cell_rows=cell_rows
+               ).where("nbr_rank IS NOT NULL").withColumnRenamed("_cls", "label")
