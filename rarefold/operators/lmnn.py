@@ -7,13 +7,21 @@ with j one of the k nearest same-class rows of i (fixed in input space) and
 l any row of another class. Gradient: 2 L G with
     G = (1 - mu) sum_ij C_ij + mu * sum_active (C_ij - C_il),  C_ab = (xa - xb)(xa - xb)^T.
 
-Layout: rows of class c (with their k target neighbours) meet rows of every
-other class on the block grid (``blocks.grid``). Each cell is packed once
-into one row of NumPy blobs and the packed table is written to the
-shared folder; every iteration is then one ``mapInArrow`` pass over the cells
-(no shuffle of rows) that emits per-partition d x d partial sums, added by a
-grouped aggregate. The driver holds only L and G per member. Members (bags,
-rounds, folds) are a key column, so many models train in the same jobs.
+Layout. The rows of a (member, class) are cut into blocks of at most about
+``block_rows`` rows along its Voronoi cells, and every block is written once, as
+one row of NumPy buffers: its vectors and their target vectors. What meets is a
+list of block pairs, ids only. A pair is left out when no row of its right
+block can be an impostor of its left one: the blocks' centroids are further
+apart under the map than both radii and the widest margin together. The bound
+is taken with room for maps near the one it was taken at (``ROOM``), so the
+active pairs stay exact until the map has moved that far, and are then taken
+anew. Active pairs are dealt in tiles of ``TILE`` x ``TILE`` blocks; a tile's task
+emits d x d partial sums, added JVM-side. Tiles are kept in Spark's cache between
+refreshes while they take at most ``KEEP`` times the blocks' rows; beyond that
+every iteration shuffles the blocks to their tiles again, so what is stored
+stays linear in the rows. The driver holds L and G per member and a centroid,
+radius and margin per block. Members (bags, rounds, folds) are a key column, so
+many models train in the same jobs.
 
 The objective is divided by the number of target pairs, so the learning rate
 does not depend on the data size.
@@ -26,15 +34,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize, release
-from .blocks import column, grid, matrix
+from . import voronoi
+from .blocks import column, matrix
 from .neighbors import target_neighbors
 
 CHUNK = 512
+#: How much longer or shorter a vector may get under a later map before the
+#: active block pairs are taken anew.
+ROOM = 1.25
+TILE = 4            # blocks a side of a tile
+KEEP = 8            # tiles' rows in cache, as a multiple of the blocks' rows
 
 
 def _member(df: DataFrame, member_col: str | None) -> DataFrame:
@@ -42,48 +57,41 @@ def _member(df: DataFrame, member_col: str | None) -> DataFrame:
     return df.withColumn("_m", m)
 
 
-def _pack_cells(rows: DataFrame, tn: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """(_m, _cls) cells of [rows of class c + their targets] x [rows of other classes]."""
+_BLOCK = T.StructType([
+    T.StructField("_m", T.StringType()), T.StructField("_cls", T.IntegerType()), T.StructField("_b", T.StringType()),
+    T.StructField("n", T.IntegerType()), T.StructField("d", T.IntegerType()), T.StructField("ids", T.BinaryType()),
+    T.StructField("xi", T.BinaryType()), T.StructField("xt", T.BinaryType()), T.StructField("tm", T.BinaryType())])
+
+
+def _pack_blocks(rows: DataFrame, tn: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """One row per block of a (member, class): ids, vectors and target vectors."""
+    keys = ["_m", "label"]
+    pv = voronoi.pivots(rows, keys, "id", "features", block_rows)
+    cells = voronoi.assign(rows, pv, keys, "features")
+    # a cell with more rows than a block is cut by hash; one row per (member, class, cell)
+    per = F.broadcast(cells.groupBy(*keys, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("_nb")))
+    placed = cells.join(per, keys + ["_cell"]).withColumn(
+        "_b", F.concat_ws(".", F.format_string("%05d", "_cell"), F.pmod(F.xxhash64("id"), "_nb")))
     tgt = tn.groupBy("_m", "qid").agg(
         F.sort_array(F.collect_list(F.struct("nbr_rank", "_xj"))).alias("_t"))  # <= k each
-    left = (rows.join(tgt.withColumnRenamed("qid", "id"), on=["_m", "id"], how="left")
-            .select("_m", F.col("label").cast("int").alias("_cls"), "id", "features",
-                    F.coalesce(F.transform("_t", lambda s: s["_xj"]),
-                               F.array().cast("array<array<double>>")).alias("_xt")))
-    classes = [r[0] for r in rows.select(F.col("label").cast("int")).distinct().collect()]
-    right = rows.select("_m", F.col("id").alias("lid"), F.col("features").alias("lx"),
-                        F.explode(F.array_remove(F.array(*[F.lit(c) for c in classes]),
-                                                 F.col("label").cast("int"))).alias("_cls"))
-    lrep, rrep, gcols = grid(left, right, ["_m", "_cls"], "id", "lid", block_rows)
-    schema = T.StructType([
-        T.StructField("_m", T.StringType()), T.StructField("_cls", T.IntegerType()),
-        T.StructField("_lb", T.IntegerType()), T.StructField("_rb", T.IntegerType()),
-        T.StructField("d", T.IntegerType()), T.StructField("k", T.IntegerType()),
-        T.StructField("ids", T.BinaryType()), T.StructField("xi", T.BinaryType()),
-        T.StructField("xt", T.BinaryType()), T.StructField("tm", T.BinaryType()),
-        T.StructField("xl", T.BinaryType())])
-
-    def pack(key, lt: pa.Table, rt: pa.Table) -> pa.Table:
-        if lt.num_rows == 0 or rt.num_rows == 0:
-            return pa.Table.from_pylist([], schema=_arrow(schema))
-        Xi = matrix(lt, "features")
-        Xl = matrix(rt, "lx")
-        d = Xi.shape[1]
-        q = Xi.shape[0]
-        Xt = np.zeros((q, k, d))
-        tm = np.zeros((q, k), dtype=bool)
-        for r, lst in enumerate(lt.column("_xt").to_pylist()):
-            for j, v in enumerate(lst[:k]):
-                Xt[r, j] = v
-                tm[r, j] = True
-        ids = column(lt, "id").astype(np.int64)
-        row = {"_m": [key[0].as_py()], "_cls": [key[1].as_py()], "_lb": [key[2].as_py()],
-               "_rb": [key[3].as_py()], "d": [d], "k": [k], "ids": [ids.tobytes()],
-               "xi": [Xi.tobytes()], "xt": [Xt.tobytes()], "tm": [tm.tobytes()],
-               "xl": [Xl.tobytes()]}
-        return pa.Table.from_pydict(row, schema=_arrow(schema))
-
-    return lrep.groupBy(*gcols).cogroup(rrep.groupBy(*gcols)).applyInArrow(pack, schema)
+    placed = placed.join(tgt.withColumnRenamed("qid", "id"), on=["_m", "id"], how="left").select(
+        "_m", F.col("label").alias("_cls"), "_b", "id", "features",
+        F.coalesce(F.size("_t"), F.lit(0)).alias("_nt"),
+        F.coalesce(F.flatten(F.transform("_t", lambda s: s["_xj"])), F.array().cast("array<double>")).alias("_xt"))
+
+    def pack(key, t):
+        X = matrix(t, "features")
+        n, d = X.shape
+        nt = np.clip(column(t, "_nt"), 0, k)
+        tm = np.arange(k)[None, :] < nt[:, None]
+        Xt = np.zeros((n, k, d))
+        Xt[tm] = t.column("_xt").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        return pa.Table.from_pydict(
+            {"_m": [key[0].as_py()], "_cls": [key[1].as_py()], "_b": [key[2].as_py()], "n": [n], "d": [d],
+             "ids": [column(t, "id").astype(np.int64).tobytes()], "xi": [X.tobytes()], "xt": [Xt.tobytes()],
+             "tm": [tm.tobytes()]}, schema=_arrow(_BLOCK))
+
+    return placed.groupBy("_m", "_cls", "_b").applyInArrow(pack, _BLOCK)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -92,14 +100,134 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def _unpack(r: dict):
-    d, k = r["d"], r["k"]
     ids = np.frombuffer(r["ids"], dtype=np.int64)
-    q = len(ids)
-    Xi = np.frombuffer(r["xi"]).reshape(q, d)
-    Xt = np.frombuffer(r["xt"]).reshape(q, k, d)
-    tm = np.frombuffer(r["tm"], dtype=bool).reshape(q, k)
-    Xl = np.frombuffer(r["xl"]).reshape(-1, d)
-    return ids, Xi, Xt, tm, Xl
+    n, d = r["n"], r["d"]
+    tm = np.frombuffer(r["tm"], dtype=bool).reshape(n, -1)
+    return (ids, np.frombuffer(r["xi"]).reshape(n, d), np.frombuffer(r["xt"]).reshape(n, tm.shape[1], d), tm)
+
+
+def _records(t) -> Iterator[dict]:
+    """Blocks of an Arrow table or batch, one at a time."""
+    for i in range(t.num_rows):
+        yield t.slice(i, 1).to_pylist()[0]
+
+
+@dataclass
+class Blocks:
+    """Written blocks, and their names on the driver: (member, class, block, rows)."""
+    table: DataFrame
+    names: list[tuple[str, int, str, int]]
+
+
+def _summaries(blocks: Blocks, maps: dict[str, np.ndarray]) -> dict[tuple, tuple]:
+    """Per block under its member's map: centroid, radius, and the largest
+    squared distance of a row to one of its targets. One linear pass."""
+    bc = blocks.table.sparkSession.sparkContext.broadcast(maps)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in _records(b):
+                _, X, Xt, tm = _unpack(r)
+                L = bc.value[r["_m"]]
+                Z = X @ L.T
+                c = Z.mean(axis=0)
+                dt = np.einsum("qkd,qkd->qk", D := (X[:, None, :] - Xt) @ L.T, D)
+                yield pa.RecordBatch.from_pydict(
+                    {"_m": [r["_m"]], "_cls": pa.array([r["_cls"]], pa.int32()), "_b": [r["_b"]],
+                     "v": [np.concatenate([c, [np.sqrt(((Z - c) ** 2).sum(axis=1).max()),
+                                               np.where(tm, dt, -np.inf).max(initial=-np.inf)]]).tolist()]})
+
+    got = blocks.table.mapInArrow(fn, "_m string, _cls int, _b string, v array<double>").collect()
+    out = {}
+    for r in got:                                             # n / block_rows rows
+        v = np.asarray(r["v"])
+        out[(r["_m"], r["_cls"], r["_b"])] = (v[:-2], v[-2], v[-1])
+    return out
+
+
+def active_pairs(blocks: Blocks, maps: dict[str, np.ndarray], room: float = ROOM) -> list[tuple[str, int, str, int, str]]:
+    """(member, class, block, other class, block) that can hold an impostor under
+    ``maps`` or any map that stretches no vector by more than ``room`` and
+    shrinks none by more, against ``maps``."""
+    by: dict[str, list] = {}
+    for m, c, b, _ in blocks.names:
+        if m in maps:
+            by.setdefault(m, []).append((c, b))
+    out = []
+    # a member with one block a class has nothing to leave out
+    wide = {m: own for m, own in by.items() if len(own) > len({c for c, _ in own})}
+    stats = _summaries(blocks, maps) if wide else {}
+    for m, own in by.items():
+        cls = np.array([c for c, _ in own])
+        meet = cls[:, None] != cls[None, :]
+        if m in wide:
+            c, r, far = (np.array(x) for x in zip(*(stats[(m, *o)] for o in own)))
+            # d0 / room <= d and far <= room^2 far0: beyond this no row of the right block is inside the margin
+            reach = room * np.sqrt(np.maximum(1.0 + room ** 2 * far, 0.0))
+            apart = voronoi.distances(c, c) - r[:, None] - r[None, :]
+            meet &= apart <= (reach * (1 + voronoi.SLACK) + voronoi.SLACK)[:, None]
+            meet &= np.isfinite(far)[:, None]
+        out += [(m, *own[i], *own[j]) for i, j in zip(*np.nonzero(meet))]
+    return out
+
+
+_TILE = T.StructType([T.StructField("_m", T.StringType()), T.StructField("left", T.ArrayType(T.StructType(
+    [f for f in _BLOCK.fields if f.name not in ("_m", "_cls", "_b")] + [T.StructField("meets", T.ArrayType(T.IntegerType()))]))),
+    T.StructField("right", T.ArrayType(T.BinaryType()))])
+
+
+def _dealt(blocks: Blocks, pairs: list[tuple]) -> tuple[dict, dict, int]:
+    """``pairs`` by tile: (tile, left block) -> right blocks, (tile, right block),
+    and the rows that all tiles read."""
+    at: dict[tuple, int] = {}
+    n: dict[tuple, int] = {}
+    size: dict[tuple, int] = {}
+    for m, c, b, rows in blocks.names:
+        at[(m, c, b)] = n.get((m, c), 0) // TILE
+        n[(m, c)] = n.get((m, c), 0) + 1
+        size[(m, c, b)] = rows
+    left: dict[tuple, list] = {}
+    right: dict[tuple, None] = {}
+    for m, c, b, c2, b2 in pairs:
+        tile = f"{m}/{c}/{at[(m, c, b)]}/{c2}/{at[(m, c2, b2)]}"
+        left.setdefault((tile, m, c, b), []).append(f"{c2}/{b2}")
+        right[(tile, m, c2, b2)] = None
+    return left, right, sum(size[x[1:]] for own in (left, right) for x in own)
+
+
+def _tiles(blocks: Blocks, pairs: list[tuple]) -> DataFrame:
+    """One row a tile: its left blocks, each with the places of the right blocks
+    that it meets, and the right blocks' vectors."""
+    spark = blocks.table.sparkSession
+    left, right, rows = _dealt(blocks, pairs)
+    lmap = spark.createDataFrame([(*x, y) for x, y in left.items()], "_tile string, _m string, _cls int, _b string, _with array<string>")
+    rmap = spark.createDataFrame(list(right), "_tile string, _m string, _cls int, _b string")
+    on = ["_m", "_cls", "_b"]
+    # ids only: a row per block and tile
+    lb = blocks.table.join(F.broadcast(lmap), on)
+    rb = blocks.table.select(*on, F.col("xi").alias("xl")).join(F.broadcast(rmap), on).select(
+        F.col("_tile").alias("_rt"), F.concat_ws("/", F.col("_cls").cast("string"), "_b").alias("_name"), "xl")
+
+    def pack(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        place = {name: i for i, name in enumerate(rt.column("_name").to_pylist())}
+        own = [{"n": r["n"], "d": r["d"], "ids": r["ids"], "xi": r["xi"], "xt": r["xt"], "tm": r["tm"],
+                "meets": [place[x] for x in r["_with"]]} for r in lt.to_pylist()]
+        return pa.Table.from_pydict({"_m": [lt.column("_m")[0].as_py()], "left": [own], "right": [rt.column("xl").to_pylist()]},
+                                    schema=_arrow(_TILE))
+
+    tiles = lb.groupBy("_tile").cogroup(rb.groupBy("_rt")).applyInArrow(pack, _TILE)
+    if rows <= KEEP * sum(x[-1] for x in blocks.names):
+        tiles = tiles.persist(StorageLevel.MEMORY_AND_DISK)
+    return tiles
+
+
+def _cells(t) -> Iterator[tuple]:
+    """(member, ids, Xi, Xt, tm, Xl) of every left block of a batch of tiles."""
+    for r in _records(t):
+        right = [np.frombuffer(x) for x in r["right"]]
+        for block in r["left"]:
+            ids, Xi, Xt, tm = _unpack(block)
+            yield r["_m"], ids, Xi, Xt, tm, np.concatenate([right[i] for i in block["meets"]]).reshape(-1, Xi.shape[1])
 
 
 def cell_terms(Xi, Xt, tm, Xl, L, mu):
@@ -157,109 +285,126 @@ def _vec_sum(part: DataFrame) -> DataFrame:
     return part.groupBy("_m").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
 
 
-def _target_stats(rows_t: DataFrame):
-    """Per member: sum_ij C_ij and the number of target pairs (one pass)."""
+def _target_stats(blocks: Blocks) -> dict[str, tuple[float, np.ndarray]]:
+    """Per member: the number of target pairs and sum_ij C_ij, in one linear pass."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[str, np.ndarray] = {}
-        cnt: dict[str, int] = {}
+        acc: dict[str, tuple] = {}
         for b in batches:
-            t = pa.Table.from_batches([b])
-            if t.num_rows == 0:
-                continue
-            ms = np.array(t.column("_m").to_pylist(), dtype=object)
-            Xi = matrix(t, "features")
-            Xj = matrix(t, "_xj")
-            D = Xi - Xj
-            for m in set(ms.tolist()):
-                sel = ms == m
-                Dm = D[sel]
-                acc[m] = acc.get(m, 0) + Dm.T @ Dm
-                cnt[m] = cnt.get(m, 0) + int(sel.sum())
-        for m, C in acc.items():
-            d = C.shape[0]
-            yield _mat_batch(m, float(cnt[m]), C)
-
-    return _vec_sum(rows_t.mapInArrow(fn, "_m string, v array<double>"))
-
-
-def _collect_mats(df: DataFrame, d: int | None = None) -> dict[str, tuple[float, np.ndarray]]:
-    """Per member ``(scalar, d x d)``; ``d`` is read off the vector length
-    (1 + d*d) when not given."""
+            for r in _records(b):
+                _, X, Xt, tm = _unpack(r)
+                D = (X[:, None, :] - Xt)[tm]
+                n, C = acc.get(r["_m"], (0, 0.0))
+                acc[r["_m"]] = n + len(D), C + D.T @ D
+        for m, (n, C) in acc.items():
+            yield _mat_batch(m, float(n), C)
+
+    return _collect_mats(_vec_sum(blocks.table.mapInArrow(fn, "_m string, v array<double>")))
+
+
+def _collect_mats(df: DataFrame) -> dict[str, tuple[float, np.ndarray]]:
+    """Per member ``(scalar, d x d)``."""
     out = {}
     for r in df.collect():  # one [scalar, d*d] vector per member: model-sized
         v = np.asarray(r["v"])
-        dd = d or int(round((len(v) - 1) ** 0.5))
-        out[r["_m"]] = (float(v[0]), v[1:].reshape(dd, dd))
+        d = int(round((len(v) - 1) ** 0.5))
+        out[r["_m"]] = (float(v[0]), v[1:].reshape(d, d))
     return out
 
 
-def _step_job(cells: DataFrame, maps: dict[str, np.ndarray], mu: float, spark) -> DataFrame:
-    bc = spark.sparkContext.broadcast(maps)
+def _step_job(tiles: DataFrame, maps: dict[str, np.ndarray], mu: float) -> DataFrame:
+    """Hinge sum and impostor gradient of the members in ``maps``."""
+    bc = tiles.sparkSession.sparkContext.broadcast(maps)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         Ls = bc.value
         acc: dict[str, np.ndarray] = {}
         hin: dict[str, float] = {}
         for b in batches:
-            for r in b.to_pylist():
-                ids, Xi, Xt, tm, Xl = _unpack(r)
-                G, h, _, _, _ = cell_terms(Xi, Xt, tm, Xl, Ls[r["_m"]], mu)
-                acc[r["_m"]] = acc.get(r["_m"], 0) + G
-                hin[r["_m"]] = hin.get(r["_m"], 0.0) + h
+            for m, _, Xi, Xt, tm, Xl in _cells(b):
+                if m not in Ls:
+                    continue
+                G, h, _, _, _ = cell_terms(Xi, Xt, tm, Xl, Ls[m], mu)
+                acc[m] = acc.get(m, 0) + G
+                hin[m] = hin.get(m, 0.0) + h
         for m, G in acc.items():
-            d = G.shape[0]
             yield _mat_batch(m, hin[m], G)
 
-    return _vec_sum(cells.mapInArrow(fn, "_m string, v array<double>"))
+    return _vec_sum(tiles.mapInArrow(fn, "_m string, v array<double>"))
 
 
-def prepare(df: DataFrame, k: int = 3, member_col: str | None = None,
-            block_rows: int = 2048, checkpoint: bool = True):
-    """Target neighbours, packed cells (checkpointed) and constant target sums."""
+def prepare(df: DataFrame, k: int = 3, member_col: str | None = None, block_rows: int = 2048) -> Blocks:
+    """Target neighbours (fixed through training) and the written blocks."""
     rows = _member(df.select(*([member_col] if member_col else []), "id",
                              F.col("features").cast("array<double>").alias("features"),
                              F.col("label").cast("int").alias("label")), member_col)
-    if checkpoint:
-        rows = materialize(rows, "lmnn-1")  # read by several passes below
-    tn = target_neighbors(rows.select("_m", "id", "features", "label"), k,
-                          key_cols=["_m"], block_rows=block_rows)
+    rows = materialize(rows.select("_m", "id", "features", "label"), "lmnn-rows")  # read by several passes below
+    tn = target_neighbors(rows, k, key_cols=["_m"], block_rows=block_rows)
     feats = rows.select("_m", F.col("id").alias("nbr_id"), F.col("features").alias("_xj"))
     tn = tn.join(feats, on=["_m", "nbr_id"], how="inner")
-    if checkpoint:
-        tn = materialize(tn, "lmnn-2")  # fixed through training; lineage cut
-    cells = _pack_cells(rows, tn, k, block_rows)
-    if checkpoint:
-        cells = materialize(cells, "lmnn-3")  # read once per iteration, no shuffle
-    pairs = tn.join(rows.select("_m", F.col("id").alias("qid"), "features"), on=["_m", "qid"])
-    tstats = _collect_mats(_target_stats(pairs.select("_m", "features", "_xj")))
-    d = next(iter(tstats.values()))[1].shape[0] if tstats else \
-        len(rows.select("features").first()[0])
-    release(rows, tn)   # cells are written and the target sums collected
-    return cells, tstats, d
+    table = materialize(_pack_blocks(rows, tn, k, block_rows), "lmnn-blocks")
+    names = sorted(tuple(r) for r in table.select("_m", "_cls", "_b", "n").collect())   # n / block_rows rows
+    release(rows)
+    return Blocks(table, names)
+
+
+def _moved(L: np.ndarray, since: np.ndarray) -> bool:
+    """Whether some vector is now more than ``ROOM`` times longer or shorter."""
+    if np.array_equal(L, since):
+        return False
+    if np.linalg.cond(since) > 1e10:
+        return True
+    s = np.linalg.svd(L @ np.linalg.inv(since), compute_uv=False)
+    return bool(s[0] > ROOM or s[-1] < 1.0 / ROOM)
+
+
+@dataclass
+class _Steps:
+    """What the stop rule knows of a member's accepted steps."""
+    taken: list[float] = field(default_factory=list)     # sizes of the last accepted steps
+    calm: int = 0
+
+    def done(self, step: float, change: float, tol: float) -> bool:
+        """A change below ``tol`` counts only at full step, at least half the
+        largest of the last ten accepted: one that was halved again and again
+        changes little for that reason alone. Two in a row end the fit."""
+        self.taken = [*self.taken, step][-10:]
+        self.calm = self.calm + 1 if change < tol and step >= 0.5 * max(self.taken) else 0
+        return self.calm >= 2
 
 
 def fit(df: DataFrame, k: int = 3, mu: float = 0.5, max_iter: int = 1000, min_iter: int = 10,
         learn_rate: float = 0.1, tol: float = 1e-3, member_col: str | None = None,
         init: dict[str, np.ndarray] | None = None, block_rows: int = 2048,
-        prepared=None) -> LMNNModel:
+        prepared: Blocks | None = None) -> LMNNModel:
     """Gradient descent on L per member; the step halves (and the step is
     retried from the last accepted L) when the objective rises, and grows by
-    a fifth after an accepted step. A member stops when an accepted step changes
-    its objective by less than ``tol`` of it; ``max_iter`` only guards the loop."""
-    spark = df.sparkSession
-    own = prepared is None
-    cells, tstats, d = prepared or prepare(df, k, member_col, block_rows)
+    a fifth after an accepted step. A member stops when two accepted full steps
+    in a row change its objective by less than ``tol`` of it (``_Steps``);
+    ``max_iter`` only guards the loop."""
+    blocks = prepared or prepare(df, k, member_col, block_rows)
+    tstats = _target_stats(blocks)
     members = sorted(tstats)
+    d = tstats[members[0]][1].shape[0] if members else len(df.select("features").first()[0])
     L = {m: (init[m].copy() if init and m in init else np.eye(d)) for m in members}
     lr = {m: learn_rate for m in members}
     best = {m: None for m in members}     # (f, L, grad) at the last accepted L
+    steps = {m: _Steps() for m in members}
     active = set(members)
+    classes = {(m, c) for m, c, _, _ in blocks.names}
+    wide = {m for m in members if sum(x[0] == m for x in blocks.names) > sum(x[0] == m for x in classes)}
     hist: list[dict] = []
+    since: dict[str, np.ndarray] = {}
+    tiles, refreshes = None, 0
     for it in range(max_iter):
         if not active:
             break
-        res = _collect_mats(_step_job(cells, {m: L[m] for m in members}, mu, spark), d)
+        if tiles is None or any(_moved(L[m], since[m]) for m in active & wide):
+            if tiles is not None:
+                tiles.unpersist()
+            since = {m: L[m].copy() for m in active}
+            tiles, refreshes = _tiles(blocks, active_pairs(blocks, since)), refreshes + 1
+        res = _collect_mats(_step_job(tiles, {m: L[m] for m in active}, mu))
         for m in sorted(active):
             npairs, Ct = tstats[m]
             hinge, Gimp = res.get(m, (0.0, np.zeros((d, d))))
@@ -271,30 +416,36 @@ def fit(df: DataFrame, k: int = 3, mu: float = 0.5, max_iter: int = 1000, min_it
             if accepted:
                 rel = abs(prev[0] - f) / max(abs(prev[0]), 1e-12) if prev else np.inf
                 best[m] = (f, L[m].copy(), G)
+                stop = steps[m].done(lr[m], rel, tol) and it + 1 >= min_iter
                 if prev is not None:
                     lr[m] *= 1.2
-                hist.append({"member": m, "iteration": it, "loss": f, "lr": lr[m], "accepted": True})
-                if it + 1 >= min_iter and rel < tol:
+                hist.append({"member": m, "iteration": it, "loss": f, "lr": lr[m], "accepted": True, "refreshes": refreshes})
+                if stop:
                     active.discard(m)
                     continue
             else:
                 lr[m] /= 2.0
-                hist.append({"member": m, "iteration": it, "loss": f, "lr": lr[m], "accepted": False})
+                hist.append({"member": m, "iteration": it, "loss": f, "lr": lr[m], "accepted": False, "refreshes": refreshes})
             f0, L0, G0 = best[m]
             L[m] = L0 - lr[m] * 2.0 * L0 @ G0
+    if tiles is not None:
+        tiles.unpersist()
     maps = {m: best[m][1] if best[m] else L[m] for m in members}
-    if own:
-        release(cells)
+    if prepared is None:
+        release(blocks.table)
     return LMNNModel(maps=maps, history=hist)
 
 
 def loss_terms(df: DataFrame, L: np.ndarray | None = None, k: int = 3, mu: float = 0.5,
                block_rows: int = 2048) -> tuple[float, float, float]:
     """G5 at a fixed L (identity by default): (pull, push, loss) in sum form."""
-    cells, tstats, d = prepare(df, k, None, block_rows, checkpoint=False)
-    L = np.eye(d) if L is None else L
-    res = _collect_mats(_step_job(cells, {"0": L}, mu, df.sparkSession), d)
-    npairs, Ct = tstats["0"]
+    blocks = prepare(df, k, None, block_rows)
+    npairs, Ct = _target_stats(blocks)["0"]
+    L = np.eye(len(Ct)) if L is None else L
+    tiles = _tiles(blocks, active_pairs(blocks, {"0": L}, room=1.0))
+    res = _collect_mats(_step_job(tiles, {"0": L}, mu))
+    tiles.unpersist()
+    release(blocks.table)
     pull = float(np.trace(L @ Ct @ L.T))
     hinge = res.get("0", (0.0, None))[0]
     return pull, hinge, (1 - mu) * pull + mu * hinge
@@ -303,21 +454,22 @@ def loss_terms(df: DataFrame, L: np.ndarray | None = None, k: int = 3, mu: float
 def impostor_counts(df: DataFrame, L: np.ndarray | None = None, k: int = 3,
                     block_rows: int = 2048) -> DataFrame:
     """G4 per row: impostors (other-class rows inside the furthest target's
-    margin) and active triplets ``1 + d_ij - d_il > 0``."""
-    cells, _, d = prepare(df, k, None, block_rows, checkpoint=False)
-    L = np.eye(d) if L is None else L
+    margin) and active triplets ``1 + d_ij - d_il > 0``. Rows of blocks that meet
+    no other one have none."""
+    blocks = prepare(df, k, None, block_rows)
+    L = np.eye(len(df.select("features").first()[0])) if L is None else L
+    tiles = _tiles(blocks, active_pairs(blocks, {"0": L}, room=1.0))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                ids, Xi, Xt, tm, Xl = _unpack(r)
+            for _, ids, Xi, Xt, tm, Xl in _cells(b):
                 _, _, _, ra, ri = cell_terms(Xi, Xt, tm, Xl, L, 0.5)
-                yield pa.RecordBatch.from_pydict(
-                    {"id": ids.tolist(), "n_impostors": ri.tolist(), "n_active": ra.tolist()})
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ri), pa.array(ra)], names=["id", "n_impostors", "n_active"])
 
-    part = cells.mapInArrow(fn, "id long, n_impostors long, n_active long")
-    return part.groupBy("id").agg(F.sum("n_impostors").alias("n_impostors"),
-                                  F.sum("n_active").alias("n_active"))
+    ddl = "id long, n_impostors long, n_active long"
+    none = df.select(F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("n_impostors"), F.lit(0).cast("long").alias("n_active"))
+    return tiles.mapInArrow(fn, ddl).unionByName(none).groupBy("id").agg(
+        F.sum("n_impostors").alias("n_impostors"), F.sum("n_active").alias("n_active"))
 
 
 def apply_map(df: DataFrame, maps: dict[str, np.ndarray] | np.ndarray, feat_col: str = "features",

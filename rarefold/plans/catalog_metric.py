@@ -21,7 +21,7 @@ tn AS (SELECT i, j, d2, r FROM (SELECT *, row_number() OVER (PARTITION BY i ORDE
 @register("g1_g3_target_neighbors", SQL_PAIRS + """
 SELECT i AS qid, CAST(r AS INTEGER) AS nbr_rank, j AS nbr_id, round(sqrt(d2), 6) AS dist FROM tn""")
 def g1_g3_target_neighbors(spark, sf):
-    tn = neighbors.target_neighbors(fx.vec_bin(spark, sf), 3)
+    tn = neighbors.target_neighbors(fx.vec_bin(spark, sf), 3, cell_rows=64)
     return tn.select("qid", "nbr_rank", "nbr_id", F.round("dist", 6).alias("dist"))
 
 
@@ -32,7 +32,7 @@ act AS (SELECT t.i, count(*) AS n FROM tn t JOIN pr p ON t.i = p.i AND NOT p.sam
 SELECT v.id, coalesce(imp.n, 0)::BIGINT AS n_impostors, coalesce(act.n, 0)::BIGINT AS n_active
 FROM vec_bin v LEFT JOIN imp ON v.id = imp.i LEFT JOIN act ON v.id = act.i""")
 def g4_impostors_identity(spark, sf):
-    return lmnn.impostor_counts(fx.vec_bin(spark, sf))
+    return lmnn.impostor_counts(fx.vec_bin(spark, sf), block_rows=256)
 
 
 @register("g5_lmnn_loss_identity", SQL_PAIRS + """,
@@ -41,7 +41,7 @@ pl AS (SELECT sum(d2) AS pull FROM tn)
 SELECT round(pull, 6) AS pull, round(push, 6) AS push, round(0.5 * pull + 0.5 * push, 6) AS loss FROM pl, h""")
 def g5_lmnn_loss_identity(spark, sf):
     v = fx.vec_bin(spark, sf)
-    pull, push, loss = lmnn.loss_terms(v)
+    pull, push, loss = lmnn.loss_terms(v, block_rows=256)
     # the three sums are computed by Spark jobs over the whole table
     return spark.createDataFrame([(round(pull, 6), round(push, 6), round(loss, 6))],
                                  "pull double, push double, loss double")

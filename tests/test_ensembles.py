@@ -126,3 +126,109 @@ def test_undersample_strategies(spark):
     assert count(resample.undersample(df)) == {0: 10, 1: 10}
     assert count(resample.undersample(df, strategy=0.5)) == {0: 20, 1: 10}
     assert count(resample.undersample(df, strategy={0: 33})) == {0: 33, 1: 10}
+
+
+def _numpy_lmnn(X, y, iterations, lr=0.1, k=3, mu=0.5):
+    """Plain LMNN descent: the same step rule, all triplets, no blocks."""
+    D = ((X[:, None] - X[None]) ** 2).sum(-1)
+    near = [sorted((j for j in range(len(y)) if y[i] == y[j] and j != i), key=lambda j: (D[i, j], j))[:k] for i in range(len(y))]
+    pairs = sum(map(len, near))
+
+    def terms(L):
+        Z = X @ L.T
+        f, G = 0.0, np.zeros((X.shape[1],) * 2)
+        for i in range(len(y)):
+            for j in near[i]:
+                dij = ((Z[i] - Z[j]) ** 2).sum()
+                C = np.outer(X[i] - X[j], X[i] - X[j])
+                f += (1 - mu) * dij
+                G += (1 - mu) * C
+                for l in np.flatnonzero(y != y[i]):
+                    h = 1 + dij - ((Z[i] - Z[l]) ** 2).sum()
+                    if h > 0:
+                        f += mu * h
+                        G += mu * (C - np.outer(X[i] - X[l], X[i] - X[l]))
+        return f / pairs, G / pairs
+
+    L, best = np.eye(X.shape[1]), None
+    for _ in range(iterations):
+        f, G = terms(L)
+        if best is None or f <= best[0]:
+            lr *= 1.2 if best else 1.0
+            best = (f, L.copy(), G)
+        else:
+            lr /= 2.0
+        L = best[1] - lr * 2.0 * best[1] @ best[2]
+    return best[1], best[0]
+
+
+@pytest.mark.parametrize("block_rows", [2048, 9])
+def test_lmnn_map_equals_numpy(spark, block_rows):
+    df, X, y = _planted(spark, 100)
+    model = lmnn.fit(df, max_iter=25, min_iter=25, tol=0.0, block_rows=block_rows)
+    L, f = _numpy_lmnn(X, y, 25)
+    assert np.allclose(model.maps["0"], L, atol=1e-8)
+    assert abs([h for h in model.history if h["accepted"]][-1]["loss"] - f) < 1e-9
+
+
+def _clusters(spark, n, seed=5):
+    """Two classes in clusters far apart: most block pairs hold no impostor."""
+    rng = np.random.default_rng(seed)
+    c = rng.normal(scale=30.0, size=(n // 20, 3))
+    which = rng.integers(0, len(c), n)
+    X, y = c[which] + rng.normal(scale=0.3, size=(n, 3)), (which % 2).astype(int)
+    return spark.createDataFrame([(i, [float(v) for v in X[i]], int(y[i])) for i in range(n)],
+                                 "id long, features array<double>, label int"), X, y
+
+
+def test_lmnn_leaves_out_pairs_without_impostors(spark):
+    df, X, y = _clusters(spark, 400)
+    blocks = lmnn.prepare(df, 3, None, 20)
+    every = {(m, c, b) for m, c, b, _ in blocks.names}
+    pairs = lmnn.active_pairs(blocks, {"0": np.eye(3)})
+    assert len(every) >= 16 and len(pairs) < 0.3 * len(every) ** 2 / 2
+    got = {r.id: (r.n_impostors, r.n_active) for r in lmnn.impostor_counts(df, block_rows=20).collect()}
+    assert got == {r.id: (r.n_impostors, r.n_active) for r in lmnn.impostor_counts(df).collect()} and len(got) == 400
+    a, b = (lmnn.fit(df, max_iter=12, min_iter=12, tol=0.0, block_rows=n) for n in (20, 2048))
+    assert np.allclose(a.maps["0"], b.maps["0"], atol=1e-8)
+    assert lmnn.loss_terms(df, block_rows=20) == pytest.approx(lmnn.loss_terms(df))
+
+
+def test_lmnn_room_covers_nearby_maps(spark):
+    """Pairs taken at one map hold all impostors of a map within ``ROOM`` of it."""
+    df, X, y = _clusters(spark, 300, seed=6)
+    blocks = lmnn.prepare(df, 3, None, 15)
+    rng = np.random.default_rng(1)
+    L0 = np.eye(3) + 0.1 * rng.normal(size=(3, 3))
+    L1 = L0 @ (np.eye(3) + 0.05 * rng.normal(size=(3, 3)))
+    assert not lmnn._moved(L1, L0) and lmnn._moved(1.3 * L0, L0) and lmnn._moved(L0 / 1.3, L0)
+    near = set(lmnn.active_pairs(blocks, {"0": L0}))
+    place = {int(i): (r._m, r._cls, r._b) for r in blocks.table.collect() for i in np.frombuffer(r.ids, np.int64)}
+    D, Z = (((A[:, None] - A[None]) ** 2).sum(-1) for A in (X, X @ L1.T))
+    found = 0
+    for i in range(len(y)):
+        own = sorted((j for j in range(len(y)) if y[j] == y[i] and j != i), key=lambda j: (D[i, j], j))[:3]
+        for l in np.flatnonzero((y != y[i]) & (Z[i] < 1 + max(Z[i, j] for j in own))):
+            assert (*place[i], *place[int(l)][1:]) in near
+            found += 1
+    assert found and len(near) < 0.5 * len(blocks.names) ** 2
+
+
+def test_lmnn_writes_bytes_linear_in_rows(spark, monkeypatch):
+    """Blocks of n and 4n rows: four times the bytes, not sixteen."""
+    sizes = {}
+    for n in (300, 1200):
+        blocks = lmnn.prepare(_planted(spark, n)[0], 3, None, 25)
+        sizes[n] = sum(len(r.xi) + len(r.xt) + len(r.tm) + len(r.ids) for r in blocks.table.collect())
+        assert sum(x[-1] for x in blocks.names) == n and len(blocks.names) >= n // 25
+    assert sizes[1200] == 4 * sizes[300]
+    # beyond KEEP the tiles are not kept either
+    monkeypatch.setattr(lmnn, "KEEP", 0)
+    tiles = lmnn._tiles(blocks, lmnn.active_pairs(blocks, {"0": np.eye(3)}))
+    assert not tiles.is_cached
+
+
+def test_a_small_step_is_not_convergence():
+    s = lmnn._Steps()
+    assert not s.done(0.1, 0.5, 1e-3) and not s.done(0.01, 1e-5, 1e-3) and not s.done(0.012, 1e-5, 1e-3)
+    assert not s.done(0.1, 1e-5, 1e-3) and s.done(0.1, 1e-5, 1e-3)
