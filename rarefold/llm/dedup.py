@@ -33,13 +33,20 @@ from pyspark.sql import functions as F
 from ..session import materialize, shared_dir
 
 #: Bytes of distinct texts in a task's table; a bucket is meant to have half.
-TABLE_BYTES = 32 << 20
+TABLE_BYTES = 16 << 20
 #: Rows of one fill of a scan task.
 FILL_ROWS = 1 << 14
 #: Leads of one content that one task may read.
 FAN_IN = 1024
 _ROW_BYTES = 64                      # what an entry takes besides its text
-_OUT_BYTES = 8 << 20
+_OUT_BYTES = 2 << 20
+_SLICE = 256                         # rows of a batch that become Python values at a time
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, _SLICE):
+            yield b.slice(i, _SLICE)
 
 
 class ContentTable:
@@ -146,7 +153,7 @@ def _collapse(most_bytes: int, fill_rows: int, normalise: bool):
     def run(batches):
         first = TaskContext.get().partitionId() << 34
         fill = _Fill(most_bytes)
-        for b in batches:
+        for b in _slices(batches):
             for member, top, n, text, sha in zip(*(c.to_pylist() for c in b.columns)):
                 text = (text or b"").lower() if normalise else text      # of bytes: A-Z only
                 if len(fill.members) >= fill_rows or not fill.add(member, top, n, text, sha):
@@ -171,7 +178,7 @@ def _bucket(most_bytes: int):
     def run(batches):
         table = ContentTable(most_bytes)
         entry, place, top, keeper, n, sha = [], [], [], [], [], []
-        for b in batches:
+        for b in _slices(batches):
             full = []
             cols = [c.to_pylist() for c in b.columns]
             for i, (e, t, k, h, _, s, text) in enumerate(zip(*cols)):
