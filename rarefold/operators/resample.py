@@ -128,27 +128,33 @@ def weighted_draw(df: DataFrame, label_col: str = "label", seed: int = DEFAULT_S
 
 
 def weighted_draws(df: DataFrame, epochs, label_col: str = "label", seed: int = DEFAULT_SEED,
-                   id_col: str = "id") -> DataFrame:
-    """R5 for several epochs at once, keyed by ``epoch``: the rows are ranked
+                   id_col: str = "id", member_cols: Sequence[str] = ()) -> DataFrame:
+    """R5 for several epochs (and members) at once, keyed by ``epoch``: the rows are ranked
     once (the rank does not depend on the epoch); only the draw owners do."""
-    d = df.withColumn("_h", hash_hex(seed, "wd-idx", F.col(id_col)))
-    d = dist_rank(d, [label_col], "_h", id_col, out="_rk", total="_nc").drop("_h")
+    members = list(member_cols)
+    salt = [F.col(c) for c in members]
+    d = df.withColumn("_h", hash_hex(seed, "wd-idx", *salt, F.col(id_col)))
+    d = dist_rank(d, members + [label_col], "_h", id_col, out="_rk", total="_nc").drop("_h")
     d = d.withColumn("_idx", F.col("_rk") - 1).drop("_rk")
-    classes = d.select(label_col, "_nc").distinct()
+    classes = d.select(*members, label_col, "_nc").distinct()
     classes = classes.withColumn(
-        "_ord", (F.row_number().over(Window.orderBy(label_col)) - 1).cast("int"))
-    n_classes = classes.select(F.count(F.lit(1))).scalar()  # scalar subquery
+        "_ord", (F.row_number().over(Window.partitionBy(*members).orderBy(label_col)) - 1).cast("int"))
     # draw owners: one draw per input row and epoch; class ordinal from u1, row from u2
-    own = d.select(F.col(id_col).alias("draw")).withColumn(
+    own = d.select(*members, F.col(id_col).alias("draw")).withColumn(
         "epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
+    if members:      # one row per member
+        own = own.join(F.broadcast(classes.groupBy(*members).agg(F.count(F.lit(1)).alias("_k"))), on=members)
+        n_classes = F.col("_k")
+    else:
+        n_classes = classes.select(F.count(F.lit(1))).scalar()  # scalar subquery
     own = own.withColumn("_ord", F.floor(
-        uniform(seed, "wd-class", F.col("epoch"), F.col("draw")) * n_classes).cast("int"))
-    own = own.withColumn("_u2", uniform(seed, "wd-row", F.col("epoch"), F.col("draw")))
-    # one row per class
-    own = own.join(F.broadcast(classes), on="_ord", how="inner")
+        uniform(seed, "wd-class", *salt, F.col("epoch"), F.col("draw")) * n_classes).cast("int")).drop("_k")
+    own = own.withColumn("_u2", uniform(seed, "wd-row", *salt, F.col("epoch"), F.col("draw")))
+    # one row per (member,) class
+    own = own.join(F.broadcast(classes), on=members + ["_ord"], how="inner")
     own = own.withColumn("_idx", F.floor(F.col("_u2") * F.col("_nc")).cast("bigint"))
-    picked = own.select("epoch", "draw", label_col, "_idx").join(
-        d.drop("_nc"), on=[label_col, "_idx"], how="inner")
+    picked = own.select(*members, "epoch", "draw", label_col, "_idx").join(
+        d.drop("_nc"), on=members + [label_col, "_idx"], how="inner")
     return picked.drop("_idx")
 
 

@@ -63,6 +63,15 @@ def stratified_holdout(df: DataFrame, label_col: str = "label", test_frac: float
              .drop("_h", "_rk", "_nc"))
 
 
+def inner_holdout(train: DataFrame, test_frac: float = 0.1, label_col: str = "label", seed: int = DEFAULT_SEED,
+                  id_col: str = "id", salt: str = "eval") -> DataFrame:
+    """Rows of the train side of every ``repeat``, with ``held_out``: the first
+    ``round(test_frac * n_class)`` of each (repeat, class) by seeded hash."""
+    d = train.withColumn("_h", hash_hex(seed, salt, F.col("repeat"), F.col(id_col)))
+    d = dist_rank(d, ["repeat", label_col], "_h", id_col, out="_rk", total="_nc")
+    return d.withColumn("held_out", F.col("_rk") <= F.round(F.lit(test_frac) * F.col("_nc"))).drop("_h", "_rk", "_nc")
+
+
 def class_halves(df: DataFrame, label_col: str = "label", seed: int = DEFAULT_SEED,
                  id_col: str = "id") -> DataFrame:
     """Split every class 50/50 on its own (test gets ceil(n/2)); ``role`` tells

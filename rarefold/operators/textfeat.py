@@ -66,18 +66,23 @@ def vectorise(train: DataFrame, rows: DataFrame, n_features: int = 1024,
     return tfidf(tf_rows, fit_idf(tf_train, n, id_col), id_col)
 
 
+def fold_idf(tf: DataFrame, folds: DataFrame, fold_col: str = "repeat", id_col: str = "id") -> DataFrame:
+    """(fold, term, idf) over each fold's train rows: folds x n_features rows at most."""
+    tr = folds.filter(F.col("split") == "train").select(fold_col, id_col)
+    n_train = tr.groupBy(fold_col).agg(F.count(F.lit(1)).alias("_n"))
+    dfreq = (tf.join(tr, on=id_col, how="inner")
+             .groupBy(fold_col, "term").agg(F.count(F.lit(1)).alias("_df")))
+    return dfreq.join(n_train, on=fold_col, how="inner").select(
+        fold_col, "term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf"))
+
+
 def vectorise_folds(docs: DataFrame, folds: DataFrame, n_features: int = 1024,
                     fold_col: str = "repeat", text_col: str = "text",
                     id_col: str = "id") -> DataFrame:
     """every fold at once. Text is tokenised and counted once per
     document; only the IDF depends on the fold (train rows of that fold)."""
     tf = materialize(term_freq(docs, n_features, text_col, id_col), "tf")  # read twice
-    tr = folds.filter(F.col("split") == "train").select(fold_col, id_col)
-    n_train = tr.groupBy(fold_col).agg(F.count(F.lit(1)).alias("_n"))
-    dfreq = (tf.join(tr, on=id_col, how="inner")
-             .groupBy(fold_col, "term").agg(F.count(F.lit(1)).alias("_df")))
-    idf = dfreq.join(n_train, on=fold_col, how="inner").select(
-        fold_col, "term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf"))
+    idf = fold_idf(tf, folds, fold_col, id_col)
     w = (folds.select(fold_col, "split", id_col).join(tf, on=id_col, how="inner")
          .join(idf, on=[fold_col, "term"], how="inner"))
     w = w.withColumn("_w", F.col("tf") * F.col("idf"))

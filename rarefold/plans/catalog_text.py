@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as TK
 from ..functions.seeded import seeded_matrix
-from ..session import materialize
 from ..operators import headfit, splits, textfeat, triplets
 from . import fixtures as fx
 from .catalog import H, U, register
@@ -184,48 +183,36 @@ def f5_projection_fit(spark, sf):
     return z.select("id", "label", F.transform("z", lambda t: F.round(t, 6)).alias("z"))
 
 
-# ---- L1-L5: text classifier variants --------------------------------------------
+# ---- L1-L5: text classifier variants, over all folds ------------------------------
 
 from ..operators import textclf  # noqa: E402
 
+EPOCHS = 10
 
-def _text_fold0(spark, sf, select_on: str = "holdout"):
-    """Fold 0 of the hold-out repeats as TF-IDF vectors (IDF fitted on its
-    train side); evaluation rows are 10% of the train side (stratified) unless
-    ``select_on='test'`` (the reference's choice)."""
+
+def text_folds(spark, sf, variant: str, folds: list[int] | None = None) -> textclf.TextFolds:
+    """The 10 hold-out repeats (or some of them) of the labelled texts as shards."""
     t = fx.text_bin(spark, sf)
-    folds = splits.stratified_holdout(t, repeats=1)
-    train = folds.filter(F.col("split") == "train")
-    sparse = textfeat.vectorise(train, t, N_FEATURES)
-    dense = textfeat.to_dense(sparse, N_FEATURES)
-    # roles on the narrow (id, label) table; the vectors are joined once and
-    # the labelled vector table is written once (TF-IDF is not recomputed per side)
-    roles = folds.select("id", "label", "split")
-    if select_on != "test":
-        ev = splits.stratified_holdout(roles.filter(F.col("split") == "train"),
-                                       test_frac=0.1, repeats=1, salt="eval")
-        roles = ev.select("id", "label", F.when(F.col("split") == "test", "eval")
-                          .otherwise("fit").alias("role")).unionByName(
-            roles.filter(F.col("split") == "test").select("id", "label",
-                                                          F.lit("test").alias("role")))
-    else:
-        roles = roles.select("id", "label", F.when(F.col("split") == "test", "test")
-                             .otherwise("fit").alias("role"))
-    rows = (roles.join(dense, on="id", how="left")
-            .withColumn("features", F.coalesce("features", F.array_repeat(F.lit(0.0), N_FEATURES))))
-    rows = materialize(rows, "text-fold0")
-    side = lambda r: rows.filter(F.col("role") == r).drop("role")
-    te = side("test")
-    return side("fit"), (te if select_on == "test" else side("eval")), te
+    sides = splits.stratified_holdout(t.select("id", "label"), repeats=10)
+    if folds is not None:
+        sides = sides.where(F.col("repeat").isin(folds))
+    return textclf.text_folds(t.select("id", "text"), sides, N_FEATURES, EPOCHS, textclf.VARIANTS[variant][0])
+
+
+def _histories(spark, folds: textclf.TextFolds, models: list[textclf.TextModel]):
+    """Per-epoch evaluation losses: a row per fold and epoch."""
+    rows = [(r, h["epoch"], h["eval_loss"]) for r, m in zip(folds.repeats, models) for h in m.history]
+    return spark.createDataFrame(rows, "repeat int, epoch int, eval_loss double")
 
 
 def _variant(variant):
     def run(spark, sf):
-        tr, ev, te = _text_fold0(spark, sf)
-        model = textclf.fit(tr, ev, variant=variant, epochs=10)
-        out = textclf.predict(te, model).select("id", "label", F.round("proba", 6).alias("proba"), "pred")
-        return out.withColumn("best_epoch", F.lit(model.best_epoch))
-    run.__doc__ = f"Text classifier, variant '{variant}': 10 epochs, best epoch kept."
+        folds = text_folds(spark, sf, variant)
+        models = folds.fit(variant, EPOCHS)
+        best = textclf.select_best(_histories(spark, folds, models), ("repeat",))
+        out = folds.predict(models).join(F.broadcast(best.select("repeat", "best_epoch")), "repeat")   # a row per fold
+        return out.select("repeat", "id", "label", F.round("proba", 6).alias("proba"), "pred", "best_epoch")
+    run.__doc__ = f"Text classifier, variant '{variant}': all 10 folds, 10 epochs of batch steps, best epoch kept."
     return run
 
 
@@ -237,10 +224,38 @@ register("l4_text_balanced_weighted", None)(_variant("bs_wce"))
 
 @register("l5_best_epoch", None)
 def l5_best_epoch(spark, sf):
-    """Per-epoch evaluation losses of the weighted-loss variant and the
-    selected epoch (lowest evaluation loss)."""
-    tr, ev, te = _text_fold0(spark, sf)
-    model = textclf.fit(tr, ev, variant="wce", epochs=10)
-    hist = spark.createDataFrame([(h["epoch"], h["eval_loss"]) for h in model.history],
-                                 "epoch int, eval_loss double")
-    return textclf.select_best(hist)
+    """Per fold, the epoch that the weighted-loss variant keeps (lowest
+    evaluation loss)."""
+    folds = text_folds(spark, sf, "wce")
+    return textclf.select_best(_histories(spark, folds, folds.fit("wce", EPOCHS)), ("repeat",))
+
+
+STEP_LR = 0.5
+
+SQL_GRADIENT = SQL_TFIDF_FOLDS.replace("SELECT repeat, split, id, term, round(w", "SELECT repeat, split, id, term, (w") \
+    .replace(", 6) AS weight FROM w", ") AS weight FROM w")
+
+
+@register("l3_gradient_step", f"""WITH v AS ({SQL_GRADIENT}),
+{SQL_TFIDF_FOLDS[len("WITH "):SQL_TFIDF_FOLDS.index("tok AS (")]}ranked AS (SELECT repeat, id, label,
+  row_number() OVER (PARTITION BY repeat, label ORDER BY {H("'eval'", 'repeat', 'id')}, id) AS rk,
+  count(*) OVER (PARTITION BY repeat, label) AS nc FROM (SELECT f.repeat, f.id, h.label FROM folds f
+    JOIN (SELECT DISTINCT id, label FROM text_bin) h ON f.id = h.id WHERE f.split = 'train')),
+fit AS (SELECT repeat, id, label FROM ranked WHERE rk > round(0.1 * nc)),
+cn AS (SELECT repeat, label, 1.0 / count(*) AS iw FROM fit GROUP BY repeat, label),
+cw AS (SELECT repeat, label, iw / sum(iw) OVER (PARTITION BY repeat) AS w FROM cn),
+g AS (SELECT fit.repeat, fit.id, fit.label, cw.w / sum(cw.w) OVER (PARTITION BY fit.repeat) AS w
+      FROM fit JOIN cw ON fit.repeat = cw.repeat AND fit.label = cw.label),
+x AS (SELECT g.repeat, v.term, g.label, g.w * v.weight AS wx FROM g JOIN v ON g.repeat = v.repeat AND g.id = v.id
+      UNION ALL SELECT repeat, {N_FEATURES} AS term, label, w AS wx FROM g)
+SELECT repeat, c.cls, term, round(-{STEP_LR} * sum(wx * (0.5 - CASE WHEN label = c.cls THEN 1 ELSE 0 END)), 9) AS weight
+FROM x, (SELECT unnest([0, 1]) AS cls) c GROUP BY repeat, c.cls, term HAVING round(sum(abs(wx)), 12) > 0""")
+def l3_gradient_step(spark, sf):
+    """The weighted-loss variant's weights after one step from zero over all fit
+    rows of each fold (term {N_FEATURES}: the bias)."""
+    folds = text_folds(spark, sf, "wce")
+    # the model after the step is the one that the only epoch leaves
+    models = folds.fit("wce", 1, lr=STEP_LR, batch_size=None)
+    rows = [(r, c, t, round(float(m.W[c, t]), 9)) for r, m in zip(folds.repeats, models)
+            for c in range(2) for t in m.W[c].nonzero()[0].tolist()]     # the models: folds x classes x terms
+    return spark.createDataFrame(rows, "repeat int, cls int, term int, weight double")

@@ -64,3 +64,80 @@ def test_balanced_draws_take_both_classes_alike(spark):
     d = resample.weighted_draws(df.select("id", "label"), range(3))
     for r in d.groupBy("epoch").agg(F.count("*").alias("n"), F.avg("label").alias("p")).collect():
         assert r.n == 400 and abs(r.p - 0.5) < 0.1
+
+
+def _numpy_sgd(X, y, ids, orders, cw, lr, batch):
+    A, W = np.hstack([X, np.ones((len(y), 1))]), np.zeros((2, X.shape[1] + 1))
+    for epoch, order in enumerate(orders):
+        for s in range(0, len(order), batch):
+            i = order[s:s + batch]
+            P = _softmax(A[i] @ W.T)
+            P[np.arange(len(i)), y[i]] -= 1
+            w = cw[y[i]] / cw[y[i]].sum()
+            W = W - lr * (1 - epoch / len(orders)) * (P * w[:, None]).T @ A[i]
+    return W
+
+
+def _order(n, epoch, seed=42):
+    import hashlib
+    return np.array(sorted(range(n), key=lambda i: hashlib.md5(f"{seed}:sgd:0:{epoch}:{i}:0".encode()).digest()))
+
+
+def test_batch_steps_equal_numpy(spark):
+    df, X, y = _rows(spark, 50, seed=5)
+    model = textclf.fit(df, df, variant="wce", epochs=3, lr=0.5, batch_size=16)
+    cw = 1 / np.bincount(y)
+    W = [_numpy_sgd(X, y, None, [_order(50, e) for e in range(3)][:k], cw / cw.sum(), 0.5, 16) for k in (3,)]
+    if model.best_epoch == 2:
+        assert np.allclose(model.W, W[0], atol=1e-12)
+    assert [h["steps"] for h in model.history] == [4, 4, 4]
+
+
+def test_steps_grow_with_the_table(spark):
+    steps = []
+    for n in (64, 256):
+        df, _, _ = _rows(spark, n)
+        steps.append(sum(h["steps"] for h in textclf.fit(df, df, epochs=2, lr=0.5, batch_size=16).history))
+    assert steps == [8, 32]
+
+
+@pytest.mark.parametrize("variant", ["plain", "bs_wce"])
+def test_shards_agree_with_one_shard(spark, variant):
+    """One step over all rows does not depend on the shards; batch steps averaged over shards learn alike."""
+    df, X, y = _rows(spark, 400, seed=6)
+    one, many = (textclf.fit(df, df, variant=variant, epochs=1, lr=0.5, shard_rows=n) for n in (4096, 30))
+    assert np.allclose(one.W, many.W, atol=1e-12)
+    a, b = (textclf.fit(df, df, variant=variant, epochs=10, lr=0.5, batch_size=16, shard_rows=n) for n in (4096, 100))
+    la, lb = (min(h["eval_loss"] for h in m.history) for m in (a, b))
+    full = min(h["eval_loss"] for h in textclf.fit(df, df, variant=variant, epochs=10, lr=0.5).history)
+    assert la < full and lb < full and abs(la - lb) < 0.15         # better than ten steps over all rows
+
+
+def test_text_folds(spark):
+    """Folds as members: vectors, roles and models equal those of one fold at a time."""
+    from rarefold.operators import splits, textfeat
+    words = ["alpha", "beta", "gamma", "delta", "bad", "worse"]
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(rng.choice(words[:4] if i % 4 else words[2:], 8)) if i else "", int(i % 4 == 0)) for i in range(80)]
+    texts = spark.createDataFrame(rows, "id long, text string, label int")
+    sides = splits.stratified_holdout(texts.select("id", "label"), repeats=3)
+    folds = textclf.text_folds(texts, sides, 32, epochs=2)
+    models = folds.fit("wce", 2)
+    pred = {(r.repeat, r.id): (r.proba, r.pred) for r in folds.predict(models).collect()}
+    assert set(pred) == {(r.repeat, r.id) for r in sides.where("split = 'test'").collect()}
+    for k in range(3):
+        own = sides.where(F.col("repeat") == k)
+        vec = textfeat.to_dense(textfeat.vectorise(own.where("split = 'train'"), texts, 32), 32)
+        dense = own.join(vec, "id", "left").withColumn("features", F.coalesce("features", F.array_repeat(F.lit(0.0), 32)))
+        roles = splits.inner_holdout(own.where("split = 'train'").select("repeat", "id", "label")).select("id", "held_out")
+        tr = dense.join(roles, "id")
+        one = textclf.fit(tr.where("NOT held_out"), tr.where("held_out"), "wce", 1, lr=0.5)
+        assert np.allclose(one.W, folds.fit("wce", 1, lr=0.5, batch_size=None)[k].W, atol=1e-9)
+        some = textclf.text_folds(texts, own, 32, epochs=2)
+        assert some.repeats == [k]
+        for r in textclf.predict(dense.where("split = 'test'"), models[k]).collect():
+            assert pred[(k, r.id)] == (pytest.approx(r.proba), r.pred)
+    bal = textclf.text_folds(texts, sides, 32, epochs=2, balanced=True)
+    assert all(sum(h["steps"] for h in m.history) > 0 for m in bal.fit("bs", 2))
+    test = textclf.text_folds(texts, sides, 32, epochs=2, select_on="test")
+    assert all(m.history[0]["eval_loss"] > 0 for m in test.fit("plain", 2))
