@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,13 @@ CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 1 << 16
 PART_BYTES, PART_LINKS = 1 << 19, 1 << 20
 #: Drivers in a row of galloping searches; the first of a row starts by binary search.
 RUN = 64
+MEMO_WORDS, MEMO_CHARS = 400_000, 1 << 24
+#: New words encoded in one row.
+RUN_WORDS = 4096
 _SPACE_SIGN = "▁"
+#: First signs of a word that may be parted from what stands before its space:
+#: printable ASCII and Latin letters, which no tokenizer takes for white space.
+_PARTS = re.compile("[!-~\u00c0-\u024f]")
 
 
 class Tokenizers:
@@ -60,16 +67,109 @@ class Tokenizers:
         self.a_len, self.b_len = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
         self.n_b = n_b
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of the texts by A and B; both empty unless their bytes are those
-        of a space and the text."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        for i, t in enumerate(texts):
-            own = b" " + t.encode()
-            if b"".join([self.a_bytes[x] for x in a[i]]) != own or b"".join([self.b_bytes[x] for x in b[i]]) != own:
-                a[i], b[i] = [], []
-        return a, b
+        # no piece goes on past a space, so B's ids of a text are those of its words in a row
+        self.b_parts = not any(_SPACE_SIGN in self.b.id_to_piece(i).lstrip(_SPACE_SIGN) for i in range(n_b))
+        self.memo = Memo(self)
+        # decimal ids, left-aligned, with room for a sign
+        most = max(len(self.a_bytes), n_b)
+        width = len(str(most - 1)) + 1
+        self.digits = np.frombuffer(b"".join(str(i).encode().ljust(width, b"\0") for i in range(most)), np.uint8).reshape(most, width)
+
+    def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        return ([e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)],
+                self.b.encode(texts, num_threads=1))
+
+    def given_back(self, text: str, a: list[int], b: list[int]) -> bool:
+        own = b" " + text.encode()
+        return b"".join([self.a_bytes[x] for x in a]) == own == b"".join([self.b_bytes[x] for x in b])
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By A and by B: the texts' ids in a row, and how many each has; none
+        unless both tokenizers give back a space and the text.
+
+        A space before a printable sign begins a new run of A and a new piece of
+        B, so a text in which every space does is encoded word by word, from the
+        memo; any other text is encoded as a whole."""
+        parts = [t.split(" ") for t in texts]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.concatenate(([0], np.cumsum(size)))
+        places = self.memo.find(list(chain.from_iterable(parts)))
+        whole = np.full(len(texts), not self.b_parts)
+        whole[np.searchsorted(at, np.flatnonzero(places < 0), side="right") - 1] = True
+        places = places[np.repeat(~whole, size)]
+        odd = np.flatnonzero(whole).tolist()
+        raw = list(zip(*self.ids([texts[i] for i in odd])))
+        raw = [x if texts[i] and self.given_back(texts[i], *x) else ([], []) for i, x in zip(odd, raw)]
+        out = []
+        for k in range(2):
+            ids, lens = self.memo.gather(k, places)
+            n = np.zeros(len(texts), np.int64)
+            np.add.at(n, np.repeat(np.flatnonzero(~whole), size[~whole]), lens)
+            if odd:
+                n[odd] = [len(r[k]) for r in raw]
+                upto, mixed, done = np.cumsum(n) - n, np.empty(int(n.sum()), np.int64), np.zeros(int(n.sum()), bool)
+                for i, r in zip(odd, raw):
+                    mixed[upto[i]:upto[i] + len(r[k])] = r[k]
+                    done[upto[i]:upto[i] + len(r[k])] = True
+                mixed[~done] = ids
+                ids = mixed
+            out.append((ids, n))
+        return out
+
+
+class Memo:
+    """Ids of words, each after a space, kept from text to text up to
+    ``MEMO_WORDS`` words and ``MEMO_CHARS`` characters, then forgotten. Words
+    that a tokenizer does not give back byte for byte, or that may not be
+    parted from the text before them, are not kept."""
+
+    def __init__(self, tok: Tokenizers):
+        self.tok = tok
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.start, self.len, self.ids = ([np.zeros(0, np.int64)] * 2 for _ in range(3))
+        self.chars = 0
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Places of the words, -1 for those not kept."""
+        if len(self.at) > MEMO_WORDS or self.chars > MEMO_CHARS:
+            self._clear()
+        out = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        lost = np.flatnonzero(out < 0)
+        missing = [words[i] for i in lost.tolist()]
+        new = [w for w in set(missing) if w and _PARTS.match(w)]
+        for i in range(0, len(new), RUN_WORDS):
+            self._add(new[i:i + RUN_WORDS])
+        if new:
+            out[lost] = np.fromiter(map(self.at.get, missing, repeat(-1)), np.int64, len(missing))
+        return out
+
+    def _add(self, new: list[str]) -> None:
+        """Words encoded in one row; their ids are parted at the words' ends."""
+        tok, row = self.tok, " ".join(new)
+        ids = [np.array(x[0], np.int64) for x in tok.ids([row])]
+        ends = np.cumsum([1 + len(w.encode()) for w in new])
+        upto = [np.searchsorted(np.cumsum(n[x]), ends) + 1 for n, x in zip((tok.a_len, tok.b_len), ids)]
+        if not tok.given_back(row, *(x.tolist() for x in ids)):
+            if len(new) > 1:
+                for half in (new[:len(new) // 2], new[len(new) // 2:]):
+                    self._add(half)
+            return
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+        for k in range(2):
+            n = np.diff(upto[k], prepend=0)
+            self.start[k] = np.concatenate((self.start[k], len(self.ids[k]) + upto[k] - n))
+            self.len[k] = np.concatenate((self.len[k], n))
+            self.ids[k] = np.concatenate((self.ids[k], ids[k]))
+        self.chars += len(row)
+
+    def gather(self, k: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (by A: 0, by B: 1) of the words at ``places`` in a row, and how many each has."""
+        lens = self.len[k][places]
+        first = np.cumsum(lens) - lens
+        return self.ids[k][np.repeat(self.start[k][places] - first, lens) + np.arange(int(lens.sum()))], lens
 
 
 @lru_cache(maxsize=1)
@@ -125,24 +225,14 @@ def common_ends(end_a: np.ndarray, at_a: np.ndarray, end_b: np.ndarray, at_b: np
     return ia[order], ib[order]
 
 
-def _written(ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _written(ids: np.ndarray, after: np.ndarray, digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the ids in decimal, each with its sign ``after`` (0: none), and
     the n + 1 places at which they begin."""
-    size = np.ones(len(ids), np.int64)
-    for p in (10, 100, 1000, 10_000, 100_000, 1_000_000, 10_000_000):
-        size += ids >= p
-    at = np.concatenate(([0], np.cumsum(size + (after > 0))))
-    out = np.zeros(int(at[-1]), np.uint8)
-    rest, place = ids.astype(np.int64), at[:-1] + size - 1
-    more = np.arange(len(ids))
-    while more.size:
-        out[place[more]] = 48 + rest[more] % 10
-        rest[more] //= 10
-        place[more] -= 1
-        more = more[place[more] >= at[more]]
-    sign = np.flatnonzero(after)
-    out[at[sign + 1] - 1] = after[sign]
-    return out, at
+    rows = digits[ids]
+    size = (rows > 0).sum(axis=1)
+    rows[np.arange(len(ids)), size] = after
+    size += after > 0
+    return rows[np.arange(rows.shape[1]) < size[:, None]], np.concatenate(([0], np.cumsum(size)))
 
 
 def _links(ids_a, ids_b, first_a, n_a, first_b, n_b, text, n_ids_b) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -180,9 +270,7 @@ def _added(text: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.nd
 def align(tok: Tokenizers, texts: list[str]):
     """Per text (n_a, n_b, n_groups, n_links, groups_sha256), and (text, pair,
     links) of their distinct id pairs (pair: A id * B's vocabulary size + B id)."""
-    a, b = tok.encode(texts)
-    n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-    ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+    (ids_a, n_a), (ids_b, n_b) = tok.encode(texts)
     at_a, at_b = (np.concatenate(([0], np.cumsum(n))) for n in (n_a, n_b))
     # both tokenizers' bytes of a text are the same, so running sums over all texts agree at text ends
     ia, ib = common_ends(np.cumsum(tok.a_len[ids_a]), at_a, np.cumsum(tok.b_len[ids_b]), at_b)
@@ -207,7 +295,7 @@ def align(tok: Tokenizers, texts: list[str]):
     after[upto - 1] = ord(";")
     last = np.concatenate(([0], upto))[np.cumsum(n_groups)[n_groups > 0]] - 1
     after[last] = 0
-    data, at = _written(ids, after)
+    data, at = _written(ids, after, tok.digits)
     ends = at[last + 1].tolist()
     raw, digest, begin, e = data.tobytes(), [], 0, 0
     for n in n_groups.tolist():
