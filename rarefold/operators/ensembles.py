@@ -21,11 +21,12 @@ from .blocks import matrix
 from .splits import DEFAULT_SEED
 
 
-def soft_vote(preds: DataFrame, id_col: str = "qid", proba_col: str = "proba") -> DataFrame:
+def soft_vote(preds: DataFrame, id_col: str | tuple[str, ...] = "qid", proba_col: str = "proba") -> DataFrame:
     """Mean P(1) over members; class 1 when the mean exceeds one half."""
     # the mean is rounded to 1e-12 before the decision: float sums of member
     # shares (0.4 + 0.6 ...) must not tip an exact tie
-    return (preds.groupBy(id_col).agg(F.avg(proba_col).alias("proba"))
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    return (preds.groupBy(*ids).agg(F.avg(proba_col).alias("proba"))
             .withColumn("pred", (F.round("proba", 12) > 0.5).cast("int")))
 
 
@@ -97,6 +98,31 @@ def rusboost_fit(train: DataFrame, n_rounds: int = 50, seed: int = DEFAULT_SEED,
     return models
 
 
+def rusboost_folds(train: DataFrame, vectors: DataFrame, n_rounds: int = 50, seed: int = DEFAULT_SEED,
+                   metric: bool = False, **lmnn_kw) -> dict:
+    """I2 (``metric``: I4) for the training sides (repeat, id, label) of many
+    folds: folds are members of the same jobs, all rounds are drawn at once."""
+    draws = train.select("repeat", "id", "label").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(n_rounds - 1))))
+    draws = materialize(resample.undersample(draws, seed=seed, salt="rusboost", member_cols=["repeat", "round"]), "fold-draws")
+    round_map = None
+    if metric:
+        rows = draws.withColumn("member", F.concat_ws(":", "repeat", "round")).join(vectors, "id")
+        maps = lmnn.fit(rows.select("member", "id", "features", "label"), member_col="member", **lmnn_kw).maps
+
+        def round_map(r: int, rows: DataFrame, models: dict) -> dict:
+            return {m: maps.get(f"{m}:{r}") for m in models}
+
+    rows = train.select("repeat", "id", "label").join(
+        draws.groupBy("repeat", "id").agg(F.collect_list("round").alias("rounds")), ["repeat", "id"], "left").join(vectors, "id")
+
+    def sample(d: DataFrame, r: int) -> DataFrame:
+        return d.withColumn("_in", F.coalesce(F.array_contains("rounds", r), F.lit(False)))
+
+    models = stumps.fit_boost(rows, n_rounds, member_col="repeat", sample=sample, round_map=round_map, real=True, keep=("rounds",))
+    release(draws)
+    return models
+
+
 # ---- I3: metric bagging -------------------------------------------------------
 
 @dataclass
@@ -106,18 +132,21 @@ class MetricBagging:
     k: int
 
 
-def bag_slots(train: DataFrame, n_bags: int = 10, seed: int = DEFAULT_SEED) -> DataFrame:
-    """R2 slots with a unique long ``uid`` per (bag, slot)."""
+def bag_slots(train: DataFrame, n_bags: int = 10, seed: int = DEFAULT_SEED, member_cols: tuple[str, ...] = (),
+              vectors: DataFrame | None = None) -> DataFrame:
+    """R2 slots with a unique long ``uid`` per (member, bag, slot). ``vectors``
+    (id, features), if the rows of ``train`` do not have them."""
     # the bootstrap ranks and joins (bag, slot, id, label) only; the vectors
     # are joined once to the finished slots
-    b = resample.balanced_bootstrap(train.select("id", "label"), n_bags, seed=seed)
-    # 4 bits tell a kept slot from the draws it drives, one per other class
-    src = F.when(F.col("src") == "keep", 0).when(F.col("label").between(0, 14), 1 + F.col("label")).otherwise(
-        F.raise_error(F.lit("bag slots take class labels from 0 to 14")).cast("int"))
-    uid = F.col("slot") * 16 + src
-    b = b.withColumn("uid", uid.cast("long")).select("bag", "uid", "id", "label")
-    return b.join(train.select("id", "features"), on="id", how="inner").select(
-        "bag", "uid", "id", "features", "label")
+    of = list(member_cols)
+    b = resample.balanced_bootstrap(train.select(*of, "id", "label"), n_bags, seed=seed, member_cols=of)
+    # a slot's own row and the draws it drives, one per other class, are told apart by the class's place
+    labels = sorted(r[0] for r in train.select("label").distinct().collect())
+    src = F.when(F.col("src") == "keep", 0).otherwise(F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")))
+    uid = F.col("slot") * max(16, len(labels) + 1) + src
+    b = b.withColumn("uid", uid.cast("long")).select(*of, "bag", "uid", "id", "label")
+    vectors = train.select("id", "features") if vectors is None else vectors
+    return b.join(vectors, on="id", how="inner").select(*of, "bag", "uid", "id", "features", "label")
 
 
 def mlbagging_fit(train: DataFrame, n_bags: int = 10, k: int = 5, seed: int = DEFAULT_SEED,
@@ -133,6 +162,22 @@ def mlbagging_fit(train: DataFrame, n_bags: int = 10, k: int = 5, seed: int = DE
     return MetricBagging(bags, maps, k)
 
 
+def mlbagging_folds(sides: DataFrame, vectors: DataFrame, n_bags: int = 10, k: int = 5, seed: int = DEFAULT_SEED,
+                    **lmnn_kw) -> DataFrame:
+    """I3 for many folds at once: ``repeat, qid, proba, pred`` of the test rows of
+    ``sides`` (repeat, id, label, split). Bags of all folds are members of one
+    LMNN fit and of one neighbour search."""
+    train = sides.where("split = 'train'").select("repeat", "id", "label")
+    bags = bag_slots(train, n_bags, seed, ("repeat",), vectors)
+    bags = materialize(bags.withColumn("member", F.concat_ws(":", "repeat", "bag")), "fold-bags")
+    maps = lmnn.fit(bags.select("member", F.col("uid").alias("id"), "features", "label"), member_col="member", **lmnn_kw).maps
+    test = sides.where("split = 'test'").select("repeat", "id").join(vectors, "id").withColumn(
+        "bag", F.explode(F.sequence(F.lit(0), F.lit(n_bags - 1)))).withColumn("member", F.concat_ws(":", "repeat", "bag"))
+    z = lambda df: lmnn.apply_map(df, maps, member_col="member").drop("features").withColumnRenamed("z", "features")
+    nb = neighbors.knn(z(test), z(bags), k, key_cols=["repeat", "bag"], train_uid="uid")
+    return soft_vote(neighbors.knn_predict(nb, ["repeat", "bag"]), ("repeat", "qid"))
+
+
 def mlbagging_predict(test: DataFrame, model: MetricBagging) -> DataFrame:
     """k-NN of every test row inside every bag (bag slots as separate points),
     in each bag's metric; mean of the bags' P(1)."""

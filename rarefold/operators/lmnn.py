@@ -491,10 +491,8 @@ def apply_map(df: DataFrame, maps: dict[str, np.ndarray] | np.ndarray, feat_col:
             if t.num_rows == 0:
                 continue
             X = matrix(t, feat_col)
-            mk = np.array(t.column("_mk").to_pylist(), dtype=object)
             Z = np.empty((X.shape[0], next(iter(Ls.values())).shape[0]))
-            for m in set(mk.tolist()):
-                sel = mk == m
+            for m, sel in voronoi.by_key(t, "_mk"):
                 Z[sel] = X[sel] @ Ls[m].T
             arr = pa.FixedSizeListArray.from_arrays(pa.array(Z.ravel()), Z.shape[1]).cast(
                 pa.list_(pa.float64()))

@@ -78,42 +78,45 @@ def rus_rounds(df: DataFrame, n_rounds: int, label_col: str = "label",
 
 
 def balanced_bootstrap(df: DataFrame, n_bags: int = 10, label_col: str = "label",
-                       seed: int = DEFAULT_SEED, id_col: str = "id") -> DataFrame:
-    """R2: per bag, a bootstrap of n rows, then the minority slots of that
+                       seed: int = DEFAULT_SEED, id_col: str = "id", member_cols: Sequence[str] = ()) -> DataFrame:
+    """R2: per bag (of each member), a bootstrap of n rows, then the minority slots of that
     bootstrap plus as many draws *with replacement* from each other class's
-    slots. Output keys ``(bag, src, slot)``; duplicates stay separate rows."""
-    idx = df.withColumn("_h", hash_hex(seed, "boot-idx", F.col(id_col)))
-    idx = dist_rank(idx, [], "_h", id_col, out="_rk", total="_n").drop("_h")
+    slots. Output keys ``(member_cols, bag, src, slot)``; duplicates stay separate rows."""
+    of = list(member_cols)
+    salt = [F.col(c) for c in of]
+    idx = df.withColumn("_h", hash_hex(seed, "boot-idx", *salt, F.col(id_col)))
+    idx = dist_rank(idx, of, "_h", id_col, out="_rk", total="_n").drop("_h")
     idx = idx.withColumn("_idx", F.col("_rk") - 1).drop("_rk")
     # stage 1: slot owned by row j of bag b draws row floor(u * n)
-    slots = (idx.select(F.col(id_col).alias("slot"), "_n")
+    slots = (idx.select(*of, F.col(id_col).alias("slot"), "_n")
              .withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(n_bags - 1))))
-             .withColumn("_idx", F.floor(uniform(seed, "boot", F.col("bag"), F.col("slot"))
+             .withColumn("_idx", F.floor(uniform(seed, "boot", *salt, F.col("bag"), F.col("slot"))
                                          * F.col("_n")).cast("bigint"))
              .drop("_n"))
-    boot = slots.join(idx.drop("_n"), on="_idx", how="inner").drop("_idx")
+    boot = slots.join(idx.drop("_n"), on=of + ["_idx"], how="inner").drop("_idx")
     # stage 2: per (bag, class) slot counts, minority class per bag
-    counts = boot.groupBy("bag", label_col).agg(F.count(F.lit(1)).alias("_c"))
-    wmin = Window.partitionBy("bag").orderBy("_c", label_col)
+    keys = of + ["bag"]
+    counts = boot.groupBy(*keys, label_col).agg(F.count(F.lit(1)).alias("_c"))
+    wmin = Window.partitionBy(*keys).orderBy("_c", label_col)
     counts = counts.withColumn("_is_min", F.row_number().over(wmin) == 1)
-    minority = counts.filter("_is_min").select("bag", F.col(label_col).alias("_minlab"))
+    minority = counts.filter("_is_min").select(*keys, F.col(label_col).alias("_minlab"))
     others = counts.filter(~F.col("_is_min")).select(
-        "bag", F.col(label_col).alias("_olab"), "_c")
-    boot = boot.join(F.broadcast(minority), on="bag", how="inner")      # one row per bag
+        *keys, F.col(label_col).alias("_olab"), "_c")
+    boot = boot.join(F.broadcast(minority), on=keys, how="inner")      # one row per bag
     keep = (boot.filter(F.col(label_col) == F.col("_minlab")).drop("_minlab")
             .withColumn("src", F.lit("keep")))
     maj = boot.filter(F.col(label_col) != F.col("_minlab")).drop("_minlab")
-    maj = maj.withColumn("_h", hash_hex(seed, "boot-maj", F.col("bag"), F.col("slot")))
-    maj = dist_rank(maj, ["bag", label_col], "_h", "slot", out="_rk").drop("_h")
+    maj = maj.withColumn("_h", hash_hex(seed, "boot-maj", *salt, F.col("bag"), F.col("slot")))
+    maj = dist_rank(maj, keys + [label_col], "_h", "slot", out="_rk").drop("_h")
     maj = maj.withColumn("_idx", F.col("_rk") - 1).drop("_rk")
     # each minority slot drives one draw from every other class of its bag
-    draws = (keep.select("bag", F.col("slot").alias("_drv"))
-             .join(F.broadcast(others), on="bag", how="inner")          # one row per (bag, class)
+    draws = (keep.select(*keys, F.col("slot").alias("_drv"))
+             .join(F.broadcast(others), on=keys, how="inner")          # one row per (bag, class)
              .withColumn("_idx", F.floor(
-                 uniform(seed, "boot-draw", F.col("bag"), F.col("_olab"), F.col("_drv"))
+                 uniform(seed, "boot-draw", *salt, F.col("bag"), F.col("_olab"), F.col("_drv"))
                  * F.col("_c")).cast("bigint"))
-             .select("bag", F.col("_olab").alias(label_col), "_idx", "_drv"))
-    drawn = (draws.join(maj, on=["bag", label_col, "_idx"], how="inner")
+             .select(*keys, F.col("_olab").alias(label_col), "_idx", "_drv"))
+    drawn = (draws.join(maj, on=keys + [label_col, "_idx"], how="inner")
              .drop("_idx", "slot").withColumnRenamed("_drv", "slot")
              .withColumn("src", F.concat(F.lit("draw:"), F.col(label_col).cast("string"))))
     return keep.unionByName(drawn)

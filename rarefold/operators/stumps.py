@@ -5,9 +5,10 @@ Stump (H1): best single split by weighted Gini over binned features (bins are
 bins <= b left), leaves predict their weighted class-1 share.
 
 Boosting (H3, SAMME, two classes): per round the row weight is recomputed
-from the broadcast model, ``w = exp(sum_m alpha_m [h_m(x) != y] - c)``, with
-the driver tracking the normaliser ``c`` exactly, so no per-row state is
-carried between rounds and lineage never grows. One ``mapInArrow`` pass per
+``w = exp(sum_m alpha_m [h_m(x) != y] - c)``, with the driver tracking the
+normaliser ``c`` exactly. The sum is carried as a column that is written anew
+every ``REFRESH`` rounds, and only the stumps since then are broadcast and scored,
+so a round costs the same at any depth and lineage never grows. One ``mapInArrow`` pass per
 round bins the features and emits per-partition histograms as vectors; they
 are added JVM-side by ``Summarizer.sum`` (partial aggregation), exploded to a
 small (member, feature, bin, label) table, and the split is chosen by windows.
@@ -35,9 +36,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, release
-from .blocks import matrix
+from .blocks import column, matrix
+from .voronoi import by_key
 
 N_BINS = 32
+REFRESH = 10             # rounds between writings of the carried margins
 LEAF_CLIP = 1e-6         # leaf shares are kept off 0 and 1 before the log-odds
 
 
@@ -136,9 +139,8 @@ def _edges_job(df: DataFrame, maps: dict[str, np.ndarray | None], spark) -> dict
             if t.num_rows == 0:
                 continue
             X = matrix(t, "features")
-            ms = np.array(t.column("_m").to_pylist(), dtype=object)
-            for m in set(ms.tolist()):
-                Z = _mapped(X[ms == m], M.get(m))
+            for m, sel in by_key(t, "_m"):
+                Z = _mapped(X[sel], M.get(m))
                 lo[m] = np.minimum(lo.get(m, np.inf), Z.min(axis=0))
                 hi[m] = np.maximum(hi.get(m, -np.inf), Z.max(axis=0))
         for m in lo:
@@ -153,7 +155,8 @@ def _edges_job(df: DataFrame, maps: dict[str, np.ndarray | None], spark) -> dict
 
 def histogram_vectors(df: DataFrame, models: dict[str, Booster], edges: dict[str, tuple],
                       cur_maps: dict[str, np.ndarray | None], n_bins: int = N_BINS) -> DataFrame:
-    """``(_m, kind, label, h)`` with ``h`` the flattened (feature, bin) weights."""
+    """``(_m, kind, label, h)`` with ``h`` the flattened (feature, bin) weights.
+    Rows may carry a margin ``_mg``, to which those of ``models`` are added."""
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast((models, edges, cur_maps))
 
@@ -167,12 +170,11 @@ def histogram_vectors(df: DataFrame, models: dict[str, Booster], edges: dict[str
             X = matrix(t, "features")
             y = t.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
             inn = t.column("_in").to_numpy(zero_copy_only=False).astype(bool)
-            ms = np.array(t.column("_m").to_pylist(), dtype=object)
-            for m in set(ms.tolist()):
-                sel = ms == m
+            mg = column(t, "_mg") if "_mg" in t.column_names else np.zeros(t.num_rows)
+            for m, sel in by_key(t, "_m"):
                 Xm, ym, im = X[sel], y[sel], inn[sel]
                 mod = mods[m]
-                w = np.exp(margins(mod, Xm, ym) - mod.norm)
+                w = np.exp(mg[sel] + margins(mod, Xm, ym) - mod.norm)
                 Z = _mapped(Xm, cm.get(m))
                 lo, hi = edg[m]
                 width = (hi - lo) / n_bins
@@ -257,11 +259,34 @@ def _with_member(df: DataFrame, member_col: str | None) -> DataFrame:
     return df.withColumn("_m", F.col(member_col).cast("string") if member_col else F.lit("0"))
 
 
+def _since(model: Booster, at: int) -> Booster:
+    """The model with its stumps from ``at`` on: what a round has to score."""
+    return Booster(model.stumps[at:], model.alphas[at:], model.maps[at:], model.norm, model.done, real=model.real)
+
+
+def _carried(base: DataFrame, models: dict[str, Booster]) -> DataFrame:
+    """``base`` with the margins of ``models`` added to ``_mg``, written."""
+    bc = base.sparkSession.sparkContext.broadcast(models)
+    at = base.columns.index("_mg")
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            t = pa.Table.from_batches([b])
+            X, y, mg = matrix(t, "features"), column(t, "label").astype(np.int64), column(t, "_mg").copy()
+            for m, rows in by_key(t, "_m"):
+                mg[rows] += margins(bc.value[m], X[rows], y[rows])
+            yield b.set_column(at, "_mg", pa.array(mg))
+
+    return materialize(base.mapInArrow(fn, base.schema), "stumps-margins")
+
+
 def fit_boost(df: DataFrame, n_rounds: int = 50, member_col: str | None = None,
               n_bins: int = N_BINS,
               sample: Callable[[DataFrame, int], DataFrame] | None = None,
               round_map: Callable[[int, DataFrame, dict[str, Booster]], dict] | None = None,
-              real: bool = False, keep: tuple[str, ...] = ()) -> dict[str, Booster]:
+              real: bool = False, keep: tuple[str, ...] = (), refresh: int = REFRESH) -> dict[str, Booster]:
     """Boosting of stumps (SAMME, or SAMME.R if ``real``) for
     every member at once. ``keep`` names further columns that ``sample`` reads.
 
@@ -272,15 +297,21 @@ def fit_boost(df: DataFrame, n_rounds: int = 50, member_col: str | None = None,
     base = _with_member(df.select(*([member_col] if member_col else []), "id", *keep,
                                   F.col("features").cast("array<double>").alias("features"),
                                   F.col("label").cast("int").alias("label")), member_col)
-    base = base.drop(member_col) if member_col and member_col != "_m" else base
+    base = base.drop(member_col) if member_col and member_col != "_m" and member_col not in keep else base
+    base = base.withColumn("_mg", F.lit(0.0))
     base = materialize(base, "stumps-1")  # read once per round: cut the lineage once
     members = sorted(r[0] for r in base.select("_m").distinct().collect())
     models = {m: Booster(real=real) for m in members}
     edge_cache: dict[tuple, dict] = {}
+    upto = {m: 0 for m in members}           # stumps whose margins the rows carry
     for r in range(n_rounds):
         live = [m for m in members if not models[m].done]
         if not live:
             break
+        if r and r % refresh == 0:
+            old, base = base, _carried(base, {m: _since(models[m], upto[m]) for m in members})
+            release(old)
+            upto = {m: len(models[m].stumps) for m in members}
         rows = sample(base, r) if sample else base.withColumn("_in", F.lit(True))
         cur = round_map(r, rows, models) if round_map else {}
         cur = {m: cur.get(m) for m in members}
@@ -289,7 +320,8 @@ def fit_boost(df: DataFrame, n_rounds: int = 50, member_col: str | None = None,
             edge_cache = {ekey: _edges_job(base, cur, spark)}
         edges = edge_cache[ekey]
         hv: dict[tuple, np.ndarray] = {}
-        for h in histogram_vectors(rows, models, edges, cur, n_bins).collect():
+        recent = {m: _since(models[m], upto[m]) for m in members}
+        for h in histogram_vectors(rows, recent, edges, cur, n_bins).collect():
             hv[(h["_m"], h["kind"], h["label"])] = np.asarray(h["h"])  # model-sized
         for m in live:
             lo, hi = edges.get(m, (None, None))
@@ -368,10 +400,8 @@ def predict_boost(df: DataFrame, models: dict[str, Booster], member_col: str | N
             if t.num_rows == 0:
                 continue
             X = matrix(t, feat_col)
-            ms = np.array(t.column("_mk").to_pylist(), dtype=object)
             D = np.zeros(X.shape[0])
-            for m in set(ms.tolist()):
-                sel = ms == m
+            for m, sel in by_key(t, "_mk"):
                 D[sel] = decision(mods[m], X[sel])
             proba = 1.0 / (1.0 + np.exp(-D))
             yield pa.RecordBatch.from_arrays(

@@ -41,8 +41,8 @@ folds AS (SELECT repeat, id, features, label,
                  CASE WHEN rk <= round(0.2 * nc) THEN 'test' ELSE 'train' END AS split FROM hs)"""
 
 
-def holdout_knn_sides(spark: SparkSession, sf_dir: str, repeats: int = 10):
-    """Test rows and under-sampled training rows of every hold-out repeat.
+def holdout_knn_sides(spark: SparkSession, sf_dir: str, repeats: int = 10, only: list[int] | None = None):
+    """Test rows and under-sampled training rows of every hold-out repeat (or of ``only`` some).
 
     Folds and draws are ranked on the narrow ``(repeat, id, label)`` table, so
     the rank shuffles move ids, not vectors (x ``repeats``); the features are
@@ -50,6 +50,8 @@ def holdout_knn_sides(spark: SparkSession, sf_dir: str, repeats: int = 10):
     vectors is shared by both joins)."""
     v = fx.vec_bin(spark, sf_dir)
     folds = splits.stratified_holdout(v.select("id", "label"), repeats=repeats)
+    if only is not None:
+        folds = folds.where(F.col("repeat").isin(only))
     train = resample.undersample(folds.filter(F.col("split") == "train"),
                                  member_cols=["repeat"], salt="rus")
     test = folds.filter(F.col("split") == "test")
@@ -57,8 +59,8 @@ def holdout_knn_sides(spark: SparkSession, sf_dir: str, repeats: int = 10):
     return test.join(feats, on="id", how="inner"), train.join(feats, on="id", how="inner")
 
 
-def knn_holdout_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test, train = holdout_knn_sides(spark, sf_dir)
+def knn_holdout_scorecard(spark: SparkSession, sf_dir: str, only: list[int] | None = None) -> DataFrame:
+    test, train = holdout_knn_sides(spark, sf_dir, only=only)
     nb = neighbors.knn(test, train, 5, key_cols=["repeat"])
     pred = neighbors.knn_predict(nb, ["repeat"]).join(
         test.select("repeat", F.col("id").alias("qid"), "label"), on=["repeat", "qid"])

@@ -1,35 +1,40 @@
 """Registered queries: whole experiments. Planned folds that the ledger lacks
-are fitted (all folds as members of the same jobs), scored, appended to the
-ledger, and the ledger is summarised."""
+are fitted (as members of the same jobs), scored, appended to the ledger, and
+the ledger is summarised. Every experiment takes the ``path`` of a ledger to go
+on with; without one it starts a fresh ledger."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ledger, resample, scoring, splits, stumps
+from ..operators import ensembles, ledger, resample, scoring, splits, stumps, textclf
 from ..operators.blocks import matrix
-from ..session import materialize, scratch_path
+from ..session import materialize, release, scratch_path
 from . import fixtures as fx
 from .catalog import SQL_KNN_HOLDOUT, knn_holdout_scorecard, register
+from .catalog_text import text_folds
 from .sqlgen import sround
 
 REPEATS = 10
 
 
-def run_experiment(spark, run: str, n_folds: int, score) -> DataFrame:
-    """Summary of one run: ``score(folds)`` returns the long score cards of the
-    pending folds (``test_number, metric, value``)."""
-    path = scratch_path(spark, "experiment")
+def run_experiment(spark, run: str, n_folds: int, score: Callable[[list[int]], DataFrame], path: str | None = None) -> DataFrame:
+    """Summary of one run. ``score(folds)`` fits the given folds only and returns
+    their long score cards (``test_number, metric, value``). It gets the planned
+    folds that the ledger at ``path`` (default: a fresh one) lacks, and is not
+    called when there are none."""
+    path = path or scratch_path(spark, "experiment")
     runs = spark.range(1).select(F.lit(run).alias("run"), F.lit(n_folds).alias("n_folds"))
     todo = ledger.pending(ledger.run_grid(runs), ledger.read(spark, path))
-    cards = score(todo.select("test_number")).withColumn("run", F.lit(run)).select("run", "test_number", "metric", "value")
-    ledger.append(cards.join(F.broadcast(todo), on=["run", "test_number"], how="left_semi"), path)
-    done = ledger.read(spark, path)
+    folds = sorted(r[0] for r in todo.select("test_number").collect())      # n_folds numbers at most
+    if folds:
+        ledger.append(score(folds).withColumn("run", F.lit(run)).select("run", "test_number", "metric", "value"), path)
+    done = ledger.read(spark, path).where(F.col("run") == run)
     finished = ledger.finished_runs(done, runs).filter("finished").select("run")
     s = ledger.summary(done.join(F.broadcast(finished), on="run", how="left_semi"))
     return s.select("run", "metric", F.round("avg", 6).alias("avg"), F.round("stddev", 6).alias("stddev"))
@@ -37,9 +42,9 @@ def run_experiment(spark, run: str, n_folds: int, score) -> DataFrame:
 
 @register("experiment_knn", f"""SELECT 'knn_vec' AS run, metric, {sround("avg(value)")} AS avg,
   {sround("stddev_samp(value)")} AS stddev FROM ({SQL_KNN_HOLDOUT}) GROUP BY metric""")
-def experiment_knn(spark, sf):
+def experiment_knn(spark, sf, path=None):
     """10 hold-out folds -> under-sample -> k-NN -> score cards -> ledger -> summary."""
-    return run_experiment(spark, "knn_vec", REPEATS, lambda todo: knn_holdout_scorecard(spark, sf))
+    return run_experiment(spark, "knn_vec", REPEATS, lambda folds: knn_holdout_scorecard(spark, sf, folds), path)
 
 
 def _predict_folds(test: DataFrame, models: dict[str, stumps.Booster]) -> DataFrame:
@@ -65,20 +70,83 @@ def _predict_folds(test: DataFrame, models: dict[str, stumps.Booster]) -> DataFr
     return test.select("repeat", "label", "features").mapInArrow(fn, "repeat int, label int, proba double, pred int")
 
 
+def _fold_rows(spark, sf, folds: list[int]):
+    """The vectors and the given hold-out folds of them (written: ids only)."""
+    v = fx.vec_bin(spark, sf)
+    sides = splits.stratified_holdout(v.select("id", "label"), repeats=REPEATS)
+    sides = sides.where(F.col("repeat").isin(folds)).withColumn("repeat", F.col("repeat").cast("int"))
+    return v.select("id", "features"), materialize(sides, "experiment-folds")
+
+
+def _cards(pred: DataFrame, sides: DataFrame) -> DataFrame:
+    """Score cards of (repeat, label, proba, pred) rows, which are written first."""
+    pred = materialize(pred, "experiment-predictions")
+    release(sides)
+    return scoring.scorecard_long(pred, ["repeat"]).select(F.col("repeat").alias("test_number"), "metric", "value")
+
+
 @register("experiment_easy_ensemble", None)
-def experiment_easy_ensemble(spark, sf):
+def experiment_easy_ensemble(spark, sf, path=None):
     """10 hold-out folds x 10 under-sampled bags x 50 stumps, trained as 100
     members of the same jobs -> score cards -> ledger -> summary."""
-    def score(todo: DataFrame) -> DataFrame:
-        v = fx.vec_bin(spark, sf)
-        folds = splits.stratified_holdout(v.select("id", "label"), repeats=REPEATS)
-        folds = materialize(folds.withColumn("repeat", F.col("repeat").cast("int")), "experiment-folds")
-        bags = folds.filter("split = 'train'").withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    def score(folds: list[int]) -> DataFrame:
+        v, sides = _fold_rows(spark, sf, folds)
+        bags = sides.filter("split = 'train'").withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(9))))
         bags = resample.undersample(bags.select("repeat", "bag", "id", "label"), salt="bag", member_cols=["repeat", "bag"])
-        bags = bags.withColumn("member", F.concat_ws(":", "repeat", "bag")).join(v.select("id", "features"), on="id")
+        bags = bags.withColumn("member", F.concat_ws(":", "repeat", "bag")).join(v, on="id")
         models = stumps.fit_boost(bags, 50, member_col="member")
-        test = folds.filter("split = 'test'").join(v.select("id", "features"), on="id")
-        pred = materialize(_predict_folds(test, models), "experiment-predictions")
-        card = scoring.scorecard_long(pred, ["repeat"])
-        return card.select(F.col("repeat").alias("test_number"), "metric", "value")
-    return run_experiment(spark, "easy_vec", REPEATS, score)
+        return _cards(_predict_folds(sides.filter("split = 'test'").join(v, on="id"), models), sides)
+    return run_experiment(spark, "easy_vec", REPEATS, score, path)
+
+
+@register("experiment_mlbagging", None)
+def experiment_mlbagging(spark, sf, path=None):
+    """10 hold-out folds x 10 balanced bootstrap bags: the maps of all 100 members
+    from one LMNN fit, k-NN per member in one search -> score cards -> ledger."""
+    def score(folds: list[int]) -> DataFrame:
+        v, sides = _fold_rows(spark, sf, folds)
+        pred = ensembles.mlbagging_folds(sides, v)
+        return _cards(pred.join(sides.select("repeat", F.col("id").alias("qid"), "label"), ["repeat", "qid"]), sides)
+    return run_experiment(spark, "mlbagging_vec", REPEATS, score, path)
+
+
+@register("experiment_rusboost", None)
+def experiment_rusboost(spark, sf, path=None):
+    """10 hold-out folds x 50 rounds of SAMME.R on under-samples, the folds as
+    members of the same jobs -> score cards -> ledger -> summary."""
+    def score(folds: list[int]) -> DataFrame:
+        v, sides = _fold_rows(spark, sf, folds)
+        models = ensembles.rusboost_folds(sides.filter("split = 'train'"), v)
+        return _cards(_predict_folds(sides.filter("split = 'test'").join(v, on="id"), models), sides)
+    return run_experiment(spark, "rusboost_vec", REPEATS, score, path)
+
+
+@register("experiment_mlboosting", None)
+def experiment_mlboosting(spark, sf, path=None):
+    """As experiment_rusboost with LMNN -> stump: the maps of all folds and
+    rounds come from one LMNN fit."""
+    def score(folds: list[int]) -> DataFrame:
+        v, sides = _fold_rows(spark, sf, folds)
+        models = ensembles.rusboost_folds(sides.filter("split = 'train'"), v, n_rounds=10, metric=True)
+        return _cards(_predict_folds(sides.filter("split = 'test'").join(v, on="id"), models), sides)
+    return run_experiment(spark, "mlboosting_vec", REPEATS, score, path)
+
+
+DEEP_METRICS = ["precision", "recall", "gmean", "f1", "f2"]
+
+
+def _text_experiment(variant: str):
+    def experiment(spark, sf, path=None):
+        def score(folds: list[int]) -> DataFrame:
+            own = text_folds(spark, sf, variant, folds)
+            pred = materialize(own.predict(own.fit(variant)), "experiment-predictions")
+            release(own.table)
+            card = scoring.deep_scorecard(pred, ["repeat"])
+            return scoring.to_long(card, ["repeat"], DEEP_METRICS).withColumnRenamed("repeat", "test_number")
+        return run_experiment(spark, f"text_{variant}", REPEATS, score, path)
+    experiment.__doc__ = f"10 hold-out folds of the text classifier '{variant}' -> deep score cards -> ledger -> summary."
+    return experiment
+
+
+for _v in textclf.VARIANTS:
+    register(f"experiment_text_{_v}", None)(_text_experiment(_v))
