@@ -4,7 +4,8 @@ A notice may be found with up to ``errors`` edits of its characters. Cut into
 ``errors + 1`` pieces, at least one piece of every such place is intact
 (pigeonhole), so one Aho-Corasick pass over a text with the pieces of all notices
 finds every candidate. Around a piece the ``regex`` library's bounded-error
-matching verifies the whole notice and gives its span and number of edits. Base
+matching verifies the whole notice and gives its span and number of edits. A notice's
+naming words have to be intact, or one licence would pass for another. Base
 phrases are notices without edits: their one piece is the phrase itself, as whole
 words.
 
@@ -42,6 +43,17 @@ NOTICES = [
     ("permission to use copy modify and or distribute this software for any purpose", "isc", 5),
     ("all rights reserved", "all-rights-reserved", 1),
 ]
+#: Words of a notice that tell its licence from others: edits may not touch them.
+NAMING = {
+    "released under the mit license": "mit",
+    "licensed under the apache license version 2 0": "apache",
+    "licensed under the gnu general public license version 3": "gnu general",
+    "gnu lesser general public license": "lesser",
+    "gnu affero general public license": "affero",
+    "licensed under cc by nc 4 0": "cc by nc",
+    "licensed under cc by sa 4 0": "cc by sa",
+    "mozilla public license version 2 0": "mozilla",
+}
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or c >= 97 and c < 123 or c >= 128
                else 32 for c in range(256))
 MATCH = "struct<label: string, base: boolean, first_word: long, end_word: long, errors: int, score: double, text: string>"
@@ -59,14 +71,14 @@ def _machine(base: tuple, notices: tuple):
     import regex
     seeds: dict[str, list[tuple[int, int]]] = {}
     patterns = []
-    for k, (text, label, errors, is_base) in enumerate(
-            [(t, la, 0, True) for t, la in base] + [(t, la, e, False) for t, la, e in notices]):
+    for k, (text, label, errors, is_base, own) in enumerate(
+            [(t, la, 0, True, "") for t, la in base] + [(t, la, e, False, own[0] if own else "") for t, la, e, *own in notices]):
         if is_base:
             seeds.setdefault(f" {text} ", []).append((k, -1))
         else:
             for at, piece in split_exact(text, errors + 1):
                 seeds.setdefault(piece, []).append((k, at))
-        patterns.append((text, label, errors, is_base,
+        patterns.append((text, label, errors, is_base, f" {own} " if own else "",
                          regex.compile(f"(?e)(?:{regex.escape(text, literal_spaces=True)}){{e<={errors}}}")))
     auto = ahocorasick.Automaton()
     for piece, of in seeds.items():
@@ -76,14 +88,15 @@ def _machine(base: tuple, notices: tuple):
 
 
 def find(text: str | None, base: tuple, notices: tuple) -> tuple[int, list[dict]]:
-    """Number of words, and the matches of one text in order of place."""
+    """Number of words, and the matches of one text in order of place. A notice
+    is (text, label, edits) and, if it has any, its naming words."""
     words = (text or "").encode("utf-8", "replace").translate(_TABLE).split()
     auto, patterns = _machine(base, notices)
     norm = " " + b" ".join(words).decode("utf-8", "replace") + " "
     near: dict[int, list[list[int]]] = {}
     for end, (size, of) in auto.iter(norm):
         for k, at in of:
-            notice, _, errors, _, _ = patterns[k]
+            notice, _, errors, *_ = patterns[k]
             a = max(0, end + 1 - size - at - errors)
             b = min(len(norm), end + 1 - size - at + len(notice) + errors)
             spans = near.setdefault(k, [])
@@ -94,9 +107,11 @@ def find(text: str | None, base: tuple, notices: tuple) -> tuple[int, list[dict]
     out, last_at, last_word = [], 0, 0
     found = []
     for k, spans in near.items():
-        notice, label, errors, is_base, pattern = patterns[k]
+        notice, label, errors, is_base, own, pattern = patterns[k]
         for a, b in spans:
             for m in pattern.finditer(norm, a, b):
+                if own and own not in f" {m[0].strip()} ":
+                    continue
                 found.append((m.start(), m.end(), label, is_base, sum(m.fuzzy_counts), len(notice)))
     for a, b, label, is_base, errors, size in sorted(found):
         a += norm[a:b][:1] == " "
@@ -109,6 +124,11 @@ def find(text: str | None, base: tuple, notices: tuple) -> tuple[int, list[dict]
     return len(words), out
 
 
+def named() -> list[tuple]:
+    """``NOTICES`` with their naming words."""
+    return [(*n, NAMING.get(n[0], "")) for n in NOTICES]
+
+
 def _scan(base: tuple, notices: tuple):
     kind = pa.list_(pa.struct([("label", pa.string()), ("base", pa.bool_()), ("first_word", pa.int64()),
                                ("end_word", pa.int64()), ("errors", pa.int32()), ("score", pa.float64()),
@@ -132,7 +152,7 @@ def scan(docs: DataFrame, base=None, notices=None, id_col: str = "doc_id", text_
     other columns are ignored."""
     shared_dir(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _scan(tuple(base or BASE), tuple(notices or NOTICES)), f"doc_id long, n_words long, matches array<{MATCH}>")
+        _scan(tuple(base or BASE), tuple(notices or named())), f"doc_id long, n_words long, matches array<{MATCH}>")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
