@@ -5,8 +5,8 @@
 between toxic and other training documents under an informative Dirichlet prior,
 whose pseudo-counts follow the unit's share of the whole corpus. Units that toxic
 documents favour significantly (likelihood ratio, corrected for the number of
-units tried) make the lexicon, at most ``LEXICON`` of them; all other words share
-one small negative weight.
+units tried) make the lexicon, all of them; all other words share one small negative
+weight. The lexicon grows with the labelled sample (``SAMPLE``), not with the corpus.
 
 *Scan.* The weights of a text's words are scanned once, in linear time, for all
 maximal scoring segments (Ruzzo and Tompa): every toxic passage, not only the best.
@@ -32,8 +32,6 @@ from .quality import held_out
 from .words import chunks, mix
 
 SAMPLE = 20_000                    # labelled rows of each class that are learned from (smallest hash of the id)
-LEXICON = 50_000
-CANDIDATES = 200_000               # units whose corpus counts are taken (rows of one small table)
 PREFIXES = (4, 5, 6)
 PRIOR = 20.0                       # pseudo-documents
 LEAST_TOXIC = 3                    # toxic training documents that a unit must be in
@@ -215,8 +213,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0), -0.1, 0.0)
     tried = counts.where((F.col("unit") != 0) & (F.col("t") >= LEAST_TOXIC))
     n_tried = tried.count()
-    more = tried.where(F.col("t") / n_t > 2 * F.col("c") / n_c)
-    some = more.orderBy(F.desc("t"), "unit").limit(CANDIDATES).collect()
+    both = F.col("t") + F.col("c")
+    term = lambda x, n: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (both * n / (n_t + n_c)))).otherwise(0.0)
+    more = tried.where((F.col("t") / n_t > 2 * F.col("c") / n_c)
+                       & (2 * (term("t", n_t) + term("c", n_c)) >= 2 * float(np.log(max(2.0, float(n_tried))))))
+    some = more.select("unit", "t", "c").collect()
     units = np.array([r.unit for r in some], np.int64).view(np.uint64)
     order = np.argsort(units)
     units = units[order]
@@ -231,11 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     prior = PRIOR * np.maximum(seen[:, 0], 1) / max(1, total[0])
     odds = (np.log((t + prior) / (n_t + PRIOR - t - prior + 1e-9))
             - np.log((c + prior) / (n_c + PRIOR - c - prior + 1e-9)))
-    both = t + c
-    expect_t, expect_c = both * n_t / (n_t + n_c), both * n_c / (n_t + n_c)
-    ratio = 2 * (t * np.log(t / expect_t) + np.where(c > 0, c * np.log(np.maximum(c, 1) / expect_c), 0.0))
-    keep = np.flatnonzero((ratio >= 2 * np.log(max(2.0, float(n_tried)))) & (odds > 1))
-    keep = np.sort(keep[np.argsort(-ratio[keep], kind="stable")[:LEXICON]])
+    keep = np.flatnonzero(odds > 1)
     units, weights, share = units[keep], np.minimum(odds[keep], MOST_WEIGHT), seen[keep, 1] / max(1, total[1])
     # shares of prefixes hold those of their words, so the rest is counted low rather than high
     rest = 1 - min(0.5, float(share.sum()))
