@@ -31,6 +31,15 @@ def nulls_apart(key: Column, row_id: Column) -> Column:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """A 64-bit key of a row's id and text: alike rows share it, and rows that
+    """A 128-bit key of a row's id and text: alike rows share it, and rows that
     share an id but not a text, or have no id, do not."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.md5(F.concat(part(id_col), F.lit("\n"), part(text_col)))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

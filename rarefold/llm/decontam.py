@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release
-from .common import broadcast_within, row_key
+from .common import broadcast_within, fresh, row_key
 
 SHINGLE = 5
 NUM, DEN = 75, 100
@@ -180,6 +180,7 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, id_col: str =
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that leak an item, by weight or plainly; all columns as they were."""
-    found = leaks(docs, items, id_col=id_col, text_col=text_col, plain=True).select(F.col("row_key").alias("_leak")).distinct()
+    leak = fresh(docs, "_leak")
+    found = leaks(docs, items, id_col=id_col, text_col=text_col, plain=True).select(F.col("row_key").alias(leak)).distinct()
     found = broadcast_within(found, found.count(), BROADCAST_DOCS)
-    return docs.join(found, row_key(id_col, text_col) == F.col("_leak"), "left_anti")
+    return docs.join(found, row_key(id_col, text_col) == F.col(leak), "left_anti")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release, shared_dir
-from .common import broadcast_within, row_key
+from .common import broadcast_within, fresh, row_key
 from .components import components
 from .words import chunks, mix, window_hash
 
@@ -409,7 +409,7 @@ def _linked(docs: DataFrame, block: int, id_col: str, text_col: str, keyed: bool
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"),
                         F.col(text_col).alias("text"), *[row_key(id_col, text_col).alias(k) for k in key])
     heavy = spark.sparkContext.broadcast(heavy_shingles(texts.select("text")))
-    seen = materialize(texts.mapInArrow(_survey(heavy), NODE_SCHEMA + ", row_key long" * keyed), "shingle-survey")
+    seen = materialize(texts.mapInArrow(_survey(heavy), NODE_SCHEMA + ", row_key string" * keyed), "shingle-survey")
     nodes = seen.where("n > 0").select("doc_id", "sid")
     sketches = seen.where("n > 0").select("sid", "n", "sketch").dropDuplicates(["sid"])
     one = nodes.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
@@ -448,21 +448,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     judged each by its own text; rows without an id come after all others, so of a
     component without ids one stays too. Of rows that repeat an id and a text one
     stays; rows with neither an id nor a word all stay."""
+    gone, twice = fresh(docs, "_out"), fresh(docs, "_key")
     found = materialize(_linked(docs, BLOCK, id_col, text_col, keyed=True), "linked-rows")
     tied = materialize(found.where("n_shingles > 0 and doc_id = component_id").groupBy("label")
                        .agg(F.min("row_key").alias("first"), F.max("row_key").alias("last"))
                        .where("first <> last").select("label", "first"), "tied-rows")
     later = found.where("doc_id = component_id").join(broadcast_within(tied, tied.count(), BROADCAST_DOCS), "label").where("row_key <> first")
-    out = materialize(found.where("component_id <> doc_id").select(F.col("row_key").alias("_out"))
-                      .unionByName(later.select(F.col("row_key").alias("_out"))).distinct(), "near-copies")
+    out = materialize(found.where("component_id <> doc_id").select(F.col("row_key").alias(gone))
+                      .unionByName(later.select(F.col("row_key").alias(gone))).distinct(), "near-copies")
     mine = row_key(id_col, text_col)
-    kept = docs.join(broadcast_within(out, out.count(), BROADCAST_DOCS), mine == F.col("_out"), "left_anti")
-    again = materialize(found.where((F.col("n_shingles") > 0) | (F.col("doc_id") != NO_ID)).groupBy(F.col("row_key").alias("_key")).count()
-                        .where("count > 1").select("_key").join(out, F.col("_key") == F.col("_out"), "left_anti"), "repeated-rows")
+    kept = docs.join(broadcast_within(out, out.count(), BROADCAST_DOCS), mine == F.col(gone), "left_anti")
+    again = materialize(found.where((F.col("n_shingles") > 0) | (F.col("doc_id") != NO_ID)).groupBy(F.col("row_key").alias(twice)).count()
+                        .where("count > 1").select(twice).join(out, F.col(twice) == F.col(gone), "left_anti"), "repeated-rows")
     n = again.count()
     if not n:
         return kept
-    same = mine == F.col("_key")
+    same = mine == F.col(twice)
     again = broadcast_within(again, n, BROADCAST_DOCS)
     return kept.join(again, same, "left_anti").unionByName(
         kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

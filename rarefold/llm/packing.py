@@ -240,7 +240,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PI
     shared_dir(rows.sparkSession)
     rows = materialize(rows, "pieces")
     groups = max(1, -(-rows.count() // group_pieces))
-    dealt = rows.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = rows.withColumn("_group", F.pmod(
+        # the place in the written table parts alike rows too
+        F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInArrow(
         _pack_group(capacity),
         "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

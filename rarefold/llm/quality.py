@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, release, shared_dir
-from .common import broadcast_within, row_key
+from .common import broadcast_within, fresh, row_key
 from .rules import _LETTER, _UPPER, _again, _counts, _per_doc
 from .words import chunks
 
@@ -75,11 +75,11 @@ def _measure(batches):
                                          names=["doc_id", *MEASURES])
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and the measurements of every row's whole text (null: empty)."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "long") -> DataFrame:
+    """``doc_id`` (as ``kind``) and the measurements of every row's whole text (null: empty)."""
     shared_dir(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _measure, "doc_id long, " + ", ".join(f"{m} double" for m in MEASURES))
+    return docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        _measure, f"doc_id {kind}, " + ", ".join(f"{m} double" for m in MEASURES))
 
 
 @dataclass
@@ -105,20 +105,22 @@ def _steps(edges: list[list[float]]):
 def _ranked(model: Ranker):
     def run(batches):
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 1 + len(MEASURES))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.raw(cols))], names=["doc_id", "raw"])
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(len(MEASURES))]
+            yield pa.RecordBatch.from_arrays([*b.columns[len(MEASURES):], pa.array(model.raw(cols))],
+                                             names=[*b.schema.names[len(MEASURES):], "raw"])
     return run
 
 
 def rank(measured: DataFrame, model: Ranker) -> DataFrame:
-    """``doc_id, raw``: the uncut Bradley-Terry score."""
-    return measured.select("doc_id", *MEASURES).mapInArrow(_ranked(model), "doc_id long, raw double")
+    """The rows with ``raw``, the uncut Bradley-Terry score, in place of their measurements."""
+    rest = [f"{c} {kind}" for c, kind in measured.dtypes if c not in MEASURES]
+    return measured.select(*MEASURES, *[r.split()[0] for r in rest]).mapInArrow(_ranked(model), ", ".join([*rest, "raw double"]))
 
 
 def fit(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int = PAIRS,
         threshold: float = THRESHOLD) -> Ranker:
     """Learn from ``labels`` (``doc_id, good``: 1 or 0; other values and unknown
-    ids are ignored). With rows of one class only there is no pair: all weights
+    ids are ignored; an id with both values is a row of each class). With rows of one class only there is no pair: all weights
     are 0, and every document scores ``threshold``."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
@@ -150,7 +152,7 @@ def fit(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int
     for i, e in enumerate(edges):
         model.weights[i] = [round(v, 9) for v in w[at:at + len(e)]]
         at += len(e)
-    _cut(model, rank(rows, model).join(rows.select("doc_id", "good"), "doc_id"))
+    _cut(model, rank(rows.drop("r"), model))
     release(rows, train)
     return model
 
@@ -208,11 +210,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     they were. Learned as in ``classify``, on the rows of ``docs`` that have a label."""
     keyed = docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).cast("long").alias("id"),
                         F.col(text_col).alias("t"))
-    measured = materialize(measure(keyed, "k", "t"), "quality-measures")
+    measured = materialize(measure(keyed, "k", "t", "string"), "quality-measures")
     lab = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("good").cast("int").alias("good"))
     lab = lab.where(~held_out(F.col("id"), 5, 0)).join(keyed.select("id", "k"), "id")
     model = fit(measured, lab.select(F.col("k").alias("doc_id"), "good"), threshold=threshold)
     out = rank(measured, model).where(score_column(model, threshold) < threshold)
-    out = materialize(out.select(F.col("doc_id").alias("_rejected")).distinct(), "quality-rejected")
-    return docs.join(broadcast_within(out, out.count(), BROADCAST_DOCS), row_key(id_col, text_col) == F.col("_rejected"),
+    rejected = fresh(docs, "_rejected")
+    out = materialize(out.select(F.col("doc_id").alias(rejected)).distinct(), "quality-rejected")
+    return docs.join(broadcast_within(out, out.count(), BROADCAST_DOCS), row_key(id_col, text_col) == F.col(rejected),
                      "left_anti")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release, shared_dir
-from .common import broadcast_within
+from .common import broadcast_within, fresh
 from .words import chunks, mix
 
 WINDOW = 20
@@ -404,11 +404,12 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, gro
     kind = "array<struct<at: long, again: long>>"
     plans = touched.select("doc_id", "key", F.lit(False).alias("copy"), "found").unionByName(
         copies.withColumn("found", F.lit(None).cast(kind)))
-    plans = materialize(plans.groupBy(F.col("doc_id").alias("_plan_id")).agg(
-        F.collect_list(F.struct("key", "copy", "found")).alias("_plan"),
-        F.flatten(F.collect_list(F.coalesce("found", F.expr(f"cast(array() as {kind})")))).alias("all")), "repeats-plans")
-    few = _few(plans, "all", 20).drop("all")
+    plan_id, plan = fresh(docs, "_plan_id"), fresh(docs, "_plan")
+    plans = materialize(plans.groupBy(F.col("doc_id").alias(plan_id)).agg(
+        F.collect_list(F.struct("key", "copy", "found")).alias(plan),
+        F.flatten(F.collect_list(F.coalesce("found", F.expr(f"cast(array() as {kind})")))).alias("_entries")), "repeats-plans")
+    few = _few(plans, "_entries", 20).select(plan_id, plan)
     names = docs.columns
-    full = docs.join(few, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("_plan_id"), "left").drop("_plan_id")
+    full = docs.join(few, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(plan_id), "left").drop(plan_id)
     return full.mapInArrow(_rewrite(window, names.index(text_col), names.index(chars_col) if chars_col in names else None,
                                     names), docs.schema)

@@ -58,6 +58,17 @@ def test_fuzzy_notices_are_found_within_their_errors():
     assert licenses.find("nothing at all", (), tuple(licenses.NOTICES))[1] == []
 
 
+def test_a_notice_has_only_its_own_label():
+    notices = tuple(licenses.named())
+    labels = lambda t: {m["label"] for m in licenses.find(t, tuple(licenses.BASE), notices)[1]}
+    for text, label, *_ in notices:
+        assert labels(f"see: {text}, and more") == {label} | {la for t, la in licenses.BASE if t in text}
+    assert labels("released under the bsd license") == set() == labels("released under the gpl license")
+    assert labels("Licensed under CC BY-SA 4.0.") == {"cc-by-sa"} and labels("licensed under CC-BY-NC 4.0") == {"cc-by-nc"}
+    assert labels("licensd under cc by nc 4.0") == {"cc-by-nc"}
+    assert labels("relesed undr the MIT licence") == {"mit"} and labels("licensed under the gnu lesser general public license version 3") == {"lgpl", "gpl"}
+
+
 def test_rules(spark):
     got = rules.ledger(docs(spark, list(enumerate(ODD)))).collect()
     for r in got:
@@ -259,3 +270,34 @@ def test_chunks_without_words(texts):
     assert list(toxicity._count_corpus(type("B", (), {"value": np.ones(1, np.uint64)}))(batch(col)))
     enc = packing.WordIds(tokenizer())
     assert [len(enc.encode(w)[0]) for w in words.chunks(col, lower=True)] == [1 if "x" in texts else 0]
+
+
+CLASH = ["_out", "_out_", "_key", "_plan_id", "_plan", "_leak", "_rejected", "_x", "label", "first", "row_key", "k", "doc", "found", "sha"]
+
+
+def test_stages_take_columns_of_any_name(spark):
+    """Every stage keeps extra columns whose names it uses itself."""
+    from rarefold.llm import decontam, quality
+    rows = [(i, " ".join(f"w{(i // 2 * 7 + j) % 97}" for j in range(60)), i) for i in range(24)] + [(None, None, 1), (3, "", 2), (3, "", 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").selectExpr("*", *[f"doc_id as {c}" for c in CLASH])
+    items = spark.createDataFrame([(1, rows[4][1]), (2, "not in there at all")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, good int")
+    for out in (jaccard.keep_one(d), repeats.cut_repeats(d), decontam.decontaminate(d, items), quality.keep_good(d, labels)):
+        assert out.columns == d.columns
+        got = out.collect()
+        assert got and all(r[c] == r.doc_id for r in got for c in CLASH)
+    assert decontam.decontaminate(d, items).where("doc_id in (4, 5)").count() == 0
+
+
+def test_copies_of_one_row_are_dealt_to_several_groups(spark):
+    rows = spark.range(300).selectExpr("cast(null as long) as doc_id", "0 as piece", "0L as start", "1L as length", "7L as ids_crc32")
+    got = packing.pack(rows, capacity=8, group_pieces=50).collect()
+    assert len(got) == 300 and len({r.sequence_id >> 32 for r in got}) > 2
+
+
+def test_rows_that_repeat_an_id_are_scored_once_each(spark):
+    from rarefold.llm import quality
+    rows = [(i // 5, f"word {'good ' * (i % 3)} {'#' * (i % 4)} text {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, g) for i in range(12) for g in {i % 2, i % 3 % 2}], "doc_id long, good int")
+    out, model = quality.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert out.count() == 60 and any(any(w) for w in model.weights)
