@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeded import hex_bucket
+from ..session import materialize
 
 
 def dist_rank(df: DataFrame, part_cols: Sequence[str], hex_col: str,
@@ -35,8 +36,7 @@ def dist_rank(df: DataFrame, part_cols: Sequence[str], hex_col: str,
     # local rank inside (key, bucket): one shuffle of the rows
     local = Window.partitionBy(*part_cols, "_bk").orderBy(F.col(hex_col), F.col(tie_col))
     d = d.withColumn("_lrn", F.row_number().over(local))
-    # bucket sizes read from the same shuffled output (the exchange is reused,
-    # the input is not read twice): at most 16**digits rows per key
+    # bucket sizes: at most 16**digits rows per key
     counts = d.groupBy(*part_cols, "_bk").agg(F.max("_lrn").cast("bigint").alias("__cnt"))
     before = Window.partitionBy(*part_cols).orderBy("_bk").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -51,5 +51,16 @@ def dist_rank(df: DataFrame, part_cols: Sequence[str], hex_col: str,
              .drop("_bk", "_off", "_lrn"))
 
 
-def key_counts(df: DataFrame, part_cols: Sequence[str], out: str = "n") -> DataFrame:
-    return df.groupBy(*part_cols).agg(F.count(F.lit(1)).alias(out))
+def sorted_ordinal(df: DataFrame, col: str, out: str) -> tuple[DataFrame, int]:
+    """``df`` (distinct values of ``col``) with ``out``, the 0-based place of each
+    in sorted order, and their number. The values are sorted by range, written
+    with their partition and place in it, and the sizes of the partitions before
+    are added: no task holds all of them."""
+    placed = materialize(df.orderBy(col).select(
+        col, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")), "ordinals")
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))   # a row per partition
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ranked = placed.join(F.broadcast(offs.drop("_n")), on="_p").select(
+        col, (F.col("_i") - F.col("_first") + F.col("_off")).cast("int").alias(out))
+    return ranked, placed.count()

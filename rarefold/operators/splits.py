@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeded import hash_hex
-from .rank import dist_rank
+from .rank import dist_rank, sorted_ordinal
 
 DEFAULT_SEED = 42
+BROADCAST_GROUPS = 100_000       # groups whose ordinals go to every task instead of the rows to the groups
 
 
 # ---- C1: leave one group out ------------------------------------------------
@@ -20,11 +21,9 @@ def logo_assign(df: DataFrame, group_col: str = "grp", out: str = "fold") -> Dat
     group in sorted name order. Fold *i* trains on every row with ``fold != i``,
     so the N-fold expansion is never materialised (a filter reads it, and a
     table written partitioned by ``fold`` is pruned by it)."""
-    groups = df.select(group_col).distinct()
     # one row per group (file); the group list is the fold list
-    ordinal = groups.withColumn(
-        out, (F.row_number().over(Window.orderBy(group_col)) - 1).cast("int"))
-    return df.join(ordinal, on=group_col, how="inner")
+    ordinal, n = sorted_ordinal(df.select(group_col).where(F.col(group_col).isNotNull()).distinct(), group_col, out)
+    return df.join(F.broadcast(ordinal) if n <= BROADCAST_GROUPS else ordinal, on=group_col, how="inner")
 
 
 def logo_fold(assigned: DataFrame, i: int, fold_col: str = "fold") -> DataFrame:

@@ -12,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ensembles, ledger, resample, scoring, splits, stumps, textclf
+from ..operators import ensembles, ledger, logo, resample, scoring, splits, stumps, textclf
 from ..operators.blocks import matrix
 from ..session import materialize, release, scratch_path
 from . import fixtures as fx
 from .catalog import SQL_KNN_HOLDOUT, knn_holdout_scorecard, register
-from .catalog_text import text_folds
-from .sqlgen import sround
+from .catalog_prep import SQL_PAIRED, a1_paired_lines
+from .catalog_text import N_FEATURES, SPLIT, text_folds
+from .sqlgen import scorecard_ctes, sround, unpivot
 
 REPEATS = 10
 
@@ -150,3 +151,65 @@ def _text_experiment(variant: str):
 
 for _v in textclf.VARIANTS:
     register(f"experiment_text_{_v}", None)(_text_experiment(_v))
+
+
+# ---- leave one group out, end to end ----------------------------------------------
+
+# the paired lines as one more table of the same statement
+_AT = SQL_PAIRED.index("SELECT 'doc'")
+SQL_LOGO_NB = f"""{SQL_PAIRED[:_AT].rstrip()},
+paired AS ({SQL_PAIRED[_AT:]}),
+src AS (SELECT p.file || ':' || p.line_no AS id, t.grp, p.text, p.label FROM paired p JOIN text_bin t ON p.file = 'doc' || t.id),
+gr AS (SELECT grp, CAST(row_number() OVER (ORDER BY grp) - 1 AS INTEGER) AS fold FROM (SELECT DISTINCT grp FROM src)),
+r AS (SELECT src.id, gr.fold, src.text, src.label FROM src JOIN gr ON src.grp = gr.grp),
+tok AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '{SPLIT}'), lambda t: t <> '')) AS t FROM r),
+tf AS (SELECT id, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % {N_FEATURES} AS INTEGER) AS term, count(*) AS tf FROM tok GROUP BY id, term),
+f AS (SELECT DISTINCT fold FROM r),
+lf AS (SELECT tf.term, tf.tf, r.fold, r.label FROM tf JOIN r ON tf.id = r.id),
+-- every fold's training side, read in full
+th AS (SELECT f.fold, lf.term, sum(CASE WHEN label = 1 THEN tf ELSE 0 END) + 1 AS c1, sum(CASE WHEN label = 0 THEN tf ELSE 0 END) + 1 AS c0
+       FROM f JOIN lf ON f.fold <> lf.fold GROUP BY f.fold, lf.term),
+nn AS (SELECT f.fold, coalesce(sum(CASE WHEN label = 1 THEN tf END), 0) + {N_FEATURES} AS n1,
+              coalesce(sum(CASE WHEN label = 0 THEN tf END), 0) + {N_FEATURES} AS n0 FROM f LEFT JOIN lf ON f.fold <> lf.fold GROUP BY f.fold),
+pr AS (SELECT f.fold, count(*) FILTER (label = 1) AS d1, count(*) FILTER (label = 0) AS d0 FROM f JOIN r ON f.fold <> r.fold GROUP BY f.fold),
+sc AS (SELECT r.id, r.fold, r.label, coalesce(sum(tf.tf * (ln(coalesce(th.c1, 1) / coalesce(th.c0, 1)) + ln(nn.n0 / nn.n1))), 0) AS s
+       FROM r JOIN nn ON r.fold = nn.fold LEFT JOIN tf ON r.id = tf.id LEFT JOIN th ON th.fold = r.fold AND th.term = tf.term
+       GROUP BY r.id, r.fold, r.label),
+od AS (SELECT sc.id, sc.fold, sc.label, round(CASE WHEN d1 > 0 AND d0 > 0 THEN greatest(least(ln(d1 / d0) + s, 700.0), -700.0) END, 9) AS o
+       FROM sc JOIN pr ON sc.fold = pr.fold),
+nb AS (SELECT id, fold, label, 1 / (1 + exp(-o)) AS proba, CAST(o > 0 AS INTEGER) AS pred FROM od)"""
+
+
+def logo_lines(spark, sf):
+    """A1 -> C1: lines paired with labels, each line's fold the one of its source."""
+    t = fx.text_bin(spark, sf)
+    lines = a1_paired_lines(spark, sf).withColumn("id", F.concat_ws(":", "file", "line_no"))
+    of = t.select(F.concat(F.lit("doc"), F.col("id").cast("string")).alias("file"), "grp")
+    return splits.logo_assign(lines.join(of, "file").select("id", "grp", "text", "label"))
+
+
+@register("c1_logo_naive_bayes", SQL_LOGO_NB + """
+SELECT fold, id, label, round(proba, 6) AS proba, pred FROM nb""")
+def c1_logo_naive_bayes(spark, sf):
+    """Every line by the model of all other sources, from totals minus the source's own counts."""
+    out = logo.naive_bayes(logo_lines(spark, sf), N_FEATURES)
+    return out.select("fold", "id", "label", F.round("proba", 6).alias("proba"), "pred")
+
+
+@register("experiment_logo", SQL_LOGO_NB + f""",
+{scorecard_ctes('nb', 'fold')},
+cards AS ({unpivot('sc_card', 'fold AS test_number')})
+SELECT 'logo_nb' AS run, metric, {sround("avg(value)")} AS avg, {sround("stddev_samp(value)")} AS stddev FROM cards GROUP BY metric""")
+def experiment_logo(spark, sf, path=None):
+    """Paired lines (A1) -> a fold per group (C1) -> fold sink (A7) -> loader (A5)
+    -> naive Bayes of all folds from complements -> score cards -> ledger -> summary."""
+    lines = logo_lines(spark, sf)
+    folds = scratch_path(spark, "logo-folds")
+    lines.withColumn("split", F.lit("test")).write.partitionBy("fold").parquet(folds)
+    n = spark.read.parquet(folds).select("fold").distinct().count()
+
+    def score(todo: list[int]) -> DataFrame:
+        # a fold's test side is its partition, its training side all the others
+        pred = materialize(logo.naive_bayes(spark.read.parquet(folds), N_FEATURES).where(F.col("fold").isin(todo)), "logo-predictions")
+        return scoring.scorecard_long(pred, ["fold"]).withColumnRenamed("fold", "test_number")
+    return run_experiment(spark, "logo_nb", n, score, path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as TK
 from ..functions.seeded import seeded_matrix
-from ..operators import headfit, splits, textfeat, triplets
+from ..operators import encode, headfit, splits, textfeat, triplets
 from . import fixtures as fx
 from .catalog import H, U, register
 
@@ -92,6 +92,38 @@ def f2_vectorise_folds(spark, sf):
     return out.select("repeat", "split", "id", "term", F.round("weight", 6).alias("weight"))
 
 
+ENCODER_DIM = 64
+
+SQL_ENCODED = f"""WITH {fx.SQL_TEXT_BIN},
+tok AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '{SPLIT}'), lambda t: t <> '')) AS t FROM text_bin),
+p AS (SELECT id, CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % {ENCODER_DIM} AS INTEGER) AS pos,
+             sum(CASE WHEN ('0x' || substr(md5(t), 9, 1))::BIGINT < 8 THEN 1 ELSE -1 END) AS v FROM tok GROUP BY id, pos),
+nz AS (SELECT id, pos, v / nullif(sqrt(sum(v * v) OVER (PARTITION BY id)), 0) AS v FROM p),
+enc AS (SELECT t.id, t.label, list(round(coalesce(nz.v, 0.0), 6) ORDER BY g.pos) AS features
+        FROM text_bin t, range(0, {ENCODER_DIM}) g(pos) LEFT JOIN nz ON nz.id = t.id AND nz.pos = g.pos GROUP BY t.id, t.label)"""
+
+
+@register("f1_second_encoder", SQL_ENCODED + "\nSELECT id, features FROM enc")
+def f1_second_encoder(spark, sf):
+    """Every labelled text by a frozen encoder (signed hashing of words), each distinct text encoded once."""
+    out = encode.encode(fx.text_bin(spark, sf).select("id", "text"), encode.SignedWords(ENCODER_DIM))
+    return out.select("id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+@register("f2_second_encoder_folds", SQL_ENCODED + f""",
+rep AS (SELECT t.id, t.label, CAST(g.r AS INTEGER) AS repeat FROM text_bin t, range(0, 10) g(r)),
+hs AS (SELECT *, row_number() OVER (PARTITION BY repeat, label ORDER BY {H("'holdout'", 'repeat', 'id')}, id) AS rk,
+              count(*) OVER (PARTITION BY repeat, label) AS nc FROM rep)
+SELECT repeat, CASE WHEN rk <= round(0.2 * nc) THEN 'test' ELSE 'train' END AS split, hs.id, hs.label, features
+FROM hs JOIN enc ON hs.id = enc.id""")
+def f2_second_encoder_folds(spark, sf):
+    """The 10 hold-out folds by the same call as TF-IDF, with the frozen encoder."""
+    t = fx.text_bin(spark, sf)
+    folds = splits.stratified_holdout(t.select("id", "label"), repeats=10)
+    out = encode.vectorise(t.select("id", "text"), folds, encode.SignedWords(ENCODER_DIM))
+    return out.withColumn("features", F.transform("features", lambda x: F.round(x, 6)))
+
+
 SQL_TRIPLETS = f"""WITH {fx.SQL_VEC_BIN},
 b AS (SELECT id, label, features,
              (row_number() OVER (ORDER BY {H("'batch'", '0', 'id')}, id) - 1) // 16 AS batch FROM vec_bin),
