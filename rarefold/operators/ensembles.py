@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from . import lmnn, neighbors, resample, stumps
 from ..session import materialize, release
 from .blocks import matrix
+from .learners import KNN, LMNN, BaseLearner, Boosted, MetricLearner, mapped
 from .splits import DEFAULT_SEED
 
 
@@ -162,20 +163,26 @@ def mlbagging_fit(train: DataFrame, n_bags: int = 10, k: int = 5, seed: int = DE
     return MetricBagging(bags, maps, k)
 
 
-def mlbagging_folds(sides: DataFrame, vectors: DataFrame, n_bags: int = 10, k: int = 5, seed: int = DEFAULT_SEED,
-                    **lmnn_kw) -> DataFrame:
-    """I3 for many folds at once: ``repeat, qid, proba, pred`` of the test rows of
-    ``sides`` (repeat, id, label, split). Bags of all folds are members of one
-    LMNN fit and of one neighbour search."""
+def metric_bagging(sides: DataFrame, vectors: DataFrame, n_bags: int = 10, base: BaseLearner = KNN(), metric: MetricLearner = LMNN(),
+                   seed: int = DEFAULT_SEED) -> DataFrame:
+    """I3 with any base and metric learner, for many folds at once: ``repeat, qid,
+    proba, pred`` of the test rows of ``sides`` (repeat, id, label, split). The bags
+    of all folds are members of one metric fit and of one base learner's call."""
     train = sides.where("split = 'train'").select("repeat", "id", "label")
     bags = bag_slots(train, n_bags, seed, ("repeat",), vectors)
     bags = materialize(bags.withColumn("member", F.concat_ws(":", "repeat", "bag")), "fold-bags")
-    maps = lmnn.fit(bags.select("member", F.col("uid").alias("id"), "features", "label"), member_col="member", **lmnn_kw).maps
+    maps = metric.maps(bags, "member")
     test = sides.where("split = 'test'").select("repeat", "id").join(vectors, "id").withColumn(
         "bag", F.explode(F.sequence(F.lit(0), F.lit(n_bags - 1)))).withColumn("member", F.concat_ws(":", "repeat", "bag"))
-    z = lambda df: lmnn.apply_map(df, maps, member_col="member").drop("features").withColumnRenamed("z", "features")
-    nb = neighbors.knn(z(test), z(bags), k, key_cols=["repeat", "bag"], train_uid="uid")
-    return soft_vote(neighbors.knn_predict(nb, ["repeat", "bag"]), ("repeat", "qid"))
+    own = base.probas(mapped(bags.drop("repeat", "bag"), maps, "member"), mapped(test.drop("repeat", "bag"), maps, "member"), "member")
+    own = own.withColumn("repeat", F.split("member", ":")[0].cast("int")).withColumnRenamed("id", "qid")
+    return soft_vote(own, ("repeat", "qid"))
+
+
+def mlbagging_folds(sides: DataFrame, vectors: DataFrame, n_bags: int = 10, k: int = 5, seed: int = DEFAULT_SEED,
+                    **lmnn_kw) -> DataFrame:
+    """I3 as the reference has it: LMNN, then k-NN."""
+    return metric_bagging(sides, vectors, n_bags, KNN(k), LMNN(options=lmnn_kw), seed)
 
 
 def mlbagging_predict(test: DataFrame, model: MetricBagging) -> DataFrame:
@@ -223,13 +230,17 @@ class BoostStack:
 
 def mlboostacking_fit(train: DataFrame, max_iteration: int = 10, k: int = 5,
                       n_bags: int = 10, n_rounds: int = 50, seed: int = DEFAULT_SEED,
-                      promote: str = "wrong", **lmnn_kw) -> BoostStack:
+                      promote: str = "wrong", base: BaseLearner | None = None, metric: MetricLearner | None = None,
+                      sampling="auto", **lmnn_kw) -> BoostStack:
     """Per iteration under-sample the train side, learn a map on it, score
     the valid side with k-NN in the concatenation of all maps so far, move rows
     (I6a); finally an EasyEnsemble on all rows in the concatenated space.
-    The concat of maps is one stacked matrix, so nothing is re-transformed."""
+    The concat of maps is one stacked matrix, so nothing is re-transformed.
+    ``base`` (default: k-NN), ``metric`` (LMNN) and ``sampling`` are plug-ins."""
     from . import scoring
     from .splits import random_halves
+    learner, metric = base or KNN(k), metric or LMNN(options=lmnn_kw)
+    one = lambda df: df.withColumn("member", F.lit("0"))
     base = materialize(train.select(
         "id", F.col("features").cast("array<double>").alias("features"), "label"), "ensembles-2")
     state = random_halves(base, seed=seed).select(
@@ -242,12 +253,14 @@ def mlboostacking_fit(train: DataFrame, max_iteration: int = 10, k: int = 5,
         rows = base.join(state, on="id", how="inner")
         tr = rows.filter(F.col("side") == "train").drop("side")
         va = rows.filter(F.col("side") == "valid").drop("side")
-        us = resample.undersample(tr, seed=seed, salt=f"i6:{it}")
-        maps.append(lmnn.fit(us, **lmnn_kw).maps["0"])
+        us = resample.undersample(tr, seed=seed, salt=f"i6:{it}", strategy=sampling)
+        learned = metric.maps(one(us), "member")
+        maps.append(learned["0"] if learned else np.eye(len(base.select("features").first()[0])))
         L = np.vstack(maps)
         ztr = lmnn.apply_map(tr, L).drop("features").withColumnRenamed("z", "features")
         zva = lmnn.apply_map(va, L).drop("features").withColumnRenamed("z", "features")
-        pred = neighbors.knn_predict(neighbors.knn(zva, ztr, k)).join(
+        pred = learner.probas(one(ztr), one(zva), "member").select(
+            F.col("id").alias("qid"), "proba", (F.col("proba") > 0.5).cast("int").alias("pred")).join(
             va.select(F.col("id").alias("qid"), "label"), on="qid")
         pred = materialize(pred, "ensembles-4")
         card = scoring.scorecard_wide(pred).first()          # D16: kept, not dropped
@@ -264,9 +277,13 @@ def mlboostacking_fit(train: DataFrame, max_iteration: int = 10, k: int = 5,
     return BoostStack(stacked, models, log)
 
 
+def mlboostacking_transform(df: DataFrame, model: BoostStack) -> DataFrame:
+    """``df`` with its features under all learned maps, one after the other."""
+    return lmnn.apply_map(df, model.stacked).drop("features").withColumnRenamed("z", "features")
+
+
 def mlboostacking_predict(test: DataFrame, model: BoostStack) -> DataFrame:
-    z = lmnn.apply_map(test, model.stacked).drop("features").withColumnRenamed("z", "features")
-    return predict_mean(z, model.models)
+    return predict_mean(mlboostacking_transform(test, model), model.models)
 
 
 # ---- I5: metric stacking ----------------------------------------------------------
@@ -337,6 +354,27 @@ def mlstacking_fit(train: DataFrame, n_estimators: int = 10, n_folds: int = 5,
     return Stacking(models, final, n_estimators)
 
 
+def stacking_meta(train: DataFrame, n_estimators: int = 10, n_folds: int = 5, base: BaseLearner = Boosted(), metric: MetricLearner = LMNN(),
+                  sampling="auto", seed: int = DEFAULT_SEED) -> DataFrame:
+    """I5's meta rows with any learners: ``id, label, features`` = the out-of-fold
+    P(1) of every estimator, then the row's own features (passthrough). Estimators
+    x folds are the members of one metric fit and one base learner's call."""
+    from .splits import oof_folds
+    rows = materialize(oof_folds(train.select("id", F.col("features").cast("array<double>").alias("features"), "label"),
+                                 n_folds=n_folds, seed=seed), "meta-base")
+    each = rows.select("id", "label", "oof").withColumn("_e", F.explode(F.sequence(F.lit(0), F.lit(n_estimators - 1))))
+    fit = each.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))).where("_f <> oof").select(
+        F.concat_ws(":", "_e", "_f").alias("member"), "id", "label")
+    vectors = rows.select("id", "features")
+    us = materialize(resample.undersample(fit, seed=seed, salt="i5", member_cols=["member"], strategy=sampling).join(vectors, "id"), "meta-draws")
+    maps = metric.maps(us, "member")
+    test = each.select(F.concat_ws(":", "_e", "oof").alias("member"), "id").join(vectors, "id")
+    own = base.probas(mapped(us, maps, "member"), mapped(test, maps, "member"), "member")
+    meta = own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(
+        F.split("member", ":")[0].cast("int").alias("e"), "proba"))).alias("_p"))       # n_estimators entries
+    return rows.join(meta, "id").select("id", "label", F.concat(F.col("_p.proba"), "features").alias("features"))
+
+
 def mlstacking_predict(test: DataFrame, model: Stacking) -> DataFrame:
     meta = _member_probas(test, model.models, model.n_estimators, None)
     meta = meta.withColumn("features", F.concat("meta", "features")).drop("meta")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ensembles, splits
+from ..operators import ensembles, learners, splits
 from ..operators.stumps import LEAF_CLIP, N_BINS as NB
 from . import fixtures as fx
 from .catalog import H, U, register
@@ -140,6 +140,51 @@ def i5_mlstacking(spark, sf):
     return ensembles.mlstacking_predict(te, model).select("id", "label", F.round("proba", 6).alias("proba"), "pred")
 
 
+META_ESTIMATORS = 3
+
+
+@register("i5_meta_rows", f"""WITH {fx.SQL_VEC_BIN},
+o AS (SELECT id, label, features, CAST((row_number() OVER (PARTITION BY label ORDER BY {H("'oof'", 'id')}, id) - 1) % 5 AS INTEGER) AS oof FROM vec_bin),
+m AS (SELECT e.e || ':' || f.f AS member, o.id, o.label, o.features FROM o, range(0, {META_ESTIMATORS}) e(e), range(0, 5) f(f) WHERE f.f <> o.oof),
+k AS (SELECT *, row_number() OVER (PARTITION BY member, label ORDER BY {H("'i5'", 'member', 'id')}, id) AS rk,
+             count(*) OVER (PARTITION BY member, label) AS nc FROM m),
+us AS (SELECT member, id, label, features FROM (SELECT *, min(nc) OVER (PARTITION BY member) AS nmin FROM k) WHERE rk <= nmin),
+x AS (SELECT member, id, label, unnest(features) AS v, unnest(generate_series(0, len(features) - 1)) AS f FROM us),
+ed AS (SELECT member, f, min(v) AS lo, max(v) AS hi FROM x GROUP BY member, f),
+h AS (SELECT x.member, x.f, CAST(least(greatest(floor((v - lo) / ((hi - lo) / {NB})), 0), {NB - 1}) AS INTEGER) AS b,
+             sum(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END) AS w0, sum(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS w1
+      FROM x JOIN ed ON x.member = ed.member AND x.f = ed.f GROUP BY x.member, x.f, b),
+s AS (SELECT member, f, b, sum(w0) OVER (PARTITION BY member, f ORDER BY b) AS l0, sum(w1) OVER (PARTITION BY member, f ORDER BY b) AS l1,
+             sum(w0) OVER (PARTITION BY member, f) AS t0, sum(w1) OVER (PARTITION BY member, f) AS t1 FROM h),
+c AS (SELECT *, t0 - l0 AS r0, t1 - l1 AS r1 FROM s),
+g AS (SELECT member, f, b, l1 / (l0 + l1) AS p_left, r1 / (r0 + r1) AS p_right,
+             round((1 - (t0 / (t0 + t1)) ** 2 - (t1 / (t0 + t1)) ** 2)
+               - (l0 + l1) / (t0 + t1) * (1 - (l0 / (l0 + l1)) ** 2 - (l1 / (l0 + l1)) ** 2)
+               - (r0 + r1) / (t0 + t1) * (1 - (r0 / (r0 + r1)) ** 2 - (r1 / (r0 + r1)) ** 2), 9) AS gain
+      FROM c WHERE l0 + l1 > 0 AND r0 + r1 > 0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY gain DESC, f, b) AS r FROM g) WHERE r = 1),
+pr AS (SELECT o.id, e.e, CASE WHEN least(greatest(floor((o.features[best.f + 1] - ed.lo) / ((ed.hi - ed.lo) / {NB})), 0), {NB - 1}) <= best.b
+                              THEN p_left ELSE p_right END AS p
+       FROM o, range(0, {META_ESTIMATORS}) e(e) JOIN best ON best.member = e.e || ':' || o.oof
+       JOIN ed ON ed.member = best.member AND ed.f = best.f),
+mt AS (SELECT id, list(round(CASE WHEN p > 0.5 THEN 1 / (1 + exp(-2)) ELSE 1 / (1 + exp(2)) END, 6) ORDER BY e) AS meta FROM pr GROUP BY id)
+SELECT o.id, o.label, list_concat(mt.meta, list_transform(o.features, lambda v: round(v, 6))) AS features FROM o JOIN mt ON o.id = mt.id""")
+def i5_meta_rows(spark, sf):
+    """Stacking's meta rows (identity metric, one stump per estimator): the
+    out-of-fold P(1) of every estimator, then the row's features."""
+    meta = ensembles.stacking_meta(fx.vec_bin(spark, sf), META_ESTIMATORS, base=learners.Stump(), metric=learners.Identity())
+    return meta.select("id", "label", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+@register("i3_mlbagging_stumps", None)
+def i3_mlbagging_stumps(spark, sf):
+    """Metric bagging of the hold-out folds with boosted stumps in the place of k-NN."""
+    v = fx.vec_bin(spark, sf)
+    folds = splits.stratified_holdout(v.select("id", "label"), repeats=10)
+    out = ensembles.metric_bagging(folds, v.select("id", "features"), N_BAGS, learners.Boosted(10), learners.Identity())
+    return out.select("repeat", "qid", F.round("proba", 6).alias("proba"), "pred")
+
+
 @register("i6_mlboostacking", None)
 def i6_mlboostacking(spark, sf):
     """10 iterations of map learning with train/valid re-division, then

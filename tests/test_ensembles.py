@@ -279,3 +279,47 @@ def test_bagged_folds_equal_one_fold(spark):
     many = spark.createDataFrame([(i, [float(i)], i % 20) for i in range(200)], "id long, features array<double>, label int")
     slots = ensembles.bag_slots(many, 2).select("bag", "uid").collect()
     assert len(set(slots)) == len(slots)
+
+
+def test_bagging_takes_any_base_learner(spark):
+    """The same bags with k-NN and with stumps, each equal to its own definition."""
+    from rarefold.operators import learners, neighbors, splits
+    df, X, y = _planted(spark, 90)
+    sides = splits.stratified_holdout(df.select("id", "label"), repeats=1)
+    vectors = df.select("id", "features")
+    run = lambda base: {r.qid: r.proba for r in ensembles.metric_bagging(
+        sides, vectors, 3, base, learners.Identity()).collect()}
+    bags = ensembles.bag_slots(sides.where("split = 'train'").select("repeat", "id", "label"), 3, member_cols=("repeat",), vectors=vectors)
+    test = sides.where("split = 'test'").select("id").join(vectors, "id")
+    knn, stump = {}, {}
+    for b in range(3):
+        own = bags.where(F.col("bag") == b)
+        for r in neighbors.knn_predict(neighbors.knn(test, own, 5, train_uid="uid")).collect():
+            knn.setdefault(r.qid, []).append(r.proba)
+        model = stumps.fit_boost(own.select("id", "features", "label"), 1)
+        for r in stumps.predict_boost(test, model).collect():
+            stump.setdefault(r.id, []).append(r.proba)
+    for got, want in ((run(learners.KNN()), knn), (run(learners.Stump()), stump)):
+        assert set(got) == set(want) and all(got[i] == pytest.approx(np.mean(want[i])) for i in want)
+
+
+def test_stacking_and_boost_stacking_take_plug_ins(spark):
+    from rarefold.operators import learners
+
+    class Share:
+        """A base learner of a few lines: the member's share of positives."""
+        def probas(self, train, test, member_col):
+            share = train.groupBy(member_col).agg(F.avg("label").alias("proba"))
+            return test.join(share, member_col).select(member_col, "id", "proba")
+
+    df, X, y = _planted(spark, 60)
+    meta = ensembles.stacking_meta(df, 2, base=Share(), metric=learners.Identity()).collect()
+    assert len(meta) == 60 and all(r.features == [0.5, 0.5, *X[r.id]] for r in meta)
+    all_rows = ensembles.stacking_meta(df, 2, base=Share(), metric=learners.Identity(), sampling={}).collect()
+    assert all(0.1 < r.features[0] < 0.25 for r in all_rows)                # nothing is left out
+    lm = ensembles.stacking_meta(df, 1, base=learners.KNN(3), metric=learners.LMNN(options={"max_iter": 2, "min_iter": 2})).collect()
+    assert len(lm) == 60 and {round(3 * r.features[0]) for r in lm} <= {0, 1, 2, 3}
+    for base in (learners.KNN(3), learners.Stump()):
+        model = ensembles.mlboostacking_fit(df, max_iteration=1, n_bags=2, n_rounds=2, base=base, metric=learners.Identity())
+        z = {r.id: r.features for r in ensembles.mlboostacking_transform(df, model).collect()}
+        assert all(z[i] == pytest.approx(X[i].tolist()) for i in range(60)) and len(model.iterations) == 1
