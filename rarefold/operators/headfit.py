@@ -3,20 +3,16 @@ vectors with the batch-all triplet loss (F3/F4).
 
 Every epoch re-shuffles the rows into batches of 16 (seeded order, salt =
 epoch) and groups each batch into one row (at most 16 vectors, whatever the
-data size); the grouped epoch is written to the shared folder once and read
-by the epoch's steps. The batches of an epoch are cut into ``steps_per_epoch``
-consecutive runs of the shuffled order; a step is one ``mapInArrow`` pass in
-which NumPy takes the loss and its exact gradient of every batch of the run,
-stacked as a (batches x 16 x d) tensor, and adds them per Arrow batch. The
-partial sums are added JVM-side (``Summarizer.sum``), so only one
-(d*d + d + 3)-vector per step reaches the driver, which keeps W, b and the
-AdamW moments (model-sized state).
+data size). An epoch is one job: the batches are cut into runs of consecutive
+ones, a task walks its run with an optimiser step per batch, and the runs' heads
+and optimiser states are averaged JVM-side (``Summarizer.sum``), so one
+model-sized vector per epoch reaches the driver. The number of jobs does not
+depend on the number of rows, and up to ``RUN_BATCHES`` batches the fit is the
+sequential one.
 
 Per batch the loss is the library's batch-all mean: the mean of
 ``max(0, d(a,p) - d(a,n) + margin)`` over the triplets with a loss above
-1e-16 (``y_a = y_p != y_n``, ``a != p``, Euclidean ``d``). A step minimises
-the mean of its batches' losses, i.e. it is the synchronous form of the
-per-batch optimiser steps; the learning rate warms up linearly over
+1e-16 (``y_a = y_p != y_n``, ``a != p``, Euclidean ``d``). The learning rate warms up linearly over
 ``warmup_steps`` and then decays linearly to zero (the library's schedule).
 """
 
@@ -38,6 +34,8 @@ from .splits import DEFAULT_SEED
 from .triplets import BATCH, MARGIN, batches
 
 TENSOR_CHUNK = 256  # batches per NumPy step (bounds task memory)
+#: Batches that one task walks in an epoch; beyond them an epoch has several runs.
+RUN_BATCHES = 2048
 
 
 @dataclass
@@ -150,53 +148,114 @@ def _step_sums(grouped: DataFrame, W: np.ndarray, b: np.ndarray, margin: float)
     return np.asarray(tot["v"]) if tot and tot["v"] is not None else np.zeros(3 + o * d + o)
 
 
+class Adam:
+    """AdamW (betas 0.9 / 0.999) on the head, with a linear warm-up and a linear
+    decay to zero over ``total`` steps."""
+
+    def __init__(self, W: np.ndarray, b: np.ndarray, learn_rate: float, warmup: int, total: int, weight_decay: float):
+        self.p = [W.astype(np.float64).copy(), b.astype(np.float64).copy()]
+        self.m, self.v = ([np.zeros_like(x) for x in self.p] for _ in range(2))
+        self.learn_rate, self.warmup, self.total, self.weight_decay, self.t = learn_rate, warmup, total, weight_decay, 0
+
+    def rate(self) -> float:
+        if self.t < self.warmup:
+            return self.learn_rate * (self.t + 1) / (self.warmup + 1)
+        return self.learn_rate * max(0.0, (self.total - self.t) / max(self.total - self.warmup, 1))
+
+    def step(self, gW: np.ndarray, gb: np.ndarray) -> float:
+        lr = self.rate()
+        self.t += 1
+        for P, G, Mo, Ve in zip(self.p, (gW, gb), self.m, self.v):
+            Mo *= 0.9
+            Mo += 0.1 * G
+            Ve *= 0.999
+            Ve += 0.001 * G * G
+            P -= lr * (Mo / (1 - 0.9 ** self.t) / (np.sqrt(Ve / (1 - 0.999 ** self.t)) + 1e-6) + self.weight_decay * P)
+        return lr
+
+    def state(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (*self.p, *self.m, *self.v)])
+
+    def load(self, flat: np.ndarray, t: int) -> None:
+        at = 0
+        for x in (*self.p, *self.m, *self.v):
+            x[...] = flat[at:at + x.size].reshape(x.shape)
+            at += x.size
+        self.t = t
+
+
+def _walk(opt: Adam, margin: float, d: int):
+    """One run of batches, in order: a step per batch from the epoch's state.
+    Gives (batches, loss sum, active triplets, state after the run)."""
+    def fn(t):
+        own = Adam(*opt.p, opt.learn_rate, opt.warmup, opt.total, opt.weight_decay)
+        own.load(opt.state(), opt.t)
+        order = np.argsort(t.column("batch").to_numpy(), kind="stable")
+        lists = t.column("labels").combine_chunks()
+        at = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())))
+        y, X = lists.flatten().to_numpy(), matrix(pa.table({"x": t.column("xs").combine_chunks().flatten()}), "x")
+        loss = active = 0.0
+        for i in order:
+            rows = slice(at[i], at[i + 1])
+            if at[i + 1] - at[i] < 2:
+                continue                      # a batch of one holds no triplet
+            ls, n, gW, gb = batch_terms(X[rows][None], y[rows][None].astype(np.int64), *own.p, margin)
+            own.step(gW, gb)
+            loss, active = loss + float(ls[0]), active + int(n[0])
+        n = float(t.num_rows)
+        return pa.table({"v": pa.array([np.concatenate([[n, loss, active], n * own.state()]).tolist()], pa.list_(pa.float64()))})
+    return fn
+
+
 def fit(df: DataFrame, epochs: int = 5, steps_per_epoch: int | None = None, learn_rate: float = 0.05,
         warmup_steps: int = 100, weight_decay: float = 0.01, margin: float = MARGIN,
         batch_size: int = BATCH, seed: int = DEFAULT_SEED, dim_out: int | None = None,
         init: tuple[np.ndarray, np.ndarray] | None = None, id_col: str = "id",
-        feat_col: str = "features", label_col: str = "label") -> HeadModel:
-    """F5 fit with AdamW (betas 0.9/0.999) on the driver-held head: one step per
-    batch, or ``steps_per_epoch`` steps over equal runs of batches."""
+        feat_col: str = "features", label_col: str = "label", run_batches: int = RUN_BATCHES) -> HeadModel:
+    """F5 fit with AdamW, one step per batch.
+
+    An epoch is one job: its batches are cut into runs of about ``run_batches``
+    consecutive ones, a task walks a run step by step from the epoch's head and
+    optimiser state, and the runs' heads and states are averaged, weighted by
+    their batches. With one run that is the sequential trainer, step for step.
+    ``steps_per_epoch`` takes synchronous steps instead, each the mean gradient
+    of an equal run of batches (one job per step)."""
     d = len(df.select(feat_col).first()[0])
     W, b = init if init is not None else init_head(d, dim_out or d, seed)
-    W, b = W.astype(np.float64).copy(), b.astype(np.float64).copy()
-    mW, vW, mb, vb = (np.zeros_like(W), np.zeros_like(W), np.zeros_like(b), np.zeros_like(b))
     hist: list[dict] = []
-    t = 0
     # every epoch shuffles the same rows: the batch count is fixed
-    n_batches = -(-df.count() // batch_size)
-    steps_per_epoch = steps_per_epoch or max(n_batches, 1)
-    total = max(epochs * steps_per_epoch, 1)
-    warmup_steps = min(warmup_steps, total // 10)
+    n_batches = max(1, -(-df.count() // batch_size))
+    runs = -(-n_batches // run_batches)
+    # steps that one head takes in an epoch
+    own_steps = steps_per_epoch or -(-n_batches // runs)
+    opt = Adam(W, b, learn_rate, warmup_steps, max(epochs * own_steps, 1), weight_decay)
+    o = opt.p[0].shape[0]
     for ep in range(epochs):
+        grouped = grouped_epoch(df, ep, seed, batch_size, id_col, feat_col, label_col)
+        if steps_per_epoch is None:
+            from pyspark.ml.functions import array_to_vector, vector_to_array
+            from pyspark.ml.stat import Summarizer
+            import pyarrow.compute  # noqa: F401  (the tasks use it)
+            part = (grouped.withColumn("_run", F.floor(F.col("batch") * runs / F.lit(n_batches)).cast("int"))
+                    .groupBy("_run").applyInArrow(_walk(opt, margin, d), "v array<double>"))
+            v = np.asarray(part.agg(vector_to_array(Summarizer.sum(array_to_vector("v")))).first()[0])
+            lr = opt.rate()
+            opt.load(v[3:] / v[0], opt.t + own_steps)
+            hist.append({"epoch": ep, "step": 0, "batches": int(v[0]), "n_active": int(v[2]), "loss": float(v[1] / v[0]), "lr": lr,
+                         "runs": runs})
+            continue
         # consecutive runs of the shuffled batch order, one per step; the step is stored
         # and sorted, so a step's filter reads its own rows
-        g = materialize(grouped_epoch(df, ep, seed, batch_size, id_col, feat_col, label_col)
-                        .withColumn("_step", F.floor(F.col("batch") * steps_per_epoch / F.lit(max(n_batches, 1))).cast("int"))
+        g = materialize(grouped.withColumn("_step", F.floor(F.col("batch") * steps_per_epoch / F.lit(n_batches)).cast("int"))
                         .sortWithinPartitions("_step"), f"head-epoch{ep}")
         for s in range(steps_per_epoch):
-            v = _step_sums(g.filter(F.col("_step") == s), W, b, margin)
+            v = _step_sums(g.filter(F.col("_step") == s), *opt.p, margin)
             nb = max(v[0], 1.0)
-            o = W.shape[0]
-            gW = v[3:3 + o * d].reshape(o, d) / nb
-            gb = v[3 + o * d:] / nb
-            if t < warmup_steps:
-                lr = learn_rate * (t + 1) / (warmup_steps + 1)
-            else:
-                lr = learn_rate * max(0.0, (total - t) / max(total - warmup_steps, 1))
-            t += 1
-            for P, G, Mo, Ve in ((W, gW, mW, vW), (b, gb, mb, vb)):
-                Mo *= 0.9
-                Mo += 0.1 * G
-                Ve *= 0.999
-                Ve += 0.001 * G * G
-                mhat = Mo / (1 - 0.9 ** t)
-                vhat = Ve / (1 - 0.999 ** t)
-                P -= lr * (mhat / (np.sqrt(vhat) + 1e-6) + weight_decay * P)
+            lr = opt.step(v[3:3 + o * d].reshape(o, d) / nb, v[3 + o * d:] / nb)
             hist.append({"epoch": ep, "step": s, "batches": int(v[0]), "n_active": int(v[2]),
                          "loss": float(v[1] / nb), "lr": lr})
         release(g)   # the next epoch re-shuffles: this copy is done
-    return HeadModel(W=W, b=b, history=hist)
+    return HeadModel(W=opt.p[0], b=opt.p[1], history=hist)
 
 
 def batch_losses(grouped: DataFrame, W: np.ndarray, b: np.ndarray,

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SCORE_METRICS = ["gmean", "tpr", "tnr", "precision", "recall", "f1", "f2"]
 
 
@@ -69,17 +71,13 @@ def _confusion_from(st: DataFrame, keys: list[str], pred_col: str) -> DataFrame:
         s(p == 0, "_pos").alias("fn"), s(p == 1, "_pos").alias("tp"))
 
 
-def _auc_from(st: DataFrame, keys: list[str], score_col: str, n_buckets: int) -> DataFrame:
+def _auc_from(st: DataFrame, keys: list[str], score_col: str) -> DataFrame:
     per_score = st.groupBy(*keys, score_col).agg(
         F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
-    fracs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = per_score.groupBy(*keys).agg(
-        F.percentile_approx(score_col, F.array(*[F.lit(f) for f in fracs]), 10000)
-        .alias("_bounds"))
-    d = per_score.join(bounds, on=keys, how="inner")
-    d = d.withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < F.col(score_col))))
-    d = d.drop("_bounds")
-    per_bucket = d.groupBy(*keys, "_bk").agg(F.sum("_neg").alias("_bn"))
+    # dealt by ranges of (key, score) and written with the range's number, which is
+    # then the same for every reader: numbers rise with the score within a key
+    d = materialize(per_score.where(F.col(score_col).isNotNull()).repartitionByRange(*keys, score_col).withColumn("_bk", F.spark_partition_id()), "score-ranges")
+    per_bucket = d.groupBy(*keys, "_bk").agg(F.sum("_neg").alias("_bn"))      # ranges per key at most
     before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
     d = d.join(offs, on=keys + ["_bk"], how="inner")
@@ -93,18 +91,18 @@ def _auc_from(st: DataFrame, keys: list[str], score_col: str, n_buckets: int) ->
 
 
 def auc(df: DataFrame, key_cols: Sequence[str] = (), label_col: str = "label",
-        score_col: str = "proba", n_buckets: int = 1024) -> DataFrame:
-    """ROC-AUC with ties counted half, per key.
+        score_col: str = "proba") -> DataFrame:
+    """ROC-AUC with ties counted half, per key; rows without a score are left out.
 
-    Rows collapse to distinct scores first; the running count of negatives
-    below each score is then taken per quantile bucket of the score (offsets
-    over a table of at most ``n_buckets`` rows per key), never over a whole key
+    Rows collapse to distinct scores first, which are sorted by Spark's range
+    partitioning; the running count of negatives below each score is then taken
+    inside its range (offsets over a row per key and range), never over a whole key
     in one task.
     """
     df, keys, tmp = _keyed(df, key_cols)
     y = F.col(label_col).cast("bigint")
     st = df.groupBy(*keys, score_col).agg(F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
-    out = _auc_from(st, keys, score_col, n_buckets)
+    out = _auc_from(st, keys, score_col)
     return out.drop("_k0") if tmp else out
 
 
@@ -117,7 +115,7 @@ def scorecard_wide(df: DataFrame, key_cols: Sequence[str] = (), label_col: str =
         return scorecard(confusion(df, keys, label_col, pred_col)).select(*cols)
     st = score_table(df, keys, label_col, pred_col, score_col)
     card = scorecard(_confusion_from(st, keys, pred_col))
-    card = card.join(_auc_from(st, keys, score_col, 1024), on=keys, how="left")
+    card = card.join(_auc_from(st, keys, score_col), on=keys, how="left")
     return card.select(*cols, "auc")
 
 

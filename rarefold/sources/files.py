@@ -7,10 +7,11 @@ set is read back by partition pruning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LINE_BREAK, binarise, strip
+from ..session import materialize
 
 
 def lines(df: DataFrame, file_col: str = "file", value_col: str = "value") -> DataFrame:
@@ -26,13 +27,21 @@ def lines(df: DataFrame, file_col: str = "file", value_col: str = "value") -> Da
 def pair_lines(sentences: DataFrame, label_lines: DataFrame, file_col: str = "file",
                value_col: str = "value", positive: str = "1",
                strict: bool = True) -> DataFrame:
-    """A1: line n of a sentence text pairs with line n of its label text
-    (equi-join on file and line number). Text is stripped (B1), the label is
+    """A1 on whole texts: line n of a sentence text pairs with line n of its
+    label text (``pair_numbered``)."""
+    return pair_numbered(lines(sentences, file_col, value_col), lines(label_lines, file_col, value_col),
+                         file_col, positive, strict)
+
+
+def pair_numbered(sentences: DataFrame, label_lines: DataFrame, file_col: str = "file", positive: str = "1",
+                  strict: bool = True) -> DataFrame:
+    """A1: ``(file, line_no, line)`` of sentences and of labels, paired by an
+    equi-join on file and line number. Text is stripped (B1), the label is
     1 when it reads ``positive`` (B2). With ``strict`` an unmatched line stops
     the job (the reference never compares the two lengths)."""
-    s = lines(sentences, file_col, value_col).select(
+    s = sentences.select(
         file_col, "line_no", strip(F.col("line")).alias("text"))
-    lab = lines(label_lines, file_col, value_col).select(
+    lab = label_lines.select(
         file_col, "line_no", binarise(F.col("line"), positive).alias("label"))
     j = s.join(lab, on=[file_col, "line_no"], how="full_outer")
     if strict:
@@ -43,6 +52,28 @@ def pair_lines(sentences: DataFrame, label_lines: DataFrame, file_col: str = "fi
     return j.withColumn("label", F.col("label").cast("int"))
 
 
+#: Splits of files whose line counts go to every task.
+BROADCAST_SPLITS = 200_000
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_no, line`` of every line of the files in ``path``, however
+    large: Spark reads a file in splits, and a line's number is its place in its
+    split plus the lines of the file's splits before. Breaks are those of Python's
+    text iteration (\\n, \\r\\n, \\r; none is added at the end of a file)."""
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_at"), F.col("value").alias("line"),
+        F.monotonically_increasing_id().alias("_i"))     # rises by one along a split
+    splits = rows.groupBy("_path", "_at").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    # written: a row per split, and what the hint below rests on
+    splits = materialize(splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "splits")
+    few = F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits
+    return rows.join(few, on=["_path", "_at"]).select(
+        "file", (F.col("_i") - F.col("_first") + F.col("_off")).alias("line_no"), "line")
+
+
 def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
     """A3: every file as one string, with its base name (and the partition
     columns of a partitioned directory)."""
@@ -54,8 +85,7 @@ def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
 def read_paired_files(spark: SparkSession, sentence_dir: str, label_dir: str,
                       strict: bool = True) -> DataFrame:
     """A1 over two directories whose files share names."""
-    return pair_lines(read_whole_files(spark, sentence_dir),
-                      read_whole_files(spark, label_dir), strict=strict)
+    return pair_numbered(read_lines(spark, sentence_dir), read_lines(spark, label_dir), strict=strict)
 
 
 def read_fold_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

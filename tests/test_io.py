@@ -59,3 +59,43 @@ def test_release_deletes_only_materialized_tables(spark):
     assert not fs.exists(p)
     release(m)                        # releasing twice is harmless
     assert spread(df, "k").count() == 10
+
+
+def test_files_of_many_splits_pair_by_line(spark, tmp_path):
+    """Lines are numbered through all splits of a file, whatever breaks it uses."""
+    import random
+    rnd = random.Random(3)
+    want = {}
+    for d in ("Sentences", "Labels"):
+        (tmp_path / d).mkdir()
+    for k, brk in enumerate(["\n", "\r\n", "\r", "\n"]):
+        texts = ["" if i % 17 == 5 else " ".join(rnd.choice(["x", "yy", "é"]) for _ in range(rnd.randrange(1, 9))) for i in range(400)]
+        labels = [rnd.choice(["1", "-1", " 1 ", "0"]) for _ in texts]
+        end = brk if k != 3 else ""
+        (tmp_path / "Sentences" / f"f{k}.txt").write_bytes((brk.join(texts) + (end or "")).encode())
+        (tmp_path / "Labels" / f"f{k}.txt").write_bytes((brk.join(labels) + end).encode())
+        own = (tmp_path / "Sentences" / f"f{k}.txt").open(encoding="utf-8").read().split("\n")
+        for i, (t, y) in enumerate(zip(texts, labels)):
+            want[(f"f{k}.txt", i)] = (t.strip(), int(y.strip() == "1"))
+        assert own[:3] == texts[:3]
+    (tmp_path / "Sentences" / "empty.txt").write_bytes(b"")
+    (tmp_path / "Labels" / "empty.txt").write_bytes(b"")
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        assert spark.read.text(str(tmp_path / "Sentences")).rdd.getNumPartitions() > 12
+        got = files.read_paired_files(spark, str(tmp_path / "Sentences"), str(tmp_path / "Labels")).collect()
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+    assert {(r.file, r.line_no): (r.text, r.label) for r in got} == want and len(got) == len(want)
+
+
+def test_unequal_line_counts_stop_the_job(spark, tmp_path):
+    for d, text in (("s", "a\nb\nc\n"), ("l", "1\n0\n")):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "f.txt").write_text(text)
+    with pytest.raises(Exception, match="line counts differ"):
+        files.read_paired_files(spark, str(tmp_path / "s"), str(tmp_path / "l")).collect()
+    assert files.read_paired_files(spark, str(tmp_path / "s"), str(tmp_path / "l"), strict=False).count() == 3

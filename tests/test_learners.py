@@ -92,3 +92,17 @@ def test_boosting_beats_majority_on_gmean(spark):
     p = stumps.predict_boost(v, models)
     card = scoring.scorecard_wide(p).first()
     assert card.gmean is not None and card.gmean > 0.0
+
+
+def test_auc_ranges_equal_all_pairs(spark):
+    """Many ranges per key, ties within and across classes: each pair counted once."""
+    rng = np.random.default_rng(9)
+    rows = [(int(k), int(y), float(s)) for k, y, s in zip(rng.integers(0, 3, 900), rng.random(900) < 0.2, np.round(rng.random(900), 2))]
+    df = spark.createDataFrame(rows, "k int, label int, proba double").repartition(6)
+    got = {r.k: r.auc for r in scoring.auc(df, ["k"]).collect()}
+    for k in range(3):
+        pos, neg = ([s for x, y, s in rows if x == k and y == v] for v in (1, 0))
+        want = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
+        assert got[k] == pytest.approx(want)
+    nulls = spark.createDataFrame([(1, 0.9), (0, 0.1), (0, None)], "label int, proba double")
+    assert scoring.auc(nulls).first().auc == 1.0
