@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeded import hash_hex, uniform
+from ..session import materialize
 from .rank import dist_rank
 from .splits import DEFAULT_SEED
 
@@ -93,7 +94,8 @@ def balanced_bootstrap(df: DataFrame, n_bags: int = 10, label_col: str = "label"
              .withColumn("_idx", F.floor(uniform(seed, "boot", *salt, F.col("bag"), F.col("slot"))
                                          * F.col("_n")).cast("bigint"))
              .drop("_n"))
-    boot = slots.join(idx.drop("_n"), on=of + ["_idx"], how="inner").drop("_idx")
+    # written once: the counts, the minority's slots and the others' draws all read it
+    boot = materialize(slots.join(idx.drop("_n"), on=of + ["_idx"], how="inner").drop("_idx"), "bootstrap")
     # stage 2: per (bag, class) slot counts, minority class per bag
     keys = of + ["bag"]
     counts = boot.groupBy(*keys, label_col).agg(F.count(F.lit(1)).alias("_c"))

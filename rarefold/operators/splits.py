@@ -85,7 +85,7 @@ def class_halves(df: DataFrame, label_col: str = "label", seed: int = DEFAULT_SE
          .otherwise("other").alias("role"))
     d = d.withColumn("split", F.when(F.col("_rk") <= F.ceil(F.col("_nc") / 2), "test")
                      .otherwise("train"))
-    return d.join(roles, on=label_col, how="inner").drop("_h", "_rk", "_nc")
+    return d.join(F.broadcast(roles), on=label_col, how="inner").drop("_h", "_rk", "_nc")      # a row per class
 
 
 def oof_folds(df: DataFrame, label_col: str = "label", n_folds: int = 5,

@@ -84,7 +84,7 @@ def vectorise_folds(docs: DataFrame, folds: DataFrame, n_features: int = 1024,
     tf = materialize(term_freq(docs, n_features, text_col, id_col), "tf")  # read twice
     idf = fold_idf(tf, folds, fold_col, id_col)
     w = (folds.select(fold_col, "split", id_col).join(tf, on=id_col, how="inner")
-         .join(idf, on=[fold_col, "term"], how="inner"))
+         .join(F.broadcast(idf), on=[fold_col, "term"], how="inner"))      # folds x n_features rows at most
     w = w.withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(fold_col, id_col)))
     return w.select(fold_col, "split", id_col, "term", (F.col("_w") / norm).alias("weight"))

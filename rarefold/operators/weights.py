@@ -30,7 +30,7 @@ def weighted_ce(df: DataFrame, weights: DataFrame, label_col: str = "label",
     """sum_i w_yi * (-log softmax(z_i)[y_i]) / sum_i w_yi (class-weighted
     cross-entropy, mean reduction)."""
     w = weights.select(label_col, F.col(weight_col).alias("_w"))
-    d = df.join(w, on=label_col, how="inner")  # one row per class: broadcast by AQE
+    d = df.join(F.broadcast(w), on=label_col, how="inner")  # one row per class
     nll = -log_softmax_at(F.col(logits_col), F.col(label_col))
     return d.agg((F.sum(F.col("_w") * nll) / F.sum("_w")).alias("loss"),
                  F.avg(nll).alias("loss_unweighted"))

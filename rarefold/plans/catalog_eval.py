@@ -60,15 +60,15 @@ rep AS (SELECT *, coalesce(CASE WHEN 4 * precision + recall <> 0
                    THEN 5 * precision * recall / (4 * precision + recall) END, 0.0) AS fbeta FROM rp)"""
 
 
-@register("j5_per_class_report", f"""WITH pr AS (
-  SELECT label AS y, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS p
-  FROM embeddings),
+@register("j5_per_class_report", f"""WITH e AS (SELECT label AS y, CAST(embedding AS DOUBLE[]) AS features FROM embeddings),
+sc AS (SELECT y, {fx.sql_class_scores('features', 10)} AS scores FROM e),
+pr AS (SELECT y, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS p FROM sc),
 {SQL_REPORT}
 SELECT cls, round(precision, 6) AS precision, round(recall, 6) AS recall, round(fbeta, 6) AS fbeta, support FROM rep""")
 def j5_per_class_report(spark, sf):
     e = fx.table(spark, sf, "embeddings")
     d = e.select(F.col("label").cast("int").alias("label"),
-                 S.argmax(F.slice("embedding", 1, 10)).alias("pred"))
+                 S.argmax(fx.class_scores(F.col("embedding").cast("array<double>"), 10)).alias("pred"))
     rep = scoring.per_class_report(d)
     return rep.select("cls", R6("precision"), R6("recall"), R6("fbeta"), "support")
 

@@ -4,12 +4,12 @@
 ``text_bin`` : documents joined with labels, ``toxic`` as the label, ``source``
                as the leave-one-group-out group.
 ``scored``   : text_bin with a fixed, tie-heavy score derived from the length.
-``logits``   : vec_bin with two class scores (the first two features).
+``logits``   : vec_bin with two class scores (``class_scores`` of the whole vector).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED = 42
@@ -42,9 +42,16 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("proba", proba).withColumn("pred", (F.col("proba") > 0.3).cast("int"))
 
 
+def class_scores(features: Column, k: int) -> Column:
+    """``k`` scores from a whole vector: score c sums the entries c, c + k, c + 2k, ..."""
+    own = lambda c: F.filter(features, lambda v, i: i % k == c)
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.round(
+        F.aggregate(own(c), F.lit(0.0), lambda s, v: s + v), 9))
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vec_bin(spark, sf_dir)
-    return v.withColumn("logits", F.array(F.col("features")[0], F.col("features")[1]))
+    return v.withColumn("logits", class_scores(F.col("features"), 2))
 
 
 # ---- the same bindings for the DuckDB oracle -------------------------------
@@ -64,8 +71,13 @@ scored AS (
          CAST(round(least(n_chars / 8000.0, 1.0), 2) > 0.3 AS INTEGER) AS pred
   FROM text_bin)"""
 
-SQL_LOGITS = SQL_VEC_BIN + """,
-logits AS (SELECT *, [features[1], features[2]] AS logits FROM vec_bin)"""
+def sql_class_scores(features: str, k: int) -> str:
+    return (f"list_transform(range(0, {k}), lambda c: round(list_sum(list_transform(range(c, len({features}), {k}), "
+            f"lambda i: {features}[i + 1])), 9))")
+
+
+SQL_LOGITS = SQL_VEC_BIN + f""",
+logits AS (SELECT *, {sql_class_scores('features', 2)} AS logits FROM vec_bin)"""
 
 
 def sql_hash(*parts: str) -> str:

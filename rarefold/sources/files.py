@@ -113,7 +113,7 @@ def write_fold_json(df: DataFrame, path: str, chunk_rows: int = 4096,
     hold a whole fold; inside a chunk rows are in id order."""
     keys = ["fold", "split"]
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))   # one row per (fold, split)
-    d = df.join(n, on=keys, how="inner").withColumn(
+    d = df.join(F.broadcast(n), on=keys, how="inner").withColumn(
         "_chunk", F.pmod(F.xxhash64(F.col(id_col)),
                          F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(chunk_rows)))))
     g = d.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(

@@ -323,3 +323,27 @@ def test_stacking_and_boost_stacking_take_plug_ins(spark):
         model = ensembles.mlboostacking_fit(df, max_iteration=1, n_bags=2, n_rounds=2, base=base, metric=learners.Identity())
         z = {r.id: r.features for r in ensembles.mlboostacking_transform(df, model).collect()}
         assert all(z[i] == pytest.approx(X[i].tolist()) for i in range(60)) and len(model.iterations) == 1
+
+
+def test_weights_go_to_the_stump_and_not_to_the_metric(spark):
+    """H2: a round's map is that of its plain sample; its stump is the best one under the round's weights in the mapped space."""
+    df, X, y = _planted(spark, 48, seed=4)
+    kw = {"max_iter": 3, "min_iter": 3}
+    model = ensembles.rusboost_fit(df, n_rounds=3, metric=True, **kw)["0"]
+    draws = resample.rus_rounds(df.select("id", "label"), 3)
+    total = np.zeros(len(y))
+    for r, (st, L) in enumerate(zip(model.stumps, model.maps)):
+        own = draws.where(F.col("round") == r).join(df.select("id", "features"), "id")
+        assert np.allclose(L, lmnn.fit(own, **kw).maps["0"], atol=1e-9)
+        ids = [x.id for x in own.select("id").collect()]
+        Z = X @ L.T
+        lo, hi = Z.min(axis=0), Z.max(axis=0)
+        B = np.clip(np.floor((Z - lo) / ((hi - lo) / stumps.N_BINS)), 0, stumps.N_BINS - 1).astype(int)
+        w = np.exp(-0.5 * (2 * y - 1) * total)
+        h = np.zeros((2, 3, stumps.N_BINS))
+        for i in ids:
+            for f in range(3):
+                h[y[i], f, B[i, f]] += w[i]
+        f, b, pl, pr, _ = stumps.best_split_np(h[0], h[1])
+        assert (st.feature, st.bin) == (f, b) and st.p_left == pytest.approx(pl) and st.p_right == pytest.approx(pr)
+        total += np.where(B[:, f] <= b, stumps.leaf_log_odds(pl), stumps.leaf_log_odds(pr))
