@@ -271,8 +271,9 @@ def _rewrite(window: int, text_at: int, chars_at: int | None, names: list[str]):
     """Whole rows with their texts cut; the last column tells what to cut."""
     def run(batches):
         for b in batches:
-            plans, texts, sizes = b.column(b.num_columns - 1), [], []
+            plans = b.column(b.num_columns - 1)
             for w in chunks(b.column(text_at)):
+                texts, sizes = [], []
                 keys: dict[int, int] = {}
 
                 def plan(i):
@@ -293,11 +294,11 @@ def _rewrite(window: int, text_at: int, chars_at: int | None, names: list[str]):
                     else:
                         texts.append(b.column(text_at)[w.first + i].as_py())
                         sizes.append(b.column(chars_at)[w.first + i].as_py() if chars_at is not None else None)
-            cols = list(b.columns[:-1])
-            cols[text_at] = pa.array(texts, pa.string())
-            if chars_at is not None:
-                cols[chars_at] = pa.array(sizes, b.column(chars_at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols = [c.slice(w.first, w.n_docs) for c in b.columns[:-1]]
+                cols[text_at] = pa.array(texts, pa.string())
+                if chars_at is not None:
+                    cols[chars_at] = pa.array(sizes, b.column(chars_at).type)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
     return run
 
 

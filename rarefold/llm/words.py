@@ -14,6 +14,7 @@ process, so lost tasks give the same values when they run again.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc's; other C libraries have none
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,6 +124,15 @@ def chunks(col, lower: bool = False, space: np.ndarray = _SPACE) -> Iterator[Wor
             j = max(i + 1, int(np.searchsorted(pos, pos[i] + CHUNK, side="right")) - 1)
             yield _words(raw[pos[i]:pos[j]], pos[i:j + 1] - pos[i], i, lower, space)
             i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Spark keeps Python workers for later
+    stages, and what an idle one holds counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def _words(data: np.ndarray, doc_start: np.ndarray, first: int, lower: bool, space: np.ndarray) -> Words:
