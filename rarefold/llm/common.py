@@ -43,3 +43,25 @@ def fresh(docs: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, key, how)`` where one key may have a third of the rows
+    of ``left`` (and few of ``right``). Keys with more rows than an average
+    shuffle partition are counted; there are fewer of them than partitions, so
+    their list is broadcast whatever the size of the data. Such a key's left rows
+    are dealt over as many salts (by a hash of ``by``) as it would fill
+    partitions, and its right rows go to each salt."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = left.where(" and ".join(f"{k} is not null" for k in key)).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.col("_n") * parts / left.select(F.count(F.lit(1))).scalar()
+    heavy = counts.where(share > 1).select(*key, F.ceil(share).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+
+    def with_salts(df: DataFrame, salt: Column) -> DataFrame:
+        own = heavy.select(*[F.col(c).alias(c) for c in heavy.columns])
+        return df.join(F.broadcast(own), key, "left").withColumn("_salt", salt).drop("_salts")
+
+    dealt = with_salts(left, F.pmod(F.xxhash64(*by), salts).cast("int"))
+    copied = with_salts(right, F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(copied, [*key, "_salt"], how).drop("_salt")

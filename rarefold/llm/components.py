@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release
+from .common import spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,17 +15,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round gives each node the least label among its neighbours and then the
     label's own label (pointer jumping), so chains halve in each round. Labels
-    are written between rounds; minima are combined before the shuffle."""
+    are written between rounds; minima are combined before the shuffle, and a label
+    or hub that many nodes have is dealt over several tasks."""
     e = edges.where("a <> b").select("a", "b")
     e = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(e.groupBy("a").agg(F.min("b").alias("m"))
                          .select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
-        near = (e.join(labels, e.b == labels.node).groupBy("a").agg(F.min("label").alias("m")))
+        near = (spread_join(e, labels.select(F.col("node").alias("b"), "label"), ["b"], ["a"])
+                .groupBy("a").agg(F.min("label").alias("m")))
         step = labels.join(near, labels.node == near.a).select(
             "node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         to = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = materialize(step.join(to, "label", "left").select(
+        new = materialize(spread_join(step, to, ["label"], ["node"], "left").select(
             "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         moved = new.where("label <> old").limit(1).count()
         release(labels)

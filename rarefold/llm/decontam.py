@@ -29,7 +29,7 @@ benchmark is too long to broadcast, shingle hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, release
@@ -39,7 +39,8 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 UNIT = 1000
 FP_BITS = 60
-LANES = 15                         # bits apart; a lane counts up to 2^14 - 1 shingles
+LANES = 15                         # bits apart
+LANE_MOST = (1 << 14) - 1          # shingles that a lane counts; longer lists are counted bit by bit
 RADIUS = 19
 BROADCAST_SHINGLES = 500_000
 BROADCAST_DOCS = 100_000
@@ -59,18 +60,23 @@ def _once(df: DataFrame, name: str, c: Column) -> DataFrame:
 
 
 def with_shingles(df: DataFrame, text: Column) -> DataFrame:
-    """``df`` with ``sh``: the hashes of its shingles in order; fewer words than
-    a shingle has are one, none are none."""
+    """``df`` with ``sh``, the hashes of its shingles in order (fewer words than
+    a shingle has are one, none are none), and ``nw``, the words of a shingle."""
     w = _once(df, "_w", words_of(text))
     n = F.size("_w")
     h = F.transform("_w", lambda x, i: F.xxhash64(x, *[F.get("_w", i + k) for k in range(1, SHINGLE)]))
-    return _once(w, "sh", F.slice(h, 1, F.when(n > 0, F.greatest(n - (SHINGLE - 1), F.lit(1))).otherwise(0))).drop("_w")
+    return _once(w, "sh", F.slice(h, 1, F.when(n > 0, F.greatest(n - (SHINGLE - 1), F.lit(1))).otherwise(0))).withColumn(
+        "nw", F.least(n, F.lit(SHINGLE))).drop("_w")
 
 
 def _lane_sum(j: int):
     return lambda total, h: total + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_ONES))
 
 
+def _bit_sum(b: int):
+    return lambda total, h: total + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1))
+
+
 def simhash(sh: Column) -> Column:
     """Bit b of the result: whether more than half of the hashes have bit b."""
     need = F.floor(F.size(sh) / 2).cast("long") + 1            # bits needed in a lane
@@ -79,7 +85,11 @@ def simhash(sh: Column) -> Column:
         count = F.aggregate(sh, F.lit(0).cast("long"), _lane_sum(j))
         over = F.shiftrightunsigned(count + (F.lit(1 << (LANES - 1)) - need) * F.lit(_ONES), LANES - 1).bitwiseAND(F.lit(_ONES))
         out = out.bitwiseOR(F.shiftleft(over, j))
-    return out
+    slow = F.lit(0).cast("long")
+    for b in range(FP_BITS):
+        ones = F.aggregate(sh, F.lit(0).cast("long"), _bit_sum(b))
+        slow = slow.bitwiseOR(F.when(ones >= need, F.lit(1 << b)).otherwise(F.lit(0)).cast("long"))
+    return F.when(F.size(sh) <= LANE_MOST, out).otherwise(slow)
 
 
 def blocks(fp: Column, radius: int = RADIUS) -> Column:
@@ -98,8 +108,8 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, id_col: str =
     Null and empty texts hold nothing and leak nothing. Repeated rows are one
     document, found once; rows that share an id, or have none, are told apart by
     their text. Repeated items count once, items without an id are ignored. Empty
-    tables give no rows; other columns are ignored. An item may have at most
-    16,383 shingles."""
+    tables give no rows; other columns are ignored. An item of fewer than five
+    words is one shingle, and leaks only from a document of exactly these words."""
     d = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"),
                     F.col(text_col).alias("text"))
     it = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where(
@@ -119,10 +129,20 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, id_col: str =
     small = lambda df: broadcast_within(df, n_parts, BROADCAST_SHINGLES)
 
     # 1. places: matches of (document, item), heavy enough as a whole
-    met = (with_shingles(d, F.col("text")).select("row_key", F.size("sh").alias("n"), F.posexplode("sh").alias("pos", "h"))
-           .join(small(parts.select("item_key", "m", "h", "w")), "h"))
-    each = met.groupBy("row_key", "item_key", "h").agg(
-        F.first("w").alias("w"), F.first("m").alias("m"), F.first("n").alias("n"), F.collect_set("pos").alias("ps"))
+    places = (with_shingles(d, F.col("text")).select("row_key", F.size("sh").alias("n"), F.posexplode("sh").alias("pos", "h"))
+              .join(small(weights.select("h")), "h")
+              .groupBy("row_key", "h").agg(F.first("n").alias("n"), F.collect_set("pos").alias("ps")))
+    places = materialize(places, "item-places")
+    # a place that misses all of an item's seeds misses too much of it; seeds are its
+    # rarest shingles, so a template that many items share leads to none of them
+    rare = Window.partitionBy("item_key").orderBy(F.desc("w"), "h")
+    before = rare.rowsBetween(Window.unboundedPreceding, -1)
+    spare = lambda c: F.floor(F.col(c) * F.lit(DEN - NUM) / F.lit(DEN))
+    seeds = (parts.join(small(totals), "item_key")
+             .withColumn("w0", F.coalesce(F.sum("w").over(before), F.lit(0))).withColumn("n0", F.row_number().over(rare) - 1)
+             .where((F.col("w0") <= spare("item_w")) | F.lit(plain) & (F.col("n0") <= spare("item_n"))).select("item_key", "h"))
+    cand = places.select("row_key", "h").join(small(seeds), "h").select("row_key", "item_key").distinct()
+    each = (cand.join(small(parts.select("item_key", "m", "h", "w")), "item_key").join(places, ["row_key", "h"]))
     need = F.lit(NUM) * F.col("item_w")
     pairs = (each.groupBy("row_key", "item_key").agg(
         F.sum("w").alias("got"), F.count("*").alias("got_n"), F.first("m").alias("m"), F.first("n").alias("n"), F.flatten(F.collect_list("ps")).alias("ps"))
@@ -141,8 +161,8 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, id_col: str =
     n_rows, n_starts = starts.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
     few = broadcast_within(starts, max(n_rows, n_starts // 40), BROADCAST_DOCS)
     at = with_shingles(d.join(few, "row_key"), F.col("text"))
-    wins = (at.select("row_key", "doc_id", "m", "sh", F.explode("starts").alias("s"))
-            .select("row_key", "doc_id", "m", "s", F.expr("slice(sh, s + 1, m)").alias("win")))
+    wins = (at.select("row_key", "doc_id", "m", "nw", "sh", F.explode("starts").alias("s"))
+            .select("row_key", "doc_id", "m", "nw", "s", F.expr("slice(sh, s + 1, m)").alias("win")))
     wins = materialize(wins.withColumn("fp", simhash(F.col("win"))).dropDuplicates(["row_key", "m", "s"]), "windows")
 
     # 3. pairs within the radius, through their blocks
@@ -156,12 +176,12 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, id_col: str =
                                                           F.first("item_n").alias("item_n")))
 
     # 4. exact weighted similarity
-    cand = wins.select("row_key", "doc_id", "m", "s", "win").join(near, ["row_key", "m", "s"])
-    sh = (cand.select("row_key", "doc_id", "m", "s", "item_key", "item_id", "item_w", "item_n", "distance",
+    cand = wins.select("row_key", "doc_id", "m", "nw", "s", "win").join(near, ["row_key", "m", "s"])
+    sh = (cand.select("row_key", "doc_id", "m", "nw", "s", "item_key", "item_id", "item_w", "item_n", "distance",
                       F.explode(F.array_distinct("win")).alias("h"))
           .join(small(weights), "h", "left").join(small(parts.select("item_key", "h", F.lit(True).alias("own"))), ["item_key", "h"], "left"))
     w = F.coalesce("w", F.lit(UNIT))
-    sims = sh.groupBy("row_key", "doc_id", "m", "s", "item_key", "item_id", "item_w", "item_n", "distance").agg(
+    sims = sh.groupBy("row_key", "doc_id", "m", "nw", "s", "item_key", "item_id", "item_w", "item_n", "distance").agg(
         F.sum(w).alias("win_w"), F.coalesce(F.sum(F.when(F.col("own"), w)), F.lit(0)).alias("both"),
         F.count("*").alias("win_n"), F.count(F.when(F.col("own"), 1)).alias("both_n"))
     union, union_n = F.col("item_w") + F.col("win_w") - F.col("both"), F.col("item_n") + F.col("win_n") - F.col("both_n")
@@ -169,12 +189,12 @@ def leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS, id_col: str =
     sims = sims.where(F.col("weighted") | F.lit(plain) & (F.lit(DEN) * F.col("both_n") >= F.lit(NUM) * union_n)).withColumn(
         "similarity", F.round(F.when(F.col("weighted"), F.col("both") / union).otherwise(F.col("both_n") / union_n), 6))
     best = sims.groupBy("row_key", "doc_id", "item_id").agg(
-        F.max(F.struct("weighted", "similarity", (-F.col("distance")).alias("d"), (-F.col("s")).alias("s"), "m")).alias("x"))
+        F.max(F.struct("weighted", "similarity", (-F.col("distance")).alias("d"), (-F.col("s")).alias("s"), "m", "nw")).alias("x"))
     out = best.select("doc_id", "item_id", (-F.col("x.s")).cast("long").alias("start_word"),
-                      (F.col("x.m") - F.col("x.s") + (SHINGLE - 1)).cast("long").alias("end_word"),
+                      (F.col("x.m") - F.col("x.s") + F.col("x.nw") - 1).cast("long").alias("end_word"),
                       (-F.col("x.d")).alias("distance"), "x.similarity", "row_key")
     out = materialize(out, "leaks")
-    release(starts, wins)
+    release(starts, wins, places)
     return out
 
 

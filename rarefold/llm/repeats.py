@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release, shared_dir
-from .common import broadcast_within, fresh
+from .common import broadcast_within, fresh, spread_join
 from .words import chunks, mix
 
 WINDOW = 20
@@ -315,7 +315,7 @@ def _find(d: DataFrame, window: int, prefix: int, group_rows: int) -> tuple[Data
     # prefixes that two different texts have
     shared = (seen.select("key", F.explode("prefixes").alias("h")).groupBy("h")
               .agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("h"))
-    at = (seen.select("doc_id", "key", F.posexplode("prefixes").alias("i", "h")).join(shared, "h")
+    at = (spread_join(seen.select("doc_id", "key", F.posexplode("prefixes").alias("i", "h")), shared, ["h"], ["doc_id", "key", "i"])
           .groupBy("doc_id", "key").agg(F.collect_set("i").alias("shared")))
     picked = materialize(first.select("doc_id", "key").join(at, ["doc_id", "key"], "left").join(own, ["doc_id", "key"], "left")
                          .where("own or shared is not null").select("doc_id", "key", "shared"), "repeats-picked")
@@ -337,7 +337,7 @@ def _find(d: DataFrame, window: int, prefix: int, group_rows: int) -> tuple[Data
                 .select("h", "w", (F.col("off") - F.col("i")).alias("off"), "doc_id", "key",
                         (F.col("at") + F.col("i")).alias("at")))
         least = each.groupBy("h", "off", "w").agg(F.min(F.struct("doc_id", "at")).alias("least"))
-        again = again.unionByName(each.join(least, ["h", "off", "w"]).where("struct(doc_id, at) > least")
+        again = again.unionByName(spread_join(each, least, ["h", "off", "w"], ["doc_id", "at"]).where("struct(doc_id, at) > least")
                                   .select("doc_id", "key", "at", F.lit(1).cast("long").alias("again")))
     found = again.groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "again")).alias("found"))
     touched = materialize(picked.select("doc_id", "key").join(found, ["doc_id", "key"], "left")

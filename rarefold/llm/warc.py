@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, release
-from .common import broadcast_within
+from .common import broadcast_within, spread_join
 from .urlfilter import host_of, path_of
 
 CRLF = "\r\n"
@@ -59,7 +59,7 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     narrow = pages.where(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
     first = (narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
              .where("n > 1 and refers_to is not null").drop("n"))
-    return (narrow.join(first, "digest").where("not (page_id <=> refers_to)")
+    return (spread_join(narrow, first, ["digest"], ["page_id"]).where("not (page_id <=> refers_to)")
             .select("page_id", "digest", "refers_to").distinct())
 
 

@@ -380,3 +380,58 @@ def test_pipeline(spark):
         docs = out
     got = corpus_pipeline.run(spark, sf).drop("sequence_id", "offset").collect()
     assert sorted(tuple(r) for r in got) == last
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_equals_join(spark, how):
+    """A key with most rows, null keys, and keys of one side only."""
+    from rarefold.llm.common import spread_join
+    rows = [("hot" if i % 3 else f"k{i % 40}", i) for i in range(600)] + [(None, 1), (None, 2), ("lone", 3)]
+    left = spark.createDataFrame(rows, "k string, v long")
+    right = spark.createDataFrame([("hot", 10), ("hot", 11), (None, 5), *((f"k{i}", i) for i in range(60))], "k string, x long")
+    same = lambda df: sorted((tuple(r) for r in df.select("k", "v", "x").collect()), key=str)
+    assert same(spread_join(left, right, ["k"], ["v"], how)) == same(left.join(right, ["k"], how))
+    assert spread_join(left.limit(0), right, ["k"], ["v"], how).count() == 0
+
+
+def test_hot_keys_are_dealt_over_tasks(spark):
+    """No task gets a hot key's rows alone: at most a few times an average partition."""
+    from rarefold.llm.common import spread_join
+    left = spark.range(8000).selectExpr("if(id % 2 = 0, -1, id) as k", "id as v")
+    right = spark.range(-1, 8000).selectExpr("id as k", "id as x")
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = spread_join(left, right, ["k"], ["v"]).withColumn("p", F.spark_partition_id())
+        n = [r["count"] for r in out.groupBy("p").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(n) == 8000 and max(n) < 3 * 8000 / 8
+
+
+def test_items_of_one_template_meet_only_their_own_documents(spark):
+    """Templated items: pairs grow with the documents that hold an item, not with template x items."""
+    template = [f"t{i}" for i in range(10)]
+    items = [(k, " ".join(template + [f"own{k}x{j}" for j in range(30)])) for k in range(30)]
+    docs = [(i, " ".join(template + [f"free{i}y{j}" for j in range(40)])) for i in range(60)] + [(100 + k, "intro words " + items[k][1]) for k in range(5)]
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for plain in (False, True):
+        got = {(r.doc_id, r.item_id) for r in decontam.leaks(d, it, plain=plain).collect()}
+        assert got == {(100 + k, k) for k in range(5)}
+
+
+def test_short_items_end_where_their_words_end(spark):
+    d = spark.createDataFrame([(1, "Alpha, beta gamma!"), (2, "alpha beta gamma delta"), (3, " ".join(f"w{i}" for i in range(9)))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "alpha beta gamma"), (8, " ".join(f"w{i}" for i in range(1, 8)))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.end_word) for r in decontam.leaks(d, items).collect()}
+    assert got == {(1, 7): (0, 3), (3, 8): (1, 8)}
+
+
+def test_long_lists_have_the_same_fingerprint(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = spark.createDataFrame([([rnd.getrandbits(63) for _ in range(n)],) for n in (1, 2, 7, 40)], "sh array<long>")
+    plain = [r[0] for r in rows.select(decontam.simhash(F.col("sh"))).collect()]
+    monkeypatch.setattr(decontam, "LANE_MOST", 1)
+    assert [r[0] for r in rows.select(decontam.simhash(F.col("sh"))).collect()] == plain
