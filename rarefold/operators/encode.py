@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from ..functions.tokens import SPLIT_PATTERN
 from ..session import materialize, scratch_path
 from . import textfeat
-from .blocks import column
 
 #: Texts handed to an encoder at a time.
 BATCH_TEXTS = 256
@@ -141,26 +140,6 @@ def encode(texts: DataFrame, encoder: Encoder, store: str | None = None, id_col:
     return keyed.select("id", "key").join(read_store(spark, store, encoder), "key").select("id", "features")
 
 
-def dense(sparse: DataFrame, dim: int, keys: list[str]) -> DataFrame:
-    """``keys`` and ``features`` from ``keys, term, weight`` rows: a row's terms are
-    placed in its vector by NumPy."""
-    rows = sparse.groupBy(*keys).agg(F.collect_list("term").alias("_t"), F.collect_list("weight").alias("_w"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            lens = pa.compute.list_value_length(t.column("_t")).to_numpy()
-            out = np.zeros((b.num_rows, dim))
-            out[np.repeat(np.arange(b.num_rows), lens), t.column("_t").combine_chunks().flatten().to_numpy(zero_copy_only=False)] \
-                = t.column("_w").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), dim).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keys], flat], names=[*keys, "features"])
-
-    import pyarrow.compute  # noqa: F401  (the tasks use it)
-    return rows.select(*keys, "_t", "_w").mapInArrow(run, f"{kinds}, features array<double>")
-
-
 def vectorise(texts: DataFrame, folds: DataFrame, encoder: Encoder | Tfidf, store: str | None = None) -> DataFrame:
     """F1 (one fold) and F2 (many) by any encoder: ``repeat, split, id, label,
     features`` of the rows of ``folds`` (repeat, split, id, label). A text without
@@ -168,7 +147,7 @@ def vectorise(texts: DataFrame, folds: DataFrame, encoder: Encoder | Tfidf, stor
     sides = folds.select("repeat", "split", "id", "label")
     if isinstance(encoder, Tfidf):
         sparse = textfeat.vectorise_folds(texts, sides, encoder.dim)
-        vectors = dense(sparse.select("repeat", "id", "term", "weight"), encoder.dim, ["repeat", "id"])
+        vectors = textfeat.dense(sparse.select("repeat", "id", "term", "weight"), encoder.dim, ["repeat", "id"])
         out = sides.join(vectors, ["repeat", "id"], "left")
     else:
         out = sides.join(materialize(encode(texts, encoder, store), "encoded"), "id", "left")

@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,7 +193,7 @@ def _walk(opt: Adam, margin: float, d: int):
         own.load(opt.state(), opt.t)
         order = np.argsort(t.column("batch").to_numpy(), kind="stable")
         lists = t.column("labels").combine_chunks()
-        at = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())))
+        at = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
         y, X = lists.flatten().to_numpy(), matrix(pa.table({"x": t.column("xs").combine_chunks().flatten()}), "x")
         loss = active = 0.0
         for i in order:
@@ -235,7 +236,6 @@ def fit(df: DataFrame, epochs: int = 5, steps_per_epoch: int | None = None, lear
         if steps_per_epoch is None:
             from pyspark.ml.functions import array_to_vector, vector_to_array
             from pyspark.ml.stat import Summarizer
-            import pyarrow.compute  # noqa: F401  (the tasks use it)
             part = (grouped.withColumn("_run", F.floor(F.col("batch") * runs / F.lit(n_batches)).cast("int"))
                     .groupBy("_run").applyInArrow(_walk(opt, margin, d), "v array<double>"))
             v = np.asarray(part.agg(vector_to_array(Summarizer.sum(array_to_vector("v")))).first()[0])

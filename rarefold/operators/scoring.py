@@ -80,7 +80,8 @@ def _auc_from(st: DataFrame, keys: list[str], score_col: str) -> DataFrame:
     per_bucket = d.groupBy(*keys, "_bk").agg(F.sum("_neg").alias("_bn"))      # ranges per key at most
     before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_bucket.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn")
-    d = d.join(offs, on=keys + ["_bk"], how="inner")
+    # ranges are consecutive, so there are at most keys + ranges rows
+    d = d.join(F.broadcast(offs), on=keys + ["_bk"], how="inner")
     local = Window.partitionBy(*keys, "_bk").orderBy(score_col).rowsBetween(
         Window.unboundedPreceding, -1)
     d = d.withColumn("_below", F.col("_off") + F.coalesce(F.sum("_neg").over(local), F.lit(0)))

@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -69,7 +70,7 @@ def _pack(t):
     """One shard's rows, in id order, as one row of buffers."""
     t = t.sort_by("id")
     nested = lambda c, kind: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
-    lens = lambda c: pa.compute.list_value_length(t.column(c)).to_numpy().astype(np.int64)
+    lens = lambda c: pc.list_value_length(t.column(c)).to_numpy().astype(np.int64)
     cols = {"ids": column(t, "id").astype(np.int64), "label": column(t, "label").astype(np.int64), "size": lens("terms"),
             "terms": nested("terms", np.int64), "weights": nested("weights", np.float64), "roles": nested("roles", np.int8),
             "drawn": np.repeat(np.arange(t.num_rows), lens("draws")), "epoch": nested("draws", np.int64),
@@ -81,7 +82,6 @@ def shards(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Written shards of ``id, label, terms array<int>, weights array<double>,
     roles array<int>`` (one per member; null: none) and, for balanced sampling,
     ``draws array<int>`` (member * epochs + epoch) with ``copies array<int>``."""
-    import pyarrow.compute  # noqa: F401  (used by the packing tasks)
     own = materialize(rows, "text-rows")
     n = max(1, -(-own.count() // shard_rows))
     dealt = own.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(n)))

@@ -8,6 +8,11 @@ broadcast. Each document is L2-normalised over its own terms.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,14 +49,29 @@ def tfidf(tf: DataFrame, idf: DataFrame, id_col: str = "id") -> DataFrame:
     return w.select(id_col, "term", (F.col("_w") / norm).alias("weight"))
 
 
+def dense(sparse: DataFrame, dim: int, keys: list[str]) -> DataFrame:
+    """``keys`` and ``features`` from ``keys, term, weight`` rows: a row's terms are
+    placed in its vector by NumPy."""
+    rows = sparse.groupBy(*keys).agg(F.collect_list("term").alias("_t"), F.collect_list("weight").alias("_w"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            lens = pc.list_value_length(t.column("_t")).to_numpy()
+            out = np.zeros((b.num_rows, dim))
+            out[np.repeat(np.arange(b.num_rows), lens), t.column("_t").combine_chunks().flatten().to_numpy(zero_copy_only=False)] \
+                = t.column("_w").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), dim).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keys], flat], names=[*keys, "features"])
+
+    return rows.select(*keys, "_t", "_w").mapInArrow(run, f"{kinds}, features array<double>")
+
+
 def to_dense(sparse: DataFrame, n_features: int, id_col: str = "id",
              out: str = "features") -> DataFrame:
     """Dense ``array<double>`` per document (at most n_features entries each)."""
-    m = sparse.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("_m"))
-    return m.select(id_col, F.transform(
-        F.sequence(F.lit(0), F.lit(n_features - 1)),
-        lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))).alias(out))
+    return dense(sparse, n_features, [id_col]).withColumnRenamed("features", out)
 
 
 def vectorise(train: DataFrame, rows: DataFrame, n_features: int = 1024,

@@ -398,8 +398,8 @@ def a6_a8_vector_sink_scan(spark, sf):
     """Vector folds of two embeddings written partitioned by (dataset,
     embedding, fold, split); one (dataset, embedding) read back."""
     v = fx.vec_bin(spark, sf)
-    folds = splits.stratified_holdout(v, repeats=2).withColumnRenamed("repeat", "fold")
-    raw = folds.withColumn("dataset", F.lit("embeddings")).withColumn("embedding", F.lit("raw"))
+    folds = splits.stratified_holdout(v.select("id", "label"), repeats=2).withColumnRenamed("repeat", "fold")
+    raw = folds.join(v.select("id", "features"), "id").withColumn("dataset", F.lit("embeddings")).withColumn("embedding", F.lit("raw"))
     mapped = raw.withColumn("embedding", F.lit("map8")).withColumn(
         "features", S.linear_map(seeded_matrix(fx.SEED, "map", MAP_ROWS, MAP_DIM), F.col("features")))
     path = scratch_path(spark, "vectors")
