@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_HOT = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,22 +46,33 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: list[str], by: list[str], how: str = "inner") -> DataFrame:
+#: Rows of one join key that a task may take.
+SPREAD_ROWS = 1 << 18
+
+
+def hot_keys(df: DataFrame, key: list[str]) -> list[tuple]:
+    """The keys with more than ``SPREAD_ROWS`` rows and the salts that each asks
+    for: at most one key in ``SPREAD_ROWS`` rows of the table."""
+    counts = df.where(" and ".join(f"{k} is not null" for k in key)).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    return [(*r[:-1], -(-r[-1] // SPREAD_ROWS)) for r in counts.where(F.col("_n") > SPREAD_ROWS).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: list[str], by: list[str], how: str = "inner",
+                hot: list[tuple] | None = None) -> DataFrame:
     """``left.join(right, key, how)`` where one key may have a third of the rows
-    of ``left`` (and few of ``right``). Keys with more rows than an average
-    shuffle partition are counted; there are fewer of them than partitions, so
-    their list is broadcast whatever the size of the data. Such a key's left rows
-    are dealt over as many salts (by a hash of ``by``) as it would fill
-    partitions, and its right rows go to each salt."""
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = left.where(" and ".join(f"{k} is not null" for k in key)).groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    share = F.col("_n") * parts / left.select(F.count(F.lit(1))).scalar()
-    heavy = counts.where(share > 1).select(*key, F.ceil(share).cast("int").alias("_salts"))
+    of ``left`` (and few of ``right``). The left rows of a hot key (``hot``, else
+    counted here, so ``left`` should be a written table) are dealt over as many
+    salts, by a hash of ``by``, as tasks should share them, and its right rows go to
+    each salt."""
+    hot = hot_keys(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key, how)
+    schema = ", ".join([*(f"{k} {left.schema[k].dataType.simpleString()}" for k in key), "_salts int"])
     salts = F.coalesce("_salts", F.lit(1))
 
     def with_salts(df: DataFrame, salt: Column) -> DataFrame:
-        own = heavy.select(*[F.col(c).alias(c) for c in heavy.columns])
-        return df.join(F.broadcast(own), key, "left").withColumn("_salt", salt).drop("_salts")
+        own = broadcast_within(left.sparkSession.createDataFrame(hot, schema), len(hot), BROADCAST_HOT)
+        return df.join(own, key, "left").withColumn("_salt", salt).drop("_salts")
 
     dealt = with_salts(left, F.pmod(F.xxhash64(*by), salts).cast("int"))
     copied = with_salts(right, F.explode(F.sequence(F.lit(0), salts - 1)))

@@ -432,13 +432,13 @@ def _linked(docs: DataFrame, block: int, id_col: str, text_col: str, keyed: bool
     links = links.unionByName(_verified(more, texts, nodes, sketches))
     roots = components(links)
     named = one.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    named = named.select("sid", "label", "doc_id")
+    named = materialize(named.select("sid", "label", "doc_id"), "named-sets")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of = materialize(spread_join(named.select("sid", "label"), least, ["label"], ["sid"]).select("sid", "component_id", *label), "components")
     out = (seen.select("doc_id", F.col("n").alias("n_shingles"), *key, F.when(F.col("n") > 0, F.col("sid")).alias("_s"))
            .withColumn("_k", F.coalesce(F.concat(F.lit("k"), F.col("_s")), F.concat(F.lit("n"), F.col("doc_id")))))
     out = spread_join(out, of.select(F.concat(F.lit("k"), F.col("sid")).alias("_k"), "component_id", *label), ["_k"], ["doc_id", *key], "left")
-    release(met)
+    release(met, named)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *key, *label)
 
 

@@ -56,7 +56,7 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``page_id, digest, refers_to`` of the pages whose payload (of at least
     ``min_bytes``) a page with a smaller id has. Only ids and digests are
     shuffled, combined before the shuffle."""
-    narrow = pages.where(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
+    narrow = materialize(pages.where(F.octet_length("payload") >= min_bytes).select("page_id", "digest"), "page-digests")
     first = (narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
              .where("n > 1 and refers_to is not null").drop("n"))
     return (spread_join(narrow, first, ["digest"], ["page_id"]).where("not (page_id <=> refers_to)")

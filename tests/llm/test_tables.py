@@ -383,9 +383,12 @@ def test_pipeline(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_spread_join_equals_join(spark, how):
+@pytest.mark.parametrize("most", [1 << 18, 7])
+def test_spread_join_equals_join(spark, how, most, monkeypatch):
     """A key with most rows, null keys, and keys of one side only."""
+    from rarefold.llm import common
     from rarefold.llm.common import spread_join
+    monkeypatch.setattr(common, "SPREAD_ROWS", most)
     rows = [("hot" if i % 3 else f"k{i % 40}", i) for i in range(600)] + [(None, 1), (None, 2), ("lone", 3)]
     left = spark.createDataFrame(rows, "k string, v long")
     right = spark.createDataFrame([("hot", 10), ("hot", 11), (None, 5), *((f"k{i}", i) for i in range(60))], "k string, x long")
@@ -394,9 +397,11 @@ def test_spread_join_equals_join(spark, how):
     assert spread_join(left.limit(0), right, ["k"], ["v"], how).count() == 0
 
 
-def test_hot_keys_are_dealt_over_tasks(spark):
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
     """No task gets a hot key's rows alone: at most a few times an average partition."""
+    from rarefold.llm import common
     from rarefold.llm.common import spread_join
+    monkeypatch.setattr(common, "SPREAD_ROWS", 100)
     left = spark.range(8000).selectExpr("if(id % 2 = 0, -1, id) as k", "id as v")
     right = spark.range(-1, 8000).selectExpr("id as k", "id as x")
     bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -435,3 +440,24 @@ def test_long_lists_have_the_same_fingerprint(spark, monkeypatch):
     plain = [r[0] for r in rows.select(decontam.simhash(F.col("sh"))).collect()]
     monkeypatch.setattr(decontam, "LANE_MOST", 1)
     assert [r[0] for r in rows.select(decontam.simhash(F.col("sh"))).collect()] == plain
+
+
+def test_operators_with_hot_keys_equal_brute_force(spark, monkeypatch):
+    """One near copy, passage and payload in most rows, with hot keys from a few rows on."""
+    from rarefold.llm import common, jaccard, repeats
+    monkeypatch.setattr(common, "SPREAD_ROWS", 3)
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, text + f" tail{i % 7}" if i % 5 else f"lone{i} " * 9) for i in range(45)] + [(90 + i, text) for i in range(15)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.similar_documents(d).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute.components(rows)
+    assert sorted(tuple(r) for r in repeats.remove_repeats(d, group_rows=8).drop("spans").collect()) == brute.repeats(rows)
+    pages = spark.createDataFrame([(i, "" if i % 3 else f"p{i % 4}") for i in range(40)], "page_id long, payload string").selectExpr(
+        "page_id", "cast(payload as binary) as payload", "payload as digest")
+    first = {}
+    for i in range(40):
+        first.setdefault("" if i % 3 else f"p{i % 4}", i)
+    assert {(r.page_id, r.refers_to) for r in warc.revisits(pages).collect()} == {
+        (i, first["" if i % 3 else f"p{i % 4}"]) for i in range(40)} - {(i, i) for i in range(40)}
+    nodes = [(500, 600 + i) for i in range(20)] + [(600 + i, 601 + i) for i in range(20)]
+    assert {r.label for r in components(spark.createDataFrame(nodes, "a long, b long")).collect()} == {500}
