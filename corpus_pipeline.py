@@ -12,33 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rarefold.llm import decontam, jaccard, packing, quality, repeats
-from rarefold.llm.common import table
+from rarefold.llm.common import table, text_batches
 from rarefold.session import materialize
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    text_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
     return quality.keep_good(docs, labels)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    text_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier ones have."""
+    text_batches(spark)
     return repeats.cut_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    text_batches(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 4096 tokens."""
+    text_batches(spark)
     import public_tokenizers
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 

@@ -4,6 +4,7 @@ express them. ``QUERIES[name] = (fn(spark, sf_dir), sql or None)``."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,15 +12,19 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from . import (alignment, decontam, dedup, interaction, jaccard, licenses, packing, quality, repeats, rules, toxicity, urlfilter,
                warc)
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, table, text_batches
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            text_batches(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = (run, sql)
+        return run
     return deco
 
 
