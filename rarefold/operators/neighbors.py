@@ -3,13 +3,17 @@
 Training rows live in the Voronoi cells of their key (``voronoi``), each in one
 cell. Round 1 searches every query's own cell, which gives a k-th distance;
 with the bound that cell sizes and radii give, it limits how far a neighbour can
-be. Round 2 sends the query only to the cells that can hold a row within that
-limit. A key with few rows has one cell and no second round.
+be. Round 2 sends the query only to cells that can hold a row within that limit.
+Cells near each other share a slot of up to ``SLOT_ROWS`` rows and a query goes
+to a slot once, so vectors without structure, whose limits leave all cells, are
+copied once per slot and not once per cell. A key with few rows has one cell and
+no second round.
 
-A cell is searched on the block grid (``blocks``), so a hot cell is many tasks.
-Per grid cell NumPy ranks the right block for every left row with the Gram form,
-keeps every candidate within a tolerance of the k-th, re-measures those
-exactly as ``sqrt(sum((x - y)^2))`` and emits at most k rows per left row.
+A cell or slot is searched on the block grid (``blocks``), so a hot cell is many
+tasks. Per grid cell NumPy passes the right block in steps for every left row
+with the Gram form, keeps every candidate within a tolerance of the k-th so far,
+re-measures what is left exactly as ``sqrt(sum((x - y)^2))`` and emits at most k
+rows per left row. Of equal vectors only those that can be emitted are passed.
 The final top-k per left row is a window ``row_number() <= k`` over
 ``(key, qid)``, which Spark limits per task before the shuffle.
 """
@@ -26,14 +30,81 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 from .blocks import column, grid, matrix
-from .voronoi import (SLACK, Cells, assign, by_key, cell_stats, distances, key_string, lower_bounds, pivots,
+from .voronoi import (SLACK, Cells, assign, by_key, cell_stats, distances, key_string, lower_bounds, pivots, slots,
                       upper_bound)
 
-CHUNK = 1024  # left rows per NumPy step inside a cell (bounds memory)
+CHUNK = 512   # left rows per NumPy step inside a cell (bounds memory)
+COLS = 4096   # right rows per NumPy step
+MEASURE = 1 << 16     # pairs measured exactly at a time
+SLOT_ROWS = 32_768    # training rows of a slot (cells searched together in round 2) at most
+SLOTS = 8             # slots that all keys together are meant to have at least
+
+
+def _first_copies(R: np.ndarray, tid: np.ndarray, tuid: np.ndarray, k: int) -> np.ndarray:
+    """Rows that can be among the ``k`` nearest of some query: of equal vectors the
+    first by (id, uid), ``k`` of an id and ``k + 1`` ids (a query may leave out its own)."""
+    _, vec = np.unique(np.ascontiguousarray(R).view(np.dtype((np.void, R.shape[1] * R.itemsize))).ravel(), return_inverse=True)
+    order = np.lexsort((tuid, tid, vec))
+    v, i = vec[order], tid[order]
+    new_vec = np.r_[True, v[1:] != v[:-1]]
+    new_id = new_vec | np.r_[True, i[1:] != i[:-1]]
+    ids = np.cumsum(new_id)
+    at = np.arange(len(order))
+    nth_id = ids - ids[np.maximum.accumulate(np.where(new_vec, at, 0))]
+    nth = at - np.maximum.accumulate(np.where(new_id, at, 0))
+    return np.sort(order[(nth_id <= k) & (nth < k)])
+
+
+def _exact(Q: np.ndarray, R: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (r, c), a bounded number at a time."""
+    out = np.empty(len(r))
+    for s in range(0, len(r), MEASURE):
+        diff = Q[r[s:s + MEASURE]] - R[c[s:s + MEASURE]]
+        out[s:s + MEASURE] = np.einsum("ij,ij->i", diff, diff)
+    return out
+
+
+def _nearest(Q: np.ndarray, R: np.ndarray, k: int, limit: np.ndarray, skip) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that hold every query's ``k`` nearest rows within
+    ``limit`` (a squared distance). Rows are passed ``COLS`` at a time; what is
+    found so far lowers the limit. ``skip(r, c)``: pairs that do not count."""
+    qn, rn = np.einsum("ij,ij->i", Q, Q), np.einsum("ij,ij->i", R, R)
+    tol = 1e-9 * 2.0 * (qn + rn.max(initial=0.0)) + 1e-12
+    limit, best = limit.copy(), np.full((len(Q), k), np.inf)
+    rows, cols, vals = [], [], []
+    for s in range(0, len(R), COLS):
+        approx = Q @ R[s:s + COLS].T
+        approx *= -2.0
+        approx += qn[:, None]
+        approx += rn[None, s:s + COLS]
+        width = approx.shape[1]
+        open_ = np.flatnonzero(~np.isfinite(limit))
+        if len(open_) and width > 4 * k:          # no limit yet: the k-th of these columns, without the pairs that do not count
+            part = approx[open_]
+            out = np.nonzero(skip(open_[:, None], s + np.arange(width)[None, :]))
+            part[out] = np.inf
+            limit[open_] = np.partition(part, k - 1, axis=1)[:, k - 1]
+        r, c = np.nonzero(approx <= (limit + tol)[:, None])
+        ok = ~skip(r, c + s)
+        r, c = r[ok], c[ok]
+        if not len(r):
+            continue
+        v = approx[r, c]
+        rows.append(r), cols.append(c + s), vals.append(v)
+        allr, allv = np.concatenate((np.repeat(np.arange(len(Q)), k), r)), np.concatenate((best.ravel(), v))
+        order = np.lexsort((allv, allr))
+        first = np.searchsorted(allr[order], np.arange(len(Q)))
+        best = allv[order][first[:, None] + np.arange(k)[None, :]]
+        limit = np.minimum(limit, best[:, k - 1])
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    r, c, v = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
+    near = v <= (limit + tol)[r]
+    return r[near], c[near]
 
 
 def _cell_topk(k: int, exclude_self: bool, key_fields: list[T.StructField],
-               out_schema: T.StructType):
+               out_schema: T.StructType, further: bool):
     key_names = [f.name for f in key_fields]
 
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -45,22 +116,28 @@ def _cell_topk(k: int, exclude_self: bool, key_fields: list[T.StructField],
         tid = column(right, "_tid").astype(np.int64)
         tuid = column(right, "_tuid").astype(np.int64)
         tlab = column(right, "_tlab").astype(np.int64)
-        rn = np.einsum("ij,ij->i", R, R)
+        own = column(left, "_cell") if further else None
+        cell = column(right, "_cell") if further else None
+        limit = left.column("_kth").combine_chunks().fill_null(np.inf).to_numpy(zero_copy_only=False) ** 2 \
+            if further else np.full(len(qid), np.inf)
+        keep = _first_copies(R, tid, tuid, k)
+        if len(keep) < len(tid):
+            R, tid, tuid, tlab = R[keep], tid[keep], tuid[keep], tlab[keep]
+            cell = cell[keep] if further else None
         out_q, out_t, out_u, out_l, out_d = [], [], [], [], []
         for s in range(0, Q.shape[0], CHUNK):
-            q = Q[s:s + CHUNK]
-            qi = qid[s:s + CHUNK]
-            approx = np.einsum("ij,ij->i", q, q)[:, None] + rn[None, :] - 2.0 * (q @ R.T)
-            if exclude_self:
-                approx[qi[:, None] == tid[None, :]] = np.inf
-            kk = min(k, R.shape[0])
-            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-            scale = np.abs(approx[np.isfinite(approx)]).max(initial=1.0)
-            cand = approx <= (kth + 1e-9 * scale + 1e-12)[:, None]
-            cand &= np.isfinite(approx)
-            r, c = np.nonzero(cand)
-            diff = q[r] - R[c]
-            exact = np.einsum("ij,ij->i", diff, diff)
+            q, qi = Q[s:s + CHUNK], qid[s:s + CHUNK]
+
+            def skip(r, c, s=s, qi=qi):
+                no = np.zeros(np.broadcast_shapes(np.shape(r), np.shape(c)), dtype=bool)
+                if exclude_self:
+                    no |= qi[r] == tid[c]
+                if further:                        # round 1 has searched the query's own cell
+                    no |= own[s:s + CHUNK][r] == cell[c]
+                return no
+
+            r, c = _nearest(q, R, k, limit[s:s + CHUNK], skip)
+            exact = _exact(q, R, r, c)
             order = np.lexsort((tuid[c], tid[c], exact, r))
             r, c, exact = r[order], c[order], exact[order]
             # position of each candidate inside its row's sorted run
@@ -89,16 +166,18 @@ def _cell_topk(k: int, exclude_self: bool, key_fields: list[T.StructField],
     return fn
 
 
-def _search(q: DataFrame, t: DataFrame, keys: list[str], k: int, exclude_self: bool, block_rows: int) -> DataFrame:
-    """At most ``k`` candidates per query and grid cell of (keys, _cell)."""
-    lrep, rrep, gcols = grid(q, t, keys + ["_cell"], "_qid", "_tuid", block_rows)
+def _search(q: DataFrame, t: DataFrame, keys: list[str], k: int, exclude_self: bool, block_rows: int,
+            by: str = "_cell") -> DataFrame:
+    """At most ``k`` candidates per query and grid cell of (keys, ``by``). By
+    ``_slot``: within the queries' ``_kth``, outside of their own cells."""
+    lrep, rrep, gcols = grid(q, t, keys + [by], "_qid", "_tuid", block_rows)
     key_fields = [lrep.schema[c] for c in keys]
     out_schema = T.StructType(
         key_fields + [T.StructField("qid", T.LongType()), T.StructField("nbr_id", T.LongType()),
                       T.StructField("nbr_uid", T.LongType()),
                       T.StructField("nbr_label", T.IntegerType()),
                       T.StructField("d2", T.DoubleType())])
-    fn = _cell_topk(k, exclude_self, key_fields, out_schema)
+    fn = _cell_topk(k, exclude_self, key_fields, out_schema, by == "_slot")
     return lrep.groupBy(*gcols).cogroup(rrep.groupBy(*gcols)).applyInArrow(fn, out_schema)
 
 
@@ -123,14 +202,20 @@ def _own_cells(q: DataFrame, cells: dict[str, Cells], keys: list[str]) -> DataFr
     return d.mapInArrow(fn, schema).drop("_k")
 
 
-def _further_cells(q: DataFrame, cells: dict[str, Cells], keys: list[str], k: int) -> DataFrame:
+def _further_cells(q: DataFrame, cells: dict[str, Cells], keys: list[str], k: int,
+                   slot_of: dict[str, np.ndarray] | None = None) -> DataFrame:
     """Round 2: ``q`` (with ``_cell``, and ``_kth``: the k-th distance found
-    there, or null) once for every other cell that can hold a neighbour."""
-    bc = q.sparkSession.sparkContext.broadcast(cells)
+    there, or null) once for every other cell that can hold a neighbour; with
+    ``slot_of`` once for every slot (``_slot``) of such cells."""
+    bc = q.sparkSession.sparkContext.broadcast((cells, slot_of))
     d = q.withColumn("_k", key_string(keys))
-    out = [f for f in q.schema.fields if f.name != "_kth"]
+    out = [f for f in q.schema.fields if slot_of is not None or f.name != "_kth"]
+    to_name = "_cell" if slot_of is None else "_slot"
+    if slot_of is not None:
+        out = out + [T.StructField("_slot", T.IntegerType())]
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, slots = bc.value
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -139,9 +224,11 @@ def _further_cells(q: DataFrame, cells: dict[str, Cells], keys: list[str], k: in
             kth = t.column("_kth").combine_chunks().fill_null(np.inf).to_numpy(zero_copy_only=False)
             rows, to = [], []
             for key, i in by_key(t):
-                c = bc.value.get(key)
+                c = of.get(key)
                 if c is None or len(c.P) == 1:
                     continue
+                if slots is not None:              # which cells a slot has
+                    has = np.arange(slots[key].max() + 1)[None, :] == slots[key][:, None]
                 for s in range(0, len(i), CHUNK):
                     at = i[s:s + CHUNK]
                     D = distances(X[at], c.P)
@@ -149,13 +236,16 @@ def _further_cells(q: DataFrame, cells: dict[str, Cells], keys: list[str], k: in
                     near = lower_bounds(c, D) <= (limit + SLACK * (1.0 + D.max(axis=1)))[:, None]
                     near &= (c.n > 0)[None, :]
                     near[np.arange(len(at)), own[at]] = False
-                    r, j = np.nonzero(near)
+                    r, j = np.nonzero(near if slots is None else near.astype(np.float32) @ has)
                     rows.append(at[r])
                     to.append(j.astype(np.int32))
-            if rows:
-                part = b.take(pa.array(np.concatenate(rows)))
+            if not rows:
+                continue
+            rows, to = np.concatenate(rows), np.concatenate(to)
+            for s in range(0, len(rows), len(own) or 1):          # no batch larger than what came in
+                part = b.take(pa.array(rows[s:s + len(own)]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(to)) if f.name == "_cell" else part.column(part.schema.get_field_index(f.name)) for f in out],
+                    [pa.array(to[s:s + len(own)]) if f.name == to_name else part.column(part.schema.get_field_index(f.name)) for f in out],
                     names=[f.name for f in out])
 
     return d.mapInArrow(fn, T.StructType(out))
@@ -197,8 +287,15 @@ def knn(queries: DataFrame, train: DataFrame, k: int = 5, *,
         first = materialize(_top(_search(q, t, keys, k, exclude_self, block_rows), keys, k).drop("nbr_rank"), "knn-first")
         kth = first.groupBy(*keys, F.col("qid").alias("_qid")).agg(
             F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).alias("_kth"))
-        further = _further_cells(q.join(kth, on=keys + ["_qid"], how="left"), cells, keys, k + exclude_self)
-        top = _top(_search(further, t, keys, k, exclude_self, block_rows).unionByName(first), keys, k)
+        # round 2 by slots: a query goes once to all cells of a slot, however many of them are near
+        n = sum(int(c.n.sum()) for c in cells.values())
+        slot_rows = max(block_rows, min(SLOT_ROWS, n // SLOTS))
+        slot_of = {key: slots(c, slot_rows) for key, c in cells.items()}
+        named = q.sparkSession.createDataFrame(
+            [(key, i, int(x)) for key, own in slot_of.items() for i, x in enumerate(own)], "_k string, _cell int, _slot int")
+        placed = t.withColumn("_k", key_string(keys)).join(F.broadcast(named), ["_k", "_cell"]).drop("_k")    # a row per cell
+        further = _further_cells(q.join(kth.hint("merge"), on=keys + ["_qid"], how="left"), cells, keys, k + exclude_self, slot_of)
+        top = _top(_search(further, placed, keys, k, exclude_self, slot_rows, "_slot").unionByName(first), keys, k)
     cols = keys + ["qid", "nbr_rank", "nbr_id", "nbr_label", "dist"]
     if train_uid:
         cols.insert(len(keys) + 3, "nbr_uid")

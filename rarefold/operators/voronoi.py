@@ -138,6 +138,23 @@ def cell_stats(assigned: DataFrame, pv: dict[str, np.ndarray], keys: Sequence[st
     return out
 
 
+def slots(c: Cells, slot_rows: int) -> np.ndarray:
+    """A slot number per cell: cells in the order of their pivots along the pivots'
+    main direction, filled up to about ``slot_rows`` rows each."""
+    if len(c.P) == 1:
+        return np.zeros(1, np.int32)
+    main = np.linalg.svd(c.P - c.P.mean(axis=0), full_matrices=False)[2][0]
+    order = np.argsort(c.P @ main, kind="stable")
+    out = np.empty(len(c.P), np.int32)
+    at, held = 0, 0
+    for j in order:
+        if held and held + c.n[j] > slot_rows:
+            at, held = at + 1, 0
+        out[j] = at
+        held += int(c.n[j])
+    return out
+
+
 def lower_bounds(c: Cells, D: np.ndarray) -> np.ndarray:
     """Least possible distance from each point to each cell's rows; ``D``: the
     points' distances to the pivots. Cells without rows are infinitely far."""

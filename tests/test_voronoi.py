@@ -85,3 +85,28 @@ def test_keys_without_training_rows(spark, cell_rows):
     assert len(pred) == 20 and {i for i, p in pred.items() if p is None} == lost
     assert neighbors.knn(df.limit(0), df, 3, key_cols=["fold"], cell_rows=cell_rows).count() == 0
     assert neighbors.knn(df, df.limit(0), 3, cell_rows=cell_rows).where("nbr_id is not null").count() == 0
+
+
+def test_a_query_goes_to_a_slot_once(spark, monkeypatch):
+    """Vectors without structure: a copy per slot, not per cell; the neighbours are the same."""
+    rng = np.random.default_rng(7)
+    X, fold, y = rng.normal(size=(900, 16)), np.zeros(900, int), rng.integers(0, 2, 900)
+    df = _table(spark, X, fold, y)
+    want = [sorted(map(tuple, neighbors.knn(df, df, 4, exclude_self=True).select("qid", "nbr_rank", "nbr_id").collect()))]
+    sent = []
+    further = neighbors._further_cells
+    monkeypatch.setattr(neighbors, "_further_cells", lambda *a: sent.append(further(*a)) or sent[-1])
+    for slot_rows in (60, 400):
+        monkeypatch.setattr(neighbors, "SLOT_ROWS", slot_rows)
+        monkeypatch.setattr(neighbors, "SLOTS", 1)
+        got = neighbors.knn(df, df, 4, exclude_self=True, block_rows=10, cell_rows=10)
+        assert sorted(map(tuple, got.select("qid", "nbr_rank", "nbr_id").collect())) == want[0]
+    assert sent[1].count() <= 900 * 4 < sent[0].count()         # 90 cells in 3 or 4 slots
+
+
+def test_equal_vectors_of_a_block_are_passed_once():
+    R = np.repeat(np.eye(3), 50, axis=0)
+    tid, tuid = np.arange(150) // 2, np.arange(150)
+    keep = neighbors._first_copies(R, tid, tuid, 3)
+    assert keep.tolist() == [v * 50 + i for v in range(3) for i in range(8)]       # four ids of two rows
+    assert neighbors._first_copies(np.eye(3), tid[:3], tuid[:3], 3).tolist() == [0, 1, 2]
