@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lmnn, neighbors, resample, stumps
-from ..session import materialize, release
+from ..session import materialize, release, row_join
 from .blocks import matrix
 from .learners import KNN, LMNN, BaseLearner, Boosted, MetricLearner, mapped
 from .splits import DEFAULT_SEED
@@ -61,7 +61,7 @@ def easy_ensemble_fit(train: DataFrame, n_bags: int = 10, n_rounds: int = 50,
                       seed: int = DEFAULT_SEED, feat_col: str = "features") -> dict:
     # bags are drawn on (bag, id, label); the vectors are joined once afterwards
     bags = resample.easy_bags(train.select("id", "label"), n_bags, seed=seed)
-    bags = bags.join(train.select("id", F.col(feat_col).alias("features")), on="id", how="inner")
+    bags = row_join(bags, train.select("id", F.col(feat_col).alias("features")), "id")
     return stumps.fit_boost(bags, n_rounds, member_col="bag")
 
 
@@ -83,13 +83,13 @@ def rusboost_fit(train: DataFrame, n_rounds: int = 50, seed: int = DEFAULT_SEED,
     round_map = None
     if metric:
         # a fresh map per round, unweighted (H2)
-        maps = lmnn.fit(draws.join(base.select("id", "features"), on="id"), member_col="round", **lmnn_kw).maps
+        maps = lmnn.fit(row_join(draws, base.select("id", "features"), "id"), member_col="round", **lmnn_kw).maps
 
         def round_map(r: int, rows: DataFrame, models: dict) -> dict:
             return {"0": maps.get(str(r))}
 
     in_rounds = draws.groupBy("id").agg(F.collect_list("round").alias("rounds"))
-    rows = base.join(in_rounds, on="id", how="left")
+    rows = row_join(base, in_rounds, "id", "left")
 
     def sample(d: DataFrame, r: int) -> DataFrame:
         return d.withColumn("_in", F.coalesce(F.array_contains("rounds", r), F.lit(False)))
@@ -107,14 +107,14 @@ def rusboost_folds(train: DataFrame, vectors: DataFrame, n_rounds: int = 50, see
     draws = materialize(resample.undersample(draws, seed=seed, salt="rusboost", member_cols=["repeat", "round"]), "fold-draws")
     round_map = None
     if metric:
-        rows = draws.withColumn("member", F.concat_ws(":", "repeat", "round")).join(vectors, "id")
+        rows = row_join(draws.withColumn("member", F.concat_ws(":", "repeat", "round")), vectors, "id")
         maps = lmnn.fit(rows.select("member", "id", "features", "label"), member_col="member", **lmnn_kw).maps
 
         def round_map(r: int, rows: DataFrame, models: dict) -> dict:
             return {m: maps.get(f"{m}:{r}") for m in models}
 
-    rows = train.select("repeat", "id", "label").join(
-        draws.groupBy("repeat", "id").agg(F.collect_list("round").alias("rounds")), ["repeat", "id"], "left").join(vectors, "id")
+    in_rounds = draws.groupBy("repeat", "id").agg(F.collect_list("round").alias("rounds"))
+    rows = row_join(row_join(train.select("repeat", "id", "label"), in_rounds, ["repeat", "id"], "left"), vectors, "id")
 
     def sample(d: DataFrame, r: int) -> DataFrame:
         return d.withColumn("_in", F.coalesce(F.array_contains("rounds", r), F.lit(False)))
@@ -147,7 +147,7 @@ def bag_slots(train: DataFrame, n_bags: int = 10, seed: int = DEFAULT_SEED, memb
     uid = F.col("slot") * max(16, len(labels) + 1) + src
     b = b.withColumn("uid", uid.cast("long")).select(*of, "bag", "uid", "id", "label")
     vectors = train.select("id", "features") if vectors is None else vectors
-    return b.join(vectors, on="id", how="inner").select(*of, "bag", "uid", "id", "features", "label")
+    return row_join(b, vectors, "id").select(*of, "bag", "uid", "id", "features", "label")
 
 
 def mlbagging_fit(train: DataFrame, n_bags: int = 10, k: int = 5, seed: int = DEFAULT_SEED,
@@ -172,7 +172,7 @@ def metric_bagging(sides: DataFrame, vectors: DataFrame, n_bags: int = 10, base:
     bags = bag_slots(train, n_bags, seed, ("repeat",), vectors)
     bags = materialize(bags.withColumn("member", F.concat_ws(":", "repeat", "bag")), "fold-bags")
     maps = metric.maps(bags, "member")
-    test = sides.where("split = 'test'").select("repeat", "id").join(vectors, "id").withColumn(
+    test = row_join(sides.where("split = 'test'").select("repeat", "id"), vectors, "id").withColumn(
         "bag", F.explode(F.sequence(F.lit(0), F.lit(n_bags - 1)))).withColumn("member", F.concat_ws(":", "repeat", "bag"))
     own = base.probas(mapped(bags.drop("repeat", "bag"), maps, "member"), mapped(test.drop("repeat", "bag"), maps, "member"), "member")
     own = own.withColumn("repeat", F.split("member", ":")[0].cast("int")).withColumnRenamed("id", "qid")
@@ -250,7 +250,7 @@ def mlboostacking_fit(train: DataFrame, max_iteration: int = 10, k: int = 5,
     maps: list[np.ndarray] = []
     log: list[dict] = []
     for it in range(max_iteration):
-        rows = base.join(state, on="id", how="inner")
+        rows = row_join(base, state, "id")
         tr = rows.filter(F.col("side") == "train").drop("side")
         va = rows.filter(F.col("side") == "valid").drop("side")
         us = resample.undersample(tr, seed=seed, salt=f"i6:{it}", strategy=sampling)
@@ -342,7 +342,7 @@ def mlstacking_fit(train: DataFrame, n_estimators: int = 10, n_folds: int = 5,
     rows = rows.withColumn("_e", F.explode(F.sequence(F.lit(0), F.lit(n_estimators - 1))))
     rows = rows.withColumn("member", F.concat_ws(":", F.col("_e").cast("string"), "_slot"))
     us = materialize(resample.undersample(rows.select("member", "id", "label"), seed=seed, salt="i5",
-                                          member_cols=["member"]).join(base.select("id", "features"), on="id"),
+                                          member_cols=["member"]).join(base.select("id", "features").hint("merge"), on="id"),
                      "ensembles-7")
     maps = lmnn.fit(us, member_col="member", **lmnn_kw).maps
     models = stumps.fit_boost(us, n_rounds, member_col="member",
@@ -366,9 +366,9 @@ def stacking_meta(train: DataFrame, n_estimators: int = 10, n_folds: int = 5, ba
     fit = each.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))).where("_f <> oof").select(
         F.concat_ws(":", "_e", "_f").alias("member"), "id", "label")
     vectors = rows.select("id", "features")
-    us = materialize(resample.undersample(fit, seed=seed, salt="i5", member_cols=["member"], strategy=sampling).join(vectors, "id"), "meta-draws")
+    us = materialize(resample.undersample(fit, seed=seed, salt="i5", member_cols=["member"], strategy=sampling).join(vectors.hint("merge"), "id"), "meta-draws")
     maps = metric.maps(us, "member")
-    test = each.select(F.concat_ws(":", "_e", "oof").alias("member"), "id").join(vectors, "id")
+    test = each.select(F.concat_ws(":", "_e", "oof").alias("member"), "id").join(vectors.hint("merge"), "id")
     own = base.probas(mapped(us, maps, "member"), mapped(test, maps, "member"), "member")
     meta = own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(
         F.split("member", ":")[0].cast("int").alias("e"), "proba"))).alias("_p"))       # n_estimators entries

@@ -45,8 +45,10 @@ def dist_rank(df: DataFrame, part_cols: Sequence[str], hex_col: str,
         offs = offs.withColumn(
             total, F.sum("__cnt").over(Window.partitionBy(*part_cols)))
     offs = offs.drop("__cnt")
-    # offsets are small; AQE broadcasts them at run time
-    d = d.join(offs, on=part_cols + ["_bk"], how="inner")
+    # a row per key and bucket: with many keys (folds x bags, rounds) as many as there are
+    # rows, so they are merged with the rows, which are dealt and sorted by them already,
+    # and never sent through the driver
+    d = d.join(offs.hint("merge"), on=part_cols + ["_bk"], how="inner")
     return (d.withColumn(out, (F.col("_lrn") + F.col("_off")).cast("bigint"))
              .drop("_bk", "_off", "_lrn"))
 

@@ -95,7 +95,7 @@ def balanced_bootstrap(df: DataFrame, n_bags: int = 10, label_col: str = "label"
                                          * F.col("_n")).cast("bigint"))
              .drop("_n"))
     # written once: the counts, the minority's slots and the others' draws all read it
-    boot = materialize(slots.join(idx.drop("_n"), on=of + ["_idx"], how="inner").drop("_idx"), "bootstrap")
+    boot = materialize(slots.join(idx.drop("_n").hint("merge"), on=of + ["_idx"], how="inner").drop("_idx"), "bootstrap")
     # stage 2: per (bag, class) slot counts, minority class per bag
     keys = of + ["bag"]
     counts = boot.groupBy(*keys, label_col).agg(F.count(F.lit(1)).alias("_c"))
@@ -118,7 +118,7 @@ def balanced_bootstrap(df: DataFrame, n_bags: int = 10, label_col: str = "label"
                  uniform(seed, "boot-draw", *salt, F.col("bag"), F.col("_olab"), F.col("_drv"))
                  * F.col("_c")).cast("bigint"))
              .select(*keys, F.col("_olab").alias(label_col), "_idx", "_drv"))
-    drawn = (draws.join(maj, on=keys + [label_col, "_idx"], how="inner")
+    drawn = (draws.join(maj.hint("merge"), on=keys + [label_col, "_idx"], how="inner")
              .drop("_idx", "slot").withColumnRenamed("_drv", "slot")
              .withColumn("src", F.concat(F.lit("draw:"), F.col(label_col).cast("string"))))
     return keep.unionByName(drawn)

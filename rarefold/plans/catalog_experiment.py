@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ensembles, ledger, logo, resample, scoring, splits, stumps, textclf
 from ..operators.blocks import matrix
-from ..session import materialize, release, scratch_path
+from ..session import materialize, release, row_join, scratch_path
 from . import fixtures as fx
 from .catalog import SQL_KNN_HOLDOUT, knn_holdout_scorecard, register
 from .catalog_prep import SQL_PAIRED, a1_paired_lines
@@ -94,9 +94,9 @@ def experiment_easy_ensemble(spark, sf, path=None):
         v, sides = _fold_rows(spark, sf, folds)
         bags = sides.filter("split = 'train'").withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(9))))
         bags = resample.undersample(bags.select("repeat", "bag", "id", "label"), salt="bag", member_cols=["repeat", "bag"])
-        bags = bags.withColumn("member", F.concat_ws(":", "repeat", "bag")).join(v, on="id")
+        bags = row_join(bags.withColumn("member", F.concat_ws(":", "repeat", "bag")), v, "id")
         models = stumps.fit_boost(bags, 50, member_col="member")
-        return _cards(_predict_folds(sides.filter("split = 'test'").join(v, on="id"), models), sides)
+        return _cards(_predict_folds(row_join(sides.filter("split = 'test'"), v, "id"), models), sides)
     return run_experiment(spark, "easy_vec", REPEATS, score, path)
 
 
@@ -107,7 +107,7 @@ def experiment_mlbagging(spark, sf, path=None):
     def score(folds: list[int]) -> DataFrame:
         v, sides = _fold_rows(spark, sf, folds)
         pred = ensembles.mlbagging_folds(sides, v)
-        return _cards(pred.join(sides.select("repeat", F.col("id").alias("qid"), "label"), ["repeat", "qid"]), sides)
+        return _cards(row_join(pred, sides.select("repeat", F.col("id").alias("qid"), "label"), ["repeat", "qid"]), sides)
     return run_experiment(spark, "mlbagging_vec", REPEATS, score, path)
 
 
@@ -118,7 +118,7 @@ def experiment_rusboost(spark, sf, path=None):
     def score(folds: list[int]) -> DataFrame:
         v, sides = _fold_rows(spark, sf, folds)
         models = ensembles.rusboost_folds(sides.filter("split = 'train'"), v)
-        return _cards(_predict_folds(sides.filter("split = 'test'").join(v, on="id"), models), sides)
+        return _cards(_predict_folds(row_join(sides.filter("split = 'test'"), v, "id"), models), sides)
     return run_experiment(spark, "rusboost_vec", REPEATS, score, path)
 
 
@@ -129,7 +129,7 @@ def experiment_mlboosting(spark, sf, path=None):
     def score(folds: list[int]) -> DataFrame:
         v, sides = _fold_rows(spark, sf, folds)
         models = ensembles.rusboost_folds(sides.filter("split = 'train'"), v, n_rounds=10, metric=True)
-        return _cards(_predict_folds(sides.filter("split = 'test'").join(v, on="id"), models), sides)
+        return _cards(_predict_folds(row_join(sides.filter("split = 'test'"), v, "id"), models), sides)
     return run_experiment(spark, "mlboosting_vec", REPEATS, score, path)
 
 

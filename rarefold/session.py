@@ -114,6 +114,13 @@ def materialize(df, name: str):
     return out
 
 
+def row_join(left, right, on, how: str = "inner"):
+    """A join of two tables that both grow with the data. Written id tables are small
+    as files and Spark would plan to send them through the driver; the hint deals
+    both sides instead."""
+    return left.join(right.hint("merge"), on=on, how=how)
+
+
 def release(*dfs) -> None:
     """Delete tables written by ``materialize`` once nothing will read them
     again (loops would otherwise leave one copy per iteration in the shared
