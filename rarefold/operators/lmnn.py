@@ -15,13 +15,15 @@ block can be an impostor of its left one: the blocks' centroids are further
 apart under the map than both radii and the widest margin together. The bound
 is taken with room for maps near the one it was taken at (``ROOM``), so the
 active pairs stay exact until the map has moved that far, and are then taken
-anew. Active pairs are dealt in tiles of ``TILE`` x ``TILE`` blocks; a tile's task
+anew. Active pairs are dealt in tiles of up to ``TILE_ROWS`` rows a side, so a row
+is copied once per tile and not once per block that it meets; a tile's task
 emits d x d partial sums, added JVM-side. Tiles are kept in Spark's cache between
 refreshes while they take at most ``KEEP`` times the blocks' rows; beyond that
-every iteration shuffles the blocks to their tiles again, so what is stored
-stays linear in the rows. The driver holds L and G per member and a centroid,
-radius and margin per block. Members (bags, rounds, folds) are a key column, so
-many models train in the same jobs.
+every iteration shuffles the blocks to their tiles again and sums them where they
+arrive, so what is stored stays linear in the rows. The driver holds L and G per
+member and a centroid, radius and margin per block. Members (bags, rounds, folds)
+are a key column, so many models train in the same jobs. Members of bounded size
+(``LOCAL_ROWS``) are each fitted by a task, all of them in one job with the same steps.
 
 The objective is divided by the number of target pairs, so the learning rate
 does not depend on the data size.
@@ -29,6 +31,7 @@ does not depend on the data size.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,17 +42,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, release
+from ..session import materialize, release, row_join
 from . import voronoi
 from .blocks import column, matrix
 from .neighbors import target_neighbors
 
 CHUNK = 512
+COLS = 4096         # other rows in a NumPy step
 #: How much longer or shorter a vector may get under a later map before the
 #: active block pairs are taken anew.
 ROOM = 1.25
-TILE = 4            # blocks a side of a tile
+TILE_ROWS = 16_384  # rows a side of a tile, at most (a block's at least)
+SIDES = 8           # sides that all rows together are meant to make at least
 KEEP = 8            # tiles' rows in cache, as a multiple of the blocks' rows
+LOCAL_ROWS = 16_384         # a member with at most so many rows may be fitted by one task
+ALONE_ROWS = 4096           # and is, however few the members are, with at most so many
 
 
 def _member(df: DataFrame, member_col: str | None) -> DataFrame:
@@ -74,7 +81,7 @@ def _pack_blocks(rows: DataFrame, tn: DataFrame, k: int, block_rows: int) -> Dat
         "_b", F.concat_ws(".", F.format_string("%05d", "_cell"), F.pmod(F.xxhash64("id"), "_nb")))
     tgt = tn.groupBy("_m", "qid").agg(
         F.sort_array(F.collect_list(F.struct("nbr_rank", "_xj"))).alias("_t"))  # <= k each
-    placed = placed.join(tgt.withColumnRenamed("qid", "id"), on=["_m", "id"], how="left").select(
+    placed = row_join(placed, tgt.withColumnRenamed("qid", "id"), ["_m", "id"], "left").select(
         "_m", F.col("label").alias("_cls"), "_b", "id", "features",
         F.coalesce(F.size("_t"), F.lit(0)).alias("_nt"),
         F.coalesce(F.flatten(F.transform("_t", lambda s: s["_xj"])), F.array().cast("array<double>")).alias("_xt"))
@@ -180,11 +187,15 @@ def _dealt(blocks: Blocks, pairs: list[tuple]) -> tuple[dict, dict, int]:
     """``pairs`` by tile: (tile, left block) -> right blocks, (tile, right block),
     and the rows that all tiles read."""
     at: dict[tuple, int] = {}
-    n: dict[tuple, int] = {}
+    held: dict[tuple, tuple[int, int]] = {}
     size: dict[tuple, int] = {}
+    most = min(TILE_ROWS, sum(x[-1] for x in blocks.names) // SIDES)
     for m, c, b, rows in blocks.names:
-        at[(m, c, b)] = n.get((m, c), 0) // TILE
-        n[(m, c)] = n.get((m, c), 0) + 1
+        side, n = held.get((m, c), (0, 0))
+        if n and n + rows > most:
+            side, n = side + 1, 0
+        at[(m, c, b)] = side
+        held[(m, c)] = (side, n + rows)
         size[(m, c, b)] = rows
     left: dict[tuple, list] = {}
     right: dict[tuple, None] = {}
@@ -195,30 +206,58 @@ def _dealt(blocks: Blocks, pairs: list[tuple]) -> tuple[dict, dict, int]:
     return left, right, sum(size[x[1:]] for own in (left, right) for x in own)
 
 
-def _tiles(blocks: Blocks, pairs: list[tuple]) -> DataFrame:
+class Tiles:
+    """Active pairs by tile: kept in Spark's cache, or cogrouped anew by every pass."""
+
+    def __init__(self, blocks: Blocks, pairs: list[tuple]):
+        spark = blocks.table.sparkSession
+        left, right, rows = _dealt(blocks, pairs)
+        lmap = spark.createDataFrame([(*x, y) for x, y in left.items()], "_tile string, _m string, _cls int, _b string, _with array<string>")
+        rmap = spark.createDataFrame(list(right), "_tile string, _m string, _cls int, _b string")
+        on = ["_m", "_cls", "_b"]
+        # ids only: a row per block and tile
+        self.left = blocks.table.join(F.broadcast(lmap), on).groupBy("_tile")
+        self.right = blocks.table.select(*on, F.col("xi").alias("xl")).join(F.broadcast(rmap), on).select(
+            F.col("_tile").alias("_rt"), F.concat_ws("/", F.col("_cls").cast("string"), "_b").alias("_name"), "xl").groupBy("_rt")
+        self.sparkSession, self.kept = spark, None
+        if rows <= KEEP * sum(x[-1] for x in blocks.names):
+            self.kept = self.left.cogroup(self.right).applyInArrow(
+                lambda lt, rt: _pack_tile(lt, rt), _TILE).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @property
+    def is_cached(self) -> bool:
+        return self.kept is not None
+
+    def map(self, fn, ddl: str) -> DataFrame:
+        """``fn`` over batches of tiles."""
+        if self.kept is not None:
+            return self.kept.mapInArrow(fn, ddl)
+        schema = _arrow(T._parse_datatype_string(ddl))
+
+        def run(lt: pa.Table, rt: pa.Table) -> pa.Table:
+            if not lt.num_rows or not rt.num_rows:
+                return schema.empty_table()
+            return pa.Table.from_batches([b.cast(schema) for b in fn(iter([_pack_tile(lt, rt)]))], schema=schema)
+
+        return self.left.cogroup(self.right).applyInArrow(run, ddl)
+
+    def unpersist(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
+
+
+def _pack_tile(lt: pa.Table, rt: pa.Table) -> pa.Table:
+    place = {name: i for i, name in enumerate(rt.column("_name").to_pylist())}
+    own = [{"n": r["n"], "d": r["d"], "ids": r["ids"], "xi": r["xi"], "xt": r["xt"], "tm": r["tm"],
+            "meets": [place[x] for x in r["_with"]]} for r in lt.to_pylist()]
+    return pa.Table.from_pydict({"_m": [lt.column("_m")[0].as_py()], "left": [own], "right": [rt.column("xl").to_pylist()]},
+                                schema=_arrow(_TILE))
+
+
+def _tiles(blocks: Blocks, pairs: list[tuple]) -> Tiles:
     """One row a tile: its left blocks, each with the places of the right blocks
     that it meets, and the right blocks' vectors."""
-    spark = blocks.table.sparkSession
-    left, right, rows = _dealt(blocks, pairs)
-    lmap = spark.createDataFrame([(*x, y) for x, y in left.items()], "_tile string, _m string, _cls int, _b string, _with array<string>")
-    rmap = spark.createDataFrame(list(right), "_tile string, _m string, _cls int, _b string")
-    on = ["_m", "_cls", "_b"]
-    # ids only: a row per block and tile
-    lb = blocks.table.join(F.broadcast(lmap), on)
-    rb = blocks.table.select(*on, F.col("xi").alias("xl")).join(F.broadcast(rmap), on).select(
-        F.col("_tile").alias("_rt"), F.concat_ws("/", F.col("_cls").cast("string"), "_b").alias("_name"), "xl")
-
-    def pack(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        place = {name: i for i, name in enumerate(rt.column("_name").to_pylist())}
-        own = [{"n": r["n"], "d": r["d"], "ids": r["ids"], "xi": r["xi"], "xt": r["xt"], "tm": r["tm"],
-                "meets": [place[x] for x in r["_with"]]} for r in lt.to_pylist()]
-        return pa.Table.from_pydict({"_m": [lt.column("_m")[0].as_py()], "left": [own], "right": [rt.column("xl").to_pylist()]},
-                                    schema=_arrow(_TILE))
-
-    tiles = lb.groupBy("_tile").cogroup(rb.groupBy("_rt")).applyInArrow(pack, _TILE)
-    if rows <= KEEP * sum(x[-1] for x in blocks.names):
-        tiles = tiles.persist(StorageLevel.MEMORY_AND_DISK)
-    return tiles
+    return Tiles(blocks, pairs)
 
 
 def _cells(t) -> Iterator[tuple]:
@@ -247,19 +286,31 @@ def cell_terms(Xi, Xt, tm, Xl, L, mu):
         TL = T_ @ L.T
         dt = np.einsum("qkd,qkd->qk", TL, TL)          # target distances
         zi = xi @ L.T
-        dil = np.maximum(np.einsum("ij,ij->i", zi, zi)[:, None] + zl2[None, :] - 2.0 * zi @ Zl.T, 0.0)
-        H = 1.0 + dt[:, :, None] - dil[:, None, :]     # q x k x t
-        act = (H > 0) & m[:, :, None]
-        hinge += float(H[act].sum())
-        n_act += int(act.sum())
-        row_act[s:s + CHUNK] = act.sum(axis=(1, 2))
+        a = np.zeros(m.shape)
         far = np.where(m, dt, -np.inf).max(axis=1)     # furthest target
-        row_imp[s:s + CHUNK] = (dil < (far[:, None] + 1.0)).sum(axis=1)
-        a = act.sum(axis=2).astype(np.float64)         # q x k
-        b = act.sum(axis=1).astype(np.float64)         # q x t
-        pull = np.einsum("qk,qkd,qke->de", a, T_, T_)
-        XiB = xi.T @ b @ Xl
-        push = (xi.T * b.sum(axis=1)) @ xi - XiB - XiB.T + (Xl.T * b.sum(axis=0)) @ Xl
+        bq, bt, XiB = np.zeros(len(xi)), np.zeros(Xl.shape[0]), np.zeros((d, d))
+        for c in range(0, Xl.shape[0], COLS):          # a bounded number of other rows at a time
+            dil = zi @ Zl[c:c + COLS].T
+            dil *= -2.0
+            dil += np.einsum("ij,ij->i", zi, zi)[:, None]
+            dil += zl2[None, c:c + COLS]
+            np.maximum(dil, 0.0, out=dil)
+            b = np.zeros(dil.shape)
+            for j in range(m.shape[1]):                # active with target j: 1 + dt - dil > 0
+                H = (1.0 + dt[:, j])[:, None] - dil
+                act = H > 0
+                act &= m[:, j][:, None]
+                a[:, j] += act.sum(axis=1)
+                b += act
+                hinge += float(np.where(act, H, 0.0).sum())
+            row_imp[s:s + CHUNK] += (dil < (far[:, None] + 1.0)).sum(axis=1)
+            bq += b.sum(axis=1)
+            bt[c:c + COLS] = b.sum(axis=0)
+            XiB += (xi.T @ b) @ Xl[c:c + COLS]
+        n_act += int(a.sum())
+        row_act[s:s + CHUNK] = a.sum(axis=1).astype(np.int64)
+        pull = np.einsum("qkd,qke->de", a[:, :, None] * T_, T_, optimize=True)
+        push = (xi.T * bq) @ xi - XiB - XiB.T + (Xl.T * bt) @ Xl
         G += mu * (pull - push)
     return G, hinge, n_act, row_act, row_imp
 
@@ -312,7 +363,7 @@ def _collect_mats(df: DataFrame) -> dict[str, tuple[float, np.ndarray]]:
     return out
 
 
-def _step_job(tiles: DataFrame, maps: dict[str, np.ndarray], mu: float) -> DataFrame:
+def _step_job(tiles: Tiles, maps: dict[str, np.ndarray], mu: float) -> DataFrame:
     """Hinge sum and impostor gradient of the members in ``maps``."""
     bc = tiles.sparkSession.sparkContext.broadcast(maps)
 
@@ -330,7 +381,7 @@ def _step_job(tiles: DataFrame, maps: dict[str, np.ndarray], mu: float) -> DataF
         for m, G in acc.items():
             yield _mat_batch(m, hin[m], G)
 
-    return _vec_sum(tiles.mapInArrow(fn, "_m string, v array<double>"))
+    return _vec_sum(tiles.map(fn, "_m string, v array<double>"))
 
 
 def prepare(df: DataFrame, k: int = 3, member_col: str | None = None, block_rows: int = 2048) -> Blocks:
@@ -341,7 +392,7 @@ def prepare(df: DataFrame, k: int = 3, member_col: str | None = None, block_rows
     rows = materialize(rows.select("_m", "id", "features", "label"), "lmnn-rows")  # read by several passes below
     tn = target_neighbors(rows, k, key_cols=["_m"], block_rows=block_rows)
     feats = rows.select("_m", F.col("id").alias("nbr_id"), F.col("features").alias("_xj"))
-    tn = tn.join(feats, on=["_m", "nbr_id"], how="inner")
+    tn = row_join(tn, feats, ["_m", "nbr_id"])
     table = materialize(_pack_blocks(rows, tn, k, block_rows), "lmnn-blocks")
     names = sorted(tuple(r) for r in table.select("_m", "_cls", "_b", "n").collect())   # n / block_rows rows
     release(rows)
@@ -373,67 +424,121 @@ class _Steps:
         return self.calm >= 2
 
 
+class _Descent:
+    """Gradient descent of one member: the step halves (and is retried from the last
+    accepted L) when the objective rises, and grows by a fifth after an accepted step."""
+
+    def __init__(self, member: str, npairs: float, Ct: np.ndarray, L: np.ndarray, mu: float, lr: float, tol: float, min_iter: int):
+        self.member, self.npairs, self.Ct, self.L, self.mu, self.lr = member, max(npairs, 1.0), Ct, L, mu, lr
+        self.tol, self.min_iter = tol, min_iter
+        self.best = None                       # (f, L, grad) at the last accepted L
+        self.steps, self.history = _Steps(), []
+
+    def update(self, it: int, hinge: float, Gimp: np.ndarray, refreshes: int) -> bool:
+        """Takes the impostor part at ``L``, moves ``L`` on; True at the end."""
+        f = ((1 - self.mu) * float(np.trace(self.L @ self.Ct @ self.L.T)) + self.mu * hinge) / self.npairs
+        G = ((1 - self.mu) * self.Ct + Gimp) / self.npairs
+        prev, stop = self.best, False
+        accepted = prev is None or f <= prev[0]
+        if accepted:
+            rel = abs(prev[0] - f) / max(abs(prev[0]), 1e-12) if prev else np.inf
+            self.best = (f, self.L.copy(), G)
+            stop = self.steps.done(self.lr, rel, self.tol) and it + 1 >= self.min_iter
+            if prev is not None:
+                self.lr *= 1.2
+        else:
+            self.lr /= 2.0
+        self.history.append({"member": self.member, "iteration": it, "loss": f, "lr": self.lr, "accepted": accepted, "refreshes": refreshes})
+        if not stop:
+            _, L0, G0 = self.best
+            self.L = L0 - self.lr * 2.0 * L0 @ G0
+        return stop
+
+    def map(self) -> np.ndarray:
+        return self.best[1] if self.best else self.L
+
+
+def _fit_local(blocks: Blocks, members: list[str], make, mu: float, max_iter: int) -> dict[str, tuple[np.ndarray, list[dict]]]:
+    """Map and history of every member of bounded size, each fitted by one task."""
+    of = blocks.table.join(F.broadcast(blocks.table.sparkSession.createDataFrame([(m,) for m in members], "_m string")), "_m")
+
+    def run(key, t):
+        own: dict[int, list] = {}
+        for r in sorted(_records(t), key=lambda r: (r["_cls"], r["_b"])):
+            own.setdefault(r["_cls"], []).append(_unpack(r))
+        rows = {c: [np.concatenate(x) for x in list(zip(*parts))[1:]] for c, parts in own.items()}    # X, targets, mask
+        fit = make(key[0].as_py())
+        for it in range(max_iter):
+            hinge, G = 0.0, np.zeros_like(fit.Ct)
+            for c, (X, Xt, tm) in rows.items():
+                others = [x[0] for c2, x in rows.items() if c2 != c]
+                if others:
+                    g, h, _, _, _ = cell_terms(X, Xt, tm, np.concatenate(others), fit.L, mu)
+                    hinge, G = hinge + h, G + g
+            if fit.update(it, hinge, G, 1):
+                break
+        return pa.Table.from_pydict({"_m": [fit.member], "v": [fit.map().ravel().tolist()], "h": [json.dumps(fit.history)]},
+                                    schema=schema)
+
+    ddl = "_m string, v array<double>, h string"
+    schema = _arrow(T._parse_datatype_string(ddl))
+    # d x d numbers and a history per member
+    return {r["_m"]: (np.asarray(r["v"]), json.loads(r["h"])) for r in of.groupBy("_m").applyInArrow(run, ddl).collect()}
+
+
 def fit(df: DataFrame, k: int = 3, mu: float = 0.5, max_iter: int = 1000, min_iter: int = 10,
         learn_rate: float = 0.1, tol: float = 1e-3, member_col: str | None = None,
         init: dict[str, np.ndarray] | None = None, block_rows: int = 2048,
         prepared: Blocks | None = None) -> LMNNModel:
-    """Gradient descent on L per member; the step halves (and the step is
-    retried from the last accepted L) when the objective rises, and grows by
-    a fifth after an accepted step. A member stops when two accepted full steps
-    in a row change its objective by less than ``tol`` of it (``_Steps``);
-    ``max_iter`` only guards the loop."""
+    """Gradient descent on L per member (``_Descent``). A member stops when two
+    accepted full steps in a row change its objective by less than ``tol`` of it
+    (``_Steps``); ``max_iter`` only guards the loop."""
     blocks = prepared or prepare(df, k, member_col, block_rows)
     tstats = _target_stats(blocks)
     members = sorted(tstats)
     d = tstats[members[0]][1].shape[0] if members else len(df.select("features").first()[0])
-    L = {m: (init[m].copy() if init and m in init else np.eye(d)) for m in members}
-    lr = {m: learn_rate for m in members}
-    best = {m: None for m in members}     # (f, L, grad) at the last accepted L
-    steps = {m: _Steps() for m in members}
-    active = set(members)
-    classes = {(m, c) for m, c, _, _ in blocks.names}
-    wide = {m for m in members if sum(x[0] == m for x in blocks.names) > sum(x[0] == m for x in classes)}
+
+    def make(m: str) -> _Descent:
+        return _Descent(m, *tstats[m], init[m].copy() if init and m in init else np.eye(d), mu, learn_rate, tol, min_iter)
+
+    rows: dict[str, int] = {}
+    for m, _, _, n in blocks.names:
+        rows[m] = rows.get(m, 0) + n
+    local = [m for m in members if rows[m] <= LOCAL_ROWS]
+    if len(local) < blocks.table.sparkSession.sparkContext.defaultParallelism:
+        local = [m for m in local if rows[m] <= min(ALONE_ROWS, LOCAL_ROWS)]
+    maps: dict[str, np.ndarray] = {}
     hist: list[dict] = []
+    if local:
+        for m, (L, own) in sorted(_fit_local(blocks, local, make, mu, max_iter).items()):
+            maps[m] = L.reshape(-1, d)
+            hist += own
+    fits = {m: make(m) for m in members if m not in maps}
+    active = set(fits)
+    classes = {(m, c) for m, c, _, _ in blocks.names}
+    wide = {m for m in fits if sum(x[0] == m for x in blocks.names) > sum(x[0] == m for x in classes)}
     since: dict[str, np.ndarray] = {}
     tiles, refreshes = None, 0
     for it in range(max_iter):
         if not active:
             break
-        if tiles is None or any(_moved(L[m], since[m]) for m in active & wide):
+        if tiles is None or any(_moved(fits[m].L, since[m]) for m in active & wide):
             if tiles is not None:
                 tiles.unpersist()
-            since = {m: L[m].copy() for m in active}
+            since = {m: fits[m].L.copy() for m in active}
             tiles, refreshes = _tiles(blocks, active_pairs(blocks, since)), refreshes + 1
-        res = _collect_mats(_step_job(tiles, {m: L[m] for m in active}, mu))
+        res = _collect_mats(_step_job(tiles, {m: fits[m].L for m in active}, mu))
         for m in sorted(active):
-            npairs, Ct = tstats[m]
-            hinge, Gimp = res.get(m, (0.0, np.zeros((d, d))))
-            npairs = max(npairs, 1.0)
-            f = ((1 - mu) * float(np.trace(L[m] @ Ct @ L[m].T)) + mu * hinge) / npairs
-            G = ((1 - mu) * Ct + Gimp) / npairs
-            prev = best[m]
-            accepted = prev is None or f <= prev[0]
-            if accepted:
-                rel = abs(prev[0] - f) / max(abs(prev[0]), 1e-12) if prev else np.inf
-                best[m] = (f, L[m].copy(), G)
-                stop = steps[m].done(lr[m], rel, tol) and it + 1 >= min_iter
-                if prev is not None:
-                    lr[m] *= 1.2
-                hist.append({"member": m, "iteration": it, "loss": f, "lr": lr[m], "accepted": True, "refreshes": refreshes})
-                if stop:
-                    active.discard(m)
-                    continue
-            else:
-                lr[m] /= 2.0
-                hist.append({"member": m, "iteration": it, "loss": f, "lr": lr[m], "accepted": False, "refreshes": refreshes})
-            f0, L0, G0 = best[m]
-            L[m] = L0 - lr[m] * 2.0 * L0 @ G0
+            if fits[m].update(it, *res.get(m, (0.0, np.zeros((d, d)))), refreshes):
+                active.discard(m)
     if tiles is not None:
         tiles.unpersist()
-    maps = {m: best[m][1] if best[m] else L[m] for m in members}
+    for m, own in fits.items():
+        maps[m] = own.map()
+        hist += own.history
     if prepared is None:
         release(blocks.table)
-    return LMNNModel(maps=maps, history=hist)
+    return LMNNModel(maps=maps, history=sorted(hist, key=lambda h: (h["iteration"], h["member"])))
 
 
 def loss_terms(df: DataFrame, L: np.ndarray | None = None, k: int = 3, mu: float = 0.5,
@@ -468,7 +573,7 @@ def impostor_counts(df: DataFrame, L: np.ndarray | None = None, k: int = 3,
 
     ddl = "id long, n_impostors long, n_active long"
     none = df.select(F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("n_impostors"), F.lit(0).cast("long").alias("n_active"))
-    return tiles.mapInArrow(fn, ddl).unionByName(none).groupBy("id").agg(
+    return tiles.map(fn, ddl).unionByName(none).groupBy("id").agg(
         F.sum("n_impostors").alias("n_impostors"), F.sum("n_active").alias("n_active"))
 
 

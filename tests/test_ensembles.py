@@ -347,3 +347,43 @@ def test_weights_go_to_the_stump_and_not_to_the_metric(spark):
         f, b, pl, pr, _ = stumps.best_split_np(h[0], h[1])
         assert (st.feature, st.bin) == (f, b) and st.p_left == pytest.approx(pl) and st.p_right == pytest.approx(pr)
         total += np.where(B[:, f] <= b, stumps.leaf_log_odds(pl), stumps.leaf_log_odds(pr))
+
+
+def test_lmnn_tiles_copy_a_row_once_per_side(spark, monkeypatch):
+    df, X, y = _planted(spark, 400, seed=12)
+    blocks = lmnn.prepare(df, 3, None, 10)
+    pairs = lmnn.active_pairs(blocks, {"0": np.eye(X.shape[1])})
+    n = sum(x[-1] for x in blocks.names)
+    monkeypatch.setattr(lmnn, "SIDES", 2)
+    assert lmnn._dealt(blocks, pairs)[2] <= 10 * n           # 4 blocks a side: more than 20 times the rows
+    monkeypatch.setattr(lmnn, "TILE_ROWS", 10)
+    assert lmnn._dealt(blocks, pairs)[2] > 20 * n
+
+
+@pytest.mark.parametrize("keep", [0, 8])
+def test_lmnn_members_alone_and_over_tiles_alike(spark, monkeypatch, keep):
+    df, X, y = _planted(spark, 150, seed=13)
+    two = df.withColumn("m", F.lit("a")).unionByName(df.where("id < 90").withColumn("m", F.lit("b")))
+    alone = lmnn.fit(two, max_iter=15, min_iter=15, tol=0.0, member_col="m", block_rows=25)
+    monkeypatch.setattr(lmnn, "LOCAL_ROWS", 0)
+    monkeypatch.setattr(lmnn, "TILE_ROWS", 50)
+    monkeypatch.setattr(lmnn, "SIDES", 1)
+    monkeypatch.setattr(lmnn, "KEEP", keep)
+    tiled = lmnn.fit(two, max_iter=15, min_iter=15, tol=0.0, member_col="m", block_rows=25)
+    assert set(alone.maps) == set(tiled.maps) == {"a", "b"}
+    assert all(np.allclose(alone.maps[m], tiled.maps[m], atol=1e-8) for m in alone.maps)
+    assert [h["accepted"] for h in alone.history] == [h["accepted"] for h in tiled.history]
+
+
+def test_row_tables_do_not_pass_through_the_driver(spark):
+    """Id tables are small as files; neither they nor the offsets of their ranks are broadcast."""
+    from rarefold.operators import rank, resample
+    from rarefold.session import materialize
+    ids = materialize(spark.range(200).selectExpr("id", "cast(id % 5 = 0 as int) as label", "cast(id % 3 as int) as repeat"), "ids")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    ranked = rank.dist_rank(ids.withColumn("h", F.md5(F.col("id").cast("string"))), ["repeat"], "h", "id")
+    assert "BroadcastHashJoin" not in plan(ranked) and "SortMergeJoin" in plan(ranked)
+    vectors = ids.select("id", F.array(F.col("id").cast("double")).alias("features"))
+    bags = ensembles.bag_slots(ids, 2, member_cols=("repeat",), vectors=vectors)
+    hit = [x for x in plan(bags).split("\n") if "BroadcastHashJoin" in x and ("id#" in x.split("]")[0])]
+    assert not hit
