@@ -141,3 +141,18 @@ def test_text_folds(spark):
     assert all(sum(h["steps"] for h in m.history) > 0 for m in bal.fit("bs", 2))
     test = textclf.text_folds(texts, sides, 32, epochs=2, select_on="test")
     assert all(m.history[0]["eval_loss"] > 0 for m in test.fit("plain", 2))
+
+
+def test_fold_vectors_sort_no_row_per_fold_and_term(spark):
+    """A document's terms stay one row in every fold; a repeated id counts twice in its norm."""
+    from rarefold.operators import textfeat
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, "c c d")], "id long, text string")
+    folds = spark.createDataFrame([(r, i, "test" if i == r + 1 else "train") for r in range(2) for i in (1, 2, 3)] + [(0, 3, "train")],
+                                  "repeat int, id long, split string")
+    out = textfeat.vectorise_folds(docs, folds, 64)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    norms = {}
+    for r in out.collect():
+        norms[(r.repeat, r.id)] = norms.get((r.repeat, r.id), 0.0) + r.weight ** 2
+    assert set(norms) == {(r, i) for r in range(2) for i in (1, 2, 3)} and all(abs(v - 1) < 1e-12 for v in norms.values())
+    assert out.where("repeat = 0 and id = 3").count() == 4
