@@ -99,3 +99,13 @@ def test_unequal_line_counts_stop_the_job(spark, tmp_path):
     with pytest.raises(Exception, match="line counts differ"):
         files.read_paired_files(spark, str(tmp_path / "s"), str(tmp_path / "l")).collect()
     assert files.read_paired_files(spark, str(tmp_path / "s"), str(tmp_path / "l"), strict=False).count() == 3
+
+
+def test_fold_export_ranks_no_texts(spark, monkeypatch):
+    from rarefold.operators import splits
+    from rarefold.plans import catalog  # noqa: F401  (registers all)
+    from rarefold.plans import catalog_prep
+    seen, ranked = [], splits.stratified_holdout
+    monkeypatch.setattr(splits, "stratified_holdout", lambda d, **kw: seen.append(d.columns) or ranked(d, **kw))
+    out = catalog_prep.a4_fold_json_scan(spark, "/root/testdata/sf0.001")
+    assert "text" not in seen[0] and out.count() == 20
