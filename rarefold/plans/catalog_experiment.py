@@ -37,8 +37,9 @@ def run_experiment(spark, run: str, n_folds: int, score: Callable[[list[int]], D
         ledger.append(score(folds).withColumn("run", F.lit(run)).select("run", "test_number", "metric", "value"), path)
     done = ledger.read(spark, path).where(F.col("run") == run)
     finished = ledger.finished_runs(done, runs).filter("finished").select("run")
+    # to 12 digits first: the order of a sum must not tip a half of the last digit
     s = ledger.summary(done.join(F.broadcast(finished), on="run", how="left_semi"))
-    return s.select("run", "metric", F.round("avg", 6).alias("avg"), F.round("stddev", 6).alias("stddev"))
+    return s.select("run", "metric", *[F.round(F.round(c, 12), 6).alias(c) for c in ("avg", "stddev")])
 
 
 @register("experiment_knn", f"""SELECT 'knn_vec' AS run, metric, {sround("avg(value)")} AS avg,
