@@ -17,11 +17,10 @@ from ..session import materialize
 def lines(df: DataFrame, file_col: str = "file", value_col: str = "value") -> DataFrame:
     """Split whole texts into numbered lines as Python's text iteration does:
     universal newlines, and no empty last line after a final line break."""
-    parts = F.split(F.col(value_col), LINE_BREAK, -1)
-    d = df.select(file_col, F.posexplode(parts).alias("line_no", "line"),
-                  F.size(parts).alias("_n"))
-    return (d.filter(~((F.col("line_no") == F.col("_n") - 1) & (F.col("line") == "")))
-             .drop("_n").withColumn("line_no", F.col("line_no").cast("bigint")))
+    # the parts are made below the explode: beside it, Spark would split the whole text for each line
+    d = df.select(file_col, F.split(F.col(value_col), LINE_BREAK, -1).alias("_parts"))
+    some = F.when(F.element_at("_parts", -1) == "", F.slice("_parts", 1, F.size("_parts") - 1)).otherwise(F.col("_parts"))
+    return d.select(file_col, F.posexplode(some).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 def pair_lines(sentences: DataFrame, label_lines: DataFrame, file_col: str = "file",

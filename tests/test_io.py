@@ -109,3 +109,11 @@ def test_fold_export_ranks_no_texts(spark, monkeypatch):
     monkeypatch.setattr(splits, "stratified_holdout", lambda d, **kw: seen.append(d.columns) or ranked(d, **kw))
     out = catalog_prep.a4_fold_json_scan(spark, "/root/testdata/sf0.001")
     assert "text" not in seen[0] and out.count() == 20
+
+
+def test_a_text_is_split_once_not_for_each_line(spark):
+    df = spark.createDataFrame([("a", "x\ny\r\n\rz\n"), ("b", ""), ("c", None), ("d", "\n"), ("e", "p")], "file string, value string")
+    out = files.lines(df)
+    above = out._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert "split(" not in above
+    assert sorted(map(tuple, out.collect())) == [("a", 0, "x"), ("a", 1, "y"), ("a", 2, ""), ("a", 3, "z"), ("d", 0, ""), ("e", 0, "p")]
