@@ -17,13 +17,16 @@ rows, and the average is exactly one full-batch step.
 
 Folds are members of one pass. A row is stored once, with its raw counts and its
 role in every fold; a fold's IDF (folds x terms numbers, model-sized) turns the
-counts into that fold's vectors inside the task, so no fold copies a row. The
-driver holds the weight matrices and IDF rows only.
+counts into that fold's vectors inside the task, so no fold copies a row. Shards
+are stored in the smallest integer types and one is unpacked at a time; batches
+are taken from dense runs of at most ``DENSE`` numbers. The driver holds the
+weight matrices and IDF rows only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,13 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import resample, splits, textfeat, weights
-from ..session import materialize, release
+from ..session import materialize, release, row_join
 from .blocks import column, matrix
 
 VARIANTS = {"plain": (False, False), "bs": (True, False), "wce": (False, True),
             "bs_wce": (True, True)}
 BATCH = 16
 SHARD_ROWS = 4096
+DENSE = 1 << 19                    # numbers of a dense run of rows (4 MB)
 FIT, EVAL, TEST = 0, 1, 2
 
 
@@ -66,25 +70,45 @@ _SHARD = ("n int, ids binary, label binary, size binary, terms binary, weights b
           "drawn binary, epoch binary, copies binary")
 
 
+def _dump(v: np.ndarray) -> bytes:
+    """An array with its type; whole numbers in the smallest type that holds them."""
+    if v.dtype.kind == "f" and len(v) and np.isfinite(v).all() and np.abs(v).max() < 1 << 53 and (v == np.trunc(v)).all():
+        v = v.astype(np.int64)
+    if v.dtype.kind == "i" and len(v):
+        v = v.astype(np.result_type(np.min_scalar_type(v.min()), np.min_scalar_type(v.max())))
+    out = io.BytesIO()
+    np.lib.format.write_array(out, v, allow_pickle=False)
+    return out.getvalue()
+
+
+def _load(b: bytes, kind: type) -> np.ndarray:
+    return np.lib.format.read_array(io.BytesIO(b), allow_pickle=False).astype(kind, copy=False)
+
+
 def _pack(t):
     """One shard's rows, in id order, as one row of buffers."""
     t = t.sort_by("id")
     nested = lambda c, kind: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
     lens = lambda c: pc.list_value_length(t.column(c)).to_numpy().astype(np.int64)
     cols = {"ids": column(t, "id").astype(np.int64), "label": column(t, "label").astype(np.int64), "size": lens("terms"),
-            "terms": nested("terms", np.int64), "weights": nested("weights", np.float64), "roles": nested("roles", np.int8),
+            "terms": nested("terms", np.int64), "weights": nested("weights", np.float64), "roles": nested("roles", np.int64),
             "drawn": np.repeat(np.arange(t.num_rows), lens("draws")), "epoch": nested("draws", np.int64),
             "copies": nested("copies", np.int64)}
-    return pa.table({"n": pa.array([t.num_rows], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in cols.items()}})
+    return pa.table({"n": pa.array([t.num_rows], pa.int32()), **{c: pa.array([_dump(v)], pa.binary()) for c, v in cols.items()}})
 
 
 def shards(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Written shards of ``id, label, terms array<int>, weights array<double>,
     roles array<int>`` (one per member; null: none) and, for balanced sampling,
     ``draws array<int>`` (member * epochs + epoch) with ``copies array<int>``."""
-    own = materialize(rows, "text-rows")
+    return _shards(materialize(rows, "text-rows"), shard_rows)
+
+
+def _shards(own: DataFrame, shard_rows: int) -> DataFrame:
+    """``shards`` of written rows, which are released. Shards are dealt by ranges of
+    their number, so that files hold like many of them and epochs wait for no task."""
     n = max(1, -(-own.count() // shard_rows))
-    dealt = own.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(n)))
+    dealt = own.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(n))).repartitionByRange(n, "_shard")
     out = materialize(dealt.groupBy("_shard").applyInArrow(lambda t: _pack(t.drop_columns(["_shard"])), _SHARD), "text-shards")
     release(own)
     return out
@@ -92,22 +116,32 @@ def shards(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
 class _Shard:
     def __init__(self, r: dict, members: int):
-        buf = lambda c, kind: np.frombuffer(r[c], kind)
+        buf = lambda c, kind=np.int64: _load(r[c], kind)
         self.n = r["n"]
-        self.ids, self.label, self.size = buf("ids", np.int64), buf("label", np.int64), buf("size", np.int64)
-        self.terms, self.weights = buf("terms", np.int64), buf("weights", np.float64)
+        self.ids, self.label, self.size, self.terms, self.weights = buf("ids"), buf("label"), buf("size"), buf("terms"), buf("weights", np.float64)
         self.roles = buf("roles", np.int8).reshape(self.n, members)
-        self.drawn, self.epoch, self.copies = (buf(c, np.int64) for c in ("drawn", "epoch", "copies"))
-        self.row = np.repeat(np.arange(self.n), self.size)
+        self.drawn, self.epoch, self.copies = buf("drawn"), buf("epoch"), buf("copies")
         self.at = np.concatenate(([0], np.cumsum(self.size)))
 
-    def values(self, idf: np.ndarray | None) -> np.ndarray:
-        """The member's vectors: counts x IDF, of length 1; as they are without IDF."""
-        if idf is None:
-            return self.weights
-        v = self.weights * idf[self.terms]
-        norm = np.sqrt(np.bincount(self.row, v * v, minlength=self.n))
-        return v / np.where(norm > 0, norm, 1.0)[self.row]
+    def vectors(self, rows: np.ndarray, idf: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The member's vectors of some rows as (place in ``rows``, term, value): counts x
+        IDF, of length 1; as they are without IDF."""
+        size = self.size[rows]
+        at = np.repeat(self.at[rows] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        r, t, v = np.repeat(np.arange(len(rows)), size), self.terms[at], self.weights[at]
+        if idf is not None:
+            v *= idf[t]
+            norm = np.sqrt(np.bincount(r, v * v, minlength=len(rows)))
+            v /= np.where(norm > 0, norm, 1.0)[r]
+        return r, t, v
+
+    def dense(self, rows: np.ndarray, idf: np.ndarray | None, width: int) -> np.ndarray:
+        """The same as a matrix whose last column is 1, for the bias."""
+        X = np.zeros((len(rows), width))
+        r, t, v = self.vectors(rows, idf)
+        X.ravel()[r * width + t] = v
+        X[:, -1] = 1.0
+        return X
 
     def rows(self, member: int, epoch: int, epochs: int, balanced: bool, seed: int) -> np.ndarray:
         """Rows of the member's fit side in the epoch's seeded order."""
@@ -122,32 +156,34 @@ class _Shard:
                 for i, c in zip(self.ids[rows].tolist(), copy.tolist())]
         return rows[sorted(range(len(rows)), key=keys.__getitem__)]
 
-    def scores(self, rows: np.ndarray, v: np.ndarray, W: np.ndarray) -> np.ndarray:
+    def scores(self, rows: np.ndarray, idf: np.ndarray | None, W: np.ndarray) -> np.ndarray:
         """Class scores of some rows."""
-        size = self.size[rows]
-        first = np.cumsum(size) - size
-        at = np.repeat(self.at[rows] - first, size) + np.arange(int(size.sum()))
-        r, t, v = np.repeat(np.arange(len(rows)), size), self.terms[at], v[at]
+        r, t, v = self.vectors(rows, idf)
         return W[:, -1] + np.stack([np.bincount(r, v * w[t], minlength=len(rows)) for w in W], axis=1)
 
-    def steps(self, rows: np.ndarray, v: np.ndarray, W: np.ndarray, cw: np.ndarray, lr: float,
+    def steps(self, rows: np.ndarray, idf: np.ndarray | None, W: np.ndarray, cw: np.ndarray, lr: float,
               batch_size: int | None) -> tuple[np.ndarray, int]:
         """``W`` after one step for each batch of ``rows``, and the number of steps."""
         W = W.copy()
         n_steps = 0
-        for s in range(0, len(rows), batch_size or len(rows)):
-            own = rows[s:s + (batch_size or len(rows))]
-            size = self.size[own]
-            first = np.cumsum(size) - size
-            at = np.repeat(self.at[own] - first, size) + np.arange(int(size.sum()))
-            r, t, x, y = np.repeat(np.arange(len(own)), size), self.terms[at], v[at], self.label[own]
-            G = _softmax(W[:, -1] + np.stack([np.bincount(r, x * w[t], minlength=len(own)) for w in W], axis=1))
-            G[np.arange(len(own)), y] -= 1.0
-            G *= (cw[y] / cw[y].sum())[:, None]
-            for c in range(len(W)):
-                W[c, :-1] -= lr * np.bincount(t, x * G[r, c], minlength=W.shape[1] - 1)
-                W[c, -1] -= lr * G[:, c].sum()
-            n_steps += 1
+        size, width = batch_size or len(rows), W.shape[1]
+        most = max(1, DENSE // width)                 # rows of a dense run: whole batches, or parts of a batch
+        run = most // size * size or size
+        for a in range(0, len(rows), run):
+            X = self.dense(rows[a:a + run], idf, width) if size <= most else None
+            for s in range(a, min(a + run, len(rows)), size):
+                own = rows[s:s + size]
+                y = self.label[own]
+                w = cw[y] / cw[y].sum()
+                grad = np.zeros_like(W)
+                for k in range(0, len(own), most):
+                    x = self.dense(own[k:k + most], idf, width) if X is None else X[s - a:s - a + size]
+                    G = _softmax(x @ W.T)
+                    G[np.arange(len(x)), y[k:k + most]] -= 1.0
+                    G *= w[k:k + most, None]
+                    grad += G.T @ x
+                W -= lr * grad
+                n_steps += 1
         return W, n_steps
 
 
@@ -179,18 +215,18 @@ def train(table: DataFrame, members: int, n_terms: int, variant: str = "plain",
             acc = np.zeros((members, 4 + Ws[0].size))       # eval loss, eval weight, fit weight, steps, weighted W
             for s in _each(batches, members):
                 for m in range(members):
-                    v = s.values(None if idfs is None else idfs[m])
+                    own_idf = None if idfs is None else idfs[m]
                     ev = np.flatnonzero(s.roles[:, m] == EVAL)
                     if len(ev):
                         y = s.label[ev]
-                        p = _softmax(s.scores(ev, v, Ws[m]))[np.arange(len(ev)), y]
+                        p = _softmax(s.scores(ev, own_idf, Ws[m]))[np.arange(len(ev)), y]
                         acc[m, 0] += (cws[m][y] * -np.log(np.clip(p, 1e-300, None))).sum()
                         acc[m, 1] += cws[m][y].sum()
                     if last:
                         continue
                     rows = s.rows(m, epoch, epochs, balanced, seed)
                     if len(rows):
-                        own, n = s.steps(rows, v, Ws[m], cws[m], step, batch_size)
+                        own, n = s.steps(rows, own_idf, Ws[m], cws[m], step, batch_size)
                         w = cws[m][s.label[rows]].sum()
                         acc[m, 2] += w
                         acc[m, 3] += n
@@ -226,7 +262,7 @@ def predict_shards(table: DataFrame, models: list[TextModel], idf: np.ndarray |
             for m in range(members):
                 rows = np.flatnonzero(s.roles[:, m] == TEST)
                 if len(rows):
-                    P = _softmax(s.scores(rows, s.values(None if idfs is None else idfs[m]), Ws[m]))
+                    P = _softmax(s.scores(rows, None if idfs is None else idfs[m], Ws[m]))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(rows), m, np.int32)), pa.array(s.ids[rows]), pa.array(s.label[rows].astype(np.int32)),
                          pa.array(P[:, 1]), pa.array(P.argmax(axis=1).astype(np.int32))],
@@ -271,13 +307,11 @@ def text_folds(texts: DataFrame, folds: DataFrame, n_terms: int = 1024, epochs:
             side.where(F.col("role") == TEST))
     roles = materialize(roles, "text-roles")
     repeats = [r[0] for r in roles.select("repeat").distinct().orderBy("repeat").collect()]
-    counts = np.ones((len(repeats), 2))
-    for r in roles.where(F.col("role") == FIT).groupBy("repeat", "label").count().collect():
-        counts[repeats.index(r["repeat"]), r["label"]] = r["count"]
-    tf = materialize(textfeat.term_freq(texts, n_terms), "tf")
-    idf = np.zeros((len(repeats), n_terms))
-    for r in textfeat.fold_idf(tf, folds).collect():           # folds x terms at most
-        idf[repeats.index(r["repeat"]), r["term"]] = r["idf"]
+    counts, n_train = np.ones((len(repeats), 2)), [0] * len(repeats)
+    for r in roles.where(F.col("role") != TEST).groupBy("repeat", "role", "label").count().collect():
+        n_train[repeats.index(r["repeat"])] += r["count"]
+        if r["role"] == FIT:
+            counts[repeats.index(r["repeat"]), r["label"]] = r["count"]
     of = {r: i for i, r in enumerate(repeats)}
     member = F.create_map(*[F.lit(x) for r, i in of.items() for x in (r, i)])[F.col("repeat")]
 
@@ -289,9 +323,8 @@ def text_folds(texts: DataFrame, folds: DataFrame, n_terms: int = 1024, epochs:
     rows = by_member(roles)
     if select_on == "test":
         rows = rows.unionByName(by_member(side.where(F.col("role") == TEST).withColumn("role", F.lit(EVAL))))
-    terms = tf.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("_t")).select(
-        "id", F.col("_t.term").alias("terms"), F.col("_t.tf").cast("array<double>").alias("weights"))
-    rows = rows.join(terms, "id", "left")
+    counted = textfeat.term_counts(texts, n_terms)
+    rows = row_join(rows, counted.select("id", "terms", F.col("counts").cast("array<double>").alias("weights")), "id", "left")
     if balanced:
         drawn = resample.weighted_draws(roles.where(F.col("role") == FIT).select("repeat", "id", "label"), range(epochs),
                                         seed=seed, member_cols=["repeat"])
@@ -299,8 +332,16 @@ def text_folds(texts: DataFrame, folds: DataFrame, n_terms: int = 1024, epochs:
         per = per.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_d")).select(
             "id", F.col("_d.at").cast("array<int>").alias("draws"), F.col("_d.n").cast("array<int>").alias("copies"))
         rows = rows.join(per, "id", "left")
-    table = shards(_with_empty(rows), shard_rows)
-    release(tf, roles)
+    rows = materialize(_with_empty(rows), "text-rows")
+    # a row knows the folds that train on it: no row per fold, and none per (document, term)
+    trains = [FIT] if select_on == "test" else [FIT, EVAL]
+    own = F.filter(F.sequence(F.lit(0), F.lit(len(repeats) - 1)), lambda m: F.get("roles", m).isin(trains))
+    n = rows.sparkSession.createDataFrame(list(enumerate(n_train)), "member int, _n long")
+    idf = np.zeros((len(repeats), n_terms))
+    for r in textfeat.idf_of(textfeat.fold_frequencies(rows.select(own.alias("_folds"), "terms"), n_terms, "member"), n, "member").collect():
+        idf[r["member"], r["term"]] = r["idf"]                 # folds x terms at most
+    table = _shards(rows, shard_rows)
+    release(counted, roles)
     return TextFolds(table, repeats, n_terms, idf, (1 / counts) / (1 / counts).sum(axis=1, keepdims=True))
 
 

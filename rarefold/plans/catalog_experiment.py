@@ -186,7 +186,8 @@ def logo_lines(spark, sf):
     t = fx.text_bin(spark, sf)
     lines = a1_paired_lines(spark, sf).withColumn("id", F.concat_ws(":", "file", "line_no"))
     of = t.select(F.concat(F.lit("doc"), F.col("id").cast("string")).alias("file"), "grp")
-    return splits.logo_assign(lines.join(of, "file").select("id", "grp", "text", "label"))
+    # written: the groups are numbered from them before they are read
+    return splits.logo_assign(materialize(lines.join(of, "file").select("id", "grp", "text", "label"), "logo-lines"))
 
 
 @register("c1_logo_naive_bayes", SQL_LOGO_NB + """

@@ -61,3 +61,43 @@ def test_groups_are_numbered_in_name_order(spark, bound, monkeypatch):
     placed, n = rank.sorted_ordinal(spark.range(1000).select((F.col("id") * 7 % 1009).alias("v")).distinct().repartition(13), "v", "o")
     assert n == 1000 and [r.o for r in placed.orderBy("v").collect()] == list(range(1000))
     assert rank.sorted_ordinal(spark.range(0).select("id"), "id", "o")[1] == 0
+
+
+@pytest.mark.parametrize("most", [1 << 22, 0])
+def test_rows_are_scored_whole_or_joined_alike(spark, most, monkeypatch):
+    """Repeated ids count and score together, rows without id have no terms."""
+    monkeypatch.setattr(logo, "TASK_WEIGHTS", most)
+    rows, _ = _rows(spark, 30)
+    df = spark.createDataFrame([*rows, (3, "g1", "bad worse", 1), (4, "g2", "", 0), (None, "g1", "a bad", 1)], "id long, grp string, text string, label int")
+    out = logo.naive_bayes(splits.logo_assign(df), 16)
+    assert ("Generate" in out._jdf.queryExecution().executedPlan().toString()) == (not most)
+    got = sorted((r.id is None, r.id or 0, r.fold, r.label, round(r.proba, 9)) for r in out.collect())
+    assert len(got) == 35 and got[-1][0]
+    texts, labels, grp = {}, {}, {}
+    names = sorted({r.grp for r in df.collect()})
+    data = [r for r in df.collect()]
+    for r in data:
+        if r.id is not None:
+            texts.setdefault(r.id, []).extend(r.text.split())
+    for r in data:
+        s, d, n = 0.0, [0, 0], [16, 16]
+        def counts(g):
+            tf, d, n = [{}, {}], [0, 0], [16, 16]
+            for o in data:
+                if o.grp != g:
+                    d[o.label] += 1
+                    for w in texts.get(o.id, []):
+                        k = _term(w, 16)
+                        tf[o.label][k] = tf[o.label].get(k, 0) + 1
+                        n[o.label] += 1
+            return tf, d, n
+        _, d, n = counts(r.grp)
+        words = 0
+        for o in data:
+            if r.id is not None and o.id == r.id:
+                tf, _, _ = counts(o.grp)
+                s += sum(math.log((tf[1].get(_term(w, 16), 0) + 1) / (tf[0].get(_term(w, 16), 0) + 1)) for w in texts[o.id])
+                words += len(texts[o.id])
+        odds = math.log(d[1] / d[0]) + s + words * math.log(n[0] / n[1])
+        want = (r.id is None, r.id or 0, names.index(r.grp), r.label, 1 / (1 + math.exp(-odds)))
+        assert any(g[:4] == want[:4] and abs(g[4] - want[4]) < 1e-6 for g in got)

@@ -156,3 +156,59 @@ def test_fold_vectors_sort_no_row_per_fold_and_term(spark):
         norms[(r.repeat, r.id)] = norms.get((r.repeat, r.id), 0.0) + r.weight ** 2
     assert set(norms) == {(r, i) for r in range(2) for i in (1, 2, 3)} and all(abs(v - 1) < 1e-12 for v in norms.values())
     assert out.where("repeat = 0 and id = 3").count() == 4
+
+
+def test_document_vectors_sort_no_row_per_term(spark):
+    """A document is one row up to its weights; the rows of a repeated id are one document."""
+    from rarefold.operators import textfeat
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (2, "c"), (3, None), (4, "..."), (None, "a"), (None, "a b")], "id long, text string")
+    train = docs.where("id < 3").select("id")
+    out = textfeat.vectorise(train, docs, 1 << 20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.id, []).append(r.weight)
+    idf = {w: np.log(4 / (1 + d)) + 1 for w, d in (("a", 1), ("b", 2), ("c", 1))}
+    for i, want in ((1, {"a": 1, "b": 2}), (2, {"b": 1, "c": 2}), (None, {"a": 2, "b": 1})):
+        w = np.array([n * idf[t] for t, n in want.items()])
+        assert np.allclose(sorted(got.pop(i)), sorted(w / np.sqrt((w * w).sum())))
+    assert not got
+    for most in (1, 1 << 19):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(textfeat, "TAKEN", most)
+            counts = {r.id: list(zip(r.terms, r.counts)) for r in textfeat.term_lists(docs.where("id = 1 or id > 2"), 8).collect()}
+        assert {i: sum(n for _, n in c) for i, c in counts.items()} == {1: 3, 3: 0, 4: 0} and counts[1] == sorted(counts[1])
+
+
+def test_fold_frequencies_add_up_inside_tasks(spark):
+    from rarefold.operators import textfeat
+    rows = spark.createDataFrame([([0, 1], [1, 2]), ([1, 1], [2]), ([], [3]), ([2], [])], "_folds array<int>, terms array<int>").repartition(3)
+    out = textfeat.fold_frequencies(rows, 8, "fold")
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.fold, r.term): r._df for r in out.collect()} == {(0, 1): 1, (0, 2): 1, (1, 1): 1, (1, 2): 3}
+
+
+def test_shards_are_small_and_spread_over_files(spark):
+    rows = spark.range(4000).select("id", (F.col("id") % 2).cast("int").alias("label"), F.expr("array(1, 700)").alias("terms"),
+                                    F.expr("array(2D, 1D)").alias("weights"), F.expr("array(0, 1)").alias("roles"))
+    table = textclf.shards(textclf._with_empty(rows), 250)
+    per = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+    assert sum(per) == 16 and max(per) <= 3
+    for r in table.collect():
+        assert len(r.weights) < 2 * r.n + 200 and len(r.terms) < 4 * r.n + 200
+        s = textclf._Shard(r.asDict(), 2)
+        assert s.n == len(s.ids) and s.terms.tolist() == [1, 700] * s.n and s.weights.tolist() == [2.0, 1.0] * s.n
+
+
+@pytest.mark.parametrize("batch", [16, None])
+def test_dense_runs_take_the_same_steps(spark, batch, monkeypatch):
+    df, _, _ = _rows(spark, 90, seed=8)
+    rows = textclf._with_empty(df.select("id", "label", F.sequence(F.lit(0), F.lit(3)).alias("terms"), F.col("features").alias("weights"),
+                                         F.array(F.lit(0)).alias("roles")))
+    s = textclf._Shard(textclf.shards(rows).first().asDict(), 1)
+    got = []
+    for most in (1, 5 * 20, 1 << 19):
+        monkeypatch.setattr(textclf, "DENSE", most)
+        got.append(s.steps(np.arange(90), None, np.zeros((2, 5)), np.array([0.2, 0.8]), 0.5, batch))
+    assert all(n == (6 if batch else 1) and np.allclose(W, got[0][0], atol=1e-12) for W, n in got)
