@@ -175,13 +175,15 @@ class _Shard:
                 own = rows[s:s + size]
                 y = self.label[own]
                 w = cw[y] / cw[y].sum()
-                grad = np.zeros_like(W)
+                grad, bias = np.zeros_like(W), []
                 for k in range(0, len(own), most):
                     x = self.dense(own[k:k + most], idf, width) if X is None else X[s - a:s - a + size]
                     G = _softmax(x @ W.T)
                     G[np.arange(len(x)), y[k:k + most]] -= 1.0
                     G *= w[k:k + most, None]
                     grad += G.T @ x
+                    bias.append(G)
+                grad[:, -1] = [g.sum() for g in (bias[0] if len(bias) == 1 else np.concatenate(bias)).T]
                 W -= lr * grad
                 n_steps += 1
         return W, n_steps
