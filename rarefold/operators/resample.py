@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeded import hash_hex, uniform
-from ..session import materialize
+from ..session import materialize, row_join
 from .rank import dist_rank
 from .splits import DEFAULT_SEED
 
@@ -144,8 +144,11 @@ def weighted_draws(df: DataFrame, epochs, label_col: str = "label", seed: int =
     classes = d.select(*members, label_col, "_nc").distinct()
     classes = classes.withColumn(
         "_ord", (F.row_number().over(Window.partitionBy(*members).orderBy(label_col)) - 1).cast("int"))
-    # draw owners: one draw per input row and epoch; class ordinal from u1, row from u2
-    own = d.select(*members, F.col(id_col).alias("draw")).withColumn(
+    # draw owners: one draw per ranked input row (its keys are given) and epoch, read without
+    # their ranks; class ordinal from u1, row from u2
+    own = df.dropna(subset=members + [label_col]).select(*members, F.col(id_col).alias("draw"))
+    # few bytes but many hashes: dealt to a number of tasks that is not reduced for small bytes
+    own = own.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *members, "draw").withColumn(
         "epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
     if members:      # one row per member
         own = own.join(F.broadcast(classes.groupBy(*members).agg(F.count(F.lit(1)).alias("_k"))), on=members)
@@ -158,8 +161,7 @@ def weighted_draws(df: DataFrame, epochs, label_col: str = "label", seed: int =
     # one row per (member,) class
     own = own.join(F.broadcast(classes), on=members + ["_ord"], how="inner")
     own = own.withColumn("_idx", F.floor(F.col("_u2") * F.col("_nc")).cast("bigint"))
-    picked = own.select(*members, "epoch", "draw", label_col, "_idx").join(
-        d.drop("_nc"), on=members + [label_col, "_idx"], how="inner")
+    picked = row_join(own.select(*members, "epoch", "draw", label_col, "_idx"), d.drop("_nc"), members + [label_col, "_idx"])
     return picked.drop("_idx")
 
 
