@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_batches as text_batches  # noqa: F401 - what goes to Python at a time
+
 BROADCAST_HOT = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -13,22 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of texts that go to a Python worker at a time.
-TEXT_BATCH = 4 << 20
-
-
-def text_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold at most ``TEXT_BATCH`` bytes (one longer text is a
-    batch of its own). Spark's own bound is 64 MB, which both sides of each task
-    hold more than once; a session that asks for less keeps its bound."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    most = spark.conf.get(name, "64m").lower().removesuffix("b")
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(most[-1:], 0)
-    n = int(most[:-1]) * unit if unit else int(most)
-    if n <= 0 or n > TEXT_BATCH:
-        spark.conf.set(name, f"{TEXT_BATCH}b")
-
-
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` would fold other alphabets too)."""
     return F.translate(c, UPPER, LOWER)

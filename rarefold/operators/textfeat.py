@@ -23,11 +23,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.tokens import tokens
-from ..session import materialize, release, row_join, spread
+from ..session import materialize, release, row_join, small_batches, spread
 
 
 #: List entries that a worker takes at a time (one longer list goes by itself), and distinct tokens whose hash it remembers.
-TAKEN, MEMO_TOKENS = 1 << 19, 1 << 18
+TAKEN, MEMO_TOKENS = 1 << 19, 1 << 16
 
 
 @lru_cache(MEMO_TOKENS)
@@ -57,6 +57,7 @@ def _lists(values: np.ndarray, lens: np.ndarray, kind: pa.DataType) -> pa.ListAr
 def term_lists(df: DataFrame, n_features: int, text_col: str = "text", keep: Sequence[str] = ("id",)) -> DataFrame:
     """``keep, terms array<int>, counts array<bigint>`` of every row (empty without a token):
     term = md5 bucket of the token in [0, n_features), in rising order. One map pass."""
+    small_batches(df.sparkSession)
     src = spread(df.select(*keep, text_col), keep[0])      # tokenising is the CPU-heavy step
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("terms", T.ArrayType(T.IntegerType())),
                                                           T.StructField("counts", T.ArrayType(T.LongType()))])
@@ -68,7 +69,13 @@ def term_lists(df: DataFrame, n_features: int, text_col: str = "text", keep: Seq
             kind = pa.large_binary() if pa.types.is_large_string(tokens_.dictionary.type) else pa.binary()
             term = np.array([_bucket(t) % n_features for t in tokens_.dictionary.cast(kind).to_pylist()], np.int64)
             of = np.repeat(np.arange(b.num_rows), lengths(lists))
-            pair, n = np.unique(of * n_features + term[tokens_.indices.to_numpy()], return_counts=True)
+            pair = of * n_features + term[tokens_.indices.to_numpy()]
+            if b.num_rows * n_features <= 2 * TAKEN:       # counted in place
+                n = np.bincount(pair, minlength=b.num_rows * n_features)
+                pair = np.flatnonzero(n)
+                n = n[pair]
+            else:
+                pair, n = np.unique(pair, return_counts=True)
             lens = np.bincount(pair // n_features, minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:len(keep)], _lists(pair % n_features, lens, pa.int32()), _lists(n, lens, pa.int64())],

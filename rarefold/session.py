@@ -114,6 +114,22 @@ def materialize(df, name: str):
     return out
 
 
+#: Bytes of rows that go to a Python worker at a time.
+ARROW_BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most ``ARROW_BATCH`` bytes (one longer row is a batch
+    of its own), so that a worker's memory does not grow with the rows of its task.
+    Spark's own bound is 64 MB; a session that asks for less keeps its bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = spark.conf.get(name, "64m").lower().removesuffix("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(most[-1:], 0)
+    n = int(most[:-1]) * unit if unit else int(most)
+    if n <= 0 or n > ARROW_BATCH:
+        spark.conf.set(name, f"{ARROW_BATCH}b")
+
+
 def row_join(left, right, on, how: str = "inner"):
     """A join of two tables that both grow with the data. Written id tables are small
     as files and Spark would plan to send them through the driver; the hint deals
