@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import resample, splits, textfeat, weights
-from ..session import materialize, release, row_join
+from ..session import materialize, release, row_join, small_batches
 from .blocks import column, matrix
 
 VARIANTS = {"plain": (False, False), "bs": (True, False), "wce": (False, True),
@@ -48,6 +48,7 @@ VARIANTS = {"plain": (False, False), "bs": (True, False), "wce": (False, True),
 BATCH = 16
 SHARD_ROWS = 4096
 DENSE = 1 << 19                    # numbers of a dense run of rows (4 MB)
+BLOCK = 1 << 25                    # bytes of a shard's rows as one matrix of small integers; larger shards stay sparse
 FIT, EVAL, TEST = 0, 1, 2
 
 
@@ -81,8 +82,9 @@ def _dump(v: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def _load(b: bytes, kind: type) -> np.ndarray:
-    return np.lib.format.read_array(io.BytesIO(b), allow_pickle=False).astype(kind, copy=False)
+def _load(b: bytes, kind: type | None = None) -> np.ndarray:
+    v = np.lib.format.read_array(io.BytesIO(b), allow_pickle=False)
+    return v if kind is None else v.astype(kind, copy=False)
 
 
 def _pack(t):
@@ -105,10 +107,11 @@ def shards(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
 
 def _shards(own: DataFrame, shard_rows: int) -> DataFrame:
-    """``shards`` of written rows, which are released. Shards are dealt by ranges of
-    their number, so that files hold like many of them and epochs wait for no task."""
+    """``shards`` of written rows, which are released. A shard is a partition, so that
+    files hold like many of them and epochs wait for no task."""
+    small_batches(own.sparkSession)
     n = max(1, -(-own.count() // shard_rows))
-    dealt = own.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(n))).repartitionByRange(n, "_shard")
+    dealt = own.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartitionById(n, "_shard")
     out = materialize(dealt.groupBy("_shard").applyInArrow(lambda t: _pack(t.drop_columns(["_shard"])), _SHARD), "text-shards")
     release(own)
     return out
@@ -118,30 +121,35 @@ class _Shard:
     def __init__(self, r: dict, members: int):
         buf = lambda c, kind=np.int64: _load(r[c], kind)
         self.n = r["n"]
-        self.ids, self.label, self.size, self.terms, self.weights = buf("ids"), buf("label"), buf("size"), buf("terms"), buf("weights", np.float64)
+        self.ids, self.label, self.size, self.terms, self.stored = buf("ids"), buf("label"), buf("size"), buf("terms"), buf("weights", None)
         self.roles = buf("roles", np.int8).reshape(self.n, members)
         self.drawn, self.epoch, self.copies = buf("drawn"), buf("epoch"), buf("copies")
         self.at = np.concatenate(([0], np.cumsum(self.size)))
-
-    def vectors(self, rows: np.ndarray, idf: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The member's vectors of some rows as (place in ``rows``, term, value): counts x
-        IDF, of length 1; as they are without IDF."""
-        size = self.size[rows]
-        at = np.repeat(self.at[rows] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        r, t, v = np.repeat(np.arange(len(rows)), size), self.terms[at], self.weights[at]
+        self.block: np.ndarray | None = None
+
+    @property
+    def weights(self) -> np.ndarray:
+        return self.stored.astype(np.float64, copy=False)
+
+    def dense(self, rows: np.ndarray, idf: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Some rows as they are stored, as a matrix, and the member's lengths of them (1 of an
+        empty row, and without IDF). A vector is a row x IDF / length; models are scaled by
+        the IDF instead (``_scale``). The last column, for the bias, holds the length."""
+        X, norm = np.zeros((len(rows), width)), np.ones(len(rows))
+        if self.block is None and self.n * (width - 1) * self.stored.itemsize <= BLOCK:
+            self.block = np.zeros((self.n, width - 1), self.stored.dtype)
+            self.block[np.repeat(np.arange(self.n), self.size), self.terms] = self.stored
+        if self.block is not None:
+            X[:, :-1] = self.block[rows]
+        else:
+            size = self.size[rows]
+            at = np.repeat(self.at[rows] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            X[np.repeat(np.arange(len(rows)), size), self.terms[at]] = self.stored[at]
         if idf is not None:
-            v *= idf[t]
-            norm = np.sqrt(np.bincount(r, v * v, minlength=len(rows)))
-            v /= np.where(norm > 0, norm, 1.0)[r]
-        return r, t, v
-
-    def dense(self, rows: np.ndarray, idf: np.ndarray | None, width: int) -> np.ndarray:
-        """The same as a matrix whose last column is 1, for the bias."""
-        X = np.zeros((len(rows), width))
-        r, t, v = self.vectors(rows, idf)
-        X.ravel()[r * width + t] = v
-        X[:, -1] = 1.0
-        return X
+            norm = np.sqrt((X * X) @ np.append(idf * idf, 0.0))
+            norm = np.where(norm > 0, norm, 1.0)
+        X[:, -1] = norm
+        return X, norm[:, None]
 
     def rows(self, member: int, epoch: int, epochs: int, balanced: bool, seed: int) -> np.ndarray:
         """Rows of the member's fit side in the epoch's seeded order."""
@@ -158,8 +166,11 @@ class _Shard:
 
     def scores(self, rows: np.ndarray, idf: np.ndarray | None, W: np.ndarray) -> np.ndarray:
         """Class scores of some rows."""
-        r, t, v = self.vectors(rows, idf)
-        return W[:, -1] + np.stack([np.bincount(r, v * w[t], minlength=len(rows)) for w in W], axis=1)
+        V, run, out = (W * _scale(idf, W.shape[1])).T, max(1, DENSE // W.shape[1]), np.zeros((len(rows), len(W)))
+        for a in range(0, len(rows), run):
+            X, norm = self.dense(rows[a:a + run], idf, W.shape[1])
+            out[a:a + run] = X @ V / norm
+        return out
 
     def steps(self, rows: np.ndarray, idf: np.ndarray | None, W: np.ndarray, cw: np.ndarray, lr: float,
               batch_size: int | None) -> tuple[np.ndarray, int]:
@@ -167,28 +178,35 @@ class _Shard:
         W = W.copy()
         n_steps = 0
         size, width = batch_size or len(rows), W.shape[1]
+        scale = _scale(idf, width)
         most = max(1, DENSE // width)                 # rows of a dense run: whole batches, or parts of a batch
         run = most // size * size or size
         for a in range(0, len(rows), run):
-            X = self.dense(rows[a:a + run], idf, width) if size <= most else None
+            X, norm = self.dense(rows[a:a + run], idf, width) if size <= most else (None, None)
             for s in range(a, min(a + run, len(rows)), size):
                 own = rows[s:s + size]
-                y = self.label[own]
+                y, V = self.label[own], (W * scale).T
                 w = cw[y] / cw[y].sum()
                 grad, bias = np.zeros_like(W), []
                 for k in range(0, len(own), most):
-                    x = self.dense(own[k:k + most], idf, width) if X is None else X[s - a:s - a + size]
-                    G = _softmax(x @ W.T)
+                    x, by = self.dense(own[k:k + most], idf, width) if X is None else (X[s - a:s - a + size], norm[s - a:s - a + size])
+                    G = _softmax(x @ V / by)
                     G[np.arange(len(x)), y[k:k + most]] -= 1.0
                     G *= w[k:k + most, None]
-                    grad += G.T @ x
+                    grad += (G / by).T @ x
                     bias.append(G)
+                grad *= scale
                 grad[:, -1] = [g.sum() for g in (bias[0] if len(bias) == 1 else np.concatenate(bias)).T]
                 W -= lr * grad
                 n_steps += 1
         return W, n_steps
 
 
+def _scale(idf: np.ndarray | None, width: int) -> np.ndarray:
+    """What a model's columns are multiplied by to take rows as they are stored: the IDF, and 1 for the bias."""
+    return np.ones(width) if idf is None else np.append(idf, 1.0)
+
+
 def _each(batches: Iterator[pa.RecordBatch], members: int) -> Iterator[_Shard]:
     for b in batches:
         for i in range(b.num_rows):
@@ -338,7 +356,7 @@ def text_folds(texts: DataFrame, folds: DataFrame, n_terms: int = 1024, epochs:
     # a row knows the folds that train on it: no row per fold, and none per (document, term)
     trains = [FIT] if select_on == "test" else [FIT, EVAL]
     own = F.filter(F.sequence(F.lit(0), F.lit(len(repeats) - 1)), lambda m: F.get("roles", m).isin(trains))
-    n = rows.sparkSession.createDataFrame(list(enumerate(n_train)), "member int, _n long")
+    n = rows.sparkSession.createDataFrame(pa.table({"member": pa.array(range(len(repeats)), pa.int32()), "_n": pa.array(n_train, pa.int64())}))
     idf = np.zeros((len(repeats), n_terms))
     for r in textfeat.idf_of(textfeat.fold_frequencies(rows.select(own.alias("_folds"), "terms"), n_terms, "member"), n, "member").collect():
         idf[r["member"], r["term"]] = r["idf"]                 # folds x terms at most

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import tokens as TK
@@ -235,7 +236,8 @@ def text_folds(spark, sf, variant: str, folds: list[int] | None = None) -> textc
 def _histories(spark, folds: textclf.TextFolds, models: list[textclf.TextModel]):
     """Per-epoch evaluation losses: a row per fold and epoch."""
     rows = [(r, h["epoch"], h["eval_loss"]) for r, m in zip(folds.repeats, models) for h in m.history]
-    return spark.createDataFrame(rows, "repeat int, epoch int, eval_loss double")
+    kinds = {"repeat": pa.int32(), "epoch": pa.int32(), "eval_loss": pa.float64()}
+    return spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(kinds.items())}))
 
 
 def _variant(variant):

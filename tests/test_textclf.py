@@ -1,6 +1,7 @@
 """The four text classifier variants on planted vectors, and their step in NumPy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,63 @@ def test_dense_runs_take_the_same_steps(spark, batch, monkeypatch):
         monkeypatch.setattr(textclf, "DENSE", most)
         got.append(s.steps(np.arange(90), None, np.zeros((2, 5)), np.array([0.2, 0.8]), 0.5, batch))
     assert all(n == (6 if batch else 1) and np.allclose(W, got[0][0], atol=1e-12) for W, n in got)
+
+
+def test_rows_as_stored_equal_scaled_vectors(spark, monkeypatch):
+    """Steps and scores on stored counts, with the model scaled, equal those on the vectors, with and without the block."""
+    rng = np.random.default_rng(9)
+    counts = rng.integers(0, 4, (70, 6))
+    counts[3] = 0
+    y, idf, W = rng.integers(0, 2, 70), np.array([1.5, 2.0, 0.0, 1.0, 3.0, 1.2]), rng.normal(size=(2, 7))
+    rows = spark.createDataFrame([(i, int(y[i]), [int(t) for t in np.flatnonzero(counts[i])], [float(c) for c in counts[i][counts[i] > 0]], [0])
+                                  for i in range(70)], "id long, label int, terms array<int>, weights array<double>, roles array<int>")
+    r = textclf.shards(textclf._with_empty(rows)).first().asDict()
+    X = counts * idf
+    X = np.hstack([X / np.maximum(np.sqrt((X * X).sum(axis=1, keepdims=True)), 1e-300), np.ones((70, 1))])
+    want = W.copy()
+    for s in range(0, 70, 16):
+        P = _softmax(X[s:s + 16] @ want.T)
+        P[np.arange(len(P)), y[s:s + 16]] -= 1
+        w = np.array([0.3, 0.7])[y[s:s + 16]]
+        want = want - 0.5 * (P * w[:, None] / w.sum()).T @ X[s:s + 16]
+    for block in (0, 1 << 25):
+        monkeypatch.setattr(textclf, "BLOCK", block)
+        s = textclf._Shard(r, 1)
+        got, n = s.steps(np.arange(70), idf, W, np.array([0.3, 0.7]), 0.5, 16)
+        assert n == 5 and np.allclose(got, want, atol=1e-12) and (got[:, 2] == W[:, 2]).all()
+        assert np.allclose(s.scores(np.arange(70), idf, W), X @ W.T, atol=1e-12)
+        assert (s.block is None) == (not block) and (block == 0 or s.block.dtype.itemsize == 1)
+
+
+def test_a_file_holds_one_shard(spark):
+    rows = spark.range(4000).select("id", F.lit(1).alias("label"), F.expr("array(1)").alias("terms"), F.expr("array(2D)").alias("weights"),
+                                    F.expr("array(0)").alias("roles"))
+    per = textclf.shards(textclf._with_empty(rows), 50).groupBy(F.input_file_name()).count().collect()
+    assert len(per) == 80 and {r["count"] for r in per} == {1}
+
+
+def test_workers_take_few_bytes_at_a_time(spark):
+    """What a worker holds does not grow with the rows of its task."""
+    from rarefold.operators import textfeat
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    docs = spark.range(0, 9000, 1, 1).select("id", F.expr("repeat('word other ', 300)").alias("text"))
+    textfeat.term_lists(docs, 64)
+    most = docs.mapInArrow(lambda bs: (b.select(["id"]).slice(0, 1).set_column(0, "id", pa.array([b.nbytes], pa.int64())) for b in bs), "id long").agg(F.max("id")).first()[0]
+    assert most < 6 << 20
+    for own, left in (("1m", "1m"), ("16m", f"{4 << 20}b")):
+        spark.conf.set(name, own)
+        textfeat.term_lists(docs, 64)
+        assert spark.conf.get(name) == left
+    spark.conf.unset(name)
+
+
+def test_draw_owners_are_not_ranked(spark):
+    """Only the rows that are drawn need a rank; rows without a class neither draw nor are drawn."""
+    df = spark.createDataFrame([(m, i, None if i == 5 else i % 3 // 2) for m in (0, 1) for i in range(30)] + [(None, 99, 1)],
+                               "repeat int, id long, label int")
+    d = resample.weighted_draws(df, range(4), member_cols=["repeat"])
+    got = d.collect()
+    assert len(got) == 2 * 29 * 4 and {r.id for r in got} <= {i for i in range(30) if i != 5} and {r.draw for r in got} == {i for i in range(30) if i != 5}
+    own = d.select("draw", "epoch")._jdf.queryExecution().optimizedPlan().toString()
+    assert own.count("row_number() windowspecdefinition") == 3      # the drawn rows, their classes
