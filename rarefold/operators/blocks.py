@@ -78,3 +78,34 @@ def matrix(tbl: pa.Table, col: str) -> np.ndarray:
 
 def column(tbl: pa.Table, col: str) -> np.ndarray:
     return tbl.column(col).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+# ---- scans in single precision -----------------------------------------------------
+
+UNIT32 = 2.0 ** -24
+LARGE32 = 1e36          # squared norms from here on are left to double precision
+
+
+def lifted(Z: np.ndarray, z2: np.ndarray, left: bool) -> np.ndarray:
+    """Single-precision rows; a left one times a right one is minus their squared distance."""
+    one = np.ones((len(Z), 1))
+    return np.concatenate([2.0 * Z, -z2[:, None], one] if left else [Z, one, -z2[:, None]], axis=1).astype(np.float32)
+
+
+def scan_bound(limit: np.ndarray, z2: np.ndarray, most: float, d: int) -> np.ndarray:
+    """What the product of ``lifted`` rows exceeds for every pair whose squared distance
+    is at most ``limit``, whatever single precision makes of it; ``most``: the other
+    side's largest squared norm."""
+    room = (d + 16) * UNIT32 * 2.0 * (2.0 * z2 + 2.0 * most + np.where(np.isfinite(limit), np.abs(limit), 0.0))
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nextafter((-(limit + room)).astype(np.float32), np.float32(-np.inf))
+
+
+def hits(mask: np.ndarray) -> np.ndarray:
+    """``flatnonzero`` of a contiguous mask with few hits, eight places at a time."""
+    if mask.size % 8:
+        return np.flatnonzero(mask)
+    flat = mask.reshape(-1)
+    word = np.flatnonzero(flat.view(np.uint64))
+    at, bit = np.nonzero(flat.reshape(-1, 8)[word])
+    return word[at] * 8 + bit

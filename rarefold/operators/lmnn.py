@@ -23,7 +23,8 @@ every iteration shuffles the blocks to their tiles again and sums them where the
 arrive, so what is stored stays linear in the rows. The driver holds L and G per
 member and a centroid, radius and margin per block. Members (bags, rounds, folds)
 are a key column, so many models train in the same jobs. Members of bounded size
-(``LOCAL_ROWS``) are each fitted by a task, all of them in one job with the same steps.
+(``LOCAL_ROWS``) are each fitted by a task of its own, from their rows to their map, all
+of them in one job with the same steps; nothing of them is written but their rows.
 
 The objective is divided by the number of target pairs, so the learning rate
 does not depend on the data size.
@@ -44,19 +45,22 @@ from pyspark.sql import types as T
 
 from ..session import materialize, release, row_join
 from . import voronoi
-from .blocks import column, matrix
-from .neighbors import target_neighbors
+from .blocks import LARGE32, column, hits, lifted, matrix, scan_bound
+from .neighbors import target_neighbors, targets_of
 
 CHUNK = 512
-COLS = 4096         # other rows in a NumPy step
+COLS = 2048         # other rows in a NumPy step
+SPARSE = 0.03       # share of a step's pairs that are measured one by one, at most
+PAIRS = 8192        # of these in a NumPy step
 #: How much longer or shorter a vector may get under a later map before the
 #: active block pairs are taken anew.
 ROOM = 1.25
 TILE_ROWS = 16_384  # rows a side of a tile, at most (a block's at least)
 SIDES = 8           # sides that all rows together are meant to make at least
 KEEP = 8            # tiles' rows in cache, as a multiple of the blocks' rows
-LOCAL_ROWS = 16_384         # a member with at most so many rows may be fitted by one task
-ALONE_ROWS = 4096           # and is, however few the members are, with at most so many
+LOCAL_ROWS = 65_536         # a member with at most so many rows may be fitted by one task
+LOCAL_BYTES = 384 << 20     # if its vectors and target vectors take at most so many bytes
+ALONE_ROWS = 16_384         # and is, however few the members are, with at most so many rows
 
 
 def _member(df: DataFrame, member_col: str | None) -> DataFrame:
@@ -269,50 +273,161 @@ def _cells(t) -> Iterator[tuple]:
             yield r["_m"], ids, Xi, Xt, tm, np.concatenate([right[i] for i in block["meets"]]).reshape(-1, Xi.shape[1])
 
 
+class Side:
+    """Rows of one class: vectors, vectors to their targets and the mask of these
+    (None: the rows are impostors only), and how many equal rows each stands for."""
+
+    def __init__(self, X: np.ndarray, Xt: np.ndarray | None = None, tm: np.ndarray | None = None, w: np.ndarray | None = None):
+        self.X, self.w = X, np.ones(len(X)) if w is None else w
+        self.T, self.tm = (None, None) if Xt is None else (X[:, None, :] - Xt, tm)
+
+    @classmethod
+    def compact(cls, X: np.ndarray, Xt: np.ndarray, tm: np.ndarray) -> Side:
+        """Rows that agree in their vector and all targets once (bootstrap slots repeat rows)."""
+        key = np.concatenate([X, Xt.reshape(len(X), -1), tm], axis=1)
+        _, at, n = np.unique(np.ascontiguousarray(key).view(np.dtype((np.void, key.shape[1] * key.itemsize))).ravel(),
+                             return_index=True, return_counts=True)
+        order = np.argsort(at)
+        return cls(X[at[order]], Xt[at[order]], tm[at[order]], n[order].astype(np.float64))
+
+    def under(self, L: np.ndarray) -> Side:
+        """Images under ``L``, thresholds ``1 + d_ij`` and empty counts: ``a`` per target,
+        ``imp`` impostors, ``b`` active triplets a row is the owner or the impostor of."""
+        self.Z = self.X @ L.T
+        self.z2 = np.einsum("ij,ij->i", self.Z, self.Z)
+        self.b = np.zeros(len(self.X))
+        if self.T is not None:
+            n, k, d = self.T.shape
+            TL = self.T.reshape(-1, d) @ L.T
+            self.thr = np.where(self.tm, 1.0 + np.einsum("ij,ij->i", TL, TL).reshape(n, k), -np.inf)
+            self.far = self.thr.max(axis=1, initial=-np.inf)
+            self.a, self.imp = np.zeros((n, k)), np.zeros(n)
+        return self
+
+    def own_terms(self) -> tuple[float, np.ndarray]:
+        """Sum of the active thresholds and sum_ij a_ij C_ij, after ``pair_terms``."""
+        T = self.T.reshape(-1, self.X.shape[1])
+        return float(np.where(self.a > 0, self.thr * self.a, 0.0).sum()), (T.T * self.a.ravel()) @ T
+
+
+def _dense(owners, dil: np.ndarray, p: Side, q: Side, rs: slice, cs: slice) -> tuple[float, np.ndarray]:
+    """All pairs of a block: sum of the active distances, triplets per pair."""
+    b = np.zeros(dil.shape, np.uint16)
+    for side, left, _ in owners:
+        own, other = (rs, q.w[cs]) if left else (cs, p.w[rs])
+        before = b.copy() if len(owners) > 1 else 0
+        for j in range(side.thr.shape[1]):             # active with target j: 1 + d_ij > d_il
+            act = dil < (side.thr[own, j, None] if left else side.thr[None, own, j])
+            b += act
+            side.a[own, j] += side.w[own] * (act @ other if left else other @ act)
+        some = b > before
+        side.imp[own] += some @ other if left else other @ some
+    W = b * p.w[rs, None]
+    W *= q.w[None, cs]
+    p.b[rs] += W.sum(axis=1)
+    q.b[cs] += W.sum(axis=0)
+    return float(np.einsum("ij,ij->", W, dil)), W
+
+
+def _sparse(side: Side, left: bool, r: np.ndarray, c: np.ndarray, p: Side, q: Side, rs: slice, cs: slice) -> tuple[float, np.ndarray, np.ndarray]:
+    """The same for some pairs of the block, p's rows in order: sum of the active
+    distances, p's rows and the sums of their impostors."""
+    D = p.Z[rs][r]
+    D -= q.Z[cs][c]
+    dil = np.einsum("ij,ij->i", D, D)
+    own = rs if left else cs
+    ok = np.flatnonzero(dil < side.far[own][r if left else c])
+    if not len(ok):
+        return 0.0, ok, D[:0]
+    r, c, dil = r[ok], c[ok], dil[ok]
+    i, other = (r, q.w[cs][c]) if left else (c, p.w[rs][r])
+    n, w = own.stop - own.start, side.w[own][i] * other
+    thr, b = side.thr[own], np.zeros(len(i))
+    for j in range(thr.shape[1]):
+        act = w * (thr[i, j] > dil)
+        side.a[own, j] += np.bincount(i, weights=act, minlength=n)
+        b += act
+    side.imp[own] += np.bincount(i, weights=other, minlength=n)
+    p.b[rs] += np.bincount(r, weights=b, minlength=rs.stop - rs.start)
+    q.b[cs] += np.bincount(c, weights=b, minlength=cs.stop - cs.start)
+    V = q.X[cs][c]
+    V *= b[:, None]
+    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    return float(b @ dil), r[first], np.add.reduceat(V, first, axis=0)
+
+
+def pair_terms(p: Side, q: Side, both: bool) -> tuple[float, np.ndarray]:
+    """Active triplets of p's rows with impostors in q (``both``: and of q's rows in p),
+    exactly: the sum of their distances d_il and sum b_il (x_i - x_l)(x_i - x_l)^T; the
+    sides count. Distances are scanned once, in single precision with room for its
+    error, and what may be active is measured again in double precision. Where much
+    is active, all pairs of the block are measured."""
+    d, owners = p.X.shape[1], [(p, True, p)] + ([(q, False, q)] if both else [])
+    most = [x.z2.max(initial=0.0) for x in (p, q)] + [np.where(x.tm, x.thr, 0.0).max(initial=0.0) for x, _, _ in owners]
+    single = bool(np.max(most) < LARGE32)                                   # False for numbers that are none
+    owners = [(x, left, scan_bound(x.far, x.z2, most[left], d) if single else None) for x, left, _ in owners]
+    if single:
+        A, B = lifted(p.Z, p.z2, True), lifted(q.Z, q.z2, False)
+        S_, M_ = np.empty(CHUNK * COLS, np.float32), np.empty(CHUNK * COLS, bool)
+    total, cross = 0.0, np.zeros((d, d))
+    for s in range(0, len(p.X), CHUNK):
+        rs = slice(s, min(s + CHUNK, len(p.X)))
+        P = np.zeros((rs.stop - s, d))                             # sum_l b_il x_l
+        for c in range(0, len(q.X), COLS):
+            cs = slice(c, min(c + COLS, len(q.X)))
+            h, w = rs.stop - s, cs.stop - c
+            found = []
+            if single:
+                S, M = S_[:h * w].reshape(h, w), M_[:h * w].reshape(h, w)
+                np.matmul(A[rs], B[cs].T, out=S)
+                for _, left, low in owners:
+                    np.greater(S, low[rs, None] if left else low[None, cs], out=M)
+                    if np.count_nonzero(M) > SPARSE * M.size:
+                        break
+                    found.append(hits(M))
+            if len(found) < len(owners):
+                dil = p.Z[rs] @ q.Z[cs].T
+                dil *= -2.0
+                dil += p.z2[rs, None]
+                dil += q.z2[None, cs]
+                part, W = _dense(owners, np.maximum(dil, 0.0, out=dil), p, q, rs, cs)
+                total += part
+                P += W @ q.X[cs]
+                continue
+            for (side, left, _), near in zip(owners, found):
+                for x in range(0, len(near), PAIRS):
+                    part, at, sums = _sparse(side, left, *np.divmod(near[x:x + PAIRS], w), p, q, rs, cs)
+                    total += part
+                    P[at] += sums
+        cross += p.X[rs].T @ P
+    return total, (p.X.T * p.b) @ p.X + (q.X.T * q.b) @ q.X - cross - cross.T
+
+
 def cell_terms(Xi, Xt, tm, Xl, L, mu):
     """Impostor part of one cell: (mu * sum_active (C_ij - C_il), hinge sum,
     active count, per-row active counts, per-row impostor counts)."""
-    d = Xi.shape[1]
-    G = np.zeros((d, d))
-    hinge = 0.0
-    n_act = 0
-    row_act = np.zeros(Xi.shape[0], dtype=np.int64)
-    row_imp = np.zeros(Xi.shape[0], dtype=np.int64)
-    Zl = Xl @ L.T
-    zl2 = np.einsum("ij,ij->i", Zl, Zl)
-    for s in range(0, Xi.shape[0], CHUNK):
-        xi, xt, m = Xi[s:s + CHUNK], Xt[s:s + CHUNK], tm[s:s + CHUNK]
-        T_ = xi[:, None, :] - xt                      # q x k x d
-        TL = T_ @ L.T
-        dt = np.einsum("qkd,qkd->qk", TL, TL)          # target distances
-        zi = xi @ L.T
-        a = np.zeros(m.shape)
-        far = np.where(m, dt, -np.inf).max(axis=1)     # furthest target
-        bq, bt, XiB = np.zeros(len(xi)), np.zeros(Xl.shape[0]), np.zeros((d, d))
-        for c in range(0, Xl.shape[0], COLS):          # a bounded number of other rows at a time
-            dil = zi @ Zl[c:c + COLS].T
-            dil *= -2.0
-            dil += np.einsum("ij,ij->i", zi, zi)[:, None]
-            dil += zl2[None, c:c + COLS]
-            np.maximum(dil, 0.0, out=dil)
-            b = np.zeros(dil.shape)
-            for j in range(m.shape[1]):                # active with target j: 1 + dt - dil > 0
-                H = (1.0 + dt[:, j])[:, None] - dil
-                act = H > 0
-                act &= m[:, j][:, None]
-                a[:, j] += act.sum(axis=1)
-                b += act
-                hinge += float(np.where(act, H, 0.0).sum())
-            row_imp[s:s + CHUNK] += (dil < (far[:, None] + 1.0)).sum(axis=1)
-            bq += b.sum(axis=1)
-            bt[c:c + COLS] = b.sum(axis=0)
-            XiB += (xi.T @ b) @ Xl[c:c + COLS]
-        n_act += int(a.sum())
-        row_act[s:s + CHUNK] = a.sum(axis=1).astype(np.int64)
-        pull = np.einsum("qkd,qke->de", a[:, :, None] * T_, T_, optimize=True)
-        push = (xi.T * bq) @ xi - XiB - XiB.T + (Xl.T * bt) @ Xl
-        G += mu * (pull - push)
-    return G, hinge, n_act, row_act, row_imp
+    p, q = Side(Xi, Xt, tm).under(L), Side(Xl).under(L)
+    far, push = pair_terms(p, q, False)
+    near, pull = p.own_terms()
+    act = p.a.sum(axis=1).astype(np.int64)
+    return mu * (pull - push), near - far, int(act.sum()), act, p.imp.astype(np.int64)
+
+
+def member_terms(sides: list[Side], L: np.ndarray, mu: float) -> tuple[float, np.ndarray]:
+    """Hinge sum and impostor gradient of one member's classes."""
+    hinge, push = 0.0, np.zeros((L.shape[1],) * 2)
+    for x in sides:
+        x.under(L)
+    for i, p in enumerate(sides):
+        for q in sides[i + 1:]:
+            p.b, q.b = np.zeros(len(p.X)), np.zeros(len(q.X))
+            far, G = pair_terms(p, q, True)
+            hinge, push = hinge - far, push + G
+    pull = np.zeros_like(push)
+    for x in sides:
+        near, G = x.own_terms()
+        hinge, pull = hinge + near, pull + G
+    return hinge, mu * (pull - push)
 
 
 @dataclass
@@ -384,21 +499,30 @@ def _step_job(tiles: Tiles, maps: dict[str, np.ndarray], mu: float) -> DataFrame
     return _vec_sum(tiles.map(fn, "_m string, v array<double>"))
 
 
-def prepare(df: DataFrame, k: int = 3, member_col: str | None = None, block_rows: int = 2048) -> Blocks:
-    """Target neighbours (fixed through training) and the written blocks."""
+def _rows(df: DataFrame, member_col: str | None) -> DataFrame:
     rows = _member(df.select(*([member_col] if member_col else []), "id",
                              F.col("features").cast("array<double>").alias("features"),
                              F.col("label").cast("int").alias("label")), member_col)
-    rows = materialize(rows.select("_m", "id", "features", "label"), "lmnn-rows")  # read by several passes below
+    return materialize(rows.select("_m", "id", "features", "label"), "lmnn-rows")  # read by several passes
+
+
+def _blocks(rows: DataFrame, k: int, block_rows: int) -> Blocks:
     tn = target_neighbors(rows, k, key_cols=["_m"], block_rows=block_rows)
     feats = rows.select("_m", F.col("id").alias("nbr_id"), F.col("features").alias("_xj"))
     tn = row_join(tn, feats, ["_m", "nbr_id"])
     table = materialize(_pack_blocks(rows, tn, k, block_rows), "lmnn-blocks")
     names = sorted(tuple(r) for r in table.select("_m", "_cls", "_b", "n").collect())   # n / block_rows rows
-    release(rows)
     return Blocks(table, names)
 
 
+def prepare(df: DataFrame, k: int = 3, member_col: str | None = None, block_rows: int = 2048) -> Blocks:
+    """Target neighbours (fixed through training) and the written blocks."""
+    rows = _rows(df, member_col)
+    blocks = _blocks(rows, k, block_rows)
+    release(rows)
+    return blocks
+
+
 def _moved(L: np.ndarray, since: np.ndarray) -> bool:
     """Whether some vector is now more than ``ROOM`` times longer or shorter."""
     if np.array_equal(L, since):
@@ -458,32 +582,51 @@ class _Descent:
         return self.best[1] if self.best else self.L
 
 
-def _fit_local(blocks: Blocks, members: list[str], make, mu: float, max_iter: int) -> dict[str, tuple[np.ndarray, list[dict]]]:
-    """Map and history of every member of bounded size, each fitted by one task."""
-    of = blocks.table.join(F.broadcast(blocks.table.sparkSession.createDataFrame([(m,) for m in members], "_m string")), "_m")
-
-    def run(key, t):
-        own: dict[int, list] = {}
-        for r in sorted(_records(t), key=lambda r: (r["_cls"], r["_b"])):
-            own.setdefault(r["_cls"], []).append(_unpack(r))
-        rows = {c: [np.concatenate(x) for x in list(zip(*parts))[1:]] for c, parts in own.items()}    # X, targets, mask
-        fit = make(key[0].as_py())
-        for it in range(max_iter):
-            hinge, G = 0.0, np.zeros_like(fit.Ct)
-            for c, (X, Xt, tm) in rows.items():
-                others = [x[0] for c2, x in rows.items() if c2 != c]
-                if others:
-                    g, h, _, _, _ = cell_terms(X, Xt, tm, np.concatenate(others), fit.L, mu)
-                    hinge, G = hinge + h, G + g
-            if fit.update(it, hinge, G, 1):
-                break
-        return pa.Table.from_pydict({"_m": [fit.member], "v": [fit.map().ravel().tolist()], "h": [json.dumps(fit.history)]},
-                                    schema=schema)
-
-    ddl = "_m string, v array<double>, h string"
-    schema = _arrow(T._parse_datatype_string(ddl))
+def _fit_local(rows: DataFrame, members: list[str], k: int, make, mu: float, max_iter: int) -> dict[str, tuple[np.ndarray, list[dict]]]:
+    """Map and history of every member of bounded size: a task has all rows of one
+    member, finds their targets and makes all steps."""
+    places = rows.sparkSession.createDataFrame([(m, i) for i, m in enumerate(members)], "_m string, _place int")
+    # a partition per member: hashed members would share some tasks and leave others idle
+    dealt = rows.join(F.broadcast(places), "_m").repartitionById(len(members), F.col("_place")).drop("_place")
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[str, list] = {}
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            X, y, ids = matrix(t, "features"), column(t, "label"), column(t, "id").astype(np.int64)
+            for m, i in voronoi.by_key(t, "_m"):
+                parts.setdefault(m, []).append((X[i], y[i], ids[i]))
+        for m in sorted(parts):
+            X, y, ids = (np.concatenate(x) for x in zip(*parts.pop(m)))
+            sides, npairs, Ct = [], 0.0, 0.0
+            for c in np.unique(y):
+                own = np.flatnonzero(y == c)
+                own = own[np.argsort(ids[own], kind="stable")]
+                Xc = X[own]
+                at, tm = targets_of(Xc, ids[own], k)
+                Xt = np.where(tm[:, :, None], Xc[at], 0.0)
+                D = (Xc[:, None, :] - Xt)[tm]
+                npairs, Ct = npairs + len(D), Ct + D.T @ D
+                sides.append(Side.compact(Xc, Xt, tm))
+            fit = make(m, float(npairs), Ct)
+            for it in range(max_iter):
+                if fit.update(it, *member_terms(sides, fit.L, mu), 1):
+                    break
+            yield pa.RecordBatch.from_pydict({"_m": [m], "v": [fit.map().tolist()], "h": [json.dumps(fit.history)]})
+
     # d x d numbers and a history per member
-    return {r["_m"]: (np.asarray(r["v"]), json.loads(r["h"])) for r in of.groupBy("_m").applyInArrow(run, ddl).collect()}
+    return {r["_m"]: (np.array(r["v"]), json.loads(r["h"])) for r in dealt.mapInArrow(fn, "_m string, v array<array<double>>, h string").collect()}
+
+
+def _local_members(rows: DataFrame, k: int) -> tuple[list[str], list[str]]:
+    """The members that are fitted by a task each, larger ones first, and the others."""
+    # a row per member
+    sizes = {r["_m"]: (r["n"], r["d"]) for r in rows.groupBy("_m").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).collect()}
+    local = [m for m, (n, d) in sizes.items() if n <= LOCAL_ROWS and n * d * 8 * (k + 1) <= LOCAL_BYTES]
+    if len(local) < rows.sparkSession.sparkContext.defaultParallelism:
+        local = [m for m in local if sizes[m][0] <= ALONE_ROWS]
+    return sorted(local, key=lambda m: (-sizes[m][0], m)), sorted(set(sizes) - set(local))
 
 
 def fit(df: DataFrame, k: int = 3, mu: float = 0.5, max_iter: int = 1000, min_iter: int = 10,
@@ -493,27 +636,32 @@ def fit(df: DataFrame, k: int = 3, mu: float = 0.5, max_iter: int = 1000, min_it
     """Gradient descent on L per member (``_Descent``). A member stops when two
     accepted full steps in a row change its objective by less than ``tol`` of it
     (``_Steps``); ``max_iter`` only guards the loop."""
-    blocks = prepared or prepare(df, k, member_col, block_rows)
-    tstats = _target_stats(blocks)
-    members = sorted(tstats)
-    d = tstats[members[0]][1].shape[0] if members else len(df.select("features").first()[0])
-
-    def make(m: str) -> _Descent:
-        return _Descent(m, *tstats[m], init[m].copy() if init and m in init else np.eye(d), mu, learn_rate, tol, min_iter)
-
-    rows: dict[str, int] = {}
-    for m, _, _, n in blocks.names:
-        rows[m] = rows.get(m, 0) + n
-    local = [m for m in members if rows[m] <= LOCAL_ROWS]
-    if len(local) < blocks.table.sparkSession.sparkContext.defaultParallelism:
-        local = [m for m in local if rows[m] <= min(ALONE_ROWS, LOCAL_ROWS)]
+    def make(m: str, npairs: float, Ct: np.ndarray) -> _Descent:
+        return _Descent(m, npairs, Ct, init[m].copy() if init and m in init else np.eye(len(Ct)), mu, learn_rate, tol, min_iter)
+
     maps: dict[str, np.ndarray] = {}
     hist: list[dict] = []
-    if local:
-        for m, (L, own) in sorted(_fit_local(blocks, local, make, mu, max_iter).items()):
-            maps[m] = L.reshape(-1, d)
-            hist += own
-    fits = {m: make(m) for m in members if m not in maps}
+    blocks = prepared
+    if blocks is None:
+        rows = _rows(df, member_col)
+        local, rest = _local_members(rows, k)
+        if local:
+            for m, (L, own) in sorted(_fit_local(rows, local, k, make, mu, max_iter).items()):
+                maps[m] = L
+                hist += own
+        if rest:
+            blocks = _blocks(rows.where(F.col("_m").isin(rest)) if local else rows, k, block_rows)
+        release(rows)
+    if blocks is not None:
+        _fit_tiled(blocks, make, mu, max_iter, maps, hist)
+        if prepared is None:
+            release(blocks.table)
+    return LMNNModel(maps=maps, history=sorted(hist, key=lambda h: (h["iteration"], h["member"])))
+
+
+def _fit_tiled(blocks: Blocks, make, mu: float, max_iter: int, maps: dict[str, np.ndarray], hist: list[dict]) -> None:
+    """Fits the members of ``blocks``, a job per step, into ``maps`` and ``hist``."""
+    fits = {m: make(m, *x) for m, x in sorted(_target_stats(blocks).items())}
     active = set(fits)
     classes = {(m, c) for m, c, _, _ in blocks.names}
     wide = {m for m in fits if sum(x[0] == m for x in blocks.names) > sum(x[0] == m for x in classes)}
@@ -529,16 +677,13 @@ def fit(df: DataFrame, k: int = 3, mu: float = 0.5, max_iter: int = 1000, min_it
             tiles, refreshes = _tiles(blocks, active_pairs(blocks, since)), refreshes + 1
         res = _collect_mats(_step_job(tiles, {m: fits[m].L for m in active}, mu))
         for m in sorted(active):
-            if fits[m].update(it, *res.get(m, (0.0, np.zeros((d, d)))), refreshes):
+            if fits[m].update(it, *res.get(m, (0.0, np.zeros_like(fits[m].Ct))), refreshes):
                 active.discard(m)
     if tiles is not None:
         tiles.unpersist()
     for m, own in fits.items():
         maps[m] = own.map()
         hist += own.history
-    if prepared is None:
-        release(blocks.table)
-    return LMNNModel(maps=maps, history=sorted(hist, key=lambda h: (h["iteration"], h["member"])))
 
 
 def loss_terms(df: DataFrame, L: np.ndarray | None = None, k: int = 3, mu: float = 0.5,

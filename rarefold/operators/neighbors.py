@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .blocks import column, grid, matrix
+from .blocks import LARGE32, column, grid, hits, lifted, matrix, scan_bound
 from .voronoi import (SLACK, Cells, assign, by_key, cell_stats, distances, key_string, lower_bounds, pivots, slots,
                       upper_bound)
 
 CHUNK = 512   # left rows per NumPy step inside a cell (bounds memory)
 COLS = 4096   # right rows per NumPy step
+FIRST = 512   # and in the steps that give a query its first limit
+SPARSE = 0.03         # share of a step's pairs that are measured one by one, at most
 MEASURE = 1 << 16     # pairs measured exactly at a time
 SLOT_ROWS = 32_768    # training rows of a slot (cells searched together in round 2) at most
 SLOTS = 8             # slots that all keys together are meant to have at least
@@ -66,31 +68,51 @@ def _exact(Q: np.ndarray, R: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.nda
 
 def _nearest(Q: np.ndarray, R: np.ndarray, k: int, limit: np.ndarray, skip) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row) that hold every query's ``k`` nearest rows within
-    ``limit`` (a squared distance). Rows are passed ``COLS`` at a time; what is
-    found so far lowers the limit. ``skip(r, c)``: pairs that do not count."""
+    ``limit`` (a squared distance). Rows are passed some at a time; what is
+    found so far lowers the limit. Once all queries have one, rows are scanned in
+    single precision with room for its error, and what may be near is measured.
+    ``skip(r, c)``: pairs that do not count."""
     qn, rn = np.einsum("ij,ij->i", Q, Q), np.einsum("ij,ij->i", R, R)
-    tol = 1e-9 * 2.0 * (qn + rn.max(initial=0.0)) + 1e-12
+    most = rn.max(initial=0.0)
+    tol = 1e-9 * 2.0 * (qn + most) + 1e-12
     limit, best = limit.copy(), np.full((len(Q), k), np.inf)
+    single = bool(max(qn.max(initial=0.0), most) < LARGE32)
+    A = B = None
     rows, cols, vals = [], [], []
-    for s in range(0, len(R), COLS):
-        approx = Q @ R[s:s + COLS].T
-        approx *= -2.0
-        approx += qn[:, None]
-        approx += rn[None, s:s + COLS]
-        width = approx.shape[1]
-        open_ = np.flatnonzero(~np.isfinite(limit))
-        if len(open_) and width > 4 * k:          # no limit yet: the k-th of these columns, without the pairs that do not count
-            part = approx[open_]
-            out = np.nonzero(skip(open_[:, None], s + np.arange(width)[None, :]))
-            part[out] = np.inf
-            limit[open_] = np.partition(part, k - 1, axis=1)[:, k - 1]
-        r, c = np.nonzero(approx <= (limit + tol)[:, None])
+    s = 0
+    while s < len(R):
+        scan = single and bool(np.all(limit < LARGE32))
+        e = min(s + (COLS if scan or not single else max(FIRST, 8 * k)), len(R))
+        near = None
+        if scan:
+            if A is None:
+                A, B = lifted(Q, qn, True), lifted(R, rn, False)
+            M = A @ B[s:e].T > scan_bound(limit + tol, qn, most, Q.shape[1])[:, None]
+            if np.count_nonzero(M) <= SPARSE * M.size:
+                near = hits(M)
+        if near is None:
+            approx = Q @ R[s:e].T
+            approx *= -2.0
+            approx += qn[:, None]
+            approx += rn[None, s:e]
+            width = approx.shape[1]
+            open_ = np.flatnonzero(~np.isfinite(limit))
+            if len(open_) and width > 4 * k:      # no limit yet: the k-th of these columns, without the pairs that do not count
+                part = approx[open_]
+                out = np.nonzero(skip(open_[:, None], s + np.arange(width)[None, :]))
+                part[out] = np.inf
+                limit[open_] = np.partition(part, k - 1, axis=1)[:, k - 1]
+            r, c = np.nonzero(approx <= (limit + tol)[:, None])
+        else:
+            r, c = np.divmod(near, e - s)
         ok = ~skip(r, c + s)
         r, c = r[ok], c[ok]
+        v = approx[r, c] if near is None else _exact(Q, R, r, c + s)
+        c = c + s
+        s = e
         if not len(r):
             continue
-        v = approx[r, c]
-        rows.append(r), cols.append(c + s), vals.append(v)
+        rows.append(r), cols.append(c), vals.append(v)
         allr, allv = np.concatenate((np.repeat(np.arange(len(Q)), k), r)), np.concatenate((best.ravel(), v))
         order = np.lexsort((allv, allr))
         first = np.searchsorted(allr[order], np.arange(len(Q)))
@@ -103,6 +125,33 @@ def _nearest(Q: np.ndarray, R: np.ndarray, k: int, limit: np.ndarray, skip) -> t
     return r[near], c[near]
 
 
+def _ranked(Q: np.ndarray, R: np.ndarray, tid: np.ndarray, tuid: np.ndarray, k: int, limit: np.ndarray, skip):
+    """(query, row, squared distance) of at most ``k`` rows a query, by (distance, id, uid)."""
+    r, c = _nearest(Q, R, k, limit, skip)
+    exact = _exact(Q, R, r, c)
+    order = np.lexsort((tuid[c], tid[c], exact, r))
+    r, c, exact = r[order], c[order], exact[order]
+    # position of each candidate inside its row's sorted run
+    first = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
+    run_start = np.repeat(first, np.diff(np.r_[first, len(r)]))
+    keep = (np.arange(len(r)) - run_start) < k
+    return r[keep], c[keep], exact[keep]
+
+
+def targets_of(X: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``target_neighbors`` of one class's rows in memory: places of each row's ``k``
+    nearest rows of another id, and which of these there are."""
+    at, have = np.zeros((len(X), k), np.int64), np.zeros((len(X), k), bool)
+    kept = _first_copies(X, ids, ids, k)
+    R, rid = X[kept], ids[kept]
+    for s in range(0, len(X), CHUNK):
+        own = ids[s:s + CHUNK]
+        r, c, _ = _ranked(X[s:s + CHUNK], R, rid, rid, k, np.full(len(own), np.inf), lambda r, c, own=own: own[r] == rid[c])
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        at[s + r, nth], have[s + r, nth] = kept[c], True
+    return at, have
+
+
 def _cell_topk(k: int, exclude_self: bool, key_fields: list[T.StructField],
                out_schema: T.StructType, further: bool):
     key_names = [f.name for f in key_fields]
@@ -136,19 +185,12 @@ def _cell_topk(k: int, exclude_self: bool, key_fields: list[T.StructField],
                     no |= own[s:s + CHUNK][r] == cell[c]
                 return no
 
-            r, c = _nearest(q, R, k, limit[s:s + CHUNK], skip)
-            exact = _exact(q, R, r, c)
-            order = np.lexsort((tuid[c], tid[c], exact, r))
-            r, c, exact = r[order], c[order], exact[order]
-            # position of each candidate inside its row's sorted run
-            first = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
-            run_start = np.repeat(first, np.diff(np.r_[first, len(r)]))
-            keep = (np.arange(len(r)) - run_start) < k
-            out_q.append(qi[r[keep]])
-            out_t.append(tid[c[keep]])
-            out_u.append(tuid[c[keep]])
-            out_l.append(tlab[c[keep]])
-            out_d.append(exact[keep])
+            r, c, exact = _ranked(q, R, tid, tuid, k, limit[s:s + CHUNK], skip)
+            out_q.append(qi[r])
+            out_t.append(tid[c])
+            out_u.append(tuid[c])
+            out_l.append(tlab[c])
+            out_d.append(exact)
         n = sum(len(a) for a in out_q)
         cols = {}
         for name in key_names:
