@@ -347,7 +347,7 @@ def e5_profile(spark, sf):
 
 # ---- A2, A5-A8: scans and sinks (written under the shared folder) -------------
 
-from ..session import materialize, row_join, scratch_path  # noqa: E402
+from ..session import materialize, release, row_join, scratch_path  # noqa: E402
 
 
 @register("a2_labelled_table", """SELECT d.doc_id AS id, d.text, CAST(l.toxic AS INTEGER) AS label
@@ -435,12 +435,13 @@ SELECT fold, split, count(*)::BIGINT AS n, sum(label)::BIGINT AS n_pos,
 def a4_fold_json_scan(spark, sf):
     """Text folds exported as columnar JSON objects (bounded chunks), scanned
     back to one row per position and counted per fold and split."""
-    # folds are ranked on ids; a text is joined to its ten folds by the place of its row
+    # folds are ranked on ids; a text is joined to the list of its ten folds by the place of its row
     t = materialize(fx.text_bin(spark, sf).select("id", "label", "text").withColumn("_row", F.monotonically_increasing_id()), "fold-texts")
     folds = splits.stratified_holdout(t.select("_row", "id", "label"), repeats=10).withColumnRenamed("repeat", "fold")
-    folds = row_join(folds, t.select("_row", "text"), "_row").drop("_row")
     path = scratch_path(spark, "fold-json")
-    files.write_fold_json(folds, path, chunk_rows=64)
+    sides = materialize(folds.select("_row", "fold", "split"), "fold-sides")
+    files.write_fold_json(t, sides, path, "_row", chunk_rows=64)
+    release(t, sides)
     back = files.read_fold_json(spark, path, multi_line=False)
     back = back.withColumn("fold", F.regexp_extract("path", "fold=([0-9]+)", 1).cast("int")) \
                .withColumn("split", F.regexp_extract("path", "split=([a-z]+)", 1))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LINE_BREAK, binarise, strip
-from ..session import materialize
+from ..session import materialize, row_join
 
 
 def lines(df: DataFrame, file_col: str = "file", value_col: str = "value") -> DataFrame:
@@ -104,22 +104,39 @@ def write_folds(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     (df.write.mode("overwrite").partitionBy("fold", "split").format(fmt).save(path))
 
 
-def write_fold_json(df: DataFrame, path: str, chunk_rows: int = 4096,
+#: Most output files that a task of ``write_fold_json`` has open at a time.
+OPEN_FILES = 64
+
+
+def write_fold_json(rows: DataFrame, sides: DataFrame, path: str, row_col: str, chunk_rows: int = 4096,
                     text_col: str = "text", label_col: str = "label", id_col: str = "id") -> None:
     """A7, columnar form: ``{"text": [...], "labels": [...]}`` objects, one per
-    line, partitioned by (fold, split). A fold is cut into chunks of about
-    ``chunk_rows`` rows by hash of the id, so no object (and no task) has to
-    hold a whole fold; inside a chunk rows are in id order."""
+    line (gzip), partitioned by (fold, split). ``sides`` (row, fold, split) names the
+    folds of each row of ``rows``, which has its text once. A fold is cut into
+    chunks of at most about ``chunk_rows`` rows by hash of the id, so no object (and
+    no task) has to hold a whole fold; inside a chunk rows are in id order. Chunks
+    are the same rows in all folds: texts are dealt to them once, not once for each
+    fold, and a chunk's objects are made where its rows are."""
     keys = ["fold", "split"]
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))   # one row per (fold, split)
-    d = df.join(F.broadcast(n), on=keys, how="inner").withColumn(
-        "_chunk", F.pmod(F.xxhash64(F.col(id_col)),
-                         F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(chunk_rows)))))
-    g = d.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(
-        F.struct(F.col(id_col).alias("i"), F.col(text_col).alias("t"),
-                 F.col(label_col).cast("int").alias("y")))).alias("_r"))
-    (g.select(*keys, F.col("_r.t").alias("text"), F.col("_r.y").alias("labels"))
-      .write.mode("overwrite").partitionBy(*keys).json(path))
+    most = sides.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+    chunks = max(1, -(-most // chunk_rows))
+    own = sides.groupBy(row_col).agg(F.collect_list(F.struct(*keys)).alias("_s"))        # a row's folds
+    d = row_join(rows.select(row_col, F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(label_col).cast("int").alias("_y")),
+                 own, row_col)
+    g = d.groupBy(F.pmod(F.xxhash64("_i"), F.lit(chunks)).alias("_chunk")).agg(F.sort_array(F.collect_list(
+        F.struct(F.col("_i").alias("i"), F.col("_t").alias("t"), F.col("_y").alias("y"), F.col("_s").alias("s")))).alias("_r"))
+    # one object at a time: the chunk's rows of one (fold, split)
+    each = g.select("_r", F.explode(F.array_distinct(F.flatten(F.transform("_r", lambda r: r["s"])))).alias("_k"))
+    each = each.select("_k.fold", "_k.split", F.filter("_r", lambda r: F.array_contains(r["s"], F.col("_k"))).alias("_r"))
+    # a file open for each (fold, split) instead of a sort of all folds' texts, which spills
+    spark, name = rows.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_FILES))
+    try:
+        (each.select(*keys, F.col("_r.t").alias("text"), F.col("_r.y").alias("labels"))
+             .write.mode("overwrite").partitionBy(*keys).option("compression", "gzip").json(path))
+    finally:
+        spark.conf.set(name, before)
 
 
 def load_fold(spark: SparkSession, path: str, fold: int) -> tuple[DataFrame, DataFrame]:

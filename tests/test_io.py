@@ -117,3 +117,27 @@ def test_a_text_is_split_once_not_for_each_line(spark):
     above = out._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
     assert "split(" not in above
     assert sorted(map(tuple, out.collect())) == [("a", 0, "x"), ("a", 1, "y"), ("a", 2, ""), ("a", 3, "z"), ("d", 0, ""), ("e", 0, "p")]
+
+
+def test_fold_json_deals_each_text_once(spark, tmp_path):
+    """Ten folds of the same texts: no shuffle and no sort carries a text once per fold, and the files are compressed."""
+    import os
+    from pyspark.sql import functions as F
+    rows = spark.range(60).selectExpr("id as k", "id % 20 as id", "concat('text ', id, repeat(' abc', 50)) as text", "cast(id % 3 = 0 as int) as label")
+    sides = spark.range(600).selectExpr("id % 60 as k", "cast(id div 60 as int) as fold", "if((id * 7) % 5 = 0, 'test', 'train') as split")
+    seen, write = [], files.row_join
+    files.row_join = lambda a, b, on: seen.append((a.count(), b.count())) or write(a, b, on)
+    try:
+        files.write_fold_json(rows, sides, str(tmp_path / "j"), "k", chunk_rows=7)
+    finally:
+        files.row_join = write
+    assert seen == [(60, 60)]                                # texts meet their fold lists, once each
+    names = [n for _, _, own in os.walk(tmp_path / "j") for n in own if n.startswith("part-")]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    back = files.read_fold_json(spark, str(tmp_path / "j"), multi_line=False)
+    back = back.withColumn("fold", F.regexp_extract("path", "fold=([0-9]+)", 1).cast("int")).withColumn("split", F.regexp_extract("path", "split=([a-z]+)", 1))
+    want = sides.join(rows, "k").select("fold", "split", "text", "label")
+    assert sorted(map(tuple, back.select("fold", "split", "text", "label").collect())) == sorted(map(tuple, want.collect()))
+    assert back.agg(F.max("pos")).first()[0] < 40 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    empty = files.write_fold_json(rows.where("false"), sides.where("false"), str(tmp_path / "e"), "k")
+    assert empty is None
