@@ -181,13 +181,14 @@ def histogram_vectors(df: DataFrame, models: dict[str, Booster], edges: dict[str
                 B = bin_index(Z, lo[None, :], width[None, :], n_bins)
                 d = Z.shape[1]
                 flat = B + (np.arange(d) * n_bins)[None, :]
-                for kind, rows in (("fit", im), ("all", np.ones_like(im))):
-                    for c in (0, 1):
-                        r = rows & (ym == c)
+                for c in (0, 1):
+                    h, own = None, ym == c
+                    for kind, r in (("all", own), ("fit", own & im)):
                         if not r.any():
                             continue
-                        h = np.bincount(flat[r].ravel(), weights=np.repeat(w[r], d),
-                                        minlength=d * n_bins)
+                        if h is None or r.sum() < own.sum():     # no sample: both kinds are the same rows
+                            h = np.bincount(flat[r].ravel(), weights=np.repeat(w[r], d),
+                                            minlength=d * n_bins)
                         key = (m, kind, c)
                         acc[key] = acc.get(key, 0) + h
         for (m, kind, c), h in acc.items():
